@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, token_files
+from . import html_text, language, mixing, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_mixing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(quality.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op5_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(quality.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return language.detect(docs.select("doc_id", "text"), language.train(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
