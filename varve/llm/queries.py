@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, mixing, packing, quality, token_files
+from . import html_text, language, mixing, near_vectors, packing, quality, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(quality.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     return language.detect(docs.select("doc_id", "text"), language.train(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_topk")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_near_vectors")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
