@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, mixing, near_vectors, packing, quality, token_files, topk
+from . import html_text, language, mixing, near_vectors, packing, quality, shingle_join, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_vectors")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_shingle_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_documents(table(spark, sf_dir, "documents"))
