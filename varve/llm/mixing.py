@@ -61,10 +61,10 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return w.withColumn("target", F.least(F.col("most"), F.coalesce(level * F.col("w"), F.col("most")))).select("skey", "source", "source_size", "target")
 
 
-def plan(docs: DataFrame, stash: Stash, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share=SHARE, cap=CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with their place in their source's stream, sources with targets and blocks, slots with shard, source and block)."""
+def plan(docs: DataFrame, stash: Stash, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share=SHARE, cap=CAP, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, with the columns to keep and with their place in their source's stream, sources with targets and blocks, slots with shard, source and block)."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
     chunks = max(1, docs.count() // CHUNK_DOCS)
     sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)).cast("int"))
     order = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size")
@@ -108,3 +108,22 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share=
     stash = Stash(docs.sparkSession, "mix")
     placed, sources, slots = plan(docs.select("doc_id", "source", "text"), stash, block_words, weights, share, cap)
     return taken_words(placed, slots, block_words).join(sources.select("skey", "source_size", "target"), "skey").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
+    """The mix as rows of documents (doc_id, text, lang, source, n_chars): per document one row for each time its blocks are drawn.
+
+    The text of a row is its drawn blocks' words in order, joined by one space; n_chars is its length. Documents of which nothing is drawn give no row.
+    """
+    stash = Stash(docs.sparkSession, "mixed")
+    placed, _, slots = plan(docs.select("doc_id", "text", "lang", "source"), stash, block_words, weights, share, cap, ("text", "lang"))
+    draws = slots.groupBy("skey", "block").agg(F.count("*").alias("draws"))
+    end = F.col("start") + F.col("size")
+    pieces = placed.filter("size > 0").select("skey", "chunk", "r", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
+    pieces = pieces.withColumn("at", F.greatest(F.col("block") * block_words, F.col("start")) - F.col("start")).withColumn("words", F.least((F.col("block") + 1) * block_words, end) - F.col("start") - F.col("at"))
+    drawn = pieces.join(draws, ["skey", "block"]).groupBy("skey", "chunk", "r").agg(F.sort_array(F.collect_list(F.struct("at", "words", "draws"))).alias("parts"))
+    copies = placed.join(drawn, ["skey", "chunk", "r"]).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.col("parts.draws")))))
+    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
+    chosen = F.filter("parts", lambda p: p["draws"] >= F.col("turn"))
+    text = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(w, (p["at"] + 1).cast("int"), p["words"].cast("int")))), " "))[0]
+    return copies.select("doc_id", text.alias("text"), "lang", "source").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))

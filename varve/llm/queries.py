@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, mixing, near_vectors, packing, quality, shingle_join, token_files, topk
+from . import html_text, language, license_scan, mixing, near_vectors, packing, quality, shingle_join, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_shingle_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_license_scan"] = license_scan.oracle()
