@@ -1,0 +1,435 @@
+"""Corpus operators against brute force on small tables with nulls, empty and long texts, ties, repeats, no rows and extra columns."""
+
+import itertools
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from varve.llm import components as comp
+from varve.llm import html_text, language, license_scan, mixing, near_vectors, packing, quality, queries, shingle_join, token_codec, token_files, topk
+from varve.llm.shared import Stash
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, part int, seg int, score double, rank int, n long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORDS = "the of and river stone house walk light paper winter garden machine signal copper".split()
+
+
+def sentence(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(WORDS, n))
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(*r, None, -1, -1, -1.0, -1, -1) for r in rows], DOCS)
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    base = sentence(1, 120)
+    rows = [(i, sentence(i, 5 + 3 * i), ("en", "fr", None)[i % 3], f"s{i % 3}") for i in range(20)]
+    rows += [(20, None, None, None), (21, "", "en", None), (22, " \t\n ", "en", "s0"), (23, "one", "en", "s0"), (24, "one two  three\n\nfour", "fr", "s1")]
+    rows += [(25, base, "en", "big"), (26, base, "en", "big"), (27, base.upper(), "en", "big"), (28, base + " extra words here", "en", "big"), (29, base.replace("river", "lake"), "en", "big")]
+    rows += [(30, " ".join([base] * 60), "en", "big"), (31, "héllo wörld \x1c odd   spaces　here <|endoftext|> it's", "fr", "s2"), (5, sentence(5, 20), "en", "s0"), (None, "no id at all here now", "en", "s1")]
+    return documents(spark, rows)
+
+
+def plain(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def tokens(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in texts]
+
+
+@pytest.mark.parametrize("ids", [[], [0], [0] * 700, list(range(300)), [1 << 59, (1 << 60) - 1, 1 << 60, (1 << 64) - 1, 3, 0, 2 << 60], [50256, 7, 1 << 63, 1 << 63, 5]])
+def test_simple8b_round_trip(ids):
+    words, offsets = token_codec.simple8b_encode(np.array(ids, np.uint64), block=64)
+    assert token_codec.simple8b_decode(words).tolist() == ids
+    for k, at in enumerate(offsets):  # each block can be decoded alone
+        end = offsets[k + 1] if k + 1 < len(offsets) else len(words)
+        assert token_codec.simple8b_decode(words[at:end]).tolist() == ids[64 * k : 64 * k + 64]
+
+
+def test_simple8b_random_round_trip():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 1 << rng.integers(1, 62, 5000).astype(np.uint64), dtype=np.uint64)
+    words, _ = token_codec.simple8b_encode(ids, block=512)
+    assert (token_codec.simple8b_decode(words) == ids).all()
+
+
+@pytest.mark.parametrize("text", ["", " ", "  ", "a  b", "a   b", "a\n\nb", " a ", "a\tb  c", "\n", "a\n b", "x <|endoftext|> y", "don't we'll 12,5%", "a\x1cb", "　a b\xa0c", "é" * 5 + "  \n \n", "a \n", "日本語 текст", "퟿ a"])
+def test_chunked_encoding_equals_the_library(text):
+    assert np.frombuffer(token_codec.encoder(queries.tokenizer_path()).encode(text), "<u4").tolist() == tokens([text])[0][:-1].tolist()
+
+
+def test_token_files(spark, docs):
+    got = plain(token_files.token_files(docs, queries.tokenizer_path()))
+    rows = sorted(((r.doc_id is not None, r.doc_id), r.doc_id, r.text) for r in docs.collect() if r.doc_id != 5)
+    want = Counter()
+    got_at = {}
+    for doc, start, n, crc in got:
+        want[doc] += 1
+        got_at[start] = (doc, n, crc)
+    assert want[5] == 2 and want[None] == 1 and len(got) == docs.count()
+    at = 0
+    seen = []
+    while at in got_at:  # starts are gapless and ids ascend
+        seen.append(got_at[at])
+        at += got_at[at][1]
+    assert len(seen) == len(got) and [(s[0] is not None, s[0] or 0) for s in seen] == sorted((s[0] is not None, s[0] or 0) for s in seen)
+    by_id = {s[0]: s for s in seen}
+    for _, doc, text in rows:
+        ids = tokens([text])[0]
+        assert by_id[doc][1:] == (len(ids), zlib.crc32(ids.tobytes()))
+    assert plain(token_files.token_files(docs.limit(0), queries.tokenizer_path())) == []
+
+
+def test_packing(spark, docs):
+    got = packing.pack(docs, queries.tokenizer_path(), window=64).collect()
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for r in docs.filter("doc_id is null or doc_id != 5").collect():
+        ids, at = tokens([r.text])[0], 0
+        for p in sorted(by_doc[r.doc_id], key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    lengths = []
+    for _, pieces in itertools.groupby(sorted(got, key=lambda p: (p.sequence_id, p.offset)), key=lambda p: p.sequence_id):
+        at = 0
+        for p in pieces:
+            assert p.offset == at
+            at += p.length
+        lengths.append(at)
+    assert all(n == 64 for n in lengths[:-1]) and 0 < lengths[-1] <= 64
+    assert packing.pack(docs.limit(0), queries.tokenizer_path()).collect() == []
+
+
+def fill(sizes, weights):
+    """Targets by sharing the excess again and again."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, capped, t = 1.5 * sum(sizes.values()), set(), {}
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = total - sum(2 * sizes[s] for s in capped)
+        t |= {s: rest * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if t[s] > 2 * sizes[s] + 1e-9}
+        t |= {s: 2.0 * sizes[s] for s in over}
+        if not over:
+            return t
+        capped |= over
+
+
+def test_mixing(spark, docs):
+    assert mixing.mix(docs).count() == docs.count()
+    docs = docs.filter("doc_id is null or doc_id != 5")
+    got = mixing.mix(docs, block_words=4).collect()
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    size = {(r.doc_id, len(WORD.findall(r.text or ""))) for r in rows}
+    assert {(r.doc_id, r["size"]) for r in got} == size
+    sizes, source = Counter(), {}
+    for r in rows:
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+        source[r.doc_id] = r.source
+    want, taken = fill(sizes, (3, 1, 2)), Counter()
+    for r in got:
+        assert r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(want[source[r.doc_id]])
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[source[r.doc_id]] += r.taken
+    for s, n in taken.items():
+        assert abs(n - want[s]) <= 12 + 0.03 * want[s]
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3), block_words=4).collect()))
+    assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_mixing_slots_are_dealt_once(spark, docs):
+    _, sources, slots = mixing.plan(docs, Stash(spark, "t"), block_words=4)
+    quota = {r.skey: (r.blocks, r.quota) for r in sources.collect()}
+    drawn = Counter((r.skey, r.block) for r in slots.collect())
+    for key, (blocks, n) in quota.items():
+        mine = {b: c for (k, b), c in drawn.items() if k == key}
+        assert sum(mine.values()) == n and all(0 <= b < blocks for b in mine) and (not mine or max(mine.values()) <= -(-n // blocks))
+    assert sum(r.n for r in mixing.shard_counts(slots).collect()) == sum(n for _, n in quota.values())
+
+
+def test_permutation_is_a_bijection(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 5, 64, 1000, 1023):
+        x = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k"))).collect()]
+        assert sorted(x) == list(range(n))
+
+
+def test_mixed_documents(spark, docs):
+    some = docs.filter("doc_id != 5")
+    out = mixing.mixed_documents(some, block_words=4)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    taken = {r.doc_id: r.taken for r in mixing.mix(some, block_words=4).collect()}
+    words = Counter()
+    for r in out.collect():
+        words[r.doc_id] += len(r.text.split(" "))
+        assert r.n_chars == len(r.text)
+    assert {k: v for k, v in taken.items() if v} == dict(words)
+
+
+def brute_links(rows):
+    sets = {}
+    for doc, text in rows:
+        w = WORD.findall("".join(c.lower() if c.isascii() else c for c in (text or "")))
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def near_family(seed, count, words, edits):
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 5000, words)]
+    for _ in range(count):
+        text = list(base)
+        for at in rng.integers(0, words, rng.integers(0, edits + 1)):
+            text[at] = f"e{rng.integers(0, 10**6)}"
+        yield " ".join(text)
+
+
+def test_shingle_join_equals_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.filter("doc_id is not null and doc_id != 5").collect()]
+    texts = [*near_family(1, 30, 200, 6), *near_family(2, 40, 60, 3), *near_family(3, 10, 900, 30), *(sentence(100 + i, 40) for i in range(30))]
+    rows += [(1000 + i, t) for i, t in enumerate(texts)]
+    got = shingle_join.near_documents(documents(spark, [(d, t, None, None) for d, t in rows])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_links(rows) and len(got) == len(rows)
+
+
+def test_shingle_join_edge_cases(spark, docs):
+    got = {r.doc_id: r for r in shingle_join.near_documents(docs).collect()}
+    assert got[None].component_id is None and got[20].n_shingles == got[21].n_shingles == got[22].n_shingles == 0
+    assert got[20].component_id == 20 and got[27].component_id == got[26].component_id == 25
+    assert shingle_join.near_documents(docs.limit(0)).collect() == []
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(0)
+    heavy = (np.sort(rng.integers(0, 1 << 63, 20, dtype=np.uint64)), np.arange(20, dtype=np.uint64))
+    for _ in range(200):
+        n = int(rng.integers(1, 80))
+        common = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), heavy[0][: rng.integers(0, 20)]]))
+        k = len(common)
+        extra = lambda: rng.integers(0, 1 << 63, int(rng.integers(0, k // 3 + 1)), dtype=np.uint64)
+        a, b = np.unique(np.concatenate([common, extra()])), np.unique(np.concatenate([common, extra()]))
+        linked = 100 * k >= 75 * len(np.union1d(a, b))
+        if linked:
+            assert len(np.intersect1d(shingle_join.prefix(a, heavy), shingle_join.prefix(b, heavy)))
+            assert shingle_join.may_link(shingle_join.bitmap(a).tobytes(), shingle_join.bitmap(b).tobytes(), len(a), len(b))
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100)] + [(200, x) for x in range(201, 240)] + [tuple(map(int, rng.integers(300, 400, 2))) for _ in range(40)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    got = {r.node: r.component for r in comp.components(spark.createDataFrame(edges, "u long, v long"), Stash(spark, "t")).collect()}
+    assert got == {x: find(x) for x in root if x not in loops}
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, dim int, rep long, number long, score double"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(*r, -1, -1, -1, 0.0) for r in rows], VECTORS)
+
+
+@pytest.fixture(scope="session")
+def embeddings(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).astype("float32").tolist(), i % 3 if i % 7 else None) for i in range(330)]
+    base = rng.standard_normal(8)
+    rows += [(1000 + i, (base + 0.05 * rng.standard_normal(8)).astype("float32").tolist(), 1) for i in range(60)]
+    rows += [(2000 + i, base.astype("float32").tolist(), 1) for i in range(10)] + [(2100, base.astype("float32").tolist(), 2)]
+    rows += [(3000, None, 1), (3100, [1.0, None] + [0.0] * 6, 1), (3200, [float("nan")] * 8, 1), (3300, [float("inf")] * 8, 1), (3400, [0.0] * 8, 1), (3500, [1.0, 2.0], 1), (3501, [1.0, 2.0], 1), (3600, [], 1), (None, base.astype("float32").tolist(), 1)]
+    return rows
+
+
+def whole(v):
+    return v is not None and all(x is not None and np.isfinite(x) for x in v)
+
+
+def test_topk_equals_brute_force(spark, embeddings, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    rows = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v, _ in embeddings if i is not None and whole(v)]
+    want = []
+    for q, x in rows:
+        if q % 100 == 0:
+            scores = sorted((-int(x @ y), i) for i, y in rows if i != q and len(y) == len(x))[:10]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert sorted(plain(topk.top_k(vectors(spark, embeddings)))) == sorted(want)
+    assert plain(topk.top_k(vectors(spark, embeddings).limit(0))) == []
+
+
+def test_topk_large_components_and_ties(spark):
+    rows = [(i, [1.0, 1.0] if i % 2 else [2e9, 1e6], 0) for i in range(0, 25)] + [(100, [3.0e9, 1.0], 0)]
+    got = sorted(plain(topk.top_k(vectors(spark, rows))))
+    first = [g for g in got if g[0] == 0]
+    assert [g[2] for g in first] == list(range(2, 21, 2)) and {g[3] for g in first} == {(1 << 63) - 1}  # all are held at a long's end, so ids decide
+
+
+def test_near_vectors_equal_brute_force(spark, embeddings):
+    rows = [(i, np.array(v, float), c) for i, v, c in embeddings if i is not None and whole(v) and len(v) and any(v) and c is not None]
+    links, root = Counter(), {i: i for i, _, _ in embeddings if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, x, c), (b, y, d) in itertools.combinations(rows, 2):
+        if c == d and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+            links[a] += 1
+            links[b] += 1
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    got = near_vectors.near_vectors(vectors(spark, embeddings)).collect()
+    assert len(got) == len(embeddings)  # recall is measured as 1: every link of brute force is found
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None} == {i: (links[i], find(i), find(i) == i) for i in root}
+    assert near_vectors.near_vectors(vectors(spark, embeddings).limit(0)).collect() == []
+
+
+def test_multi_sequence_is_in_order():
+    a, b = np.array([0.3, 0.0, 0.7]), np.array([0.2, 0.1, 0.9, 0.4])
+    got = list(near_vectors.multi_sequence(a, b, 0.9))
+    want = sorted(((a[i] + b[j], i, j) for i in range(3) for j in range(4) if a[i] + b[j] <= 0.9))
+    assert [round(a[i] + b[j], 9) for i, j in got] == [round(w[0], 9) for w in want] and set(got) == {w[1:] for w in want}
+
+
+PAGE = """<html class="no-js"><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar"><header><h2>Site name</h2></header>
+<nav><ul><li>Home</li><li>About</li></ul></nav><div class="cookie-notice">We use cookies.</div><aside>Side</aside>
+<article><h1>Title &amp; more</h1><p>First  paragraph
+ with <b>bold</b> and <a href="x">a link</a> in it, and more words to read.<p>Second&nbsp;paragraph: x &lt; y.<br>After break.<div class="ad">Buy now</div><ul><li>item one</li><li>item two</li></ul>
+<form><input value="q"><button>Go</button></form><p>Last.</p></article><section id="comments"><p>Nice post, thank you very much for all of it!</p></section><footer>&copy; me</footer></body></html>"""
+
+
+def test_html_text():
+    assert html_text.main_text(PAGE) == "Title & more First paragraph with bold and a link in it, and more words to read. Second paragraph: x < y. After break. item one item two Last."
+
+
+def test_html_without_article():
+    page = "<body><div class=menu><a href=a>A</a><a href=b>B</a></div><div><p>" + "Long text of the page. " * 8 + "</p><p>Short.</p><p>" + "More text of it. " * 9 + "</p></div><div id=footer>End</div>"
+    text = html_text.main_text(page)
+    assert text.startswith("Long text") and text.endswith("More text of it.") and "Short." in text and "End" not in text
+
+
+def test_html_table(spark):
+    rows = [(1, "u", PAGE, 0), (2, None, None, 0), (3, "u", "", 0), (4, "u", "plain text only", 0), (5, "u", "<p>" * 3000 + "deep", 0), (6, "u", "<b>open <i>never closed <p>x</b> y", 0), (6, "u", "<!-- c --><script>x", 0)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
+    assert len(got) == 7 and all(r.n_chars == len(r.text) for r in got)
+    text = {(r.page_id, r.text) for r in got}
+    assert {(2, ""), (3, ""), (4, "plain text only"), (5, "deep"), (6, "")} <= text
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def junk(i):
+    return sentence(i, 60).upper().replace(" ", "!! ") if i % 2 else " | ".join(sentence(i, 60).split())
+
+
+def test_quality(spark):
+    rows = [(i, sentence(i, 80) if i % 3 else junk(i), "en", "s") for i in range(300)] + [(400, None, None, None), (401, "", None, None), (402, "x" * 200_000, None, None)]
+    d = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0, 1) for i in range(300)] + [(999, 1, 0, 1), (1, None, 0, 1), (None, 1, 0, 1)], "doc_id long, quality int, toxic int, score int")
+    model = quality.train(d, labels)
+    got = quality.score(d.select("doc_id", "text", "score"), model).collect()
+    assert len(got) == 303 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    held = [r for r in got if r.doc_id < 300 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 30 and np.mean([r.predicted == int(r.doc_id % 3 != 0) for r in held]) > 0.95
+    used = {i for i in range(300) if zlib.crc32(str(i).encode()) % 5}
+    assert len(model.labels) == len(used)
+    none = quality.train(d, labels.limit(0))
+    assert {r.score for r in quality.score(d, none).collect()} == {0.5}
+    assert quality.score(d.limit(0), model).collect() == []
+    assert len(quality.train(d, labels, max_labelled=50).labels) == 50
+
+
+SYLLABLES = {"aa": "ka ri to mu ne".split(), "bb": "sch ung lich ter ein".split(), "рр": "при ста ово ние лка".split()}
+
+
+def speech(lang, seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(SYLLABLES[lang], rng.integers(1, 5))) for _ in range(n))
+
+
+def test_language(spark):
+    langs = list(SYLLABLES)
+    rows = [(i, speech(langs[i % 3], i, 40), langs[i % 3], "s") for i in range(240)]
+    rows += [(500, None, "aa", None), (501, "", "aa", None), (502, "12 34 !? ...", "aa", None), (503, speech("aa", 1, 90) + " " + speech("bb", 2, 30), None, None), (504, "a" * 300_000, None, None), (505, "日本", None, None)]
+    d = documents(spark, rows)
+    model = language.train(d)
+    assert model.languages == sorted(langs)
+    got = {r.doc_id: r for r in language.detect(d.select("doc_id", "text", "score"), model).collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i].lang_pred == langs[i % 3] for i in held]) > 0.98
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (500, 501, 502)) and got[505].lang_pred in langs
+    assert [(s.lang, s.words) for s in got[503].spans] == [("aa", 90), ("bb", 30)] and got[503].lang_pred == "aa"
+    none = language.train(d.filter("lang is null"))
+    assert {r.lang_pred for r in language.detect(d, none).collect()} == {"und"}
+    assert language.detect(d.limit(0), model).collect() == []
+
+
+def test_viterbi_equals_plain_recursion(spark):
+    model = language.train(documents(spark, [(i, speech(x, i, 40), x, "s") for i in range(60) for x in [list(SYLLABLES)[i % 3]]]))
+    texts = [speech("aa", 7, 9) + " " + speech("bb", 8, 5) + " 12 " + speech("aa", 9, 6), "", "x"]
+    for text, (path, _) in zip(texts, model.paths(texts), strict=True):
+        e = np.array([model.scores[model.rows[w]] for w in text.split()]).reshape(-1, 3)
+        score = lambda p: sum(e[t, s] for t, s in enumerate(p)) - language.SWITCH * sum(a != b for a, b in itertools.pairwise(p))
+        best, arg = np.zeros(3), []
+        for row in e:
+            step = best[None, :] - language.SWITCH * (1 - np.eye(3))
+            arg.append(step.argmax(1))
+            best = step.max(1) + row
+        assert not len(path) or score(path) == pytest.approx(best.max())
+
+
+def test_license_scan(spark):
+    mit = license_scan.TEMPLATES["mit-text"]
+    words = mit.split()
+    changed = " ".join(words[:40] + ["something", "else"] + words[42:])
+    rows = [(1, sentence(1, 50) + " Licensed under the Apache License, Version 2.0. " + sentence(2, 30)), (2, "RELEASED under the\nMIT license!"), (3, sentence(3, 200) + " " + mit + " " + sentence(4, 30)), (4, sentence(5, 11) + changed), (5, None), (6, ""), (7, sentence(8, 500)), (8, " ".join(words[:20])), (2, "RELEASED under the\nMIT license!")]
+    d = documents(spark, [(a, b, None, None) for a, b in rows])
+    got = {(r.doc_id, r.license): r for r in license_scan.scan(d).collect()}
+    assert set(got) == {(1, "apache-2.0"), (2, "mit"), (3, "mit-text"), (4, "mit-text")}
+    assert got[3, "mit-text"].containment == 1 and 0.75 <= got[4, "mit-text"].containment < 1 and got[1, "apache-2.0"].first_word == 50
+    assert license_scan.scan(d.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        license_scan.scan(d, {"short": "two words"})
+
+
+def test_near_contents_at_production_settings(spark):
+    sf = "/root/testdata/sf0.001"
+    pytest.importorskip("pyarrow")
+    d = queries.table(spark, sf, "documents")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8(spark, sf).collect()}
+    assert got == brute_links([(r.doc_id, r.text) for r in d.collect()])
