@@ -1,6 +1,6 @@
 """The registered queries of the library."""
 
-from . import forecast_queries, mining_queries, series_queries, tracker_queries  # noqa: F401
+from . import feature_queries, forecast_queries, mining_queries, series_queries, tracker_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
