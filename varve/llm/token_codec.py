@@ -6,8 +6,8 @@ import re
 
 import numpy as np
 
-#: Entries that each of a worker's two caches holds at most; beyond it the cache starts anew.
-CACHE_ENTRIES = 400_000
+#: Entries that each of a worker's three caches holds at most; beyond it the cache starts anew.
+CACHE_ENTRIES = 500_000
 
 _BYTE_CHARS: dict[int, int] = {}
 
@@ -27,9 +27,10 @@ class _Cache(dict):
         self.make = make
 
     def __missing__(self, key):
+        out = self.make(key)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        out = self[key] = self.make(key)
+        self[key] = out
         return out
 
 
@@ -43,8 +44,8 @@ class ChunkEncoder:
     """
 
     CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    RUN = re.compile(r"\s\s")
-    ODD = re.compile(r"[\x1c-\x1f]")
+    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    ENDS = frozenset(",.;:!?")
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -53,21 +54,43 @@ class ChunkEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
-        split, table, model = regex.compile(public_tokenizers.PATTERN).findall, byte_alphabet(), self.whole.model
-        ids = lambda piece: np.array([x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(table))], "<u4").tobytes()
+        split, table, tokenize = regex.compile(public_tokenizers.PATTERN).findall, byte_alphabet(), self.whole.model.tokenize
+        coded = [np.array([i], "<u4").tobytes() for i in range(self.whole.get_vocab_size())]
+        space = chr(table[32])
+
+        def ids(piece: str) -> bytes:
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isascii() and word.isalpha():
+                letters = space + word if word is not piece else word
+            else:
+                letters = piece.encode().decode("latin-1").translate(table)
+            return b"".join([coded[x.id] for x in tokenize(letters)])
+
         pieces = _Cache(ids)
-        chunk = lambda c: b"".join([pieces[p] for p in split(c)])
-        self.chunks = _Cache(chunk)
-        self.spaced = _Cache(lambda c: chunk(" " + c))
+
+        def spaced(word: str) -> bytes:  # a word after a space; one piece if it is all letters, two with a sign at its end
+            if word.isalpha():
+                return ids(" " + word)
+            if word[-1:] in self.ENDS and word[:-1].isalpha():
+                return self.spaced[word[:-1]] + pieces[word[-1]]
+            return b"".join([pieces[p] for p in split(" " + word)])
+
+        self.chunks = _Cache(lambda c: b"".join([pieces[p] for p in split(c)]))
+        self.spaced = _Cache(spaced)
 
     def encode(self, text: str) -> bytes:
-        if self.ODD.search(text) or any(x in text for x in self.added):
+        if any(x in text for x in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.RUN.search(text):
-            return b"".join([self.chunks[c] for c in self.CHUNK.findall(text)])
-        first, *rest = text.split(" ")
-        spaced = self.spaced
-        return self.chunks[first] + b"".join([spaced[c] for c in rest])
+        chunks, spaced = self.chunks, self.spaced
+        if " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line ends between words, and nothing else
+            lines = []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                lines.append(chunks[first] + b"".join([spaced[c] for c in rest]))
+            return chunks["\n"].join(lines)
+        if any(x in text for x in self.ODD):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([chunks[c] for c in self.CHUNK.findall(text)])
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -87,7 +110,12 @@ ESCAPE = 0
 BLOCK_IDS = 16_384
 
 
+_SHORT_BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    if len(ids) and ids.max() < len(_SHORT_BITS):
+        return _SHORT_BITS[ids.astype(np.intp)]
     out, rest = np.zeros(len(ids), np.uint8), ids.copy()
     for step in (32, 16, 8, 4, 2, 1):
         big = rest >= np.uint64(1 << step)
