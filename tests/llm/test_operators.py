@@ -254,8 +254,10 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
-    got = {r.node: r.component for r in comp.components(spark.createDataFrame(edges, "u long, v long"), Stash(spark, "t")).collect()}
-    assert got == {x: find(x) for x in root if x not in loops}
+    for at_once in (comp.AT_ONCE, 0):  # in one task, and by star rounds alone
+        got = {r.node: r.component for r in comp.components(spark.createDataFrame(edges, "u long, v long").repartition(5), Stash(spark, "t"), at_once).collect()}
+        assert got == {x: find(x) for x in root if x not in loops}
+    assert comp.components(spark.createDataFrame([], "u long, v long"), Stash(spark, "t")).collect() == []
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, dim int, rep long, number long, score double"
