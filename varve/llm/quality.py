@@ -7,6 +7,7 @@ compared with all of them in blocks by exact cosine, and its nearest NEIGHBOURS
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,8 +21,8 @@ from .shared import bounded_batches, slices
 
 MAX_LABELLED = 4000
 RANK = 64
-NEIGHBOURS = 25
-SHARPNESS = 8
+NEIGHBOURS = 9
+SHARPNESS = 40
 THRESHOLD = 0.3
 WORDS, SHAPES, STATS = 1024, 768, 256
 #: Length of the vector's three parts before the reduction: words, word shapes, whole-text measures.
@@ -58,7 +59,8 @@ def _stats(text: str, words: list[str]) -> list[int]:
     signs = sum(1 for w in words if not w[-1].isalnum() and w[-1] not in ".,;:!?\"')")
     bare = sum(1 for w in words if not any(c.isalnum() for c in w[:3]))
     digits = sum(1 for w in words if w[0].isdigit())
-    shares = (len(set(words)) / n if n >= 20 else 1.0, upper / n, signs / n, bare / n, digits / n, len(set(lines)) / len(lines), len(words) / chars * 4, sum(1 for w in words if w[-1] in "!?") / n)
+    again = sum(a == b for a, b in itertools.pairwise(words))
+    shares = (len(set(words)) / n if n >= 20 else 1.0, upper / n, signs / n, bare / n, digits / n, len(set(lines)) / len(lines), len(words) / chars * 4, sum(1 for w in words if w[-1] in "!?") / n, again / n)
     steps = [min(15, int(16 * s)) for s in shares] + [min(15, n.bit_length())]
     return [WORDS + SHAPES + 16 * i + s for i, s in enumerate(steps)]
 
