@@ -64,13 +64,19 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple
                 heapq.heappush(heap, (float(a[ia[x]] + b[ib[y]]), x, y))
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; by their largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut = (x.shape[1] + 1) // 2
     return x[:, :cut], x[:, cut:]
 
 
 def _index(books: dict[int, tuple[np.ndarray, np.ndarray]], limit: float):
-    """Rows label, dim, rep, mult, vector -> those with cell, and on the side the cells visited, as one row per batch and pair of cells."""
+    """Adds to rows label, rep, mult, vector, dim each vector's cell and the cells that it visits; vectors are scaled to length 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,12 +84,16 @@ def _index(books: dict[int, tuple[np.ndarray, np.ndarray]], limit: float):
             cells, visits = [0] * len(vectors), [[]] * len(vectors)
             for dim in {len(v) for v in vectors}:
                 at = [i for i, v in enumerate(vectors) if len(v) == dim]
-                (own_a, low_a), (own_b, low_b) = (cell_bounds(h, c) for h, c in zip(_halves(np.array([vectors[i] for i in at])), books[dim], strict=True))
+                scaled = unit_rows(np.array([vectors[i] for i in at]))
+                for i, row in zip(at, scaled, strict=True):
+                    vectors[i] = row
+                (own_a, low_a), (own_b, low_b) = (cell_bounds(h, c) for h, c in zip(_halves(scaled), books[dim], strict=True))
                 wide = len(books[dim][1])
                 for n, i in enumerate(at):
                     cells[i] = int(own_a[n]) * wide + int(own_b[n])
                     visits[i] = [a * wide + b for a, b in multi_sequence(low_a[n], low_b[n], limit)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "cell", "visits"])
+            unit = pa.array(vectors, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], unit, *batch.columns[4:], pa.array(cells, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "cell", "visits"])
 
     return run
 
@@ -146,16 +156,14 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
     largest = F.array_max(F.transform("embedding", F.abs))
     usable = finite("embedding") & (F.size("embedding") > 0) & (largest > 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    scaled = F.transform("embedding", lambda v: v / largest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v))
     good = rows.filter("usable").select("vec_id", "label", F.size("embedding").alias("dim"), "embedding")
     distinct = stash.put(good.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
-    unit = distinct.select("label", "rep", "mult", F.transform(scaled, lambda v: v / norm).alias("vector"), "dim")
+    unit = distinct.select("label", "rep", "mult", F.col("embedding").alias("vector"), "dim")
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for shape in distinct.groupBy("dim").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect():
         sample = unit.filter(F.col("dim") == shape.dim).orderBy(F.xxhash64("rep", "label"), "rep").limit(SAMPLE).select("vector").collect()
         codes = int(min(MAX_CODES, max(2, np.sqrt(shape.n / shape.labels / CELL))))
-        points = np.array([r.vector for r in sample])
+        points = unit_rows(np.array([r.vector for r in sample]))
         books[shape.dim] = tuple(fit_codebook(h, codes) for h in _halves(points)) if shape.dim > 1 else (fit_codebook(points, codes), np.zeros((1, 0)))
     limit = 2 - 2 * min_cosine + 1e-9
     schema = "label int, rep long, mult long, vector array<double>, dim int, cell int, visits array<int>"
