@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of documents on word shingles: size-banded tiles, bitmap bounds, sorted-array intersection.
 
-1. heavy: the most frequent shingles of all documents (at most HEAVY of them) put last in one global order of shingles.
+1. heavy: the most frequent shingles of all documents (about HEAVY of them at most, 16 bytes each) put last in one global order of shingles.
 2. sketch: per document the set's size, digest, parity bitmap, min-hash keys and its prefix in that order; equal sets become one.
-3. stars: sets that share a min-hash key are tied to the key's leaders where the bitmap bound allows a link.
+3. stars: sets that share a min-hash key are tied to the key's leaders where the bitmap bound allows a link. Each key has
+   leaders of its own, so a set in a loose group is held against many members.
 4. tiles: two linked sets share a prefix shingle. Per shingle, sets of different ties within each other's size band form pairs;
    pairs that the bitmap bound allows are tied too. So every link lies within one tie.
 5. links: each tie's texts meet in tiles of blocks; the bitmap bound and then the intersection of sorted arrays decide; sets already
@@ -24,10 +25,11 @@ from .shared import Stash, bounded_batches, slices
 SHINGLE = 5
 #: A link: NUMERATOR * union <= DENOMINATOR * intersection, that is, similarity of at least 0.75.
 NUMERATOR, DENOMINATOR = 75, 100
-HEAVY = 65_536
-BANDS, ROWS, LEADERS = 8, 2, 2
+HEAVY = 1 << 20
+BANDS, ROWS, LEADERS = 8, 2, 3
 BLOCK = 1024
-CHUNK = 2000
+CHUNK = 8000
+TILE, FOLD = 256, 1_000_000
 CACHE_WORDS = 500_000
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -71,8 +73,8 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each of 2^k bits, at least 4 bits per element and 256 in all; as 64-bit words."""
-    bits = max(256, 1 << (4 * max(1, len(s)) - 1).bit_length())
+    """Parity of the elements in each of 2^k bits, at least 2 bits per element and 256 in all; as 64-bit words."""
+    bits = max(256, 1 << (2 * max(1, len(s)) - 1).bit_length())
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
@@ -93,7 +95,7 @@ def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
 
 def _heavy_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
-    on = counts >= max(3, len(sets) // 500)
+    on = counts >= 2
     return values[on], counts[on]
 
 
@@ -114,12 +116,16 @@ def _count_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand out in some chunk of the documents, sorted, and their ranks from rare to frequent; the HEAVY most frequent at most."""
-    found = docs.select("text").filter("text is not null").mapInArrow(_count_heavy, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).collect()
-    tokens = np.array([r.token for r in found], np.int64).view(np.uint64)
+def heavy_shingles(docs: DataFrame, stash: Stash) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand out in some chunk of the documents, sorted, and their ranks from rare to frequent; about the HEAVY most frequent at most."""
+    found = stash.put(docs.select("text").filter("text is not null").mapInArrow(_count_heavy, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    rows = found.count()
+    if rows > HEAVY:  # any order of shingles gives the same links, so the cut may be approximate
+        found = found.filter(F.col("n") > found.approxQuantile("n", [1 - HEAVY / rows], 0.001)[0])
+    table = found.orderBy("n", "token").toArrow()
+    tokens = np.asarray(table.column("token").to_numpy(), np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], (len(tokens) - np.arange(len(tokens), dtype=np.uint64))[order]
+    return tokens[order], np.arange(1, len(tokens) + 1, dtype=np.uint64)[order]
 
 
 def prefix(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -191,7 +197,7 @@ def _deal(buckets: int):
 
         for batch in batches:
             held += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            if len(held) >= 4 * CHUNK:
+            if len(held) >= CHUNK // 4:
                 yield told()
         if held:
             yield told()
@@ -206,21 +212,26 @@ def _tile(table: pa.Table) -> pa.Table:
     tok, rep, n, comp = tok[order], rep[order], n[order], comp[order]
     starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     ends = np.r_[starts[1:], len(tok)]
-    mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-    out: list[np.ndarray] = []
+    mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts) if len(tok) else np.zeros(0, bool)
+    reps, local = np.unique(rep, return_inverse=True)
+    found, fresh, size = np.zeros(0, np.int64), [], 0  # pairs as one number each, made distinct whenever FOLD of them are held
+
     for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
         sizes = n[a:b]
         reach = np.searchsorted(sizes, sizes * DENOMINATOR // NUMERATOR, "right")  # sorted by size: a set's band ends there
         count = reach - np.arange(1, b - a + 1)
-        for at in range(0, b - a, BLOCK):
-            c = count[at : at + BLOCK]
+        for at in range(0, b - a, TILE):
+            c = count[at : at + TILE]
             left = np.repeat(np.arange(at, at + len(c)), c)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
             on = comp[a + left] != comp[a + right]
-            x, y = rep[a + left[on]], rep[a + right[on]]
-            out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+            x, y = local[a + left[on]], local[a + right[on]]
+            fresh.append(np.minimum(x, y) * len(reps) + np.maximum(x, y))
+            size += len(x)
+            if size >= FOLD:
+                found, fresh, size = np.unique(np.concatenate([found, *fresh])), [], 0
+    found = np.unique(np.concatenate([found, *fresh]))
+    return pa.table({"u": pa.array(reps[found // max(1, len(reps))]), "v": pa.array(reps[found % max(1, len(reps))])})
 
 
 def _links(table: pa.Table) -> pa.Table:
@@ -267,15 +278,16 @@ def near_documents(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     stash = Stash(spark, "shingles")
     docs = docs.select("doc_id", "text")
-    heavy = spark.sparkContext.broadcast(heavy_shingles(docs))
+    heavy = spark.sparkContext.broadcast(heavy_shingles(docs, stash))
     sketch = stash.put(docs.mapInArrow(_sketch(heavy), "doc_id long, n int, h1 long, h2 long, bitmap binary, bands array<long>, tokens binary"))
     full = sketch.filter("n > 0 and doc_id is not null")
     equal = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = stash.put(full.join(equal.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"]).withColumnRenamed("doc_id", "rep"))
 
     keys = reps.select("rep", "n", F.explode("bands").alias("key"))
-    leaders = keys.groupBy("key").agg(F.count("*").alias("c"), *(F.min(F.struct(F.xxhash64("rep", F.lit(i)), F.col("rep").alias("v"), F.col("n").alias("m"))).alias(f"l{i}") for i in range(LEADERS))).filter("c > 1")
-    stars = keys.join(leaders, "key").select("rep", "n", F.explode(F.array(*(F.struct(F.col(f"l{i}.v"), F.col(f"l{i}.m")) for i in range(LEADERS)))).alias("l")).select(F.least("rep", "l.v").alias("u"), F.greatest("rep", "l.v").alias("v"), "n", "l.m")
+    chosen = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(i)), F.col("rep").alias("v"), F.col("n").alias("m"))).alias(f"l{i}") for i in range(LEADERS)]
+    leaders = keys.groupBy("key").agg(F.count("*").alias("c"), *chosen).filter("c > 1").select("key", F.explode(F.array_distinct(F.array(*(F.struct(f"l{i}.v", f"l{i}.m") for i in range(LEADERS))))).alias("l"))
+    stars = keys.join(leaders, "key").select(F.least("rep", "l.v").alias("u"), F.greatest("rep", "l.v").alias("v"), "n", "l.m")
     stars = stars.filter(f"u != v and least(n, m) * {DENOMINATOR} >= greatest(n, m) * {NUMERATOR}").select("u", "v").distinct()
     ties = stash.put(components(bounded_pairs(stars, reps), stash))
 
