@@ -28,7 +28,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 HEAVY = 1 << 20
 BANDS, ROWS, LEADERS = 8, 2, 3
 BLOCK = 1024
-CHUNK = 8000
+CHUNK, CHUNK_SHINGLES = 8000, 8_000_000  # documents, and shingles, that a task holds at once at most
 TILE, FOLD = 256, 1_000_000
 CACHE_WORDS = 500_000
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,16 +101,20 @@ def _heavy_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets: list[np.ndarray] = []
+    size = 0
 
     def told() -> pa.RecordBatch:
+        nonlocal size
         values, counts = _heavy_of(sets)
         sets.clear()
+        size = 0
         return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["token", "n"])
 
     for batch in batches:
         for x in batch.column(0):
             sets.append(shingle_set(x.as_py()))
-            if len(sets) == CHUNK:
+            size += len(sets[-1])
+            if len(sets) == CHUNK or size >= CHUNK_SHINGLES:
                 yield told()
     if sets:
         yield told()
@@ -195,10 +199,14 @@ def _deal(buckets: int):
             at = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array([c[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary()) for c in columns)], ["bucket", "tok", "rep", "n", "comp"])
 
+        size = 0
         for batch in batches:
-            held += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            if len(held) >= CHUNK // 4:
-                yield told()
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                held.append(row)
+                size += len(row[3]) // 8
+                if size >= CHUNK_SHINGLES // 8:
+                    yield told()
+                    size = 0
         if held:
             yield told()
 
