@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tracker as T
-from .registry import query, rounded
+from .registry import ORACLES, query, rounded
 
 VIEWS = """WITH experiments AS (SELECT n_nationkey::BIGINT AS experiment_id, n_name AS name FROM nation),
 runs AS (SELECT 'r' || o_orderkey AS run_id, o_custkey % 25 AS experiment_id, 'Run ' || o_orderpriority AS name, CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status, o_orderdate AS start_time,
@@ -30,8 +30,17 @@ def metrics(t):
 
 
 def params(t):
+    """Those of every tenth supplier's line items, as the view in VIEWS has them; params_all has every line item's."""
+    return _params(t.lineitem.filter(F.col("l_suppkey") % 10 == 0))
+
+
+def params_all(t):
+    return _params(t.lineitem)
+
+
+def _params(lines):
     value = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise((F.col("l_partkey") % 7).cast("string"))
-    return t.lineitem.filter(F.col("l_suppkey") % 10 == 0).select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("key"), value.alias("value")).distinct()
+    return lines.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("key"), value.alias("value")).distinct()
 
 
 @query("tracker_filter_runs", VIEWS + " SELECT run_id, experiment_id, status FROM runs WHERE experiment_id = 3 AND status = 'FINISHED' AND start_time >= '1996-01-01' AND (name ILIKE '%HIGH%' OR run_id ILIKE '%HIGH%')")
@@ -62,7 +71,7 @@ def metric_catalog(t):
 
 
 @query("tracker_param_catalog", VIEWS + " SELECT key, count(DISTINCT run_id) AS runs, count(try_cast(value AS DOUBLE)) AS numeric, count(DISTINCT value) AS different, min(try_cast(value AS DOUBLE)) AS low, max(try_cast(value AS DOUBLE)) AS high, round(avg(try_cast(value AS DOUBLE)), 6) AS mean FROM params GROUP BY key")
-def param_catalog(t):
+def param_catalog(t, params=params):
     return rounded(T.param_catalog(params(t)))
 
 
@@ -112,7 +121,7 @@ def compare(t):
 u AS (SELECT run_id, key, value FROM (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY value) AS r FROM params) WHERE r = 1),
 n AS (SELECT run_id, key, 'new' AS value FROM u WHERE key = 'p1')
 SELECT value, count(*) AS n FROM (SELECT * FROM u WHERE key <> 'p1' UNION ALL SELECT * FROM n) GROUP BY value""")
-def upsert(t):
+def upsert(t, params=params):
     u = params(t).groupBy("run_id", "key").agg(F.min("value").alias("value"))
     return T.upsert(u, u.filter("key = 'p1'").withColumn("value", F.lit("new")), ["run_id", "key"]).groupBy("value").agg(F.count("*").alias("n"))
 
@@ -128,7 +137,7 @@ def cascade(t):
 
 
 @query("tracker_run_maps", VIEWS + ", u AS (SELECT run_id, key, min(value) AS value FROM params GROUP BY ALL) SELECT run_id, count(*) AS n, string_agg(key || '=' || value, ',' ORDER BY key) AS params FROM u GROUP BY run_id")
-def maps(t):
+def maps(t, params=params):
     m = T.run_maps(params(t).groupBy("run_id", "key").agg(F.min("value").alias("value")))
     text = F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return m.select("run_id", F.size("params").cast("long").alias("n"), text.alias("params"))
@@ -137,3 +146,8 @@ def maps(t):
 @query("tracker_config_hash", "SELECT p_partkey, md5('{\"p_brand\":\"' || p_brand || '\",\"p_size\":' || p_size || '}') AS hash FROM part")
 def config_hash(t):
     return t.part.select("p_partkey", F.md5(T.config_key(["p_size", "p_brand"])).alias("hash"))
+
+
+#: The same three over the params of all line items.
+for _name, _f in (("tracker_param_catalog", param_catalog), ("tracker_upsert_params", upsert), ("tracker_run_maps", maps)):
+    query(f"{_name}_all", ORACLES[_name].replace(" WHERE l_suppkey % 10 = 0)", ")"))(lambda t, f=_f: f(t, params_all))
