@@ -1,5 +1,7 @@
 """Queries that cover every row of their tables."""
 
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from varve.plans import ORACLES, QUERIES
@@ -15,3 +17,40 @@ def test_params_of_every_line_item(spark):
     seen = {r.key: r.runs for r in QUERIES["tracker_param_catalog_all"](spark, SF).collect()}
     assert seen == {f"p{r.l_linenumber}": r.n for r in lines.groupBy("l_linenumber").agg(F.countDistinct("l_orderkey").alias("n")).collect()}
     assert not any("% 10 = 0" in ORACLES[f"tracker_{q}_all"] for q in ("param_catalog", "upsert_params", "run_maps"))
+
+
+def real_edges(spark):
+    orders = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    lines = [(r.l_orderkey, r.l_partkey) for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()]
+    out = {(3 * c, 3 * o + 1) for o, c in orders.items()} | {(3 * o + 1, 3 * p + 2) for o, p in lines} | {(3 * orders[o], 3 * p + 2) for o, p in lines if o in orders}
+    return {(min(e), max(e)) for e in out}
+
+
+def test_graph_of_all_orders_and_line_items(spark):
+    near = defaultdict(set)
+    for a, b in real_edges(spark):
+        near[a].add(b)
+        near[b].add(a)
+    assert {r.node: r.degree for r in QUERIES["graph_degrees_all"](spark, SF).collect()} == {k: len(v) for k, v in near.items()}
+    closed = {k: sum(len(v & near[x]) for x in v) // 2 for k, v in near.items()}
+    assert sum(closed.values()) > 0 and {r.node: r.triangles for r in QUERIES["graph_clustering_all"](spark, SF).collect()} == closed
+    sent = {k: float(sum(x % 10 for x in v if x < k)) for k, v in near.items()}
+    assert {r.node: r.message for r in QUERIES["graph_message_passing_all"](spark, SF).collect()} == sent
+    weights = {(a, b): round(((len(near[a]) + 1) * (len(near[b]) + 1)) ** -0.5, 6) for a in near for b in near[a] | {a}}
+    got = {(r.src, r.dst): r.weight for r in QUERIES["graph_gcn_weights_all"](spark, SF).collect()}
+    assert got.keys() == weights.keys() and all(abs(got[k] - w) < 2e-6 for k, w in weights.items())
+
+
+def test_page_rank_of_all_orders_and_line_items(spark):
+    edges = real_edges(spark)
+    out = defaultdict(int)
+    for a, _ in edges:
+        out[a] += 1
+    rank = {x: 1.0 for e in edges for x in e}
+    for _ in range(5):
+        new = dict.fromkeys(rank, 0.15)
+        for a, b in edges:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    got = {r.node: r.rank for r in QUERIES["graph_page_rank"](spark, SF).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[k] - v) < 2e-6 for k, v in rank.items())

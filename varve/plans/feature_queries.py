@@ -8,7 +8,7 @@ from ..operators import encode as E
 from ..operators import features as X
 from ..operators import graph as G
 from ..operators import mining as M
-from .registry import query, rounded
+from .registry import ORACLES, query, rounded
 
 
 @query("encode_top_k", """
@@ -241,6 +241,7 @@ EDGES = "WITH e AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FR
 
 
 def edges(t):
+    """Two fifths of the orders, on at most 511 nodes, as EDGES has them; edges_all has every row and key."""
     o = t.orders
     a = o.filter("o_orderkey % 4 = 0").select((F.col("o_custkey") % 300).alias("src"), (F.col("o_orderkey") % 211 + 300).alias("dst"))
     b = o.filter("o_orderkey % 5 = 0").select((F.col("o_custkey") % 300).alias("src"), ((F.col("o_orderkey") * 7) % 300).alias("dst"))
@@ -248,7 +249,7 @@ def edges(t):
 
 
 @query("graph_degrees", EDGES + " SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node")
-def degrees(t):
+def degrees(t, edges=edges):
     return G.degrees(edges(t))
 
 
@@ -256,12 +257,12 @@ def degrees(t):
 b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), d AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY src),
 t AS (SELECT x.src AS node, count(*) AS triangles FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN e ON e.src = x.dst AND e.dst = y.dst GROUP BY x.src)
 SELECT node, degree, coalesce(triangles, 0) AS triangles, round(coalesce(2 * coalesce(triangles, 0) / nullif(degree * (degree - 1), 0), 0), 6) AS clustering FROM d LEFT JOIN t USING (node)""")
-def clustering(t):
+def clustering(t, edges=edges):
     return rounded(G.clustering(edges(t)))
 
 
 @query("graph_message_passing", EDGES + ", n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT n.node, coalesce(sum(e.src % 10)::DOUBLE, 0) AS message FROM n LEFT JOIN e ON e.dst = n.node GROUP BY n.node")
-def messages(t):
+def messages(t, edges=edges):
     e = edges(t)
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("v", (F.col("node") % 10).cast("double"))
     return G.message_passing(e, nodes, "v")
@@ -270,13 +271,32 @@ def messages(t):
 @query("graph_gcn_weights", EDGES + """,
 b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), s AS (SELECT src, dst FROM b UNION ALL SELECT DISTINCT src, src FROM b), d AS (SELECT src AS node, count(*) AS d FROM s GROUP BY src)
 SELECT s.src, s.dst, round(1 / sqrt(x.d * y.d), 6) AS weight FROM s JOIN d x ON x.node = s.src JOIN d y ON y.node = s.dst""")
-def gcn(t):
+def gcn(t, edges=edges):
     return rounded(G.gcn_weights(edges(t)))
 
 
+#: Customer, order and part keys as nodes 3 key, 3 key + 1 and 3 key + 2, of every order and line item.
+EDGES_ALL = """WITH l AS (SELECT o_custkey * 3 AS c, o_orderkey * 3 + 1 AS o, l_partkey * 3 + 2 AS p FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT NULL, l_orderkey * 3 + 1, l_partkey * 3 + 2 FROM lineitem),
+e AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT c AS a, o AS b FROM l UNION ALL SELECT o, p FROM l UNION ALL SELECT c, p FROM l) WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
+
+def edges_all(t):
+    """Customer and order, order and part, customer and part of all rows, on their real keys; each line item closes a triangle."""
+    c, o, p = F.col("o_custkey") * 3, F.col("o_orderkey") * 3 + 1, F.col("l_partkey") * 3 + 2
+    orders, lines = t.orders, t.lineitem.select("l_orderkey", "l_partkey")
+    own = orders.select(c.alias("src"), o.alias("dst"))
+    holds = lines.select((F.col("l_orderkey") * 3 + 1).alias("src"), p.alias("dst"))
+    buys = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(c.alias("src"), p.alias("dst"))
+    return G.undirected(own.unionByName(holds).unionByName(buys))
+
+
+for _name, _f in (("graph_degrees", degrees), ("graph_clustering", clustering), ("graph_message_passing", messages), ("graph_gcn_weights", gcn)):
+    query(f"{_name}_all", ORACLES[_name].replace(EDGES, EDGES_ALL))(lambda t, f=_f: f(t, edges_all))
+
+
 @query("graph_page_rank")
 def page_rank(t):
-    return rounded(G.page_rank(edges(t), 5))
+    return rounded(G.page_rank(edges_all(t), 5))
 
 
 CORR = "coalesce(covar_pop({0}, {1}) / nullif(stddev_pop({0}) * stddev_pop({1}), 0), 0)"
