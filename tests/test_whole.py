@@ -2,8 +2,10 @@
 
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from varve.operators import signal
 from varve.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +56,29 @@ def test_page_rank_of_all_orders_and_line_items(spark):
         rank = new
     got = {r.node: r.rank for r in QUERIES["graph_page_rank"](spark, SF).collect()}
     assert got.keys() == rank.keys() and all(abs(got[k] - v) < 2e-6 for k, v in rank.items())
+
+
+def test_arima_has_moving_average_and_seasonal_terms():
+    e = np.random.default_rng(1).normal(size=4001)
+    ma = e[1:] + 0.8 * e[:-1]
+    assert abs(signal.arima_css(ma, 0, 0, 1, q=1)[0] - 0.8 * e[-1]) < 0.1
+    assert np.allclose(signal.arima_css(ma, 0, 0, 4, q=1)[1:], 0, atol=0.1)
+    far = np.convolve(e, np.r_[1, np.zeros(6), 0.7])[: len(e)]
+    assert np.allclose(signal.arima_css(far, 0, 0, 7, seasonal=(0, 0, 1, 7)), 0.7 * e[-7:], atol=0.15)
+    season = np.tile([0.0, 5, 1, 7, 2, 9, 4], 30) + 0.01 * e[:210]
+    assert np.allclose(signal.arima_css(season, 0, 0, 7, seasonal=(0, 1, 0, 7)), [0, 5, 1, 7, 2, 9, 4], atol=0.1)
+    y = np.zeros(len(e))
+    for t in range(8, len(e)):
+        y[t] = 0.5 * y[t - 1] + 0.6 * y[t - 7] - 0.3 * y[t - 8] + e[t]
+    want = 0.5 * y[-1] + 0.6 * y[-7] - 0.3 * y[-8]
+    assert abs(signal.arima_css(y, 1, 0, 1, seasonal=(1, 0, 0, 7))[0] - want) < 0.2
+
+
+def test_arima_orders_by_aicc():
+    e = np.random.default_rng(2).normal(size=3001)
+    p, d, q, P, Q = signal.auto_arima(np.cumsum(e[1:] + 0.8 * e[:-1]), 3)[1]
+    assert d == 1 and q >= 1 and (P, Q) == (0, 0)
+    far = np.convolve(e, np.r_[1, np.zeros(6), 0.7])[: len(e)]
+    assert signal.auto_arima(far, 3, 7)[1][3:] != (0, 0)
+    for n in range(1, 60):
+        assert np.isfinite(signal.auto_arima(e[:n], 3, 7)[0]).all() and np.isfinite(signal.auto_arima(np.arange(n) * 1.0, 3, 7)[0]).all()

@@ -338,27 +338,167 @@ def adf(x: np.ndarray, lags: int = 1) -> float:
     return float(b[1] / math.sqrt(var)) if var > 0 else 0.0
 
 
-def arima_css(x: np.ndarray, p: int = 2, d: int = 1, horizon: int = 5) -> np.ndarray:
-    """Autoregression on the d-times differenced series by least squares, forecast and integrated back."""
-    levels, w = [], x.astype(float)
-    for _ in range(d):
-        levels.append(w[-1])
-        w = np.diff(w)
-    if len(w) <= 2 * p + 1:
-        return np.full(horizon, x[-1])
-    z = np.column_stack([np.ones(len(w) - p), *(w[p - k - 1 : len(w) - k - 1] for k in range(p))])
-    b, *_ = np.linalg.lstsq(z, w[p:], rcond=None)
-    past = list(w[::-1][:p])
-    out = []
-    for _ in range(horizon):
-        out.append(float(b[0] + b[1:] @ np.array(past)))
-        past = [out[-1], *past[:-1]]
-    out = np.array(out)
-    for level in reversed(levels):
-        out = level + np.cumsum(out)
+def _lags(near: np.ndarray, far: np.ndarray, s: int, sign: float) -> np.ndarray:
+    """Coefficients of lags 1, 2, ... of (1 + sign near B ...)(1 + sign far B^s ...), signed as near and far are."""
+    seasonal = np.zeros(len(far) * s + 1)
+    seasonal[0] = 1
+    seasonal[s::s] = sign * far
+    return sign * np.convolve(np.r_[1, sign * near], seasonal)[1:]
+
+
+def _outside(lags: np.ndarray, sign: float) -> bool:
+    """Whether all roots of 1 + sign lags B ... are outside the unit circle."""
+    return not lags.any() or bool(np.abs(np.roots(np.r_[1, sign * lags])).max() < 0.999)
+
+
+class _Arma:
+    """c, AR, MA, seasonal AR and seasonal MA coefficients in one vector, fitted by Hannan-Rissanen, then by conditional sums of squares."""
+
+    def __init__(self, w: np.ndarray, p: int, q: int, P: int = 0, Q: int = 0, s: int = 1):
+        self.w, self.cuts, self.s = w, np.cumsum([1, p, q, P]), s
+        self.skip, self.size = p + s * P, 1 + p + q + P + Q
+        self.ar = [*range(1, p + 1), *range(s, s * P + 1, s)]
+        self.ma = [*range(1, q + 1), *range(s, s * Q + 1, s)]
+        self.order = (p, q, P, Q)
+
+    def polynomials(self, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        c, ar, ma, far, fma = np.split(b, self.cuts)
+        return float(c[0]), _lags(ar, far, self.s, -1), _lags(ma, fma, self.s, 1)
+
+    def residuals(self, b: np.ndarray) -> np.ndarray:
+        c, ar, ma = self.polynomials(b)
+        u = self.w[self.skip :] - c
+        for k in np.flatnonzero(ar):
+            u = u - ar[k] * self.w[self.skip - k - 1 : len(self.w) - k - 1]
+        if not ma.any():
+            return u
+        lagged, e = [(int(k) + 1, float(ma[k])) for k in np.flatnonzero(ma)], []
+        for t, v in enumerate(u.tolist()):
+            for k, m in lagged:
+                if k <= t:
+                    v -= m * e[t - k]
+            e.append(v)
+        return np.array(e)
+
+    def start(self, noise: np.ndarray, first: int) -> tuple[np.ndarray, float]:
+        """Hannan-Rissanen: coefficients on lagged values and lagged residuals of a long autoregression, and the AICc over the rows from first."""
+        n = len(self.w)
+        z = np.column_stack([np.ones(n - first), *(self.w[first - k : n - k] for k in self.ar), *(noise[first - k : n - k] for k in self.ma)])
+        b, *_ = np.linalg.lstsq(z, self.w[first:], rcond=None)
+        sse, m, k = float(((self.w[first:] - z @ b) ** 2).sum()), n - first, self.size + 1
+        p, q, P, _ = self.order
+        b = np.r_[b[: 1 + p], b[1 + p + P : 1 + p + P + q], b[1 + p : 1 + p + P], b[1 + p + P + q :]]
+        return b, m * math.log(max(sse / m, 1e-300)) + 2 * k + 2 * k * (k + 1) / (m - k - 1) if m > k + 1 else math.inf
+
+    def fit(self, b: np.ndarray, rounds: int = 30) -> np.ndarray:
+        """Gauss-Newton on the conditional sum of squares, within the stationary and invertible coefficients."""
+        p, q, P, Q = self.order
+        if not q + P + Q:
+            z = np.column_stack([np.ones(len(self.w) - p), *(self.w[p - k : len(self.w) - k] for k in self.ar)])
+            return np.linalg.lstsq(z, self.w[p:], rcond=None)[0]
+
+        def allowed(b: np.ndarray) -> bool:
+            _, ar, ma = self.polynomials(b)
+            return _outside(ar, -1) and _outside(ma, 1)
+
+        for _ in range(60):
+            if allowed(b):
+                break
+            b = np.r_[b[0], 0.8 * b[1:]]
+        e = self.residuals(b)
+        for _ in range(rounds):
+            h = 1e-5 * np.maximum(1, np.abs(b))
+            j = np.column_stack([(self.residuals(b + d) - e) / h[i] for i, d in enumerate(np.diag(h))])
+            step = np.linalg.lstsq(j, -e, rcond=None)[0]
+            for half in 0.5 ** np.arange(12):
+                if allowed(b + half * step) and (f := self.residuals(b + half * step)) @ f < e @ e:
+                    break
+            else:
+                break
+            done = e @ e - f @ f <= 1e-9 * (e @ e)
+            b, e = b + half * step, f
+            if done:
+                break
+        return b
+
+    def forecast(self, b: np.ndarray, horizon: int) -> np.ndarray:
+        c, ar, ma = self.polynomials(b)
+        w, e = list(self.w), [0.0] * self.skip + list(self.residuals(b))
+        for _ in range(horizon):
+            w.append(c + sum(a * w[-k - 1] for k, a in enumerate(ar)) + sum(m * e[-k - 1] for k, m in enumerate(ma) if k < len(e)))
+            e.append(0.0)
+        return np.array(w[len(self.w) :])
+
+
+def _long_residuals(w: np.ndarray, lags: int) -> np.ndarray:
+    z = np.column_stack([np.ones(len(w) - lags), *(w[lags - k : len(w) - k] for k in range(1, lags + 1))])
+    b, *_ = np.linalg.lstsq(z, w[lags:], rcond=None)
+    return np.r_[np.zeros(lags), w[lags:] - z @ b]
+
+
+def _differenced(x: np.ndarray, d: int, D: int, s: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Seasonal, then plain differences, and what puts forecasts back: the lag and the last values before each."""
+    kept, w = [], x.astype(float)
+    for lag in [s] * D + [1] * d:
+        kept.append((lag, w[-lag:]))
+        w = w[lag:] - w[:-lag]
+    return w, kept
+
+
+def _integrated(out: np.ndarray, kept: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    for lag, last in reversed(kept):
+        level = list(last)
+        for v in out:
+            level.append(v + level[-lag])
+        out = np.array(level[lag:])
     return out
 
 
+def arima_css(x: np.ndarray, p: int = 2, d: int = 1, horizon: int = 5, q: int = 0, seasonal: tuple[int, int, int, int] = (0, 0, 0, 1)) -> np.ndarray:
+    """Forecasts of a seasonal ARIMA (p, d, q)(P, D, Q, s) with a constant, by Hannan-Rissanen and conditional sums of squares; the last value where the series is too short."""
+    P, D, Q, s = seasonal
+    if len(x) <= d + D * s:
+        return np.full(horizon, float(x[-1]))
+    w, kept = _differenced(x, d, D, s)
+    m = _Arma(w, p, q, P, Q, s)
+    long = max(p + q, min(len(w) // 4, 10)) if m.ma else 0
+    first = max(m.skip, long + max(m.ma, default=0))
+    if len(w) - first <= m.size or len(w) <= 2 * p + 1:
+        return np.full(horizon, float(x[-1]))
+    b, _ = m.start(_long_residuals(w, long) if m.ma else w, first)
+    return _integrated(m.forecast(m.fit(b), horizon), kept)
+
+
+def auto_arima(x: np.ndarray, horizon: int = 5, s: int = 1, most: int = 3) -> tuple[np.ndarray, tuple[int, ...]]:
+    """Forecasts and (p, d, q, P, Q): d up to 2 while KPSS exceeds 0.463, the other orders stepwise by AICc of the Hannan-Rissanen regressions."""
+    d = 0
+    while d < 2 and len(x) > d + 12 and kpss(np.diff(x, d)) > 0.463:
+        d += 1
+    if len(x) <= d + 12:
+        return arima_css(x, 0, min(d, max(0, len(x) - 1)), horizon), (0, d, 0, 0, 0)
+    w, _ = _differenced(x, d, 0, 1)
+    long = min(len(w) // 4, 10)
+    season = s if s > 1 and len(w) >= 4 * s + long else 0
+    top = (most, most, int(season > 0), int(season > 0))
+    first = max(most, long + max(most, season))
+    noise, seen = _long_residuals(w, long), {}
+
+    def cost(o: tuple[int, ...]) -> float:
+        if o not in seen:
+            seen[o] = _Arma(w, *o, max(s, 1)).start(noise, first)[1] if len(w) > first + 1 else math.inf
+        return seen[o]
+
+    best = min([(2, 2, 0, 0), (0, 0, 0, 0), (1, 0, top[2], 0), (0, 1, 0, top[3])], key=cost)
+    while True:
+        near = [tuple(v + (step if i in at else 0) for i, v in enumerate(best)) for at in ((0,), (1,), (2,), (3,), (0, 1), (2, 3)) for step in (-1, 1)]
+        found = min([best, *(o for o in near if all(0 <= v <= t for v, t in zip(o, top, strict=True)))], key=cost)
+        if cost(found) >= cost(best):
+            break
+        best = found
+    p, q, P, Q = best if math.isfinite(cost(best)) else (0, 0, 0, 0)
+    return arima_css(x, p, d, horizon, q, (P, 0, Q, max(s, 1))), (p, d, q, P, Q)
+
+
 def isolation_scores(x: np.ndarray, trees: int = 50, sample: int = 128, seed: int = 0) -> np.ndarray:
     """Isolation-forest scores of the rows of x (n, d)."""
     rng = np.random.default_rng(seed)

@@ -29,7 +29,7 @@ _summary("spectrum", G.spectrum, ["dominant", "flatness", "peak_share"])
 _summary("complexity", lambda x: {"permutation_entropy": G.permutation_entropy(x), "katz": G.katz(x), "petrosian": G.petrosian(x), "higuchi": G.higuchi(x)}, ["permutation_entropy", "katz", "petrosian", "higuchi"])
 _summary("stationarity", lambda x: {"kpss": G.kpss(x), "adf": G.adf(x)}, ["kpss", "adf"])
 _summary("dependence", lambda x: {"ksg": G.ksg_mi(x[:-1], x[1:]), "dcor": G.distance_correlation(x[:-1], x[1:]), "hsic": G.hsic(x[:-1], x[1:])}, ["ksg", "dcor", "hsic"])
-_summary("arima_forecast", lambda x: {f"h{k + 1}": v for k, v in enumerate(G.arima_css(x, 2, 1, 3))}, ["h1", "h2", "h3"])
+_summary("arima_forecast", lambda x: {f"h{k + 1}": v for k, v in enumerate(G.auto_arima(x, 3, 7)[0])}, ["h1", "h2", "h3"])
 _summary("bayesian_block_count", lambda x: {"blocks": len(G.bayesian_blocks(x)) - 1}, ["blocks"])
 
 
