@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from varve.operators import signal
+from varve.operators import mining, signal
 from varve.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +82,22 @@ def test_arima_orders_by_aicc():
     assert signal.auto_arima(far, 3, 7)[1][3:] != (0, 0)
     for n in range(1, 60):
         assert np.isfinite(signal.auto_arima(e[:n], 3, 7)[0]).all() and np.isfinite(signal.auto_arima(np.arange(n) * 1.0, 3, 7)[0]).all()
+
+
+def test_ranks_of_the_whole_table(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), "xyz"[c]) for i, (a, b, c) in enumerate(zip(rng.integers(0, 9, 400), rng.normal(size=400), rng.integers(0, 3, 400), strict=True))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, g string")
+    a, b = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    rank = lambda x: np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+    place = lambda x: np.argsort(np.lexsort((np.arange(len(x)), x)))
+    for parts in (2, 7):
+        monkeypatch.setattr(mining, "PARTS", parts)
+        assert {r.a: r.rank for r in mining.value_ranks(df, "a").collect()} == dict(zip(a, rank(a), strict=True))
+        assert abs(mining.whole_spearman(df, ["a", "b"]).first().value - np.corrcoef(rank(a), rank(b))[0, 1]) < 1e-9
+        xi = lambda x, y: 1 - 3 * np.abs(np.diff(y[np.argsort(x)])).sum() / (len(x) ** 2 - 1)
+        both = (np.clip(xi(place(a), place(b)), 0, 1) + np.clip(xi(place(b), place(a)), 0, 1)) / 2
+        assert abs(mining.whole_chatterjee(df, "a", "b", "id").first().xi - both) < 1e-9
+        u = mining.whole_mann_whitney(df, F.col("g") == "x", "b").first()
+        x, y = np.array([r[2] for r in rows if r[3] == "x"]), np.array([r[2] for r in rows if r[3] != "x"])
+        assert u.u == (x[:, None] > y[None]).sum()

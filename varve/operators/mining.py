@@ -204,3 +204,128 @@ def form_fits(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def duplicate_ratio(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count("*").alias("_c")).agg(F.sum("_c").alias("rows"), F.count("*").alias("distinct")).withColumn("ratio", divide(F.col("distinct").cast("double"), F.col("rows").cast("double")))
+
+
+#: Ordered parts of a column's distinct values; prefix sums run within them in parallel, over their totals in one task.
+PARTS = 64
+
+
+def _cuts(df: DataFrame, c: str) -> list[float]:
+    """Values that cut the column's distinct values into about PARTS parts; any cuts give the same ranks."""
+    p = F.array(*(F.lit(i / PARTS) for i in range(1, PARTS)))
+    return sorted(set(df.select(c).distinct().agg(F.percentile_approx(c, p, F.lit(PARTS * 20)).alias("q")).first().q or []))
+
+
+def _part(c: str, cuts: list) -> Column:
+    """How many of the sorted cuts are below c, by bisection."""
+
+    def between(a: int, b: int) -> Column:
+        m = (a + b) // 2
+        return F.lit(a) if a == b else F.when(F.col(c) > F.lit(cuts[m]), between(m + 1, b)).otherwise(between(a, m))
+
+    return between(0, len(cuts))
+
+
+def _below(counts: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """counts with _below, the sum of _c over the rows before: within the part by a window, over the parts from their totals."""
+    totals = counts.groupBy(part).agg(F.sum("_c").alias("_t"))
+    base = totals.withColumn("_base", F.sum("_t").over(Window.orderBy(part)) - F.col("_t")).select(part, "_base")  # at most PARTS rows
+    w = Window.partitionBy(part).orderBy(*order)
+    return counts.withColumn("_in", F.sum("_c").over(w) - F.col("_c")).join(F.broadcast(base), part).withColumn("_below", F.col("_in") + F.col("_base")).drop("_in", "_base", part)
+
+
+def value_ranks(df: DataFrame, c: str) -> DataFrame:
+    """c, _c, rank: each distinct value that isn't null, its count and its average rank in the whole table."""
+    counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_c"))
+    ranked = _below(counts.withColumn("_part", _part(c, _cuts(df, c))), "_part", [c])
+    return ranked.select(c, "_c", (F.col("_below") + (F.col("_c") + 1) / 2).alias("rank"))
+
+
+def whole_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Average ranks in the whole table as columns of the same names; of rows where none of the columns is null. Distinct combinations are ranked, with their count _c."""
+    out = df.na.drop(subset=columns)
+    ranks = [value_ranks(out, c).select(c, F.col("rank").alias(f"_{c}")) for c in columns]
+    out = out.groupBy(*columns).agg(F.count("*").alias("_c"))
+    for c, r in zip(columns, ranks, strict=True):
+        out = out.join(r, c)
+    return out.select(*(F.col(f"_{c}").alias(c) for c in columns), "_c")
+
+
+def whole_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rank correlations of the whole table."""
+
+    def value(a: str, b: str) -> Column:
+        m = F.col("_mid")
+        dot = lambda x, y: F.sum((F.col(x) - m) * (F.col(y) - m) * F.col("_c"))
+        return F.coalesce(divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+    r = whole_ranks(df, columns)
+    mid = df.na.drop(subset=columns).agg(((F.count("*") + 1) / 2).alias("_mid"))  # one row: the mean of average ranks
+    return _pairs(r.join(F.broadcast(mid)), list(combinations(columns, 2)), value)
+
+
+def _places(df: DataFrame, c: str, tie: str) -> DataFrame:
+    """df with _place, 1 to n by c, then by the unique tie. Counts per value and part of the tie are summed, so that no value fills one task."""
+    cut, tied = _part(c, _cuts(df, c)), _part(tie, _cuts(df, tie))
+    parted = df.withColumn("_part", cut).withColumn("_tied", tied)
+    cells = _below(parted.groupBy("_part", c, "_tied").agg(F.count("*").alias("_c")), "_part", [c, "_tied"]).select(c, "_tied", "_below")
+    inside = parted.withColumn("_i", F.row_number().over(Window.partitionBy(c, "_tied").orderBy(tie)))
+    return inside.join(cells, [c, "_tied"]).withColumn("_place", F.col("_i") + F.col("_below")).drop("_part", "_tied", "_i", "_below")
+
+
+def whole_chatterjee(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
+    """One row: xi of the whole table as the mean of both directions, each within 0 and 1; ties in the order of the unique tie."""
+    d = df.na.drop(subset=[x, y]).select(x, y, tie)
+    placed = _places(_places(d, x, tie).withColumnRenamed("_place", "_x"), y, tie).select("_x", F.col("_place").alias("_y"))
+
+    def steps(a: str, b: str) -> DataFrame:
+        after = placed.select((F.col(a) - 1).alias(a), F.col(b).alias("_next"))
+        return placed.join(after, a).agg(F.sum(F.abs(F.col("_next") - F.col(b))).alias(f"d{a}"))
+
+    n = d.agg(F.count("*").cast("double").alias("n"))
+    xi = lambda s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(divide(3.0 * F.col(s), F.col("n") * F.col("n") - 1), F.lit(0.0))))
+    return n.join(F.broadcast(steps("_x", "_y"))).join(F.broadcast(steps("_y", "_x"))).select(((xi("d_x") + xi("d_y")) / 2).alias("xi"))  # one row each
+
+
+def whole_binned_mi(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """One row, mi of the whole table: rank bins, Miller-Madow, not below 0, in nats."""
+    n = df.na.drop(subset=[x, y]).agg(F.count("*").alias("_n"))
+    bin_ = lambda c: F.least(F.floor((F.col(c) - 1) * bins / F.col("_n")), F.lit(bins - 1))
+    cells = whole_ranks(df, [x, y]).join(F.broadcast(n)).groupBy(bin_(x).alias("_a"), bin_(y).alias("_b"), "_n").agg(F.sum("_c").alias("c"))
+
+    def entropy(by: list[str], name: str) -> DataFrame:
+        p = F.col("c") / F.col("_n")
+        return cells.groupBy(*by, "_n").agg(F.sum("c").alias("c")).agg((-F.sum(p * F.ln(p))).alias(name), F.count("*").alias(f"k{name}"))
+
+    out = reduce(lambda a, c: a.join(F.broadcast(c)), (n, entropy(["_a"], "hx"), entropy(["_b"], "hy"), entropy(["_a", "_b"], "hxy")))  # one row each
+    bias = (F.col("khxy") - F.col("khx") - F.col("khy") + 1) / (2 * F.col("_n"))
+    return out.select(F.greatest(F.lit(0.0), F.col("hx") + F.col("hy") - F.col("hxy") - bias).alias("mi"))
+
+
+def whole_kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
+    """One row: n, k, H with tie correction and eta squared over the whole table."""
+    d = df.na.drop(subset=[group, value])
+    ranks = value_ranks(d, value)
+    g = d.groupBy(group, value).agg(F.count("*").alias("_m")).join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("_m").alias("n"), F.sum(F.col("_m") * F.col("rank")).alias("r"))
+    c = F.col("_c").cast("double")
+    s = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).join(F.broadcast(ranks.agg(F.sum(c**3 - c).alias("ties"))))  # one row each
+    n = F.col("n").cast("double")
+    h = divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.col("ties") / (n**3 - n))
+    return s.select("n", "k", h.alias("h"), divide(h - F.col("k") + 1, n - F.col("k")).alias("eta2"))
+
+
+def whole_mann_whitney(df: DataFrame, flag: Column, value: str) -> DataFrame:
+    """One row: U of the flagged rows of the whole table and the rank-biserial correlation."""
+    d = df.select(flag.alias("_f"), value).na.drop()
+    m = d.groupBy("_f", value).agg(F.count("*").alias("_m")).join(value_ranks(d, value).select(value, "rank"), value)
+    g = m.agg(F.coalesce(F.sum(F.when(F.col("_f"), F.col("_m"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(~F.col("_f"), F.col("_m"))), F.lit(0)).alias("b"), F.sum(F.when(F.col("_f"), F.col("_m") * F.col("rank"))).alias("r"))
+    u = F.col("r") - F.col("a") * (F.col("a") + 1) / 2
+    return g.select("a", "b", u.alias("u"), (2 * divide(u, F.col("a").cast("double") * F.col("b")) - 1).alias("rank_biserial"))
+
+
+def whole_tail_dependence(df: DataFrame, x: str, y: str, q: float) -> DataFrame:
+    """One row: of the rows above the q rank of x in the whole table the share above it in y, and the same below 1 - q."""
+    n = df.na.drop(subset=[x, y]).agg(F.count("*").alias("_n"))
+    r = whole_ranks(df, [x, y]).join(F.broadcast(n)).select((F.col(x) / F.col("_n")).alias("u"), (F.col(y) / F.col("_n")).alias("v"), "_c")
+    both = lambda a, b: F.coalesce(divide(F.sum(F.when(a & b, F.col("_c")).otherwise(0)).cast("double"), F.sum(F.when(a, F.col("_c")).otherwise(0)).cast("double")), F.lit(0.0))
+    return r.agg(both(F.col("u") > q, F.col("v") > q).alias("upper"), both(F.col("u") <= 1 - q, F.col("v") <= 1 - q).alias("lower"))

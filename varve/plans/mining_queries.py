@@ -171,3 +171,52 @@ def forms(t):
 @query("mining_duplicate_ratio", "SELECT sum(c)::BIGINT AS rows, count(*) AS distinct, round(count(*) / sum(c), 6) AS ratio FROM (SELECT o_orderstatus, o_orderpriority, o_custkey, count(*) AS c FROM orders GROUP BY ALL)")
 def duplicates(t):
     return rounded(M.duplicate_ratio(t.orders.select("o_orderstatus", "o_orderpriority", "o_custkey")))
+
+
+RANKS_ALL = "WITH r AS (SELECT count(*) OVER () AS n, " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in COLS) + ", l_returnflag AS g, l_quantity AS v FROM lineitem)"
+
+
+@query("mining_spearman_all", RANKS_ALL + " " + " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round({CORR.format(a, b)}, 6) AS value FROM r" for a, b in PAIRS))
+def spearman_all(t):
+    return rounded(M.whole_spearman(t.lineitem, COLS))
+
+
+@query("mining_chatterjee_all", EVK + """,
+r AS (SELECT row_number() OVER (ORDER BY k, event_id) AS y, row_number() OVER (ORDER BY value, event_id) AS x FROM e),
+d AS (SELECT abs(y - lag(y) OVER (ORDER BY x)) AS a, abs(x - lag(x) OVER (ORDER BY y)) AS b FROM r)
+SELECT round((greatest(0, least(1, 1 - 3.0::DOUBLE * sum(a) / (count(*)::DOUBLE * count(*) - 1))) + greatest(0, least(1, 1 - 3.0::DOUBLE * sum(b) / (count(*)::DOUBLE * count(*) - 1)))) / 2, 6) AS xi FROM d""")
+def chatterjee_all(t):
+    return rounded(M.whole_chatterjee(t.events.withColumn("k", F.col("event_id") % 97), "value", "k", "event_id"))
+
+
+@query("mining_binned_mi_all", EVK + """,
+r AS (SELECT count(*) OVER () AS n, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS a, rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2 AS b FROM e),
+c AS (SELECT n, least(floor((a - 1) * 8 / n), 7) AS a, least(floor((b - 1) * 8 / n), 7) AS b, count(*) AS c FROM r GROUP BY ALL),
+x AS (SELECT -sum(p * ln(p)) AS h, count(*) AS k FROM (SELECT sum(c) / max(n) AS p FROM c GROUP BY a)), y AS (SELECT -sum(p * ln(p)) AS h, count(*) AS k FROM (SELECT sum(c) / max(n) AS p FROM c GROUP BY b)),
+z AS (SELECT -sum(c / n * ln(c / n)) AS h, count(*) AS k, max(n) AS n FROM c), mi AS (SELECT greatest(0, x.h + y.h - z.h - (z.k - x.k - y.k + 1) / (2 * z.n)) AS mi FROM x, y, z)
+SELECT round(mi, 6) AS mi, round(sqrt(1 - exp(-2 * mi)), 5) AS coefficient FROM mi""")
+def binned_all(t):
+    m = M.whole_binned_mi(t.events.withColumn("k", F.col("event_id") % 97), "value", "k", 8)
+    return m.select(F.round("mi", 6).alias("mi"), F.round(M.mi_coefficient(F.col("mi")), 5).alias("coefficient"))
+
+
+@query("mining_kruskal_all", RANKS_ALL + """,
+g AS (SELECT g, count(*) AS n, sum(l_quantity) AS r FROM r GROUP BY g), q AS (SELECT sum(pow(t, 3) - t) AS ties FROM (SELECT v, count(*) AS t FROM r GROUP BY v)),
+k AS (SELECT sum(n)::BIGINT AS n, count(*) AS k, sum(r * r / n) AS x FROM g), h AS (SELECT n, k, (12 / (n::DOUBLE * (n + 1)) * x - 3 * (n + 1)) / (1 - ties / (pow(n, 3) - n)) AS h FROM k, q)
+SELECT n, k, round(h, 5) AS h, round((h - k + 1) / (n - k), 6) AS eta2 FROM h""")
+def kruskal_all(t):
+    return rounded(M.whole_kruskal(t.lineitem, "l_returnflag", "l_quantity").withColumn("h", F.round("h", 5)))
+
+
+@query("mining_mann_whitney_all", RANKS_ALL + """,
+g AS (SELECT count(CASE WHEN g = 'R' THEN 1 END) AS a, count(CASE WHEN g <> 'R' THEN 1 END) AS b, sum(CASE WHEN g = 'R' THEN l_quantity END) AS r FROM r)
+SELECT a, b, r - a * (a + 1) / 2 AS u, round(2 * ((r - a * (a + 1) / 2) / (a::DOUBLE * b)) - 1, 6) AS rank_biserial FROM g""")
+def mann_whitney_all(t):
+    return rounded(M.whole_mann_whitney(t.lineitem, F.col("l_returnflag") == "R", "l_quantity"))
+
+
+@query("mining_tail_dependence_all", RANKS_ALL + """
+SELECT round(coalesce(count(*) FILTER (l_quantity / n > 0.8::DOUBLE AND l_extendedprice / n > 0.8::DOUBLE) / nullif(count(*) FILTER (l_quantity / n > 0.8::DOUBLE), 0), 0), 6) AS upper,
+  round(coalesce(count(*) FILTER (l_quantity / n <= (1 - 0.8::DOUBLE) AND l_extendedprice / n <= (1 - 0.8::DOUBLE)) / nullif(count(*) FILTER (l_quantity / n <= (1 - 0.8::DOUBLE)), 0), 0), 6) AS lower FROM r""")
+def tails_all(t):
+    return rounded(M.whole_tail_dependence(t.lineitem, "l_quantity", "l_extendedprice", 0.8))
