@@ -218,6 +218,17 @@ def test_shingle_join_equals_brute_force(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_links(rows) and len(got) == len(rows)
 
 
+def test_shingle_join_in_small_tiles_and_blocks(spark, monkeypatch):
+    """Hot shingles split over (group, group) tiles, ties of many blocks, pairs told in pieces, and a repeated id with two texts."""
+    for name, value in (("SPLIT", 8), ("BUCKET", 500), ("BLOCK", 8), ("BLOCK_SHINGLES", 3000), ("FOLD", 50), ("LEADERS", 1), ("BANDS", 2), ("HEAVY", 300), ("TILE", 4)):
+        monkeypatch.setattr(shingle_join, name, value)
+    chain = [f"c{i}" for i in range(200)]
+    texts = [*near_family(11, 60, 100, 9), *near_family(12, 50, 80, 8), *(" ".join(chain[i : i + 90]) for i in range(0, 110, 3)), *(sentence(1, 40) + " " + sentence(300 + i, 12) for i in range(40))]
+    rows = list(enumerate(texts))
+    got = shingle_join.near_documents(documents(spark, [(d, t, None, None) for d, t in rows])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_links(rows) and len(got) == len(rows)
+
+
 def test_shingle_join_edge_cases(spark, docs):
     got = {r.doc_id: r for r in shingle_join.near_documents(docs).collect()}
     assert got[None].component_id is None and got[20].n_shingles == got[21].n_shingles == got[22].n_shingles == 0
@@ -394,7 +405,7 @@ def test_language(spark):
     got = {r.doc_id: r for r in language.detect(d.select("doc_id", "text", "score"), model).collect()}
     held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([got[i].lang_pred == langs[i % 3] for i in held]) > 0.98
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (500, 501, 502)) and got[505].lang_pred in langs
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (500, 501, 502)) and got[505].lang_pred in langs and got[505].score == 0
     assert [(s.lang, s.words) for s in got[503].spans] == [("aa", 90), ("bb", 30)] and got[503].lang_pred == "aa"
     none = language.train(d.filter("lang is null"))
     assert {r.lang_pred for r in language.detect(d, none).collect()} == {"und"}
@@ -404,7 +415,7 @@ def test_language(spark):
 def test_viterbi_equals_plain_recursion(spark):
     model = language.train(documents(spark, [(i, speech(x, i, 40), x, "s") for i in range(60) for x in [list(SYLLABLES)[i % 3]]]))
     texts = [speech("aa", 7, 9) + " " + speech("bb", 8, 5) + " 12 " + speech("aa", 9, 6), "", "x"]
-    for text, (path, _) in zip(texts, model.paths(texts), strict=True):
+    for text, (path, *_) in zip(texts, model.paths(texts), strict=True):
         e = np.array([model.scores[model.rows[w]] for w in text.split()]).reshape(-1, 3)
         score = lambda p: sum(e[t, s] for t, s in enumerate(p)) - language.SWITCH * sum(a != b for a, b in itertools.pairwise(p))
         best, arg = np.zeros(3), []

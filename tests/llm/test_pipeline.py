@@ -33,6 +33,37 @@ def test_stages(spark):
     assert sorted(r.doc_tokens for r in rows if r.start == 0) == sizes and sum(r.length for r in rows) == sum(sizes)
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long, row long"
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, no rows and extra columns with clashing names."""
+    docs = queries.table(spark, SF, "documents").limit(60).collect()
+    some = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 0.0, 0, 0) for r in docs]
+    text = some[0][1]
+    odd = [(None,) * 8, (900, None, "en", "s", 0, 0.0, 0, 0), (901, "", "en", "s", 0, 0.0, 0, 0), (902, " \n", None, None, 0, 0.0, 0, 0), (903, text * 50, "en", "s", 0, 0.0, 0, 0), some[1], some[1], (None, text, "en", "s", 0, 0.0, 0, 0), (some[2][0], "a text of its own under an id that another has, with words enough", "en", "s", 0, 0.0, 0, 0)]
+    for rows in (some + odd, odd, []):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, spark.createDataFrame(rows, ODD), SF)
+            assert out.columns == corpus_pipeline.COLUMNS and out.count() <= 2 * len(rows) * 70
+        pieces = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame(rows, ODD), SF)
+        assert pieces.filter("start = 0").count() == len(rows)
+
+
+def test_near_duplicate_stage_tells_rows_not_ids(spark):
+    words = queries.table(spark, SF, "documents").first().text
+    rows = [(5, words, "en", "a", 1), (5, "another text under the same id that must stay", "en", "a", 1), (7, words, "en", "b", 1), (None, words, "fr", "c", 1), (None, "no id and no copy of this one here", "fr", "c", 1), (8, None, None, None, None), (9, "", "en", "a", 0), (7, words, "en", "b", 1)]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, ODD.split(", score")[0]), SF).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([rows[i] for i in (0, 1, 4, 5, 6)], ODD.split(", score")[0]).collect())
+
+
+def test_language_stage_drops_unknown_scripts(spark):
+    docs = queries.table(spark, SF, "documents").select(corpus_pipeline.COLUMNS)
+    more = spark.createDataFrame([(10_000, "日本語の文章です", "en", "s", 8), (10_001, "123 456", "en", "s", 7)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.unionByName(more), SF).collect()}
+    assert not kept & {10_000, 10_001} and kept == {r.doc_id for r in docs.filter("text rlike '[a-zA-Z]'").collect()}
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     total = {}

@@ -23,7 +23,7 @@ MAX_N = 4
 SCALE, FLOOR, SWITCH = 0.35, -6.0, 8.0
 #: Share of a script among a language's letters from which words in it may be of that language.
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 CELLS = 1_000_000
 #: First code points of Unicode script ranges; letters between one and the next count as that script.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "indic"), (0xE00, "thai"), (0xE80, "lao"), (0xF00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x1400, "other"), (0x1780, "khmer"), (0x1800, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "latin"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0x31F0, "kana"), (0x3200, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7FC, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF65, "kana"), (0x10000, "other"), (0x20000, "han"))
@@ -75,9 +75,10 @@ class Model:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.languages)))
         self.letters = np.zeros(1024, np.int64)
+        self.known = np.zeros(1024, np.int64)  # letters of words that some learned language may have
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "scores", "letters")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "scores", "letters", "known")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -89,6 +90,7 @@ class Model:
         while at + len(tokens) > len(self.letters):
             self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
         words = [letters_of(t) for t in tokens]
         self.letters[at : at + len(tokens)] = [len(w) for w in words]
         scores = np.zeros((len(tokens), len(self.languages)))
@@ -104,12 +106,13 @@ class Model:
             best = np.where(may, scores, -np.inf).max(1, keepdims=True)
             scores = np.where(may, np.maximum(SCALE * (scores - np.where(np.isfinite(best), best, 0)), FLOOR), FLOOR)
             scores[~may.any(1) | (self.letters[at : at + len(tokens)] == 0)] = 0
+            self.known[at : at + len(tokens)] = np.where(may.any(1), self.letters[at : at + len(tokens)], 0)
         self.scores[at : at + len(tokens)] = scores
         for i, t in enumerate(tokens):
             self.rows[t] = at + i
 
-    def paths(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(language of each word, letters of each word) per text."""
+    def paths(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(language of each word, letters of each word, those in words of a learned language's script) per text."""
         if len(self.rows) > CACHE_WORDS:
             self.forget()
         split = [t.split() for t in texts]
@@ -125,7 +128,7 @@ class Model:
             group = [i for i in group if 2 * len(rows[i]) >= longest] or group[-1:]
             del order[len(order) - len(group) :]
             for i, path in zip(group, self._viterbi([rows[i] for i in group]), strict=True):
-                out[i] = path, self.letters[rows[i]]
+                out[i] = path, self.letters[rows[i]], self.known[rows[i]]
         return out
 
     def _viterbi(self, rows: list[np.ndarray]) -> list[np.ndarray]:
@@ -152,7 +155,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learns from documents with text and lang whose id's crc32 mod 3 is not 1: a sample by hash of about per_language documents of each language."""
     usable = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(remainder(F.col("doc_id"), 3) != 1)
     counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    sample = usable.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("n") < per_language * 1_000_000).select("lang", "text")
+    sample = usable.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("n") < per_language * 1_000_000).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
@@ -170,26 +173,28 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
                     bucket, owner = _grams(list(words))
                     grams[lang][:BUCKETS] += np.bincount(bucket, weights=n[owner], minlength=BUCKETS)
                     grams[lang][BUCKETS:-1] += _script_counts(list(words), n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([x.tobytes() for x in grams.values()], pa.binary())], ["lang", "counts"])
-
-    total: dict[str, np.ndarray] = {}
-    for row in sample.repartition(6).mapInArrow(run, "lang string, counts binary").collect():
-        total[row.lang] = total.get(row.lang, 0) + np.frombuffer(row.counts)
-    languages = sorted(total)
-    table = np.array([total[x] for x in languages]) if languages else np.zeros((0, BUCKETS + len(SCRIPT_NAMES) + 1))
+        for lang, counts in grams.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "slot", "n"])
+
+    found = sample.mapInArrow(run, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # one row per language and slot
+    names = found.column("lang").to_pylist()
+    languages = sorted(set(names))
+    table = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES) + 1))
+    table[[languages.index(x) for x in names], found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return Model(languages, table[:, :BUCKETS], table[:, BUCKETS:-1], table[:, -1])
 
 
 def predict(model: Model, texts: list[str]) -> list[tuple[str, float, list[tuple[str, int]]]]:
-    """(language, its share of the letters, spans as (language, words)) per text; `und` and 0 without letters."""
+    """(language, share of the text's letters that stand in its spans in a script that it uses, spans as (language, words)) per text; `und` and 0 without letters."""
     out = []
-    paths = model.paths(texts) if model.languages else [(np.zeros(0, int), np.array([sum(map(str.isalpha, t))])) for t in texts]
-    for path, letters in paths:
+    paths = model.paths(texts) if model.languages else [(np.zeros(0, int), np.zeros(1, int), np.zeros(1, int))] * len(texts)
+    for path, letters, known in paths:
         total = int(letters.sum())
         if not total or not len(path):
             out.append(("und", 0.0, []))
             continue
-        share = np.bincount(path, weights=letters, minlength=len(model.languages)) / total
+        share = np.bincount(path, weights=known, minlength=len(model.languages)) / total
         best = int(share.argmax())
         edges = np.flatnonzero(np.diff(path)) + 1
         spans = [(model.languages[path[a]], int(b - a)) for a, b in zip([0, *edges], [*edges, len(path)], strict=True)]
@@ -200,7 +205,8 @@ def predict(model: Model, texts: list[str]) -> list[tuple[str, float, list[tuple
 def detect(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs whose names don't clash, with lang_pred, score and spans (array of lang, words, in order).
 
-    Null texts and texts without letters, and all texts where no language was learned, give `und`, score 0 and no spans. Repeated rows are labelled each.
+    Null texts and texts without letters, and all texts where no language was learned, give `und`, score 0 and no spans. A text in a script that no
+    learned language uses gets a learned language with score 0. Equal scores: the alphabetically first language. Repeated rows are labelled each.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

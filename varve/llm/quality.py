@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, slices
+from .shared import BoundedCache, bounded_batches, slices, worker_cache
 
 MAX_LABELLED = 4000
 RANK = 64
@@ -27,7 +28,7 @@ THRESHOLD = 0.3
 WORDS, SHAPES, STATS = 1024, 768, 256
 #: Length of the vector's three parts before the reduction: words, word shapes, whole-text measures.
 PART_LENGTHS = (0.35, 1.0, 1.0)
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 BLOCK = 256
 
 _CLASSES = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([^\W\d_]+)|(\d+)|((.)\5*)", re.DOTALL)
@@ -38,17 +39,8 @@ def _shape(word: str) -> str:
     return "".join("U" if m[1] else "l" if m[2] else "9" if m[3] else m[5] for m in _CLASSES.finditer(word))[:12]
 
 
-class _Terms(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        out = self[word] = xxhash.xxh32_intdigest(word.lower()) % WORDS | xxhash.xxh32_intdigest(_shape(word), 7) % SHAPES << 16
-        return out
-
-
-_terms = _Terms()
+def _term(word: str) -> int:
+    return xxhash.xxh32_intdigest(word.lower()) % WORDS | xxhash.xxh32_intdigest(_shape(word), 7) % SHAPES << 16
 
 
 def _stats(text: str, words: list[str]) -> list[int]:
@@ -68,9 +60,10 @@ def _stats(text: str, words: list[str]) -> list[int]:
 def features(texts: list[str]) -> np.ndarray:
     """Raw counts, one row per text."""
     out = np.zeros((len(texts), WORDS + SHAPES + STATS), np.float32)
+    code = worker_cache("quality", lambda: BoundedCache(_term, CACHE_ENTRIES)).__getitem__
     for row, text in zip(out, texts, strict=True):
         words = text.split()
-        codes = np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
+        codes = np.fromiter(map(code, words), np.int64, len(words))
         row[:WORDS] = np.bincount(codes & 0xFFFF, minlength=WORDS)
         row[WORDS : WORDS + SHAPES] = np.bincount(codes >> 16, minlength=SHAPES)
         row[_stats(text, words)] = 1

@@ -1,13 +1,15 @@
 """Exact Jaccard self-join of documents on word shingles: size-banded tiles, bitmap bounds, sorted-array intersection.
 
-1. heavy: the most frequent shingles of all documents (about HEAVY of them at most, 16 bytes each) put last in one global order of shingles.
+1. heavy: the most frequent shingles of all documents (HEAVY of them at most, 24 bytes each) put last in one global order of shingles.
 2. sketch: per document the set's size, digest, parity bitmap, min-hash keys and its prefix in that order; equal sets become one.
 3. stars: sets that share a min-hash key are tied to the key's leaders where the bitmap bound allows a link. Each key has
    leaders of its own, so a set in a loose group is held against many members.
-4. tiles: two linked sets share a prefix shingle. Per shingle, sets of different ties within each other's size band form pairs;
-   pairs that the bitmap bound allows are tied too. So every link lies within one tie.
+4. tiles: two linked sets share a prefix shingle. Per shingle, sets of different ties within each other's size band, whose places in the
+   prefixes leave room for the needed overlap, form pairs; pairs that the bitmap bound allows are tied too. So every link lies within one
+   tie. Bitmaps grow with their sets, so they meet the distinct pairs instead of travelling with every shingle.
 5. links: each tie's texts meet in tiles of blocks; the bitmap bound and then the intersection of sorted arrays decide; sets already
-   connected are skipped, so a group of near copies gives a spanning forest, never all its pairs.
+   connected are skipped. First every block meets itself and the tie's first block, which connects a group of near copies at a cost
+   linear in its size; then only sets outside the tie's largest component meet the tie's other blocks.
 """
 
 from __future__ import annotations
@@ -16,37 +18,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Stash, bounded_batches, slices
+from .shared import BoundedCache, Stash, bounded_batches, slices, worker_cache
 
 SHINGLE = 5
 #: A link: NUMERATOR * union <= DENOMINATOR * intersection, that is, similarity of at least 0.75.
 NUMERATOR, DENOMINATOR = 75, 100
 HEAVY = 1 << 20
 BANDS, ROWS, LEADERS = 8, 2, 3
-BLOCK = 1024
-CHUNK, CHUNK_SHINGLES = 8000, 8_000_000  # documents, and shingles, that a task holds at once at most
+#: Documents, and shingles, that a task holds at once at most.
+CHUNK, CHUNK_SHINGLES = 8000, 2_000_000
+#: Prefix shingles per bucket on average, and holders of one shingle beyond which they are split over (group, group) tiles.
+BUCKET, SPLIT = 1 << 18, 1 << 16
+#: Documents, and shingles, per block of a tie.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 TILE, FOLD = 256, 1_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
-_words = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -58,7 +52,8 @@ def shingle_set(text: str) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    word = worker_cache("shingles", lambda: BoundedCache(xxhash.xxh64_intdigest, CACHE_WORDS)).__getitem__
+    h = np.fromiter(map(word, words), np.uint64, len(words))
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
     total = np.full(n, k, np.uint64)
@@ -120,22 +115,26 @@ def _count_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def heavy_shingles(docs: DataFrame, stash: Stash) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand out in some chunk of the documents, sorted, and their ranks from rare to frequent; about the HEAVY most frequent at most."""
+def heavy_shingles(docs: DataFrame, stash: Stash, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that stand out in some chunk of the documents, sorted, their ranks from rare to frequent, and the counts by rank; `most` at most."""
     found = stash.put(docs.select("text").filter("text is not null").mapInArrow(_count_heavy, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    rows = found.count()
-    if rows > HEAVY:  # any order of shingles gives the same links, so the cut may be approximate
-        found = found.filter(F.col("n") > found.approxQuantile("n", [1 - HEAVY / rows], 0.001)[0])
-    table = found.orderBy("n", "token").toArrow()
+    step = F.floor(F.log2("n") * 16).cast("int")  # any order of shingles gives the same links, so whole steps of counts are cut
+    cut, held = 1 << 30, 0
+    for row in found.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():  # under 1024 rows
+        held += row.rows
+        if held > most:
+            break
+        cut = row.step
+    table = found.filter(step >= cut).orderBy("n", "token").toArrow()
     tokens = np.asarray(table.column("token").to_numpy(), np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], np.arange(1, len(tokens) + 1, dtype=np.uint64)[order]
+    return tokens[order], np.arange(1, len(tokens) + 1, dtype=np.uint64)[order], np.asarray(table.column("n").to_numpy(), np.int64)
 
 
-def prefix(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix(s: np.ndarray, heavy: tuple[np.ndarray, ...]) -> np.ndarray:
     """The first elements of a set in the global order, of which any linked set has one: heavy ones last, others by hash."""
     key = s >> np.uint64(1)
-    tokens, ranks = heavy
+    tokens, ranks = heavy[:2]
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
         hit = tokens[at] == s
@@ -148,8 +147,6 @@ def _sketch(heavy):
     names = ["doc_id", "n", "h1", "h2", "bitmap", "bands", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in slices(batches, 500):
             rows = []
             for text in batch.column(1):
@@ -181,84 +178,134 @@ def bounded_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "n", "m").mapInArrow(_bound, "u long, v long")
 
 
-def _deal(buckets: int):
-    """Prefix elements as one row of packed arrays per bucket of element hashes, so that a shuffle moves few rows."""
+def _deal(buckets: int, heavy, split: int = SPLIT):
+    """Prefix elements as one row of packed arrays per bucket of element hashes, so that a shuffle moves few rows. An element with more than
+    `split` holders is dealt as one element per pair of groups of them: group g meets itself, and as one of two sides every other group."""
+
+    def packed(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        tokens = [np.frombuffer(x[3], np.uint64) for x in held]
+        size = np.array([len(t) for t in tokens])
+        tok = np.concatenate(tokens)
+        rep, n, comp = (np.repeat(np.array([x[i] for x in held], np.int64), size) for i in range(3))
+        place = n << 32 | (np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)) << 2 | 2  # size, place in the prefix, side
+        rank = np.where(tok >> np.uint64(63), tok & np.uint64((1 << 63) - 1), np.uint64(0)).astype(np.int64)
+        tok = _mixed(tok)
+        groups = np.where(rank > 0, -(-heavy.value[2][np.maximum(rank, 1) - 1] // split), 1) if len(heavy.value[2]) else np.ones(len(tok), np.int64)
+        parts = [(tok, rep, place, comp)] if (groups == 1).all() else [tuple(c[groups == 1] for c in (tok, rep, place, comp))]
+        hot = np.flatnonzero(groups > 1)
+        for k in np.unique(groups[hot]).tolist():
+            at = hot[groups[hot] == k]
+            g = (_mixed(rep[at].view(np.uint64)) % np.uint64(k)).astype(np.int64)
+            for h in range(k):
+                low, high = np.minimum(g, h), np.maximum(g, h)
+                side = np.where(low == high, 2, (g == high).astype(np.int64))
+                parts.append((_mixed(tok[at] + (low * k + high + 1).astype(np.uint64)), rep[at], place[at] & ~3 | side, comp[at]))
+        tok, rep, place, comp = (np.concatenate(c) for c in zip(*parts, strict=True))
+        bucket = (tok % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
+        columns = [c[order] for c in (tok.view(np.int64), rep, place, comp)]
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]]), *(pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns)], ["bucket", "tok", "rep", "place", "comp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
-
-        def told() -> pa.RecordBatch:
-            tokens = [np.frombuffer(x[3], np.uint64) for x in held]
-            size = np.array([len(t) for t in tokens])
-            tok = _mixed(np.concatenate(tokens))
-            bucket = (tok % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            columns = [(tok >> np.uint64(16))[order], *(np.repeat(np.array([x[i] for x in held], np.int64), size)[order] for i in range(3))]
-            held.clear()
-            at = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array([c[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary()) for c in columns)], ["bucket", "tok", "rep", "n", "comp"])
-
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 held.append(row)
                 size += len(row[3]) // 8
                 if size >= CHUNK_SHINGLES // 8:
-                    yield told()
-                    size = 0
+                    yield packed(held)
+                    held, size = [], 0
         if held:
-            yield told()
+            yield packed(held)
 
     return run
 
 
-def _tile(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket: sets with a shared element, of different ties, whose sizes allow a link."""
-    tok, rep, n, comp = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("tok", "rep", "n", "comp"))
-    order = np.lexsort((n, tok))
-    tok, rep, n, comp = tok[order], rep[order], n[order], comp[order]
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first `keys` columns, of rows sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        values = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        cuts = [i for i in range(len(values)) if values[i] != (values[i - 1] if i else last)]
+        for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True):
+            if a in cuts and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+        last = values[-1] if values else last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each bucket: sets with a shared element, of different ties, whose sizes and places allow a link; repeats occur."""
+    for table in _groups(batches, 1):
+        yield from _tile(table)
+
+
+def _tile(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    tok, rep, place, comp = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("tok", "rep", "place", "comp"))
+    order = np.lexsort((place, tok))
+    tok, rep, place, comp = tok[order], rep[order], place[order], comp[order]
+    n, at, side = place >> 32, place >> 2 & (1 << 30) - 1, place & 3
     starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     ends = np.r_[starts[1:], len(tok)]
-    mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts) if len(tok) else np.zeros(0, bool)
+    mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
     reps, local = np.unique(rep, return_inverse=True)
     found, fresh, size = np.zeros(0, np.int64), [], 0  # pairs as one number each, made distinct whenever FOLD of them are held
 
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(reps[found // len(reps)]), pa.array(reps[found % len(reps)])], ["u", "v"])
+
     for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-        sizes = n[a:b]
-        reach = np.searchsorted(sizes, sizes * DENOMINATOR // NUMERATOR, "right")  # sorted by size: a set's band ends there
+        reach = np.searchsorted(n[a:b], n[a:b] * DENOMINATOR // NUMERATOR, "right")  # sorted by size: a set's band ends there
         count = reach - np.arange(1, b - a + 1)
-        for at in range(0, b - a, TILE):
-            c = count[at : at + TILE]
-            left = np.repeat(np.arange(at, at + len(c)), c)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
-            on = comp[a + left] != comp[a + right]
-            x, y = local[a + left[on]], local[a + right[on]]
+        for t in range(0, b - a, TILE):
+            c = count[t : t + TILE]
+            left = np.repeat(np.arange(t, t + len(c)), c)
+            right = a + left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
+            left += a
+            room = np.minimum(n[left] - at[left], n[right] - at[right])  # if this is their first common element, no more can be common
+            on = (comp[left] != comp[right]) & (room >= needed(n[left], n[right])) & ((side[left] != side[right]) | (side[left] == 2))
+            x, y = local[left[on]], local[right[on]]
             fresh.append(np.minimum(x, y) * len(reps) + np.maximum(x, y))
             size += len(x)
             if size >= FOLD:
                 found, fresh, size = np.unique(np.concatenate([found, *fresh])), [], 0
+                if len(found) >= FOLD:
+                    yield told()
+                    found = found[:0]
     found = np.unique(np.concatenate([found, *fresh]))
-    return pa.table({"u": pa.array(reps[found // max(1, len(reps))]), "v": pa.array(reps[found % max(1, len(reps))])})
+    yield told()
+
 
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _groups(batches, 3):
+        edges = _tile_links(table)
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
 
-def _links(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links between a tile's two blocks (or within its one block)."""
+
+def _tile_links(table: pa.Table) -> list[tuple[int, int]]:
+    """A spanning forest of the links between a tile's two blocks (or within its one block), beyond what is known to be connected."""
     ids, side = table.column("doc_id").to_pylist(), np.array(table.column("side").to_pylist())
+    comp = np.unique(table.column("known").to_numpy(), return_inverse=True)[1]
+    within = bool((side == side[0]).all())
+    if comp.max() == 0:
+        return []
     sets = [shingle_set(t or "") for t in table.column("text").to_pylist()]
-    size, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
+    size = np.array([len(s) for s in sets])
     maps = [bitmap(s) for s in sets]
     words = np.array([len(m) for m in maps])
-    matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # bitmaps of at least so many words, cut to it
-    shorter = {k: np.flatnonzero(words == k) for k in set(words.tolist())}
-    within = bool((side == side[0]).all())
     edges: list[tuple[int, int]] = []
-    for k in sorted(shorter):
+    for k in sorted(set(words.tolist())):
         at = np.flatnonzero(words >= k)
-        matrices[k] = at, np.array([fold(maps[i], k) for i in at])
-    for k, mine in shorter.items():
-        at, rows = matrices[k]
-        for i in mine.tolist():
+        rows = np.array([fold(maps[i], k) for i in at])  # bitmaps of at least so many words, cut to it
+        for i in np.flatnonzero(words == k).tolist():
             may = (at != i) & (comp[at] != comp[i]) & (within | (side[at] != side[i])) & ((size[at] > size[i]) | ((size[at] == size[i]) & (at > i)) | (words[at] > k))
             cand = at[may]
             if not len(cand):
@@ -273,7 +320,32 @@ def _links(table: pa.Table) -> pa.Table:
                 if int((large[found] == small).sum()) >= needed(int(size[i]), int(size[j])):
                     edges.append((ids[i], ids[j]))
                     comp[comp == comp[j]] = comp[i]
-    return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+    return edges
+
+
+def tie_links(docs: DataFrame, members: DataFrame, stash: Stash) -> DataFrame:
+    """Edges u, v that connect the linked sets of each tie. docs: doc_id, text; members: doc_id, n, component (the tie)."""
+
+    def met(dealt: DataFrame) -> DataFrame:
+        """dealt: component, doc_id, known, block, others (blocks that it meets)."""
+        tiles = docs.join(dealt.withColumn("other", F.explode("others")), "doc_id").select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "doc_id", "known", "text")
+        return tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_links, "u long, v long")
+
+    size = F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    dealt = stash.put(members.join(members.groupBy("component").agg(size.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    first = stash.put(met(dealt.select("component", "doc_id", F.col("doc_id").alias("known"), "block", F.when(F.col("block") == 0, every).otherwise(F.array(F.lit(0).cast("long"), F.col("block"))).alias("others"))))
+    known = stash.put(components(first, stash))
+
+    wide = dealt.filter("blocks > 1").join(known, F.col("doc_id") == F.col("node"), "left").select(dealt["component"].alias("tie"), "doc_id", "n", F.coalesce(known["component"], "doc_id").alias("known"))
+    parts = wide.groupBy("tie", "known").agg(F.count("*").alias("c"))
+    main = parts.groupBy("tie").agg(F.max_by("known", F.struct("c", "known")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("tie", "main")
+    apart = wide.join(main, "tie").select("tie", "doc_id", "n", "known", (F.col("known") != F.col("main")).alias("rest"))
+    sizes = apart.groupBy("tie", "rest").agg(size.alias("blocks")).groupBy("tie").agg(F.sum(F.when(F.col("rest"), F.col("blocks"))).alias("rests"), F.sum("blocks").alias("blocks"))
+    placed = apart.join(sizes, "tie").withColumn("block", F.when(F.col("rest"), F.pmod(F.xxhash64("doc_id"), F.col("rests"))).otherwise(F.col("rests") + F.pmod(F.xxhash64("doc_id"), F.col("blocks") - F.col("rests"))))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("rest"), F.col("blocks")).otherwise(F.col("rests")) - 1)
+    second = met(placed.select(F.col("tie").alias("component"), "doc_id", "known", "block", others.alias("others")))
+    return first.unionByName(second)
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
@@ -299,18 +371,15 @@ def near_documents(docs: DataFrame) -> DataFrame:
     stars = stars.filter(f"u != v and least(n, m) * {DENOMINATOR} >= greatest(n, m) * {NUMERATOR}").select("u", "v").distinct()
     ties = stash.put(components(bounded_pairs(stars, reps), stash))
 
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    elements = reps.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
     placed = reps.select("rep", "n", "tokens").join(ties, F.col("rep") == F.col("node"), "left").select("rep", F.col("n").cast("long").alias("n"), F.coalesce("component", "rep").alias("comp"), "tokens")
-    pairs = placed.mapInArrow(_deal(buckets), "bucket int, tok binary, rep binary, n binary, comp binary").groupBy("bucket").applyInArrow(_tile, "u long, v long").distinct()
+    dealt = placed.mapInArrow(_deal(max(1, int(elements) // BUCKET), heavy, SPLIT), "bucket long, tok binary, rep binary, place binary, comp binary")
+    pairs = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiles, "u long, v long").distinct()
     more = bounded_pairs(pairs, reps)
     ties = stash.put(components(more.unionByName(ties.select(F.col("node").alias("u"), F.col("component").alias("v"))), stash))
 
-    sizes = ties.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = ties.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    tiles = docs.join(dealt, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "doc_id", "text")
-    edges = tiles.groupBy("component", "i", "j").applyInArrow(_links, "u long, v long")
-    linked = components(edges, stash)
+    members = ties.join(reps.select("rep", "n"), F.col("node") == F.col("rep")).select(F.col("node").alias("doc_id"), "n", "component")
+    linked = components(tie_links(docs, members, stash), stash)
 
     told = equal.join(linked, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     some = full.select("doc_id", "n", "h1", "h2").join(told, ["h1", "h2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")

@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 
+from .shared import BoundedCache, worker_cache
+
 #: Entries that each of a worker's three caches holds at most; beyond it the cache starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 
 _BYTE_CHARS: dict[int, int] = {}
 
@@ -21,19 +23,6 @@ def byte_alphabet() -> dict[int, int]:
     return _BYTE_CHARS
 
 
-class _Cache(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        out = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[key] = out
-        return out
-
-
 class ChunkEncoder:
     """Encodes texts with the tokenizers library's model as little-endian unsigned 32-bit ids.
 
@@ -66,7 +55,7 @@ class ChunkEncoder:
                 letters = piece.encode().decode("latin-1").translate(table)
             return b"".join([coded[x.id] for x in tokenize(letters)])
 
-        pieces = _Cache(ids)
+        pieces = BoundedCache(ids, CACHE_ENTRIES)
 
         def spaced(word: str) -> bytes:  # a word after a space; one piece if it is all letters, two with a sign at its end
             if word.isalpha():
@@ -75,8 +64,8 @@ class ChunkEncoder:
                 return self.spaced[word[:-1]] + pieces[word[-1]]
             return b"".join([pieces[p] for p in split(" " + word)])
 
-        self.chunks = _Cache(lambda c: b"".join([pieces[p] for p in split(c)]))
-        self.spaced = _Cache(spaced)
+        self.chunks = BoundedCache(lambda c: b"".join([pieces[p] for p in split(c)]), CACHE_ENTRIES)
+        self.spaced = BoundedCache(spaced, CACHE_ENTRIES)
 
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.added):
@@ -93,13 +82,8 @@ class ChunkEncoder:
         return b"".join([chunks[c] for c in self.CHUNK.findall(text)])
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return worker_cache(f"tokens {path}", lambda: ChunkEncoder(path))
 
 
 #: Simple-8b: values per word and bits per value of selectors 2 to 15. Selector 0 is the escape (the next word is one raw 64-bit value); 1 is unused.
