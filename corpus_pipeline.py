@@ -9,6 +9,8 @@ from varve.llm import language, mixing, packing, quality, shingle_join
 from varve.llm.queries import table, tokenizer_path
 from varve.llm.shared import Stash
 
+#: Share of the letters that a document's language has at least.
+LEAST_LANGUAGE = 0.25
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -19,14 +21,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with letters in one of the learned languages."""
-    return language.detect(docs.select(COLUMNS), language.train(docs)).filter("lang_pred != 'und'").select(COLUMNS)
+    """Keeps documents of which one learned language has LEAST_LANGUAGE of the letters at least; texts without letters go."""
+    return language.detect(docs.select(COLUMNS), language.train(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; documents without an id all stay."""
-    kept = shingle_join.near_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
+    """Keeps one document of each group of near copies: that with the smallest id (null last), then text. Rows are told apart by a number of
+    their own, not by doc_id, so different texts under one id both stay, and documents without an id can be copies too. Texts without words all stay."""
+    rows = Stash(spark, "rows").put(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))  # written: the numbers must not change
+    groups = shingle_join.near_documents(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
+    kept = rows.join(groups, "row").groupBy("group").agg(F.min(first)["row"].alias("row"))
+    return rows.join(kept, "row").select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
