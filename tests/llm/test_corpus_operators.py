@@ -357,6 +357,47 @@ def test_html_without_article():
     assert text.startswith("Long text") and text.endswith("More text of it.") and "Short." in text and "End" not in text
 
 
+def test_html_threshold_decides():
+    texts = [html_text.main_text(PAGE, threshold=t) for t in (0, 0.25, 1.2, 2, 9)]
+    assert texts[1].startswith("Title") and len({len(t) for t in texts}) >= 3
+    assert all(len(a) >= len(b) for a, b in itertools.pairwise(texts)) and texts[-1]  # the densest region always stays
+
+
+def test_html_doubtful_names_are_weighed():
+    long = "with many words in it, so that its text is dense and it reads like a part of the article."
+    page = f"<body><header><h2>Site</h2></header><article><header class=entry-header><h1>Title</h1></header><p>First {long}</p><div class='share-price'><p>Prices {long}</p></div><section class=related><p>Related {long}</p></section><div class=share><a href=x>Share</a></div><div class=cookie-notice>Cookies {long}</div><div id=comments><p>Comment {long}</p></div></article><div class=share><a href=x>Share</a></div></body>"
+    assert html_text.main_text(page) == f"Title First {long} Prices {long} Related {long}"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</x>" * 20_000, "<!--" * 20_000, "<b><div>" * 20_000 + "</b>" * 20_000, "<![CDATA[" * 20_000, "</ " * 30_000, "<article>" * 20_000 + "</div>" * 20_000, "<script>" * 20_000, "<a b='" * 20_000, "<" * 80_000])
+def test_html_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 2
+
+
+def test_html_odd_markup():
+    text = html_text.main_text
+    assert text("<p>a <!-- <p>gone</p> --> b</p><script>'<!--'</script><p>c</p>") == "a b c"
+    assert text("<p>x</p><?php echo ?><!DOCTYPE x><p>y</p></ >") == "x y" and text("<p>2 &lt; 3 &amp; 4 < 5</p>") == "2 < 3 & 4 < 5"
+    assert text("<p>kept</p><a href='never closed") == "kept" and text("plain") == "plain" and text("") == ""
+
+
+def test_html_against_the_rows_template(spark):
+    """The article of every page, read by its own markup: its elements' text is all that the extraction gives."""
+    import html as entities
+
+    pages = queries.table(spark, "/root/testdata/sf0.01", "pages").collect()
+    got = {r.page_id: r.text for r in queries.op2(spark, "/root/testdata/sf0.01").collect()}
+    for r in pages:
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = re.split(r"<(?!/?(?:b|i|a|em|strong|span)[ >])[^>]*>", article)
+        plain = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        assert got[r.page_id] == " ".join(x for x in plain if x)
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE, 0), (2, None, None, 0), (3, "u", "", 0), (4, "u", "plain text only", 0), (5, "u", "<p>" * 3000 + "deep", 0), (6, "u", "<b>open <i>never closed <p>x</b> y", 0), (6, "u", "<!-- c --><script>x", 0)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()

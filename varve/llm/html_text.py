@@ -1,8 +1,15 @@
-"""Main text of HTML pages: parser events become lines, lines get text-to-tag ratios, smoothed ratios select content regions."""
+"""Main text of HTML pages: parser events become lines, lines get text-to-tag ratios, smoothed ratios above a threshold are content.
+
+A line's ratio is its characters (those of links count LINK_WEIGHT) over its tags, on a log scale, times the weight of the place it stands in:
+0 in parts that are never article text, less under class names that such parts often have, more within an article or main element,
+and less outside it where the page has one. The ratios are smoothed by a Gaussian over the lines, and those that reach THRESHOLD of the page's
+deviation are the content regions, whose lines are joined in page order.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,56 +23,75 @@ from .shared import bounded_batches
 #: Elements that never have content, elements that stand inside a line, elements that hold no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-OUTSIDE = frozenset("aside audio button canvas dialog fieldset footer form head header iframe math menu nav noscript object option script select style svg template textarea title video".split())
+OUTSIDE = frozenset("aside audio button canvas dialog fieldset footer form head iframe math menu nav noscript object option script select style svg template textarea title video".split())
 OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of class and id names that mark parts outside the article.
-OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adslot|adbox|banner|breadcrumbs?|comments?|commentlist|respond|reply|replies|disqus|consent|cookies?|cookiebar|gdpr|footer|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|popup|promo|promotion|related|recommended|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget|widgets)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+#: Words of class and id names of parts outside the article, and words that such parts and parts of articles share.
+OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot adbox breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus consent cookie cookies cookiebar gdpr footer masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup sidebar sponsor sponsored subscribe toolbar".split())
+DOUBTFUL_WORDS = frozenset("banner header promo promotion recommended related share sharing signup skip social widget widgets".split())
 MAIN = frozenset(("article", "main"))
+#: Elements that end a line but need no place of their own, unless their attributes say something.
+LEAF = frozenset(("p", "li", "dt", "dd", "td", "th", "tr"))
 #: Standard deviation of the Gaussian in lines, and the share of the ratios' deviation that the smoothed ratio of content reaches.
 SIGMA = 1.0
-THRESHOLD = 0.5
+THRESHOLD = 0.25
+#: Weights of a line's ratio: in a main element, outside it where there is one, under a doubtful name; of a link's characters; and the least ratio of a line outside main elements or under a doubtful name.
+IN_MAIN, BESIDE_MAIN, DOUBTFUL, LINK_WEIGHT, LEAST = 1.5, 0.1, 0.5, 0.1, 0.4
+#: Comments, declarations and the like, after raw elements, in which they are text.
+_NOT_MARKUP = re.compile(r"(<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b.*?(?:</\2|\Z))|<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</[^a-zA-Z][^>]*>?", re.DOTALL | re.IGNORECASE)
+_WORDS = re.compile(r"[\s_-]+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, outside, main) per line; a line ends where a block element begins or ends."""
+    """Collects (text, ratio, weight, main) per line; a line ends where a block element begins or ends. Linear in the page's length."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, bool, bool]] = []
-        self.outside, self.main, self.mains, self.tags, self.text = 0, 0, 0, 0, []
+        self.lines: list[tuple[str, float, float, bool]] = []
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, outside, doubtful, main
+        self.at: dict[str, list[int]] = defaultdict(list)  # places in the stack of each open tag
+        self.outside = self.doubtful = self.main = self.tags = self.links = 0
+        self.text: list[str] = []
+        self.weighed = 0.0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.outside > 0, self.mains if self.main else 0))
+            weight = 0.0 if self.outside else DOUBTFUL if self.doubtful else 1.0
+            self.lines.append((text, float(np.log2(1 + self.weighed / max(1, self.tags))), weight, self.main > 0))
             self.tags = 0
-        self.text = []
+        self.text, self.weighed = [], 0.0
+
+    def _push(self, tag: str, outside: bool, doubtful: bool, main: bool) -> None:
+        self.at[tag].append(len(self.open))
+        self.open.append((tag, outside, doubtful, main))
+        self.outside += outside
+        self.doubtful += doubtful
+        self.main += main
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in INLINE:
             self.tags += 1
+            self.links += tag == "a"
             if not attrs or tag in VOID:
                 return
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
-        outside = tag in OUTSIDE or bool(names and OUTSIDE_NAMES.search(names)) or any(k == "hidden" or k == "role" and (v or "").lower() in OUTSIDE_ROLES or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in (v or "").replace(" ", "") for k, v in attrs)
+        words = {w for k, v in attrs if k in ("class", "id") and v for w in _WORDS.split(v.lower())}
+        outside, doubtful = tag in OUTSIDE or not words.isdisjoint(OUTSIDE_WORDS), tag == "header" or not words.isdisjoint(DOUBTFUL_WORDS)
+        for k, v in attrs:
+            v = v or ""
+            outside = outside or k == "hidden" or (k == "role" and v.lower() in OUTSIDE_ROLES) or (k == "aria-hidden" and v == "true") or (k == "style" and "display:none" in v.replace(" ", ""))
+        if tag == "header" and not self.main:  # the page's header; an article's own holds its title
+            outside = True
         if tag in MAIN or tag in ("body", "html"):  # a theme's class names on the whole page say nothing about it
-            outside = False
+            outside = doubtful = False
         if tag in INLINE and not outside:
             return
         self.end_line()
         self.tags += tag not in INLINE
         if tag in VOID:
             return
-        main = tag in MAIN or any(k == "itemprop" and v == "articleBody" or k == "role" and v in ("main", "article") for k, v in attrs)
-        if outside or main or tag not in ("p", "li", "dt", "dd", "td", "th", "tr"):
-            self.open.append((tag, outside, main))
-            self.outside += outside
-            self.mains += main
-            self.main += main
+        main = tag in MAIN or any((k == "itemprop" and v == "articleBody") or (k == "role" and v in ("main", "article")) for k, v in attrs)
+        if outside or doubtful or main or tag not in LEAF:
+            self._push(tag, outside, doubtful, main)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -75,26 +101,27 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is None:
+        self.links = max(0, self.links - (tag == "a"))
+        if not self.at[tag]:
             self.tags += 1
             if tag not in INLINE:
                 self.end_line()
             return
-        if tag not in MAIN and any(o[0] in MAIN for o in self.open[at + 1 :]):  # a stray end tag doesn't close the article
+        at = self.at[tag][-1]
+        if tag not in MAIN and any(self.at[m] and self.at[m][-1] > at for m in MAIN):  # a stray end tag doesn't close the article
             return
         self.end_line()
         self.tags += 1
-        for _, outside, main in self.open[at:]:
+        while len(self.open) > at:
+            name, outside, doubtful, main = self.open.pop()
+            self.at[name].pop()
             self.outside -= outside
+            self.doubtful -= doubtful
             self.main -= main
-        del self.open[at:]
 
     def handle_data(self, data: str) -> None:
-        if not self.outside:
-            self.text.append(data)
-        elif data.strip():
-            self.text.append(data)
+        self.text.append(data)
+        self.weighed += len(data.strip()) * (LINK_WEIGHT if self.links else 1)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -103,32 +130,34 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def page_lines(html: str) -> list[tuple[str, float, float, bool]]:
+    parser = Lines()
+    html = _NOT_MARKUP.sub(lambda m: m[1] or "", html)
+    cut = html.rfind(">") + 1  # what looks like a tag behind the last `>` is none
+    parser.feed(html[:cut] + re.sub(r"</?[a-zA-Z].*", "", html[cut:], count=1, flags=re.DOTALL))
+    parser.close()
+    parser.end_line()
+    return parser.lines
+
+
 def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
-    """Blocks of the content regions, white space within a block as one space, joined by one space.
+    """Lines of the content regions, white space within a line as one space, joined by one space.
 
-    A line's ratio is its characters over its tags. Lines in parts that are never article text count 0. Regions are runs of
-    lines whose smoothed ratio reaches the threshold; a region within an article or main element extends to that element's other lines,
-    and any region to the lines between it and the next one. Where such an element exists, regions outside it are left out.
+    A line is content if its smoothed ratio reaches threshold times the deviation of the page's ratios (at most their maximum, so that a page of equal
+    lines is kept) and its own weight is not 0; outside main elements and under doubtful names its own ratio must reach LEAST, too, where any line's does.
     """
-    if not html:
+    lines = page_lines(html) if html else []
+    if not lines:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    inside = [(text, tags, main) for text, tags, outside, main in parser.lines if not outside]
-    if not inside:
+    ratio, weight, main = (np.array([x[i] for x in lines], float) for i in (1, 2, 3))
+    some_main = bool(((weight > 0) & (main > 0)).any())
+    own = ratio * weight * np.where(main > 0, IN_MAIN, BESIDE_MAIN if some_main else 1.0)
+    smooth = smoothed(own, sigma)
+    keep = (weight > 0) & ((main > 0) & (weight == 1) | (own >= min(LEAST, float(own.max()))))
+    if not keep.any():
         return ""
-    ratios = np.array([0.0 if outside else len(text) / max(1, tags) for text, tags, outside, _ in parser.lines])
-    smooth = smoothed(ratios, sigma)[[i for i, x in enumerate(parser.lines) if not x[2]]]
-    keep = smooth >= min(threshold * float(ratios.std()), float(smooth.max()))
-    mains = np.array([m for _, _, m in inside])
-    if (keep & (mains > 0)).any():
-        keep = np.isin(mains, np.unique(mains[keep & (mains > 0)]))
-    else:
-        on = np.flatnonzero(keep)
-        keep[on[0] : on[-1] + 1] = True
-    return " ".join(inside[i][0] for i in np.flatnonzero(keep))
+    keep &= smooth >= min(threshold * float(own.std()), float(smooth[keep].max()))
+    return " ".join(lines[i][0] for i in np.flatnonzero(keep))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
