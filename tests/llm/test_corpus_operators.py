@@ -152,13 +152,45 @@ def test_mixing(spark, docs):
 
 
 def test_mixing_slots_are_dealt_once(spark, docs):
-    _, sources, slots = mixing.plan(docs, Stash(spark, "t"), block_words=4)
+    _, sources, slots = mixing.plan(docs, Stash(spark, "t"), block_words=4, shard_slots=64)
     quota = {r.skey: (r.blocks, r.quota) for r in sources.collect()}
-    drawn = Counter((r.skey, r.block) for r in slots.collect())
+    rows = slots.collect()
+    drawn = Counter((r.skey, r.block) for r in rows)
+    assert len({r.slot for r in rows}) == len(rows) == sum(n for _, n in quota.values()) and all(r.shard == r.slot // 64 for r in rows)
     for key, (blocks, n) in quota.items():
         mine = {b: c for (k, b), c in drawn.items() if k == key}
         assert sum(mine.values()) == n and all(0 <= b < blocks for b in mine) and (not mine or max(mine.values()) <= -(-n // blocks))
-    assert sum(r.n for r in mixing.shard_counts(slots).collect()) == sum(n for _, n in quota.values())
+
+
+def test_mixing_shards_are_multinomial_draws(spark):
+    """Counts per shard vary as a multinomial's do: the variance of a source's share over the shards is n p (1 - p)."""
+    d = documents(spark, [(i, sentence(i, 600), "en", f"s{i % 3}") for i in range(60)])
+    _, sources, slots = mixing.plan(d, Stash(spark, "t"), block_words=4, shard_slots=100)
+    quota = {r.skey: r.quota for r in sources.collect()}
+    counts = mixing.shard_counts(slots).collect()
+    total, last = sum(quota.values()), max(r.shard for r in counts)
+    for key, q in quota.items():
+        per, p = np.array([r.n for r in counts if r.skey == key and r.shard < last]), q / total
+        assert abs(per.mean() - 100 * p) < 3 and 0.5 < per.var() / (100 * p * (1 - p)) < 1.7
+
+
+def test_taken_words_equal_those_of_the_drawn_slots(spark, docs):
+    """taken, recomputed word by word: each document's words in its source's stream, by the number of draws of their block."""
+    some = docs.filter("doc_id is null or doc_id != 5")
+    placed, _, slots = mixing.plan(some, Stash(spark, "t"), block_words=4)
+    draws = Counter((r.skey, r.block) for r in slots.collect())
+    stream = {}
+    for r in placed.collect():
+        for w in range(r.start, r.start + r["size"]):
+            assert (r.skey, w) not in stream
+            stream[r.skey, w] = r.doc_id
+    for key in {k for k, _ in stream}:  # streams are gapless
+        assert sorted(w for k, w in stream if k == key) == list(range(sum(k == key for k, _ in stream)))
+    want = Counter()
+    for (key, w), doc in stream.items():
+        want[doc] += draws[key, w // 4]
+    got = {r.doc_id: r.taken for r in mixing.mix(some, block_words=4).collect()}
+    assert {d: n for d, n in got.items() if n} == {d: n for d, n in want.items() if n}
 
 
 def test_permutation_is_a_bijection(spark):

@@ -79,12 +79,18 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     def hits(s: Column) -> Column:
         return F.array_distinct(F.concat(F.filter(s, lambda x: x.isin(keys)), F.filter(window_keys(s, STRIDE), lambda x: x.isin(keys))))
 
+    owners: dict[int, list[str]] = {}
+    for license, key in index:
+        owners.setdefault(key, []).append(license)
+    lookup = F.create_map(*(x for k, v in sorted(owners.items()) for x in (F.lit(k), F.array(*map(F.lit, sorted(set(v)))))))
+
     found = docs.select("doc_id", "text", F.transform(F.array(hashed), hits)[0].alias("hits")).filter(F.size("hits") > 0)
-    pairs = found.select("doc_id", "text", F.explode("hits").alias("key")).join(F.broadcast(spark.createDataFrame(index, "license string, key long")), "key").select("doc_id", "text", "license").distinct()
+    pairs = found.select("doc_id", "text", F.explode(F.array_distinct(F.flatten(F.transform("hits", lambda k: F.element_at(lookup, k))))).alias("license"))
     checked = pairs.join(F.broadcast(known), "license").withColumn("shingles", hashed)
     both = F.size(F.array_intersect("wanted", "shingles"))
-    out = checked.select("doc_id", "license", F.size("wanted").cast("long").alias("n_shingles"), both.cast("long").alias("n_found"), (both / F.size("wanted")).alias("containment"), F.array_min(F.transform("wanted", lambda x: F.nullif(F.array_position("shingles", x), F.lit(0)))).alias("at"))
-    return out.filter(F.col("containment") >= containment).select("doc_id", "license", "n_shingles", "n_found", "containment", (F.col("at") - 1).cast("long").alias("first_word"))
+    out = checked.select("doc_id", F.xxhash64("text").alias("body"), "license", F.size("wanted").cast("long").alias("n_shingles"), both.cast("long").alias("n_found"), (both / F.size("wanted")).alias("containment"), F.array_min(F.transform("wanted", lambda x: F.nullif(F.array_position("shingles", x), F.lit(0)))).alias("at"))
+    out = out.filter(F.col("containment") >= containment).withColumn("first_word", (F.col("at") - 1).cast("long"))
+    return out.distinct().select("doc_id", "license", "n_shingles", "n_found", "containment", "first_word")  # repeated rows, told by the text's hash
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> str:

@@ -1,10 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each source's words form one stream, cut into blocks of BLOCK_WORDS. The mix is a row of output slots in shards of
-SHARD_SLOTS. A pseudorandom bijection of all slots deals them to the sources, which makes the counts of each shard multinomial
-draws conditioned on every source's exact total; a per-source, per-epoch bijection then maps a source's n-th slot to a block
-index, and blocks are joined by (source, index). A block comes up once per epoch, so no word is taken more often
-than the target's number of epochs, rounded up.
+Each source's words form one stream, cut into blocks of BLOCK_WORDS. The mix is a row of output slots in shards of SHARD_SLOTS, the unit of work.
+Every slot of a shard draws a source with the sources' shares as probabilities, so a shard's source counts are a multinomial draw. Prefix sums of
+the counts over the shards number each source's draws. Draws beyond a source's quota (about the square root of it) are dealt
+in order to the sources that were drawn too seldom, so totals meet the quotas. A pseudorandom permutation per source and
+epoch maps a source's n-th draw to a block index, and blocks are joined by (source, index). A block comes up once per
+epoch, so no word is taken more often than the target's number of epochs, rounded up.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ SHARD_SLOTS = 65_536
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
-#: Documents per chunk of the two-level prefix sum (on average) and slots per lookup bucket.
-CHUNK_DOCS = 2048
-BUCKET_SLOTS = 64
+#: Documents per chunk of the two-level prefix sum, on average.
+CHUNK_DOCS = 512
+#: Cells of the lookup of a source by its place among all slots, at least; there are about four a source at most beyond them.
+CELLS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -61,28 +63,47 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return w.withColumn("target", F.least(F.col("most"), F.coalesce(level * F.col("w"), F.col("most")))).select("skey", "source", "source_size", "target")
 
 
-def plan(docs: DataFrame, stash: Stash, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share=SHARE, cap=CAP, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _owners(rows: DataFrame, spans: DataFrame, at: Column, total: int, cells: int) -> DataFrame:
+    """rows with the columns of the one span (first, quota) that holds `at`, a place below total. The lookup has one row per cell and span in it."""
+    width = max(1, -(-total // cells))
+    near = spans.filter("quota > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("quota") - 1) / width))))
+    return rows.withColumn("cell", F.floor(at / width)).join(near, "cell").filter((at >= F.col("first")) & (at < F.col("first") + F.col("quota"))).drop("cell")
+
+
+def plan(docs: DataFrame, stash: Stash, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share=SHARE, cap=CAP, keep: Sequence[str] = (), shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, with the columns to keep and with their place in their source's stream, sources with targets and blocks, slots with shard, source and block)."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("body"), *keep)
     chunks = max(1, docs.count() // CHUNK_DOCS)
-    sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)).cast("int"))
-    order = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size")
-    placed = stash.put(sized.withColumn("r", F.row_number().over(order)).withColumn("local", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")))
+    sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "body"), F.lit(chunks)).cast("int"))
+    order = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size", "body")
+    placed = stash.put(sized.withColumn("r", F.row_number().over(order)).withColumn("local", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).drop("body"))
     totals = placed.groupBy("skey", "source", "chunk").agg(F.sum("size").alias("words"))
     bases = totals.withColumn("base", F.sum("words").over(Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")).select("skey", "chunk", "base")
     sources = source_targets(totals.groupBy("skey", "source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     blocks = F.ceil(F.col("source_size") / block_words)
     sources = sources.withColumn("blocks", blocks).withColumn("quota", F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), (cap * F.col("blocks")).cast("long"))).otherwise(F.lit(0).cast("long")))
-    sources = stash.put(sources.withColumn("first", F.sum("quota").over(Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("quota")))
-    n = sources.agg(F.sum("quota")).first()[0] or 0
-    spans = sources.filter("quota > 0").select("skey", "blocks", "first", "quota", F.explode(F.sequence(F.floor(F.col("first") / BUCKET_SLOTS), F.floor((F.col("first") + F.col("quota") - 1) / BUCKET_SLOTS))).alias("bucket"))
-    slots = spark.range(n).select(F.col("id").alias("slot"), permuted(F.col("id"), F.lit(max(1, n)).cast("long"), F.lit("slots")).alias("at")).withColumn("bucket", F.floor(F.col("at") / BUCKET_SLOTS))
-    slots = slots.join(spans, "bucket").filter((F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("quota")))
-    nth = F.col("at") - F.col("first")
-    block = permuted(F.pmod(nth, F.col("blocks")), F.col("blocks"), F.col("skey"), F.floor(nth / F.col("blocks")))
-    slots = slots.select("skey", F.floor(F.col("slot") / SHARD_SLOTS).alias("shard"), "slot", block.alias("block"))
-    return placed.join(bases, ["skey", "chunk"]).withColumn("start", F.col("base") + F.col("local")), sources, slots
+    before = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sources = stash.put(sources.withColumn("first", F.sum("quota").over(before) - F.col("quota")))
+    n, names = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    cells = max(CELLS, 4 * names)
+
+    drawn = spark.range(n).select(F.col("id").alias("slot"), F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(max(1, n))).alias("at"))
+    drawn = stash.put(_owners(drawn, sources.select("skey", "first", "quota"), F.col("at"), n, cells).select("shard", "slot", "skey", "quota"))
+    counts = shard_counts(drawn).withColumn("earlier", F.sum("n").over(Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    inner = F.row_number().over(Window.partitionBy("shard", "skey").orderBy("slot"))
+    drawn = drawn.withColumn("inner", inner).join(counts, ["shard", "skey"]).select("shard", "slot", "skey", "quota", (F.col("earlier") + F.col("inner") - 1).alias("nth"))
+
+    met = sources.select("skey", "quota").join(counts.groupBy("skey").agg(F.sum("n").alias("hits")), "skey", "left").select("skey", "quota", F.coalesce("hits", F.lit(0)).alias("hits"))
+    gaps = met.withColumn("over", F.greatest(F.col("hits") - F.col("quota"), F.lit(0))).withColumn("under", F.greatest(F.col("quota") - F.col("hits"), F.lit(0)))
+    gaps = stash.put(gaps.withColumn("over_first", F.sum("over").over(before) - F.col("over")).withColumn("under_first", F.sum("under").over(before) - F.col("under")))
+    spare = gaps.agg(F.coalesce(F.sum("over"), F.lit(0))).first()[0]
+    beyond = drawn.filter("nth >= quota").join(gaps.select("skey", "over_first"), "skey").select("shard", "slot", (F.col("over_first") + F.col("nth") - F.col("quota")).alias("at"))
+    lacking = gaps.select("skey", "hits", F.col("under_first").alias("first"), F.col("under").alias("quota"))
+    dealt = _owners(beyond, lacking, F.col("at"), spare, cells).select("shard", "slot", "skey", (F.col("hits") + F.col("at") - F.col("first")).alias("nth"))
+    slots = drawn.filter("nth < quota").select("shard", "slot", "skey", "nth").unionByName(dealt).join(sources.select("skey", "blocks"), "skey")
+    block = permuted(F.pmod("nth", "blocks"), F.col("blocks"), F.col("skey"), F.floor(F.col("nth") / F.col("blocks")))
+    return placed.join(bases, ["skey", "chunk"]).withColumn("start", F.col("base") + F.col("local")), sources, slots.select("skey", "shard", "slot", block.alias("block"))
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:

@@ -361,7 +361,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, stash))
     sketch = stash.put(docs.mapInArrow(_sketch(heavy), "doc_id long, n int, h1 long, h2 long, bitmap binary, bands array<long>, tokens binary"))
     full = sketch.filter("n > 0 and doc_id is not null")
-    equal = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    equal = stash.put(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))  # written, so that the joins below are not dealt by the hot digest of many copies
     reps = stash.put(full.join(equal.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"]).withColumnRenamed("doc_id", "rep"))
 
     keys = reps.select("rep", "n", F.explode("bands").alias("key"))
