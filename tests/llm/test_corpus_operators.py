@@ -360,11 +360,36 @@ def test_near_vectors_equal_brute_force(spark, embeddings):
             p, q = find(a), find(b)
             root[max(p, q)] = min(p, q)
     got = near_vectors.near_vectors(vectors(spark, embeddings)).collect()
-    assert len(got) == len(embeddings)  # recall is measured as 1: every link of brute force is found
+    assert len(got) == len(embeddings)  # recall is 1 here: every link of brute force is found
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None} == {i: (links[i], find(i), find(i) == i) for i in root}
     assert near_vectors.near_vectors(vectors(spark, embeddings).limit(0)).collect() == []
 
 
+def test_near_vectors_recall_and_visits(spark, monkeypatch):
+    """Links at or just above the threshold, in many cells: recall of at least 0.99, no false link, and a small part of the grid visited."""
+    monkeypatch.setattr(near_vectors, "CELL", 4)
+    rng = np.random.default_rng(9)
+    base = near_vectors.unit_rows(rng.standard_normal((700, 32)))
+    step = rng.standard_normal(base.shape)
+    step = near_vectors.unit_rows(step - (step * base).sum(1, keepdims=True) * base)
+    cos = rng.uniform(0.98, 0.985, (len(base), 1))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.vstack([base, cos * base + np.sqrt(1 - cos**2) * step]))]
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = near_vectors.unit_rows(np.array([r[1] for r in rows]))
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
+    books = tuple(near_vectors.fit_codebook(h, 18) for h in near_vectors._halves(x))
+    limit = near_vectors.visit_limit(x, books, 0.98)
+    (_, low_a), (_, low_b) = (near_vectors.cell_bounds(h, b) for h, b in zip(near_vectors._halves(x), books, strict=True))
+    assert np.mean([len(list(near_vectors.multi_sequence(a, b, limit))) for a, b in zip(low_a, low_b, strict=True)]) < 0.25 * 18 * 18
+
+
+def test_near_vectors_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0)]
+    got = sorted(plain(near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))))
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_multi_sequence_is_in_order():
     a, b = np.array([0.3, 0.0, 0.7]), np.array([0.2, 0.1, 0.9, 0.4])
     got = list(near_vectors.multi_sequence(a, b, 0.9))
@@ -513,6 +538,28 @@ def test_license_scan(spark):
         license_scan.scan(d, {"short": "two words"})
 
 
+def test_license_scan_recall_of_edited_notices(spark):
+    """Long notices with words exchanged all over: all whose exact containment reaches the limit are retrieved."""
+    rng = np.random.default_rng(6)
+    rows, want = [(None, license_scan.TEMPLATES["apache-2.0-header"], None, None)], {(None, "apache-2.0-header"), (None, "apache-2.0")}
+    words_of = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    for k in range(240):
+        name = ("mit-text", "apache-2.0-header", "bsd-2-clause", "gpl-3.0-header")[k % 4]
+        words = words_of(license_scan.TEMPLATES[name])
+        for at in rng.integers(0, len(words), rng.integers(0, 6)):
+            words[at] = f"edit{at}"
+        text = words_of(sentence(k, 30)) + words + words_of(sentence(k + 1, 30))
+        have = {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
+        for other, body in license_scan.TEMPLATES.items():
+            w = words_of(body)
+            need = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            if len(need & have) >= 0.75 * len(need):
+                want.add((k, other))
+        rows.append((k, " ".join(text), None, None))
+    got = {(r.doc_id, r.license) for r in license_scan.scan(documents(spark, rows)).collect()}
+    assert len(want) > 150 and got == want
+
+
 def test_near_contents_at_production_settings(spark):
     sf = "/root/testdata/sf0.001"
     pytest.importorskip("pyarrow")

@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
 Each vector, scaled to length 1, is cut into halves; a codebook per half, fitted on a bounded sample, makes a grid of cells, and every vector is indexed in
-its cell. A vector visits cells by a multi-sequence traversal in the order of a lower bound on the distance to
-any member; it ends when the bound passes the distance that the cosine threshold allows, so all links are visited (target recall 1). Visited
-pairs of cells are compared in blocks by exact cosine; blocks return counts and spanning edges, never all pairs.
+its cell. A vector visits cells by a multi-sequence traversal in the order of a lower bound on the distance to any member, until the bound passes
+a limit. The limit is set so that the target recall is met: sample vectors, each moved in a random direction to exactly the
+cosine threshold, fall within the limit in TARGET_RECALL of cases; and a pair is met if either vector visits the other's cell. Visited pairs of cells are
+compared in pairs of blocks by exact cosine; block pairs return counts and spanning edges, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from .shared import Stash, bounded_batches
 from .topk import finite
 
 MIN_COSINE = 0.98
-#: Vectors that the codebooks are fitted on at most, aimed-at vectors per cell, and codes per half at most.
-SAMPLE, CELL, MAX_CODES = 4096, 64, 128
+TARGET_RECALL = 0.999
+#: Vectors that the codebooks are fitted on at most, aimed-at vectors per cell, and codes per half at most (a grid of a million cells).
+SAMPLE, CELL, MAX_CODES = 8192, 64, 1024
 BLOCK = 512
+#: Moved copies of each of so many sample vectors that the limit is set by.
+MOVED, MOVED_OF = 8, 2048
 
 
 def fit_codebook(points: np.ndarray, codes: int, rounds: int = 8) -> np.ndarray:
@@ -75,7 +79,20 @@ def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :cut], x[:, cut:]
 
 
-def _index(books: dict[int, tuple[np.ndarray, np.ndarray]], limit: float):
+def visit_limit(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], min_cosine: float, recall: float = TARGET_RECALL) -> float:
+    """The bound within which the given share of the sample's vectors, each moved to exactly min_cosine, have the cell of the moved vector."""
+    rng = np.random.default_rng(11)
+    x = np.repeat(points[:MOVED_OF], MOVED, axis=0)
+    step = rng.standard_normal(x.shape)
+    step -= (step * x).sum(1, keepdims=True) * x
+    moved = min_cosine * x + np.sqrt(1 - min_cosine**2) * step / np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-12)
+    bound = np.zeros(len(x))
+    for half, other, book in zip(_halves(x), _halves(moved), books, strict=True):
+        bound += np.take_along_axis(cell_bounds(half, book)[1], cell_bounds(other, book)[0][:, None], 1)[:, 0]
+    return min(2 - 2 * min_cosine, float(np.quantile(bound, recall))) + 1e-9
+
+
+def _index(books: dict[int, tuple[np.ndarray, np.ndarray]], limits: dict[int, float]):
     """Adds to rows label, rep, mult, vector, dim each vector's cell and the cells that it visits; vectors are scaled to length 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +108,7 @@ def _index(books: dict[int, tuple[np.ndarray, np.ndarray]], limit: float):
                 wide = len(books[dim][1])
                 for n, i in enumerate(at):
                     cells[i] = int(own_a[n]) * wide + int(own_b[n])
-                    visits[i] = [a * wide + b for a, b in multi_sequence(low_a[n], low_b[n], limit)]
+                    visits[i] = [a * wide + b for a, b in multi_sequence(low_a[n], low_b[n], limits[dim])]
             unit = pa.array(vectors, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], unit, *batch.columns[4:], pa.array(cells, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "cell", "visits"])
 
@@ -146,8 +163,8 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors are compared only if their labels are equal and not null and their lengths agree. Null ids and vectors that are null, empty, zero or hold
-    null or non-finite components link with nothing. Exact copies are linked with each other and compared once. Repeated
-    ids count as separate vectors of one component. An empty table gives no rows; other columns are ignored.
+    null or non-finite components link with nothing. Exact copies (told by two 64-bit hashes) are linked with each other and compared once. Rows that repeat an id
+    with other vectors are one node, and each of them tells the links of all. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -155,37 +172,40 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     largest = F.array_max(F.transform("embedding", F.abs))
     usable = finite("embedding") & (F.size("embedding") > 0) & (largest > 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    good = rows.filter("usable").select("vec_id", "label", F.size("embedding").alias("dim"), "embedding")
-    distinct = stash.put(good.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
-    unit = distinct.select("label", "rep", "mult", F.col("embedding").alias("vector"), "dim")
+    rows = rows.select("*", F.coalesce(usable, F.lit(False)).alias("usable"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    good = rows.filter("usable").select("vec_id", "label", F.size("embedding").alias("dim"), "embedding", "h1", "h2")
+    distinct = stash.put(good.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("embedding").alias("vector")))
+    unit = distinct.select("label", "rep", "mult", "vector", "dim")
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    limits: dict[int, float] = {}
     for shape in distinct.groupBy("dim").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect():
         sample = unit.filter(F.col("dim") == shape.dim).orderBy(F.xxhash64("rep", "label"), "rep").limit(SAMPLE).select("vector").collect()
         codes = int(min(MAX_CODES, max(2, np.sqrt(shape.n / shape.labels / CELL))))
         points = unit_rows(np.array([r.vector for r in sample]))
         books[shape.dim] = tuple(fit_codebook(h, codes) for h in _halves(points)) if shape.dim > 1 else (fit_codebook(points, codes), np.zeros((1, 0)))
-    limit = 2 - 2 * min_cosine + 1e-9
-    schema = "label int, rep long, mult long, vector array<double>, dim int, cell int, visits array<int>"
-    schema = schema.replace("label int", f"label {dict(unit.dtypes)['label']}")
-    indexed = stash.put(unit.mapInArrow(_index(books, limit), schema))
-    visited = indexed.select("label", "dim", "cell", F.explode("visits").alias("other")).select("label", "dim", F.least("cell", "other").alias("cell"), F.greatest("cell", "other").alias("other")).distinct()
-    chunk = indexed.groupBy("label", "dim", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("chunks"))
+        limits[shape.dim] = visit_limit(points, books[shape.dim], min_cosine)
+    label = f"label {dict(unit.dtypes)['label']}"
+    indexed = stash.put(unit.mapInArrow(_index(books, limits), f"{label}, rep long, mult long, vector array<double>, dim int, cell int, visits array<int>"))
+    chunk = stash.put(indexed.groupBy("label", "dim", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("chunks")))
 
     def block(frame: pd.DataFrame) -> pd.DataFrame:  # at most about BLOCK rows, dealt by hash within a cell
         first = frame.iloc[0]
         return pd.DataFrame({"label": [first.label], "dim": [first.dim], "cell": [first.cell], "part": [first.part], "reps": [frame.rep.tolist()], "mults": [frame.mult.tolist()], "vectors": [np.array(frame.vector.tolist(), float).tobytes()]})
 
     dealt = indexed.join(chunk, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks"))).select("label", "dim", "cell", "part", "rep", "mult", "vector")
-    block_schema = f"label {dict(unit.dtypes)['label']}, dim int, cell int, part long, reps array<long>, mults array<long>, vectors binary"
-    blocks = stash.put(dealt.groupBy("label", "dim", "cell", "part").applyInPandas(block, block_schema))
+    blocks = stash.put(dealt.groupBy("label", "dim", "cell", "part").applyInPandas(block, f"{label}, dim int, cell int, part long, reps array<long>, mults array<long>, vectors binary"))
+
+    visited = indexed.select("label", "dim", "cell", F.explode("visits").alias("other")).select("label", "dim", F.least("cell", "other").alias("cell"), F.greatest("cell", "other").alias("other")).distinct()
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pairs = visited.join(chunk, ["label", "dim", "cell"]).join(chunk.select("label", "dim", F.col("cell").alias("other"), F.col("chunks").alias("o_chunks")), ["label", "dim", "other"])
+    pairs = pairs.withColumn("part", upto("chunks")).withColumn("o_part", upto("o_chunks")).filter("cell < other or part <= o_part").select("label", "dim", "cell", "part", "other", "o_part")  # numbers only: a hot cell's block pairs are dealt out one by one
     others = blocks.select("label", "dim", F.col("cell").alias("other"), F.col("part").alias("o_part"), F.col("reps").alias("o_reps"), F.col("mults").alias("o_mults"), F.col("vectors").alias("o_vectors"))
-    pairs = blocks.join(visited, ["label", "dim", "cell"]).join(others, ["label", "dim", "other"]).filter("cell < other or part <= o_part")
+    met = pairs.join(blocks, ["label", "dim", "cell", "part"]).join(others, ["label", "dim", "other", "o_part"])
     same = (F.col("cell") == F.col("other")) & (F.col("part") == F.col("o_part"))
-    found = stash.put(pairs.select("reps", "mults", "vectors", same.alias("same"), *(F.when(~same, F.col(c)).alias(c) for c in ("o_reps", "o_mults", "o_vectors"))).mapInArrow(_compare(min_cosine), "rep long, links long, root long"))
+    found = stash.put(met.select("reps", "mults", "vectors", same.alias("same"), *(F.when(~same, F.col(c)).alias(c) for c in ("o_reps", "o_mults", "o_vectors"))).mapInArrow(_compare(min_cosine), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), stash)
-    told = distinct.join(links, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left").select("label", "embedding", "mult", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(told, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    told = stash.put(distinct.join(links, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left").select("label", "dim", "h1", "h2", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    linked = good.join(told, ["label", "dim", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
