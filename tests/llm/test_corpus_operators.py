@@ -485,6 +485,31 @@ def test_quality(spark):
     assert len(quality.train(d, labels, max_labelled=50).labels) == 50
 
 
+def test_quality_votes_equal_brute_force(spark):
+    """Every score from its definition: the nearest labelled vectors by exact cosine, ties to the first, weighted by a power of the cosine."""
+    texts = [sentence(i, 40 + i) if i % 3 else junk(i) for i in range(90)] + [sentence(1, 41)] * 3 + ["", "x"]
+    counts = quality.features(texts)
+    model = quality.fit(counts, np.array([i % 2 for i in range(len(texts))], float))
+    z = quality._unit(quality.weighted(counts, model.idf) @ model.basis)
+    for text, row, got in zip(texts, z, model.score(texts), strict=True):
+        sims = [float(np.float32(row @ v)) for v in model.vectors]
+        near = sorted(range(len(sims)), key=lambda j: (-round(sims[j], 5), j))[: model.neighbours]
+        weight = [max(sims[j], 0) ** model.sharpness for j in near]
+        edge = sorted(sims)[-model.neighbours]
+        if sum(abs(s - edge) < 1e-5 for s in sims) == 1:  # no near-tie at the last place
+            assert got == pytest.approx(sum(w * model.labels[j] for w, j in zip(weight, near, strict=True)) / sum(weight), abs=1e-3), text
+    sims = np.array([[0.5, 0.9, 0.5, 0.5, 0.1, 0.5] + [0.0] * 30], np.float32)
+    assert quality.votes(sims, np.array([0, 1, 1, 0, 1, 1] + [0] * 30, float), 3, 1, 0.5)[0] == pytest.approx((0.9 + 0.5) / 1.9)
+
+
+def test_quality_settings_come_from_training_rows_only(spark):
+    rows = [(i, sentence(i, 50) if i % 3 else junk(i), "en", "s") for i in range(200)]
+    labels = [(i, int(i % 3 != 0)) for i in range(200)]
+    flipped = [(i, y if zlib.crc32(str(i).encode()) % 5 else 1 - y) for i, y in labels]
+    a, b = (quality.train(documents(spark, rows), spark.createDataFrame(x, "doc_id long, quality int")) for x in (labels, flipped))
+    assert (a.neighbours, a.sharpness) == (b.neighbours, b.sharpness) and (a.vectors == b.vectors).all() and (a.labels == b.labels).all()
+
+
 SYLLABLES = {"aa": "ka ri to mu ne".split(), "bb": "sch ung lich ter ein".split(), "рр": "при ста ово ние лка".split()}
 
 

@@ -2,7 +2,8 @@
 
 A bounded sample of labelled documents (MAX_LABELLED rows) is turned into hashed tf-idf vectors and reduced by a truncated
 singular value decomposition. Its vectors and labels are broadcast (at most MAX_LABELLED x RANK numbers); every document is then
-compared with all of them in blocks by exact cosine, and its nearest NEIGHBOURS vote with weights that grow with similarity.
+compared with all of them in blocks by exact cosine, and its nearest neighbours vote with weights that grow with similarity. How many vote, and how fast
+weights grow, is chosen on the training rows alone.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from .shared import BoundedCache, bounded_batches, slices, worker_cache
 
 MAX_LABELLED = 4000
 RANK = 64
-NEIGHBOURS = 9
-SHARPNESS = 40
+#: Neighbours that vote and powers of their cosines, of which the training rows choose a pair; cosines from COPY up are copies, which don't take part in the choice.
+NEIGHBOURS, SHARPNESS = (9, 15, 25, 41), (4, 8, 16, 40)
+COPY = 0.999
 THRESHOLD = 0.3
 WORDS, SHAPES, STATS = 1024, 768, 256
 #: Length of the vector's three parts before the reduction: words, word shapes, whole-text measures.
@@ -81,23 +83,47 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.hstack([_unit(p) * w for p, w in zip(parts, PART_LENGTHS, strict=True)]).astype(np.float32)
 
 
+def votes(sims: np.ndarray, labels: np.ndarray, neighbours: int, sharpness: float, prior: float) -> np.ndarray:
+    """Mean label of each row's nearest labelled vectors, weighted by a power of their positive cosines; equal cosines: the first vectors."""
+    near = np.argsort(-sims, axis=1, kind="stable")[:, :neighbours] if sims.shape[1] <= 2 * neighbours else _nearest(sims, neighbours)
+    weight = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** sharpness
+    total = weight.sum(1)
+    out = np.full(len(sims), prior)
+    some = total > 0
+    out[some] = (weight * labels[near]).sum(1)[some] / total[some]
+    return np.clip(out, 0, 1)
+
+
+def _nearest(sims: np.ndarray, k: int) -> np.ndarray:
+    """The k largest per row, of which the last ones, where equal, are the first in order."""
+    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(sims, near, 1).min(1)
+    for i in np.flatnonzero((sims >= last[:, None]).sum(1) > k):
+        near[i] = np.argsort(-sims[i], kind="stable")[:k]
+    return near
+
+
 class Model:
-    def __init__(self, idf: np.ndarray, basis: np.ndarray, vectors: np.ndarray, labels: np.ndarray, prior: float):
-        self.idf, self.basis, self.vectors, self.labels, self.prior = idf, basis, vectors, labels, prior
+    def __init__(self, idf: np.ndarray, basis: np.ndarray, vectors: np.ndarray, labels: np.ndarray, prior: float, neighbours: int = NEIGHBOURS[0], sharpness: float = SHARPNESS[0]):
+        self.idf, self.basis, self.vectors, self.labels, self.prior, self.neighbours, self.sharpness = idf, basis, vectors, labels, prior, neighbours, sharpness
 
     def score(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), self.prior)
         if not len(self.labels):
-            return out
-        z = _unit(weighted(features(texts), self.idf) @ self.basis)
-        sims = z @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        votes = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** SHARPNESS
-        total = votes.sum(1)
-        some = total > 0
-        out[some] = (votes * self.labels[near]).sum(1)[some] / total[some]
-        return np.clip(out, 0, 1)
+            return np.full(len(texts), self.prior)
+        return votes(_unit(weighted(features(texts), self.idf) @ self.basis) @ self.vectors.T, self.labels, self.neighbours, self.sharpness, self.prior)
+
+
+def choose(vectors: np.ndarray, labels: np.ndarray, prior: float) -> tuple[int, float]:
+    """The pair of NEIGHBOURS and SHARPNESS with the least log loss over the training rows, each scored by the others without its copies."""
+    loss = {(k, p): 0.0 for k in NEIGHBOURS for p in SHARPNESS}
+    for at in range(0, len(labels), BLOCK):
+        sims = vectors[at : at + BLOCK] @ vectors.T
+        sims[sims >= COPY] = -1
+        y = labels[at : at + BLOCK]
+        for k, p in loss:
+            got = np.clip(votes(sims, labels, k, p, prior), 0.01, 0.99)
+            loss[k, p] -= float((y * np.log(got) + (1 - y) * np.log(1 - got)).sum())
+    return min(loss, key=lambda x: (loss[x], x))
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
@@ -113,7 +139,8 @@ def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
         basis = np.linalg.qr(x.T @ (x @ basis))[0]
     small = np.linalg.svd(x @ basis, full_matrices=False)[2]
     basis = (basis @ small[:rank].T).astype(np.float32)
-    return Model(idf, basis, _unit(x @ basis).astype(np.float32), labels.astype(np.float64), float(labels.mean()))
+    vectors, labels, prior = _unit(x @ basis).astype(np.float32), labels.astype(np.float64), float(labels.mean())
+    return Model(idf, basis, vectors, labels, prior, *choose(vectors, labels, prior))
 
 
 def remainder(doc_id: Column, by: int) -> Column:
