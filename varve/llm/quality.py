@@ -76,6 +76,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def weighted_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """weighted, block by block, so that the driver holds the counts and the result only."""
+    out = np.empty(counts.shape, np.float32)
+    for at in range(0, len(counts), BLOCK):
+        out[at : at + BLOCK] = weighted(counts[at : at + BLOCK], idf)
+    return out
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Log-scaled, idf-weighted counts; shapes count by their share of the words, since a text's make-up matters there, not its length."""
     share = counts[:, WORDS : WORDS + SHAPES]
@@ -131,7 +139,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
     if not n:
         return Model(np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)), labels, 0.5)
     idf = np.log((1 + n) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    x = weighted(counts, idf)
+    x = weighted_rows(counts, idf)
     rank = min(rank, *x.shape)
     rng = np.random.default_rng(20)
     basis = np.linalg.qr(x.T @ (x @ rng.standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)))[0]
@@ -155,12 +163,19 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BLOCK):
-            x = features(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], ["counts", "quality"])
-
-    found = rows.mapInArrow(run, "counts binary, quality int").orderBy("counts", "quality").limit(max_labelled).collect()
-    counts = np.array([np.frombuffer(r.counts, np.float32) for r in found]) if found else np.zeros((0, 1), np.float32)
-    return fit(counts, np.array([r.quality for r in found], np.float64))
+            told = []
+            for r in features(batch.column(0).to_pylist()):
+                at = np.flatnonzero(r)
+                told.append(at.astype("<u2").tobytes() + r[at].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(told, pa.binary()), batch.column(1)], ["counts", "quality"])
+
+    found = rows.mapInArrow(run, "counts binary, quality int").orderBy(F.xxhash64("counts"), "counts", "quality").limit(max_labelled).toArrow()  # about 2 kB a row
+    counts = np.zeros((found.num_rows, WORDS + SHAPES + STATS), np.float32)
+    for row, told in zip(counts, found.column("counts"), strict=True):
+        told = told.as_py()
+        k = len(told) // 6
+        row[np.frombuffer(told[: 2 * k], "<u2")] = np.frombuffer(told[2 * k :], "<f4")
+    return fit(counts, found.column("quality").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
