@@ -3,8 +3,8 @@
 Each vector, scaled to length 1, is cut into halves; a codebook per half, fitted on a bounded sample, makes a grid of cells, and every vector is indexed in
 its cell. A vector visits cells by a multi-sequence traversal in the order of a lower bound on the distance to any member, until the bound passes
 a limit. The limit is set so that the target recall is met: sample vectors, each moved in a random direction to exactly the
-cosine threshold, fall within the limit in TARGET_RECALL of cases; and a pair is met if either vector visits the other's cell. Visited pairs of cells are
-compared in pairs of blocks by exact cosine; block pairs return counts and spanning edges, never all pairs.
+cosine threshold, fall within the limit in TARGET_RECALL of cases; and a pair is met if either vector visits the other's cell. The visitors of a cell meet its
+members in pairs of blocks by exact cosine; a pair that both visit counts once. Block pairs return counts and spanning edges, never all pairs.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import Stash, bounded_batches
+from .components import components, roots
+from .shared import Stash, bounded_batches, slices
 from .topk import finite
 
 MIN_COSINE = 0.98
 TARGET_RECALL = 0.999
 #: Vectors that the codebooks are fitted on at most, aimed-at vectors per cell, and codes per half at most (a grid of a million cells).
 SAMPLE, CELL, MAX_CODES = 8192, 64, 1024
-BLOCK = 512
+BLOCK = 256
 #: Moved copies of each of so many sample vectors that the limit is set by.
 MOVED, MOVED_OF = 8, 2048
 
@@ -115,46 +115,27 @@ def _index(books: dict[int, tuple[np.ndarray, np.ndarray]], limits: dict[int, fl
     return run
 
 
-def _local_roots(linked: np.ndarray) -> np.ndarray:
-    """Smallest index reachable per node of a symmetric boolean matrix."""
-    n = len(linked)
-    roots = np.arange(n)
-    while True:
-        low = np.where(linked, roots[None, :], n).min(1)
-        new = np.minimum(roots, low)
-        new = new[new]
-        if (new == roots).all():
-            return roots
-        roots = new
-
-
 def _compare(min_cosine: float):
+    """Rows: a block of a cell's visitors (v_reps, v_mults, v_cells, v_vectors) and a block of its members (cell, reps, mults, visits, vectors)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, mult_a = np.array(row["reps"], np.int64), np.array(row["mults"], np.int64)
-                x = np.frombuffer(row["vectors"]).reshape(len(a), -1)
-                if row["same"]:
-                    b, mult_b, y = a, mult_a, x
-                else:
-                    b, mult_b = np.array(row["o_reps"], np.int64), np.array(row["o_mults"], np.int64)
-                    y = np.frombuffer(row["o_vectors"]).reshape(len(b), -1)
-                linked = x @ y.T >= min_cosine
-                if row["same"]:
-                    np.fill_diagonal(linked, False)
-                if not linked.any():
-                    continue
-                nodes = np.concatenate([a, b]) if not row["same"] else a
-                if row["same"]:
-                    full, links = linked, linked @ mult_b
-                else:
-                    full = np.zeros((len(nodes), len(nodes)), bool)
-                    full[: len(a), len(a) :] = linked
-                    full[len(a) :, : len(a)] = linked.T
-                    links = np.concatenate([linked @ mult_b, linked.T @ mult_a])
-                roots = _local_roots(full)
-                on = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(links[on].astype(np.int64)), pa.array(nodes[roots[on]])], ["rep", "links", "root"])
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            a, mult_a, b, mult_b = (np.array(row[c], np.int64) for c in ("v_reps", "v_mults", "reps", "mults"))
+            x, y = np.frombuffer(row["v_vectors"]).reshape(len(a), -1), np.frombuffer(row["vectors"]).reshape(len(b), -1)
+            i, j = np.nonzero(x @ y.T >= min_cosine)
+            came = np.array(row["v_cells"], np.int64)[i]
+            both = came == row["cell"]  # within the cell, or the member visits the visitor's cell too
+            visits = [set(v) for v in row["visits"]]
+            for at in np.flatnonzero(~both).tolist():
+                both[at] = int(came[at]) in visits[j[at]]
+            on = (a[i] != b[j]) & (~both | (a[i] < b[j]))
+            i, j = i[on], j[on]
+            if not len(i):
+                continue
+            nodes, at = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
+            links = np.bincount(at, weights=np.concatenate([mult_b[j], mult_a[i]])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(roots(a[i], b[j])[1])], ["rep", "links", "root"])
 
     return run
 
@@ -186,23 +167,28 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
         limits[shape.dim] = visit_limit(points, books[shape.dim], min_cosine)
     label = f"label {dict(unit.dtypes)['label']}"
     indexed = stash.put(unit.mapInArrow(_index(books, limits), f"{label}, rep long, mult long, vector array<double>, dim int, cell int, visits array<int>"))
-    chunk = stash.put(indexed.groupBy("label", "dim", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("chunks")))
+    visitors = indexed.select("label", "dim", F.explode("visits").alias("cell"), F.col("cell").alias("from_cell"), "rep", "mult", "vector")
+    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("parts")
+
+    def dealt(rows: DataFrame, cells: DataFrame, more: str) -> DataFrame:
+        """Blocks of about BLOCK rows of a cell, dealt by hash; one row per block, with `more` as a list."""
 
-    def block(frame: pd.DataFrame) -> pd.DataFrame:  # at most about BLOCK rows, dealt by hash within a cell
-        first = frame.iloc[0]
-        return pd.DataFrame({"label": [first.label], "dim": [first.dim], "cell": [first.cell], "part": [first.part], "reps": [frame.rep.tolist()], "mults": [frame.mult.tolist()], "vectors": [np.array(frame.vector.tolist(), float).tobytes()]})
+        def block(frame: pd.DataFrame) -> pd.DataFrame:
+            first = frame.iloc[0]
+            return pd.DataFrame({"label": [first.label], "dim": [first.dim], "cell": [first.cell], "part": [first.part], "reps": [frame.rep.tolist()], "mults": [frame.mult.tolist()], "more": [frame.more.tolist()], "vectors": [np.array(frame.vector.tolist(), float).tobytes()]})
 
-    dealt = indexed.join(chunk, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks"))).select("label", "dim", "cell", "part", "rep", "mult", "vector")
-    blocks = stash.put(dealt.groupBy("label", "dim", "cell", "part").applyInPandas(block, f"{label}, dim int, cell int, part long, reps array<long>, mults array<long>, vectors binary"))
+        kind = dict(rows.dtypes)[more]
+        placed = rows.join(cells, ["label", "dim", "cell"]).select("label", "dim", "cell", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "rep", "mult", F.col(more).alias("more"), "vector")
+        return stash.put(placed.groupBy("label", "dim", "cell", "part").applyInPandas(block, f"{label}, dim int, cell int, part long, reps array<long>, mults array<long>, more array<{kind}>, vectors binary"))
 
-    visited = indexed.select("label", "dim", "cell", F.explode("visits").alias("other")).select("label", "dim", F.least("cell", "other").alias("cell"), F.greatest("cell", "other").alias("other")).distinct()
+    members = stash.put(indexed.groupBy("label", "dim", "cell").agg(parts))
+    guests = stash.put(visitors.join(members.select("label", "dim", "cell"), ["label", "dim", "cell"], "left_semi").groupBy("label", "dim", "cell").agg(parts))
+    blocks = dealt(indexed, members, "visits").withColumnRenamed("more", "visits")
+    asked = dealt(visitors, guests, "from_cell").select("label", "dim", "cell", F.col("part").alias("v_part"), F.col("reps").alias("v_reps"), F.col("mults").alias("v_mults"), F.col("more").alias("v_cells"), F.col("vectors").alias("v_vectors"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    pairs = visited.join(chunk, ["label", "dim", "cell"]).join(chunk.select("label", "dim", F.col("cell").alias("other"), F.col("chunks").alias("o_chunks")), ["label", "dim", "other"])
-    pairs = pairs.withColumn("part", upto("chunks")).withColumn("o_part", upto("o_chunks")).filter("cell < other or part <= o_part").select("label", "dim", "cell", "part", "other", "o_part")  # numbers only: a hot cell's block pairs are dealt out one by one
-    others = blocks.select("label", "dim", F.col("cell").alias("other"), F.col("part").alias("o_part"), F.col("reps").alias("o_reps"), F.col("mults").alias("o_mults"), F.col("vectors").alias("o_vectors"))
-    met = pairs.join(blocks, ["label", "dim", "cell", "part"]).join(others, ["label", "dim", "other", "o_part"])
-    same = (F.col("cell") == F.col("other")) & (F.col("part") == F.col("o_part"))
-    found = stash.put(met.select("reps", "mults", "vectors", same.alias("same"), *(F.when(~same, F.col(c)).alias(c) for c in ("o_reps", "o_mults", "o_vectors"))).mapInArrow(_compare(min_cosine), "rep long, links long, root long"))
+    pairs = members.join(guests.withColumnRenamed("parts", "v_parts"), ["label", "dim", "cell"]).withColumn("part", upto("parts")).withColumn("v_part", upto("v_parts")).select("label", "dim", "cell", "part", "v_part")  # numbers only: a hot cell's block pairs are dealt out one by one
+    met = pairs.join(blocks, ["label", "dim", "cell", "part"]).join(asked, ["label", "dim", "cell", "v_part"])
+    found = stash.put(met.select("cell", "reps", "mults", "visits", "vectors", "v_reps", "v_mults", "v_cells", "v_vectors").mapInArrow(_compare(min_cosine), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), stash)
     told = stash.put(distinct.join(links, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left").select("label", "dim", "h1", "h2", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
