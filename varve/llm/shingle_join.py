@@ -126,6 +126,7 @@ def heavy_shingles(docs: DataFrame, stash: Stash, most: int = HEAVY) -> tuple[np
             break
         cut = row.step
     table = found.filter(step >= cut).orderBy("n", "token").toArrow()
+    stash.drop(found)
     tokens = np.asarray(table.column("token").to_numpy(), np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], np.arange(1, len(tokens) + 1, dtype=np.uint64)[order], np.asarray(table.column("n").to_numpy(), np.int64)
@@ -360,9 +361,11 @@ def near_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, stash))
     sketch = stash.put(docs.mapInArrow(_sketch(heavy), "doc_id long, n int, h1 long, h2 long, bitmap binary, bands array<long>, tokens binary"))
-    full = sketch.filter("n > 0 and doc_id is not null")
-    equal = stash.put(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))  # written, so that the joins below are not dealt by the hot digest of many copies
-    reps = stash.put(full.join(equal.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"]).withColumnRenamed("doc_id", "rep"))
+    usable = "n > 0 and doc_id is not null"
+    ids = stash.put(sketch.select("doc_id", "n", "h1", "h2"))
+    equal = stash.put(ids.filter(usable).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))  # written, so that the joins below are not dealt by the hot digest of many copies
+    reps = stash.put(sketch.filter(usable).join(equal.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"]).withColumnRenamed("doc_id", "rep"))
+    stash.drop(sketch)
 
     keys = reps.select("rep", "n", F.explode("bands").alias("key"))
     chosen = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(i)), F.col("rep").alias("v"), F.col("n").alias("m"))).alias(f"l{i}") for i in range(LEADERS)]
@@ -378,10 +381,11 @@ def near_documents(docs: DataFrame) -> DataFrame:
     more = bounded_pairs(pairs, reps)
     ties = stash.put(components(more.unionByName(ties.select(F.col("node").alias("u"), F.col("component").alias("v"))), stash))
 
-    members = ties.join(reps.select("rep", "n"), F.col("node") == F.col("rep")).select(F.col("node").alias("doc_id"), "n", "component")
+    members = stash.put(ties.join(reps.select("rep", "n"), F.col("node") == F.col("rep")).select(F.col("node").alias("doc_id"), "n", "component"))
+    stash.drop(reps)
     linked = components(tie_links(docs, members, stash), stash)
 
     told = equal.join(linked, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    some = full.select("doc_id", "n", "h1", "h2").join(told, ["h1", "h2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    none = sketch.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    some = ids.filter(usable).join(told, ["h1", "h2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    none = ids.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
