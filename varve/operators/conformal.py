@@ -44,3 +44,27 @@ def adaptive_alpha(df: DataFrame, keys: list[str], order: list[str], miss: str,
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(miss).cast("double").alias("_miss")))).alias("_r"))
     step = lambda a, r: F.least(F.lit(0.99), F.greatest(F.lit(0.01), a + gamma * (target - r["_miss"])))
     return rows.select(*keys, F.size("_r").cast("long").alias("n"), F.aggregate("_r", F.lit(target), step).alias("alpha"))
+
+
+def local_radii(calibration: DataFrame, tests: DataFrame, keys: list[str], order: str, x: str, residual: str, alpha: float, k: int = 50, window: int = 500) -> DataFrame:
+    """tests with radius: the linear 1 - alpha quantile of the residuals of the k calibration rows nearest in x, of each key's last `window` rows.
+
+    A key's window is one array of at most `window` pairs, which every test row of the key is held against."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+    held = calibration.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= window).groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(order).alias("o"), F.col(residual).cast("double").alias("r"))).alias("_w"))
+    near = F.slice(F.array_sort(F.transform("_w", lambda p: F.struct(F.abs(p["x"] - F.col(x)).alias("d"), p["o"].alias("o"), p["r"].alias("r")))), 1, k)
+    sized = tests.join(held, keys).withColumn("_n", F.array_sort(F.transform(near, lambda p: p["r"])))
+    place = (F.size("_n") - 1) * F.lit(1 - alpha)
+    at = lambda p: F.get("_n", p.cast("int"))
+    return sized.withColumn("radius", at(F.floor(place)) + (at(F.ceil(place)) - at(F.floor(place))) * (place - F.floor(place))).drop("_w", "_n")
+
+
+def cv_plus(df: DataFrame, keys: list[str], prediction: str, residual: str, alpha: float) -> DataFrame:
+    """keys, n, low, high of the interval of jackknife+ and CV+: with the predictions of the models that left each row's fold out, the
+    floor(alpha (n + 1))-th smallest prediction - residual and the ceil((1 - alpha) (n + 1))-th smallest prediction + residual."""
+    w = Window.partitionBy(*keys)
+    d = df.select(*keys, (F.col(prediction) - F.col(residual)).alias("_l"), (F.col(prediction) + F.col(residual)).alias("_h"), F.count("*").over(w).alias("n"))
+    d = d.withColumn("_a", F.row_number().over(w.orderBy("_l"))).withColumn("_b", F.row_number().over(w.orderBy("_h")))
+    n = F.col("n") + 1
+    low, high = F.greatest(F.lit(1), F.floor(alpha * n)), F.least(F.col("n"), F.ceil((1 - alpha) * n))
+    return d.groupBy(*keys, "n").agg(F.max(F.when(F.col("_a") == low, F.col("_l"))).alias("low"), F.max(F.when(F.col("_b") == high, F.col("_h"))).alias("high"))

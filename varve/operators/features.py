@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import bucket, divide
+from ..functions.quantiles import column_percentiles
 
 
 def date_parts(c: str) -> dict[str, Column]:
@@ -90,7 +92,8 @@ def row_statistics(columns: list[str]) -> dict[str, Column]:
 
 def winsorize(df: DataFrame, columns: list[str], p: float) -> DataFrame:
     """Columns clipped to their p and 1 - p quantiles where there are 20 values or more."""
-    cuts = df.agg(*(F.percentile(c, F.array(F.lit(p), F.lit(1 - p))).alias(f"_q{i}") for i, c in enumerate(columns)), *(F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)))
+    quantiles = column_percentiles(df, columns, [p, 1 - p]).select(*(F.col(c).alias(f"_q{i}") for i, c in enumerate(columns)))
+    cuts = df.agg(*(F.count(c).alias(f"_n{i}") for i, c in enumerate(columns))).join(F.broadcast(quantiles))
     wide = df.join(F.broadcast(cuts))  # cuts: one row
     return wide.withColumns({c: F.when(F.col(f"_n{i}") >= 20, F.least(F.greatest(F.col(c).cast("double"), F.col(f"_q{i}")[0]), F.col(f"_q{i}")[1])).otherwise(F.col(c)) for i, c in enumerate(columns)}).drop(*(f"_{k}{i}" for k in "qn" for i in range(len(columns))))
 
@@ -112,7 +115,8 @@ def scale(df: DataFrame, keys: list[str], c: str, method: str) -> DataFrame:
 
 def equal_width(df: DataFrame, c: str, rule: str) -> DataFrame:
     """Adds bin of equal-width bins; their number by Freedman-Diaconis, Doane, Sturges or square root, 1 to 100."""
-    s = df.agg(F.count(c).alias("_n"), F.min(c).alias("_a"), F.max(c).alias("_b"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias("_iqr"), F.skewness(c).alias("_g"))
+    iqr = column_percentiles(df, [c], [0.25, 0.75]).select((F.col(c)[1] - F.col(c)[0]).alias("_iqr"))
+    s = df.agg(F.count(c).alias("_n"), F.min(c).alias("_a"), F.max(c).alias("_b"), F.skewness(c).alias("_g")).join(F.broadcast(iqr))  # one row each
     n = F.col("_n").cast("double")
     k = {
         "fd": F.ceil(F.coalesce(divide((F.col("_b") - F.col("_a")) * F.cbrt(n), 2 * F.col("_iqr")), F.lit(1.0))),
@@ -126,7 +130,7 @@ def equal_width(df: DataFrame, c: str, rule: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, c: str, k: int) -> DataFrame:
     """Adds bin by the distinct linear quantile edges; values on an inner edge go up."""
-    edges = df.agg(F.array_distinct(F.percentile(c, F.array(*(F.lit(i / k) for i in range(k + 1))))).alias("_e"))
+    edges = column_percentiles(df, [c], [i / k for i in range(k + 1)]).select(F.array_distinct(c).alias("_e"))
     inner = F.slice("_e", 2, F.greatest(F.lit(0), F.size("_e") - 2))
     return df.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(c))).cast("long")).drop("_e")  # edges: one row
 
@@ -180,3 +184,66 @@ def split_gain(df: DataFrame, columns: list[str], gradient: str, bins: int, lam:
     part = lambda g, h: g * g / (h + lam)
     gain = part(F.col("gl"), F.col("hl")) + part(F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")) - part(F.col("gt"), F.col("ht"))
     return s.select("feature", "bin", gain.alias("gain")).groupBy("feature").agg(F.max_by("bin", F.struct(F.round("gain", 4), -F.col("bin"))).alias("bin"), F.max("gain").alias("gain"))
+
+
+def iqr_clip(df: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame:
+    """Columns held within their quartiles less and plus k interquartile ranges."""
+    cuts = column_percentiles(df, columns, [0.25, 0.75]).select(*(F.col(c).alias(f"_q{i}") for i, c in enumerate(columns)))  # one row
+    q = lambda i, j: F.col(f"_q{i}")[j]
+    held = {c: F.least(F.greatest(F.col(c).cast("double"), q(i, 0) - k * (q(i, 1) - q(i, 0))), q(i, 1) + k * (q(i, 1) - q(i, 0))) for i, c in enumerate(columns)}
+    return df.join(F.broadcast(cuts)).withColumns(held).drop(*(f"_q{i}" for i in range(len(columns))))
+
+
+def holiday_flag(df: DataFrame, time: str, calendar: DataFrame) -> DataFrame:
+    """Adds is_holiday (0 or 1) by a table of days, which the caller supplies."""
+    days = calendar.select(F.col(calendar.columns[0]).cast("date").alias("_day")).distinct().withColumn("is_holiday", F.lit(1))
+    return df.withColumn("_day", F.to_date(time)).join(days, "_day", "left").withColumn("is_holiday", F.coalesce("is_holiday", F.lit(0))).drop("_day")
+
+
+def generator_calendar(c: str) -> dict[str, Column]:
+    t = F.col(c)
+    turn = lambda x, period: (F.sin(2 * math.pi * x / period), F.cos(2 * math.pi * x / period))
+    (ws, wc), (ys, yc) = turn(F.weekday(t), 7), turn(F.dayofyear(t), 365.25)
+    return {"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "dayofweek": F.weekday(t), "weekofyear": F.weekofyear(t), "week_sin": ws, "week_cos": wc, "year_sin": ys, "year_cos": yc}
+
+
+def fourier_weights(inputs: int, outputs: int, gamma: float, seed: int) -> list[tuple[list[float], float]]:
+    """Weights and phase per output of random Fourier features of the kernel exp(-gamma |x - y|^2)."""
+    rng = np.random.default_rng(seed)
+    return [([round(float(v), 6) for v in rng.normal(0, math.sqrt(2 * gamma), inputs)], round(float(rng.uniform(0, 2 * math.pi)), 6)) for _ in range(outputs)]
+
+
+def random_fourier(columns: list[str], weights: list[tuple[list[float], float]]) -> dict[str, Column]:
+    """cos(w x + phase) per output: literals in a projection."""
+    return {f"rff_{i}": F.cos(sum((F.lit(v) * F.col(c) for v, c in zip(w, columns, strict=True)), F.lit(b))) for i, (w, b) in enumerate(weights)}
+
+
+def series_fourier(df: DataFrame, keys: list[str], position: str, value: str, terms: int = 3) -> DataFrame:
+    """keys, position and cos_k, sin_k of each series' strongest frequencies (0 left out, strongest first). A series is held whole by one task for its
+    spectrum only: its values, 8 bytes each."""
+    import pandas as pd
+
+    kind = {c: t for c, t in df.dtypes}
+    schema = ", ".join(f"{k} {kind[k]}" for k in keys) + ", freqs array<double>"
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame.sort_values(position)[value].astype(float)
+        x = x.fillna(x.median()).to_numpy()
+        power = np.abs(np.fft.rfft(x - x.mean())) if len(x) > 2 and np.ptp(x) > 0 else np.zeros(1)
+        best = [int(k) for k in np.argsort(-power, kind="stable")[:terms] if k > 0 and power[k] > 0]
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "freqs": [[k / len(x) for k in best]]})
+
+    freqs = df.select(*keys, position, value).groupBy(*keys).applyInPandas(fit, schema)
+    angle = lambda i: 2 * math.pi * F.get("freqs", F.lit(i)) * F.col(position)
+    return df.select(*keys, position).join(freqs, keys).select(*keys, position, *(f(angle(i)).alias(f"{n}_{i}") for i in range(terms) for n, f in (("cos", F.cos), ("sin", F.sin))))
+
+
+def kmeans_bins(df: DataFrame, c: str, k: int, seed: int = 1) -> DataFrame:
+    """Adds bin: between the midpoints of the sorted centres of a k-means of the column."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    v = VectorAssembler(inputCols=[c], outputCol="_v", handleInvalid="skip").transform(df)
+    centres = sorted(float(x[0]) for x in KMeans(k=k, seed=seed, featuresCol="_v").fit(v).clusterCenters())
+    edges = [(a + b) / 2 for a, b in zip(centres[:-1], centres[1:], strict=True)]
+    return df.withColumn("bin", sum(((F.col(c) >= e).cast("long") for e in edges), F.lit(0).cast("long")))

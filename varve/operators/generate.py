@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def panel(spark: SparkSession, series: int, length: int, start: str = "2024-01-01") -> DataFrame:
@@ -63,3 +64,31 @@ def wide(df: DataFrame, names: list[int]) -> DataFrame:
     """time and one column y_s<k> per series."""
     out = df.groupBy("time").pivot("series", names).agg(F.first("y"))
     return out.select("time", *(F.col(str(k)).alias(f"y_s{k}") for k in names))
+
+
+def asha_promotions(trials: DataFrame, trial: str, rung: str, loss: str, eta: int = 3) -> DataFrame:
+    """Adds promoted: the best floor(n / eta) trials of each rung; ties by trial."""
+    w = Window.partitionBy(rung)
+    return trials.withColumn("promoted", F.row_number().over(w.orderBy(loss, trial)) <= F.floor(F.count("*").over(w) / eta))
+
+
+def regime_panel(spark: SparkSession, series: int, length: int, seed: int, ar: float = 0.6, ma: float = 0.3, stay: float = 0.95, arch: tuple[float, float] = (0.2, 0.5)) -> DataFrame:
+    """series, i, regime, y: ARMA(1, 1) noise whose shocks have ARCH(1) variances, and whose level jumps with a two-state Markov chain. Reproducible by seed and series."""
+    import numpy as np
+    import pandas as pd
+
+    def make(frames):
+        for frame in frames:
+            for s in frame["series"].tolist():
+                rng = np.random.default_rng([seed, s])
+                shock, before, y, level = 0.0, 0.0, 0.0, 0
+                rows = []
+                for i in range(length):
+                    level = level if rng.random() < stay else 1 - level
+                    shock = rng.standard_normal() * np.sqrt(arch[0] + arch[1] * before * before)
+                    y = ar * y + shock + ma * before
+                    before = shock
+                    rows.append((s, i, level, y + 3.0 * level))
+                yield pd.DataFrame(rows, columns=["series", "i", "regime", "y"])
+
+    return spark.range(series).select(F.col("id").alias("series")).mapInPandas(make, "series long, i long, regime long, y double")

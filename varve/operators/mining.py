@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import average_rank, bucket, divide, nan_to_null, safe_corr
+from ..functions.quantiles import column_percentiles, long_percentiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -25,7 +26,9 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: moments, quartiles, shape, tail ratio, bimodality, Jarque-Bera."""
     v = "value"
     p = [0.05, 0.25, 0.5, 0.75, 0.95]
-    d = melt(df, columns).filter("value is not null").groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("excess"), F.percentile(v, F.array(*map(F.lit, p))).alias("_q"))
+    long = melt(df, columns).filter("value is not null")
+    d = long.groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("excess"))
+    d = d.join(long_percentiles(long, p).withColumnRenamed("q", "_q"), "feature")
     q = {x: F.col("_q")[i] for i, x in enumerate(p)}
     s, k = F.col("skew"), F.col("excess") + 3
     return d.select(
@@ -75,7 +78,7 @@ def spearman(df: DataFrame, columns: list[str], group: str) -> DataFrame:
 
 def robust_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson of columns clipped to their 5 and 95 % quantiles."""
-    cuts = df.agg(*(F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"_q{i}") for i, c in enumerate(columns)))
+    cuts = column_percentiles(df, columns, [0.05, 0.95]).select(*(F.col(c).alias(f"_q{i}") for i, c in enumerate(columns)))
     clipped = df.select(*columns).join(F.broadcast(cuts)).select(*(F.least(F.greatest(F.col(c).cast("double"), F.col(f"_q{i}")[0]), F.col(f"_q{i}")[1]).alias(c) for i, c in enumerate(columns)))  # cuts: one row
     return pearson(clipped, columns)
 
@@ -139,7 +142,7 @@ def welch(df: DataFrame, flag: Column, value: str) -> DataFrame:
 def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: Levene's statistic about the medians."""
     med = df.groupBy(group).agg(F.median(value).alias("_m"))
-    z = df.join(F.broadcast(med), group).select(group, F.abs(F.col(value) - F.col("_m")).alias("z"))
+    z = df.join(med, group).select(group, F.abs(F.col(value) - F.col("_m")).alias("z"))
     g = z.groupBy(group).agg(F.count("*").alias("n"), F.avg("z").alias("m"), F.var_pop("z").alias("v"))
     t = g.agg(F.sum("n").alias("total"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mm"))
     s = g.join(F.broadcast(t)).agg(F.sum(F.col("n") * (F.col("m") - F.col("mm")) ** 2).alias("b"), F.sum(F.col("n") * F.col("v")).alias("w"), F.first("total").alias("total"), F.first("k").alias("k"))  # t: one row
@@ -188,7 +191,7 @@ def tail_dependence(df: DataFrame, x: str, y: str, q: float, group: str) -> Data
 
 def regime_corr(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """One row: correlation below and above the median of by, their difference, and whether it exceeds 0.3."""
-    m = df.agg(F.median(by).alias("_m"))
+    m = column_percentiles(df, [by], [0.5]).select(F.col(by)[0].alias("_m"))
     d = df.join(F.broadcast(m))  # one row
     low = F.col(by) <= F.col("_m")
     side = lambda on: safe_corr(F.when(on, F.col(x)), F.when(on, F.col(y)))
@@ -329,3 +332,15 @@ def whole_tail_dependence(df: DataFrame, x: str, y: str, q: float) -> DataFrame:
     r = whole_ranks(df, [x, y]).join(F.broadcast(n)).select((F.col(x) / F.col("_n")).alias("u"), (F.col(y) / F.col("_n")).alias("v"), "_c")
     both = lambda a, b: F.coalesce(divide(F.sum(F.when(a & b, F.col("_c")).otherwise(0)).cast("double"), F.sum(F.when(a, F.col("_c")).otherwise(0)).cast("double")), F.lit(0.0))
     return r.agg(both(F.col("u") > q, F.col("v") > q).alias("upper"), both(F.col("u") <= 1 - q, F.col("v") <= 1 - q).alias("lower"))
+
+
+def sketches(df: DataFrame, columns: list[str], error: float = 0.05, exact: bool = False) -> DataFrame:
+    """feature, distinct, median by sketches that merge (HyperLogLog++, Greenwald-Khanna); with exact, whether both lie within the error instead."""
+    out = None
+    for c in columns:
+        row = df.agg(F.lit(c).alias("feature"), F.approx_count_distinct(c, error / 3).alias("distinct"), F.percentile_approx(c, F.lit(0.5), F.lit(10_000)).cast("double").alias("median"))
+        if exact:
+            told = df.agg(F.countDistinct(c).alias("_d")).join(F.broadcast(column_percentiles(df, [c], [0.5 - error, 0.5 + error]).select(F.col(c).alias("_q"))))  # one row each
+            row = row.join(F.broadcast(told)).select("feature", (F.abs(F.col("distinct") - F.col("_d")) <= error * F.col("_d")).alias("distinct_close"), F.col("median").between(F.col("_q")[0], F.col("_q")[1]).alias("median_close"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -71,3 +71,15 @@ def lag_aligned(df: DataFrame, s: Series, target: str, covariate: str, lags: lis
 
     row = wide.groupBy(*s.keys).agg(*(corr(k).alias(f"c{k}") for k in lags))
     return row.select(*s.keys, F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"c{k}").alias("corr")) for k in lags))).alias("x")).select(*s.keys, "x.lag", "x.corr")
+
+
+def align(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of either table whose keys occur in both."""
+    return left.join(right.select(*keys), keys, "left_semi"), right.join(left.select(*keys), keys, "left_semi")
+
+
+def encoding_plan(df: DataFrame, columns: list[str], few: int = 10, many: int = 50) -> DataFrame:
+    """feature, n (distinct values), strategy: one_hot up to `few`, target up to `many`, hashing beyond."""
+    row = df.agg(*(F.countDistinct(c).alias(f"n{i}") for i, c in enumerate(columns)))
+    long = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n")) for i, c in enumerate(columns)))).alias("x")).select("x.*")
+    return long.withColumn("strategy", F.when(F.col("n") <= few, "one_hot").when(F.col("n") <= many, "target").otherwise("hashing"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .mining import pearson
+from .mining import pearson, value_ranks
 
 
 def redundancy_pruned(pairs: DataFrame, order: list[str], threshold: float = 0.98) -> list[str]:
@@ -99,3 +99,24 @@ def importance(df: DataFrame, columns: list[str], target: str, trees: int = 10,
     v = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
     model = RandomForestClassifier(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(v)
     return dict(zip(columns, map(float, model.featureImportances.toArray()), strict=True))
+
+
+def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10) -> DataFrame:
+    """feature, mi in nats between rank bins of each column over the whole table and the label, by falling value."""
+    out = None
+    for c in columns:
+        d = df.select(c, label).na.drop()
+        n = d.agg(F.count("*").alias("_n"))  # one row
+        ranks = value_ranks(d, c).select(c, "rank").join(F.broadcast(n)).select(c, F.least(F.floor((F.col("rank") - 1) * bins / F.col("_n")), F.lit(bins - 1)).alias("_b"))
+        cells = d.groupBy(c, label).agg(F.count("*").alias("_m")).join(ranks, c).groupBy("_b", label).agg(F.sum("_m").cast("double").alias("_c"))
+        w = lambda *by: F.sum("_c").over(Window.partitionBy(*by))  # noqa: E731  # bins times labels rows
+        p = cells.withColumn("_n", w()).withColumn("_nb", w("_b")).withColumn("_ny", w(label))
+        row = p.agg(F.sum(F.col("_c") / F.col("_n") * F.ln(F.col("_c") * F.col("_n") / (F.col("_nb") * F.col("_ny")))).alias("mi")).select(F.lit(c).alias("feature"), "mi")
+        out = row if out is None else out.unionByName(row)
+    return out.orderBy(F.desc("mi"), "feature")
+
+
+def top_overlap(df: DataFrame, key: str, a: str, b: str, k: int) -> DataFrame:
+    """One row, overlap: the share of the k best by a that are among the k best by b; ties by key."""
+    best = lambda c: df.orderBy(F.desc(c), key).limit(k).select(key)
+    return best(a).join(best(b), key).agg((F.count("*") / F.lit(float(k))).alias("overlap"))

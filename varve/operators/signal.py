@@ -234,28 +234,35 @@ def permutation_entropy(x: np.ndarray, order: int = 3) -> float:
     return float(-(p * np.log2(p)).sum() / math.log2(math.factorial(order)))
 
 
+def _dimension(d: float) -> float:
+    return min(2.0, max(1.0, d)) if math.isfinite(d) else 1.0
+
+
 def katz(x: np.ndarray) -> float:
-    d = np.abs(np.diff(x))
-    if not len(d) or d.sum() == 0:
+    """Curve length against reach, both in the plane of position and value; within 1 and 2, and 1 below ten values."""
+    n = len(x) - 1
+    if n < 9:
         return 1.0
-    far = np.abs(x - x[0]).max()
-    n = len(d)
-    return float(math.log(n) / (math.log(n) + math.log(far / d.sum()))) if far > 0 and n > 1 else 1.0
+    length = np.hypot(1.0, np.diff(x)).sum()
+    reach = np.hypot(np.arange(n + 1), x - x[0]).max()
+    return _dimension(math.log10(n) / (math.log10(n) + math.log10(reach / length)))
 
 
 def petrosian(x: np.ndarray) -> float:
-    n, turns = len(x), int((np.diff(np.sign(np.diff(x))) != 0).sum()) if len(x) > 2 else 0
-    return float(math.log10(n) / (math.log10(n) + math.log10(n / (n + 0.4 * turns)))) if n > 1 else 1.0
-
-
-def higuchi(x: np.ndarray, reach: int = 8) -> float:
-    n, xs, ys = len(x), [], []
-    for k in range(1, min(reach, n // 2) + 1):
-        lengths = [np.abs(np.diff(x[m::k])).sum() * (n - 1) / (((n - m - 1) // k) * k * k) for m in range(k) if (n - m - 1) // k]
-        if lengths and np.mean(lengths) > 0:
-            xs.append(math.log(1 / k))
-            ys.append(math.log(np.mean(lengths)))
-    return float(np.polyfit(xs, ys, 1)[0]) if len(xs) > 1 else 1.0
+    """By the turns of the series, flat steps not counted; within 1 and 2, and 1 below ten values."""
+    n, step = len(x), np.diff(x)
+    turns = int((step[:-1] * step[1:] < 0).sum())
+    return _dimension(math.log10(n) / (math.log10(n) + math.log10(n / (n + 0.4 * turns)))) if n >= 10 and turns else 1.0
+
+
+def higuchi(x: np.ndarray, reach: int = 10) -> float:
+    """Slope of log length on log step, steps up to reach and a quarter of the series; within 1 and 2, and 1 below twenty values."""
+    n = len(x)
+    steps = range(1, min(reach, n // 4) + 1)
+    if n < 20 or len(steps) < 3:
+        return 1.0
+    lengths = [np.mean([np.abs(np.diff(x[m::k])).sum() * (n - 1) / ((len(x[m::k]) - 1) * k * k) for m in range(k)]) for k in steps]
+    return _dimension(-float(np.polyfit(np.log(list(steps)), np.log(np.array(lengths) + 1e-12), 1)[0]))
 
 
 def bayesian_blocks(t: np.ndarray, p0: float = 0.05) -> np.ndarray:

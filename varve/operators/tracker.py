@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import uuid
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Parts of a metric's name for which less is better.
-LESS_IS_BETTER = ("loss", "error", "rmse", "mse", "mae", "mape", "perplexity", "time", "latency")
+LESS_IS_BETTER = ("loss", "error", "rmse", "mae", "mse", "mape", "nll", "perplexity", "wer", "cer")
 #: Metric names preferred, in order, when a run store has several.
-PREFERRED = ("val_loss", "loss", "rmse", "mae", "accuracy")
+PREFERRED = ("val_loss", "valid_loss", "loss", "val_rmse", "rmse", "val_mae", "mae", "mse", "accuracy", "acc", "f1", "auc")
 
 
 def filter_runs(runs: DataFrame, experiment: int | None = None, status: str | None = None, since: str | None = None, until: str | None = None, text: str | None = None) -> DataFrame:
@@ -58,8 +62,9 @@ def param_catalog(params: DataFrame) -> DataFrame:
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:
-    w = Window.partitionBy("run_id", "key").orderBy(F.desc("step"), F.desc("timestamp"), F.desc("value"))
-    return metrics.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("run_id", "key", "value", "step")
+    """The row of the last step, then time, then largest value, per run and key: a maximum with partial aggregation, no sort."""
+    last = metrics.groupBy("run_id", "key").agg(F.max(F.struct("step", "timestamp", "value")).alias("m"))
+    return last.select("run_id", "key", "m.value", "m.step")
 
 
 def less_is_better(key: str = "key") -> Column:
@@ -75,7 +80,7 @@ def best_runs(metrics: DataFrame, runs: DataFrame) -> DataFrame:
 
 def primary_metric(metrics: DataFrame) -> DataFrame:
     """One row: the metric logged by most runs, then by preference, then by name."""
-    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PREFERRED)), F.col("key")), F.lit(0)), F.lit(len(PREFERRED) + 1))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PREFERRED)), F.lower("key")), F.lit(0)), F.lit(len(PREFERRED) + 1))
     return metrics.groupBy("key").agg(F.countDistinct("run_id").alias("runs")).orderBy(F.desc("runs"), place, "key").limit(1)
 
 
@@ -89,8 +94,12 @@ def run_maps(params: DataFrame) -> DataFrame:
     return params.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("params"))
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """table with rows put in place of those with equal keys; the last given of equal new rows is not defined, so keys of rows must be unique."""
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """table with rows put in place of those with equal keys. Of new rows with equal keys the last by the column `order` is taken, which then goes;
+    without `order` keys of rows must be unique."""
+    if order is not None:
+        rest = [c for c in rows.columns if c not in keys and c != order]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
 
 
@@ -106,3 +115,29 @@ def delete_runs(table: DataFrame, gone: DataFrame) -> DataFrame:
 def config_key(columns: list[str]) -> Column:
     """Canonical JSON of the columns in name order, with doubles rounded to 12 digits."""
     return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))))
+
+
+def autolog(store: str, name: str, experiment_id: int = 0):
+    """Decorator: each call becomes a run of the store (Parquet tables runs, params and metrics, appended): its status, times, the
+    arguments as params and, where it returns numbers by name, those as metrics."""
+
+    def wrap(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def logged(*args, **kwargs):
+            spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+            run, began, status, out = uuid.uuid4().hex, datetime.now(), "FAILED", None
+            try:
+                out = f(*args, **kwargs)
+                status = "FINISHED"
+                return out
+            finally:
+                params = {**{f"arg{i}": a for i, a in enumerate(args)}, **kwargs}
+                numbers = {k: float(v) for k, v in out.items() if isinstance(v, (int, float))} if isinstance(out, dict) else {}
+                put = lambda table, rows, schema: spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{store}/{table}")
+                put("runs", [(run, experiment_id, name, status, began, datetime.now())], "run_id string, experiment_id long, name string, status string, start_time timestamp, end_time timestamp")
+                put("params", [(run, k, str(v)[:250]) for k, v in params.items()], "run_id string, key string, value string")
+                put("metrics", [(run, k, v, datetime.now(), 0) for k, v in numbers.items()], "run_id string, key string, value double, timestamp timestamp, step long")
+
+        return logged
+
+    return wrap

@@ -1,6 +1,6 @@
 """The registered queries of the library."""
 
-from . import feature_queries, forecast_queries, mining_queries, prepare_queries, series_queries, signal_queries, source_queries, tracker_queries  # noqa: F401
+from . import diagnose_queries, feature_queries, forecast_queries, mining_queries, prepare_queries, series_queries, signal_queries, source_queries, tracker_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

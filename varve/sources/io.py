@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -82,3 +83,17 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
 
 def stream(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet", files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(path)
+
+
+def extract_series(df: DataFrame, time: str, columns: list[str]) -> DataFrame:
+    """series, t, y: one row per present value of each column."""
+    long = df.select(F.col(time).alias("t"), F.explode(F.array(*(F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("y")) for c in columns))).alias("x"))
+    return long.select("x.series", "t", "x.y").filter("y is not null")
+
+
+def batches(df: DataFrame, keys: list[str], position: str, share: float, size: int) -> DataFrame:
+    """df with part (train for the first share of each series, val for the rest) and batch, numbered from 0 within the part; position counts from 0."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    cut = F.floor(n * share)
+    train = F.col(position) < cut
+    return df.withColumn("part", F.when(train, "train").otherwise("val")).withColumn("batch", F.floor(F.when(train, F.col(position)).otherwise(F.col(position) - cut) / size))
