@@ -212,7 +212,7 @@ def test_sinks(spark, tmp_path):
     io.write_results(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).first().a == 0.123457
     io.write_json_lines(df, str(tmp_path / "j"))
-    line = next((tmp_path / "j").glob("part*.json")).read_text().strip()
+    line = "".join(f.read_text() for f in (tmp_path / "j").glob("part*.json")).strip()  # some parts are empty
     assert list(json.loads(line)) == ["a", "b"] and io.read_json_lines(spark, str(tmp_path / "j")).count() == 1
     assert io.read_blobs(spark, str(tmp_path / "j")).count() >= 1
 
