@@ -30,8 +30,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     their own, not by doc_id, so different texts under one id both stay, and documents without an id can be copies too. Texts without words all stay."""
     rows = Stash(spark, "rows").put(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))  # written: the numbers must not change
     groups = shingle_join.near_documents(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
-    kept = rows.join(groups, "row").groupBy("group").agg(F.min(first)["row"].alias("row"))
+    ranks = rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row").alias("rank"))  # before the join: texts stay out of its shuffle
+    kept = ranks.join(groups, "row").groupBy("group").agg(F.min("rank")["row"].alias("row"))
     return rows.join(kept, "row").select(COLUMNS)
 
 
