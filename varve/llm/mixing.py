@@ -135,15 +135,17 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEI
     """The mix as rows of documents (doc_id, text, lang, source, n_chars): per document one row for each time its blocks are drawn.
 
     The text of a row is its drawn blocks' words in order, joined by one space; n_chars is its length. Documents of which nothing is drawn give no row.
+    Rows are written once with a number; the plan moves numbers and sizes, and texts cross one shuffle, to meet their drawn parts.
     """
     stash = Stash(docs.sparkSession, "mixed")
-    placed, _, slots = plan(docs.select("doc_id", "text", "lang", "source"), stash, block_words, weights, share, cap, ("text", "lang"))
+    rows = stash.put(docs.select("doc_id", "text", "lang", "source").withColumn("row", F.monotonically_increasing_id()))  # written: the numbers must not change
+    placed, _, slots = plan(rows, stash, block_words, weights, share, cap, ("row",))
     draws = slots.groupBy("skey", "block").agg(F.count("*").alias("draws"))
     end = F.col("start") + F.col("size")
-    pieces = placed.filter("size > 0").select("skey", "chunk", "r", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
+    pieces = placed.filter("size > 0").select("skey", "row", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
     pieces = pieces.withColumn("at", F.greatest(F.col("block") * block_words, F.col("start")) - F.col("start")).withColumn("words", F.least((F.col("block") + 1) * block_words, end) - F.col("start") - F.col("at"))
-    drawn = pieces.join(draws, ["skey", "block"]).groupBy("skey", "chunk", "r").agg(F.sort_array(F.collect_list(F.struct("at", "words", "draws"))).alias("parts"))
-    copies = placed.join(drawn, ["skey", "chunk", "r"]).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.col("parts.draws")))))
+    drawn = pieces.join(draws, ["skey", "block"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "words", "draws"))).alias("parts"))
+    copies = rows.join(drawn, "row").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.col("parts.draws")))))
     words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
     chosen = F.filter("parts", lambda p: p["draws"] >= F.col("turn"))
     text = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(w, (p["at"] + 1).cast("int"), p["words"].cast("int")))), " "))[0]
