@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import explore
+from varve.operators import conformal, encode, explore, signal
 
 
 @pytest.mark.parametrize("f", [0.01, 0.3, 1.0, 2.5, 40.0])
@@ -115,3 +115,49 @@ def test_welch_anova_and_schemes(spark):
     s = spark.range(30).select("id", (F.col("id") % 7).alias("snip"), (F.col("id") % 5).alias("params"))
     agree = {r.scheme: r for r in explore.scheme_agreement(s, "id", every, 5).collect()}
     assert agree["baseline"].spearman == pytest.approx(1) and agree["baseline"].overlap == 1
+
+
+def test_butterworth_has_its_frequency_response():
+    t = np.arange(4000)
+    for f in (0.02, 0.1, 0.2, 0.35):  # in cycles a step; cut 0.2 is 0.1 cycles a step
+        gain = 1 / (1 + (math.tan(math.pi * f) / math.tan(math.pi * 0.1)) ** 6)
+        out = signal.butterworth(np.sin(2 * np.pi * f * t))
+        assert math.sqrt(2 * (out[500:-500] ** 2).mean()) == pytest.approx(gain, abs=2e-3)  # the amplitude; no sample need hit the peak
+    assert signal.butterworth(np.full(9, 3.0)) == pytest.approx(3.0) and signal.butterworth(np.arange(50.0)) == pytest.approx(np.arange(50.0), abs=0.2)
+    assert signal.butterworth(np.array([1.0, 4.0])).shape == (2,)
+
+
+def test_non_local_means_equal_brute_force():
+    x = np.random.default_rng(9).normal(0, 1, 60).round(1)
+    noise = np.median(np.abs(np.diff(x))) / (0.6745 * math.sqrt(2))
+    p = np.pad(x, 2, mode="symmetric")
+    want = []
+    for i in range(60):
+        near = range(max(0, i - 20), min(60, i + 21))
+        w = [math.exp(-max(((p[i : i + 5] - p[j : j + 5]) ** 2).mean() - 2 * noise**2, 0) / noise**2) for j in near]
+        want.append(np.dot(w, x[list(near)]) / sum(w))
+    assert signal.non_local_means(x) == pytest.approx(want)
+    assert signal.non_local_means(np.ones(5)).tolist() == [1.0] * 5
+
+
+def test_encoders_are_chosen_by_categories_and_target(spark):
+    d = spark.range(400).select((F.col("id") % 5).alias("few"), (F.col("id") % 40).alias("some"), F.col("id").alias("each"), F.when(F.col("id") % 2 == 0, "x").alias("gap"), (F.col("id") % 40).alias("y"), F.lit(1.0).alias("flat"))
+    cols = ["few", "some", "each", "gap"]
+    pick = lambda *a, **k: {r.feature: (r.categories, r.strategy) for r in encode.choose(d, cols, *a, **k).collect()}
+    assert pick("y") == {"few": (5, "onehot"), "some": (40, "target_kfold"), "each": (400, "target_kfold"), "gap": (2, "onehot")}
+    assert pick() == pick("flat") == {"few": (5, "onehot"), "some": (40, "freq"), "each": (400, "freq"), "gap": (2, "onehot")}
+    assert pick(tree=True) == {"few": (5, "onehot"), "some": (40, "ordinal"), "each": (400, "freq"), "gap": (2, "onehot")}
+
+
+def test_aggregated_radius_equals_a_loop(spark):
+    rng = np.random.default_rng(10)
+    rows = [("a", i, bool(rng.random() < 0.4), float(rng.random())) for i in range(90)] + [("b", 1, None, None), ("c", 1, True, 0.5)]
+    got = {r.k: r.radius for r in conformal.aggregated_radius(spark.createDataFrame(rows, "k string, i long, miss boolean, r double").repartition(4), ["k"], ["i"], "miss", "r", 0.1, [0.005, 0.05], 40).collect()}
+    held, radii = sorted(r for k, _, _, r in rows[50:90]), []
+    for g in (0.005, 0.05):
+        alpha = 0.1
+        for _, _, miss, _ in rows[:90]:
+            alpha = min(0.99, max(0.01, alpha + g * (0.1 - miss)))
+        level = min(1, math.ceil(41 * (1 - alpha)) / 40)
+        radii.append(held[math.ceil(level * 39)])
+    assert got["a"] == pytest.approx(np.mean(radii)) and got["b"] is None and got["c"] == 0.5

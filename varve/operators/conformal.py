@@ -46,6 +46,23 @@ def adaptive_alpha(df: DataFrame, keys: list[str], order: list[str], miss: str,
     return rows.select(*keys, F.size("_r").cast("long").alias("n"), F.aggregate("_r", F.lit(target), step).alias("alpha"))
 
 
+def aggregated_radius(df: DataFrame, keys: list[str], order: list[str], miss: str, residual: str, target: float, gammas: list[float], keep: int = 5000) -> DataFrame:
+    """keys, n, radius: the mean over experts, one a gamma, of the residuals' quantile at 1 - alpha, with each expert's alpha after every row's update.
+
+    The quantile is the higher one at ceil((m + 1) (1 - alpha)) / m of the last `keep` rows' m residuals that aren't null; NULL without any. A key's rows are one array."""
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(miss).cast("double").alias("_miss"), F.col(residual).cast("double").alias("_res")))).alias("_r"))
+    held = F.filter(F.transform(F.slice("_r", -F.least(F.size("_r"), F.lit(keep)), keep), lambda r: r["_res"]), lambda r: r.isNotNull())
+    rows = rows.select(*keys, F.size("_r").cast("long").alias("n"), "_r", F.array_sort(held).alias("_s"))
+    m = F.size("_s")
+
+    def radius(gamma: float):
+        step = lambda a, r: F.least(F.lit(0.99), F.greatest(F.lit(0.01), a + F.lit(gamma) * (F.lit(target) - F.coalesce(r["_miss"], F.lit(target)))))
+        level = F.least(F.lit(1.0), F.ceil((m + 1) * (1 - F.aggregate("_r", F.lit(target), step))) / m)
+        return F.get("_s", F.ceil(level * (m - 1)).cast("int"))
+
+    return rows.select(*keys, "n", F.when(m > 0, sum((radius(g) for g in gammas), F.lit(0.0)) / len(gammas)).alias("radius"))
+
+
 def local_radii(calibration: DataFrame, tests: DataFrame, keys: list[str], order: str, x: str, residual: str, alpha: float, k: int = 50, window: int = 500) -> DataFrame:
     """tests with radius: the linear 1 - alpha quantile of the residuals of the k calibration rows nearest in x, of each key's last `window` rows.
 

@@ -86,3 +86,20 @@ def ordered_target(c: str, y: str, order: list[str], prior: float, weight: float
     """Target statistic from the category's earlier rows only."""
     w = Window.partitionBy(c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (F.coalesce(F.sum(y).over(w), F.lit(0.0)) + prior * weight) / (F.count(y).over(w) + weight)
+
+
+def choose(df: DataFrame, columns: list[str], y: str | None = None, tree: bool = False, least_rows: int = 50, above: int = 10) -> DataFrame:
+    """feature, categories (null is one), strategy: onehot, ordinal, freq, hashing or target_kfold.
+
+    For trees up to 8, 255 and 5000 categories the first three, hashing beyond. Otherwise target_kfold where the target's mean differs between more than
+    `above` and less than 10,000 categories of at least `least_rows` rows; then onehot up to 12, freq up to 1000, hashing beyond. Counts per category, one pass."""
+    target = F.col(y).cast("double") if y else F.lit(None).cast("double")
+    long = df.select(target.alias("_y"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in columns))).alias("m")).select("_y", "m.*")
+    cells = long.groupBy("feature", "v").agg(F.count("*").alias("n"), F.avg("_y").alias("m"))
+    s = cells.groupBy("feature").agg(F.count("*").alias("categories"), F.sum("n").alias("n"), F.coalesce(F.max("m") > F.min("m"), F.lit(False)).alias("differs"))
+    k = F.col("categories")
+    if tree:
+        strategy = F.when(k <= 8, "onehot").when(k <= 255, "ordinal").when(k <= 5000, "freq").otherwise("hashing")
+    else:
+        strategy = F.when(F.col("differs") & (F.col("n") >= least_rows) & (k > above) & (k < 10_000), "target_kfold").when(k <= 12, "onehot").when(k <= 1000, "freq").otherwise("hashing")
+    return s.select("feature", "categories", strategy.alias("strategy"))

@@ -109,6 +109,50 @@ def wiener(x: np.ndarray, width: int = 7) -> np.ndarray:
     return mean + np.maximum(var - noise, 0) / np.maximum(np.maximum(var, noise), 1e-12) * (x - mean)
 
 
+def _butterworth(cut: float, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of the low-pass filter with unit gain at zero, by the bilinear transform; cut in parts of half the sampling rate."""
+    poles = 2 * math.tan(math.pi * cut / 2) * np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    a, b = np.poly((2 + poles) / (2 - poles)).real, np.poly(-np.ones(order))
+    return b * a.sum() / b.sum(), a
+
+
+def _recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The filter over x, begun in the state that a constant series of x's first value leaves."""
+    shift = np.eye(len(a) - 1) - np.column_stack([-a[1:], np.eye(len(a) - 1)[:, :-1]])
+    state, out = np.linalg.solve(shift, b[1:] - a[1:] * b[0]) * x[0], np.empty(len(x))
+    for i, v in enumerate(x):
+        out[i] = b[0] * v + state[0]
+        state = np.append(state[1:], 0.0) + b[1:] * v - a[1:] * out[i]
+    return out
+
+
+@register_filter("butterworth")
+def butterworth(x: np.ndarray, cut: float = 0.2, order: int = 3) -> np.ndarray:
+    """Low-pass forwards and backwards, so without delay; the ends are continued by the series turned about its first and last value."""
+    reach = min(3 * (order + 1), len(x) - 1)
+    b, a = _butterworth(cut, order)
+    wide = np.concatenate([2 * x[0] - x[reach:0:-1], x, 2 * x[-1] - x[-2 : -reach - 2 : -1]])
+    return _recursive(b, a, _recursive(b, a, wide)[::-1])[::-1][reach : reach + len(x)]
+
+
+@register_filter("non_local_means")
+def non_local_means(x: np.ndarray, half: int = 2, reach: int = 20, strength: float = 1.0) -> np.ndarray:
+    """Means of the values within reach, weighted by how alike their patches are beyond what noise explains; noise from the median step."""
+    noise = np.median(np.abs(np.diff(x))) / (0.6745 * math.sqrt(2)) if len(x) > 1 else 0.0
+    if noise == 0:
+        return x.astype(float).copy()
+    padded = np.pad(x, half, mode="symmetric") if len(x) >= half else np.pad(x, half, mode="edge")
+    patches = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)
+    total, weight = np.zeros(len(x)), np.zeros(len(x))
+    for d in range(-min(reach, len(x) - 1), min(reach, len(x) - 1) + 1):
+        here, there = slice(max(0, -d), len(x) - max(0, d)), slice(max(0, d), len(x) - max(0, -d))
+        gap = ((patches[here] - patches[there]) ** 2).mean(axis=1)
+        w = np.exp(-np.maximum(gap - 2 * noise**2, 0) / (strength * noise) ** 2)
+        total[here] += w * x[there]
+        weight[here] += w
+    return total / weight
+
+
 @register_filter("haar_shrink")
 def haar_shrink(x: np.ndarray, levels: int = 3) -> np.ndarray:
     """Soft thresholding of Haar details at the universal threshold."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import explore, signal
+from ..operators import conformal, encode, explore, signal
 from .forecast_queries import PANEL, panel
-from .registry import query, rounded
+from .registry import EV, query, rounded
 
 
 @query("mining_welch_anova", """WITH g AS (SELECT l_linenumber, count(*)::DOUBLE AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY l_linenumber),
@@ -86,3 +86,20 @@ SELECT scheme, round(corr(r, q), 6) AS spearman, round(count(*) FILTER (r <= 10
 def scheme_agreement(t):
     d = t.part.select("p_partkey", F.col("p_size").alias("params"), (F.col("p_partkey") % 17).alias("snip"), (F.col("p_partkey") % 23).alias("synflow"))
     return rounded(explore.scheme_agreement(d, "p_partkey", explore.weight_schemes(BASE, 0)))
+
+
+@query("encode_choose", """WITH m AS (SELECT l_extendedprice AS y, unnest(['l_linenumber', 'l_suppkey', 'l_partkey', 'l_orderkey']) AS feature, unnest([l_linenumber::VARCHAR, l_suppkey::VARCHAR, l_partkey::VARCHAR, l_orderkey::VARCHAR]) AS v FROM lineitem),
+c AS (SELECT feature, v, count(*) AS n, avg(y) AS y FROM m GROUP BY ALL),
+s AS (SELECT feature, count(*) AS categories, sum(n) AS n, max(y) > min(y) AS differs FROM c GROUP BY feature)
+SELECT feature, categories, CASE WHEN differs AND n >= 50 AND categories > 10 AND categories < 10000 THEN 'target_kfold' WHEN categories <= 12 THEN 'onehot' WHEN categories <= 1000 THEN 'freq' ELSE 'hashing' END AS strategy FROM s""")
+def choose(t):
+    return encode.choose(t.lineitem, ["l_linenumber", "l_suppkey", "l_partkey", "l_orderkey"], "l_extendedprice")
+
+
+@query("conformal_aggregated_radius", EV + """,
+a AS (SELECT user_id, list_sort(list(abs(value - 50))) AS s, count(*) AS m, list((value > 60)::INT::DOUBLE ORDER BY i) AS miss FROM ev GROUP BY user_id),
+e AS (SELECT user_id, s, m, list_reduce(list_prepend(0.1::DOUBLE, miss), lambda a, x: least(0.99::DOUBLE, greatest(0.01::DOUBLE, a + g * (0.1::DOUBLE - x)))) AS alpha FROM a, (VALUES (0.001::DOUBLE), (0.01::DOUBLE), (0.05::DOUBLE)) AS v(g))
+SELECT user_id, m AS n, round(avg(s[1 + ceil(least(1.0::DOUBLE, ceil((m + 1) * (1 - alpha)) / m) * (m - 1))::INT]), 6) AS radius FROM e GROUP BY user_id, m""")
+def aggregated_radius(t):
+    d = t.ev.withColumn("miss", F.col("value") > 60).withColumn("residual", F.abs(F.col("value") - 50))
+    return rounded(conformal.aggregated_radius(d, ["user_id"], ["i"], "miss", "residual", 0.1, [0.001, 0.01, 0.05]))

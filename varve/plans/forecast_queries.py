@@ -118,7 +118,8 @@ def weighted(t):
     return C.weighted_quantile(w, ["user_id"], "value", "w", 0.9)
 
 
-@query("conformal_adaptive_alpha")
+@query("conformal_adaptive_alpha", EV + """
+SELECT user_id, count(*) AS n, round(list_reduce(list_prepend(0.1::DOUBLE, list((value > 60)::INT::DOUBLE ORDER BY i)), lambda a, m: least(0.99::DOUBLE, greatest(0.01::DOUBLE, a + 0.05::DOUBLE * (0.1::DOUBLE - m)))), 6) AS alpha FROM ev GROUP BY user_id""")
 def adaptive(t):
     return rounded(C.adaptive_alpha(t.ev.withColumn("miss", F.col("value") > 60), ["user_id"], ["i"], "miss", 0.1, 0.05))
 

@@ -15,8 +15,14 @@ def _filter(name: str, sql: str | None = None) -> None:
         return rounded(G.map_series(t.ev.select("user_id", "i", "value"), "user_id", "i", "value", G.FILTERS[name], "smooth"))
 
 
+FILTER_SQL = {
+    "moving_average": EV + " SELECT user_id, i, round(avg(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM ev",
+    "gaussian": EV + """, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ev),
+k AS (SELECT user_id, i, exp(-0.5::DOUBLE * (d / 2.0::DOUBLE) * (d / 2.0::DOUBLE)) AS w, CASE WHEN i + d < 0 THEN -(i + d) - 1 WHEN i + d >= n THEN 2 * n - (i + d) - 1 ELSE i + d END AS j FROM n, range(-8, 9) AS r(d) WHERE abs(d) < n)
+SELECT k.user_id, k.i, round(sum(w * ev.value) / sum(w), 6) AS smooth FROM k JOIN ev ON k.user_id = ev.user_id AND k.j = ev.i GROUP BY k.user_id, k.i""",
+}
 for _name in sorted(G.FILTERS):
-    _filter(_name, EV + " SELECT user_id, i, round(avg(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM ev" if _name == "moving_average" else None)
+    _filter(_name, FILTER_SQL.get(_name))
 
 
 def _summary(name: str, f, names: list[str], sql: str | None = None) -> None:
