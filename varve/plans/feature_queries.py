@@ -307,7 +307,12 @@ def network(t):
     return rounded(G.threshold_network(M.pearson(t.lineitem, COLS), 0.004))
 
 
-@query("graph_nearest_columns")
+PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS src, '{b}' AS dst, 1 - abs(corr({a}, {b})) AS d FROM lineitem" for i, a in enumerate(COLS) for b in COLS[i + 1 :])
+
+
+@query("graph_nearest_columns", f"""WITH p AS ({PAIRS}), e AS (SELECT src, dst, d FROM p UNION ALL SELECT dst, src, d FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS k FROM e)
+SELECT src, dst, round(1 / (1 + d), 6) AS weight FROM r WHERE k <= 2""")
 def nearest(t):
     return rounded(G.nearest(M.pearson(t.lineitem, COLS).withColumn("value", 1 - F.abs("value")), 2))
 

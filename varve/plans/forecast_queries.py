@@ -173,6 +173,18 @@ def ecod(t):
     return rounded(A.ecod(first, ["g"], ["a", "b"], "id").select("id", "score"))
 
 
+@query("anomaly_ecod_all", """
+WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey AS g, l_quantity AS a, l_extendedprice AS b, count(*) OVER g + 1 AS n, row_number() OVER (g ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS ua,
+  row_number() OVER (g ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS da, row_number() OVER (g ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_quantity) AS ub,
+  row_number() OVER (g ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS db FROM lineitem WINDOW g AS (PARTITION BY l_suppkey)),
+k AS (SELECT g, avg(pow(a - m, 3)) AS sa, avg(pow(b - o, 3)) AS sb FROM (SELECT *, avg(a) OVER (PARTITION BY g) AS m, avg(b) OVER (PARTITION BY g) AS o FROM r) GROUP BY g)
+SELECT l_orderkey, l_linenumber, round(greatest(-ln(ua / n) - ln(ub / n), -ln(da / n) - ln(db / n), CASE WHEN sa < 0 THEN -ln(ua / n) ELSE -ln(da / n) END + CASE WHEN sb < 0 THEN -ln(ub / n) ELSE -ln(db / n) END), 6) AS score FROM r JOIN k USING (g)""")
+def ecod_all(t):
+    """Every row, by supplier; only rows that are equal in all columns read tie."""
+    b = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("tie"))
+    return rounded(A.ecod(b, ["l_suppkey"], ["a", "b"], "tie").select("l_orderkey", "l_linenumber", "score"))
+
+
 THRESHOLD = EV + """,
 b AS (SELECT event_type, median(value) AS m, quantile_cont(value, 0.95) AS q FROM ev GROUP BY event_type),
 d AS (SELECT event_type, median(abs(value - m)) AS d, max(m) AS m, max(q) AS q FROM ev JOIN b USING (event_type) GROUP BY event_type),
