@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, license_scan, mixing, near_vectors, packing, quality, shingle_join, token_files, topk
+from . import html_text, language, license_scan, mixing, near_vectors, packing, quality, shingle_join, spelling, substring_dedup, token_alignment, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,3 +87,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_license_scan"] = license_scan.oracle()
+
+
+@query("op11_substring_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_substring_dedup"] = substring_dedup.oracle()
+
+
+@query("op12_spelling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_scores(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
