@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .shared import Stash, bounded_batches, slices, worker_cache
 from .token_codec import byte_alphabet
 
-#: Units that a worker keeps, letters of the longest of these, and the memoised transitions; each starts anew when full.
-UNITS, UNIT_LETTERS, TRANSITIONS = 250_000, 40, 1_000_000
+#: Units of each of a worker's two generations, letters of the longest of these, and the memoised transitions, which start anew when full.
+UNITS, UNIT_LETTERS, TRANSITIONS = 200_000, 40, 1_000_000
 #: Links that a task counts at once.
 HELD_LINKS = 2_000_000
 SPACE = "▁"
@@ -109,7 +109,9 @@ class Aligner:
         self.bytes, self.width = (a, b), len(b)
         self.dtype = np.dtype("<u4") if len(a) * len(b) <= 1 << 32 else np.dtype("<u8")
         self.transducer = Transducer(a, b)
-        self.units: dict[str, tuple] = {}
+        self.names = [[str(i) for i in range(len(x))] for x in (a, b)]
+        self.units: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}  # the generation before: what is asked for again moves over, so frequent units stay
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -120,23 +122,33 @@ class Aligner:
 
     def _unit(self, part: str, a: list[int], b: list[int]) -> tuple | None:
         """Counts of tokens and groups, the groups as text, and the links' pair numbers; None where bytes differ."""
-        want, (of_a, of_b) = f" {part}".encode(), self.bytes
-        if b"".join([of_a[x] for x in a]) != want or b"".join([of_b[x] for x in b]) != want:
+        of_a = self.bytes[0]
+        if b"".join([of_a[x] for x in a]) != f" {part}".encode():
             return None
-        groups = self.transducer.groups(a, b)
+        groups = self.transducer.groups(a, b)  # which finds the second side's bytes to be the same
         if groups is None:
             return None
-        told = ";".join([",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])) for i, k, j, m in groups])
-        return len(a), len(b), len(groups), told, np.array([a[k - 1] * self.width + b[m - 1] for _, k, _, m in groups], self.dtype).tobytes()
+        (name_a, name_b), width, told, links = self.names, self.width, [], []
+        for i, k, j, m in groups:
+            links.append(a[k - 1] * width + b[m - 1])
+            if k - i == 1 == m - j:
+                told.append(f"{name_a[a[i]]}|{name_b[b[j]]}")
+            else:
+                told.append(",".join([name_a[x] for x in a[i:k]]) + "|" + ",".join([name_b[x] for x in b[j:m]]))
+        return len(a), len(b), len(groups), ";".join(told), np.array(links, self.dtype).tobytes()
 
     def align(self, texts: list[str | None]) -> list[tuple]:
         """n_a, n_b, n_groups, groups, links of each text; zeros where there are no tokens."""
         parts = [self.parts(t) if t and SPACE not in t else [] for t in texts]  # the sign that stands for a space is lost in the second's pieces
-        units, wanted = self.units, {p for ps in parts for p in ps}
-        fresh = [p for p in wanted if p not in units]
-        if len(units) + len(fresh) > UNITS:
-            units.clear()
-            fresh = list(wanted)
+        wanted = {p for ps in parts for p in ps}
+        if len(self.units) + len(wanted) > UNITS:
+            self.units, self.older = {}, self.units
+        units, older, fresh = self.units, self.older, []
+        for p in wanted - units.keys():
+            if p in older:
+                units[p] = older[p]
+            else:
+                fresh.append(p)
         if fresh:
             ours = self.first.encode_batch_fast([" " + p for p in fresh], add_special_tokens=False)
             theirs = self.second.encode(fresh, num_threads=1)
