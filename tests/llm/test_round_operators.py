@@ -185,7 +185,7 @@ def brute_alignment(model, text):
     return a, b, groups, links
 
 
-TEXTS = [None, "", " ", "  ", "a", " a", "a ", "a  ", "a  b", "a\n b", "a \nb", "\n", "x\x1c y", "it's don't 12,5% <|endoftext|> <s> </s> <unk> <0x41>", "▁", "a ▁b", "日本語 текст मानक 👩‍👩‍👧", "naïve café — “quoted”", "unbelievable tokenisation of antidisestablishmentarianism", "é   　x", "tab\tand  two   three    spaces", "x" * 300, "\x00 \x7f", "a" + " " * 40 + "b"]
+TEXTS = [None, "", " ", "  ", "a", " a", "a ", "a  ", "a  b", "a\n b", "a \nb", "\n", "x\x1c y", "it's don't 12,5% <|endoftext|> <s> </s> <unk> <0x41>", "▁", "a ▁b", "日本語 текст मानक 👩‍👩‍👧", "naïve café — “quoted”", "unbelievable tokenisation of antidisestablishmentarianism", "é   　x", "tab\tand  two   three    spaces", "x" * 300, "\x00 \x7f", "end. No, never; who? a.b, 1. é! 日、x: (y). ,. z..", "word" * 20 + ".", "a" + " " * 40 + "b"]
 
 
 @pytest.mark.parametrize("text", TEXTS)

@@ -43,7 +43,7 @@ class Transducer:
     def _start(self) -> None:
         self.states: dict[tuple[int, bytes], int] = {}
         self.leads, self.residuals = [1], [b""]  # state 0: nothing dangles; the first side gives the next token
-        self.memo: dict[tuple[int, int], int] = {}
+        self.memo: dict[int, int] = {}  # by state << 32 | token
 
     def _state(self, lead: int, residual: bytes) -> int:
         if not residual:
@@ -68,24 +68,29 @@ class Transducer:
         """Bounds (i, i', j, j') of the groups a[i:i'], b[j:j']; None if the bytes differ."""
         if len(self.memo) > TRANSITIONS:
             self._start()
-        at, ends, begun, state, out = [0, 0], (len(a), len(b)), (0, 0), 0, []
-        ids, leads, memo = (a, b), self.leads, self.memo
-        while state or at[0] < ends[0] or at[1] < ends[1]:
-            side = 1 - leads[state]
-            if at[side] == ends[side]:
-                return None
-            token = ids[side][at[side]]
-            at[side] += 1
-            new = memo.get((state, token))
+        i = j = from_i = from_j = state = 0
+        n, m, out, leads, memo = len(a), len(b), [], self.leads, self.memo
+        while True:
+            if leads[state]:  # the first side is behind
+                if i == n:
+                    break
+                token = a[i]
+                i += 1
+            else:
+                if j == m:
+                    break
+                token = b[j]
+                j += 1
+            new = memo.get(state << 32 | token)
             if new is None:
-                new = memo[state, token] = self._next(state, token)
-            if new < 0:
+                new = memo[state << 32 | token] = self._next(state, token)
+            if not new:
+                out.append((from_i, i, from_j, j))
+                from_i, from_j = i, j
+            elif new < 0:
                 return None
             state = new
-            if not state:
-                out.append((begun[0], at[0], begun[1], at[1]))
-                begun = (at[0], at[1])
-        return out
+        return None if state or j < m else out
 
 
 class Aligner:
@@ -109,6 +114,12 @@ class Aligner:
         self.bytes, self.width = (a, b), len(b)
         self.dtype = np.dtype("<u4") if len(a) * len(b) <= 1 << 32 else np.dtype("<u8")
         self.transducer = Transducer(a, b)
+        joined = {x[k] for x in names for k in range(1, len(x)) if x[k - 1].isalpha()}
+        self.signs: dict[str, tuple] = {}  # units of signs that neither side joins to a letter before them
+        for sign in set(",.;:!?") - joined:
+            i, j = self.first.encode(sign, add_special_tokens=False).ids, self.second.piece_to_id(sign)
+            if len(i) == 1 and b[j] == sign.encode():
+                self.signs[sign] = (1 << 32 | 1, f";{i[0]}|{j}", np.array([i[0] * self.width + j], self.dtype).tobytes())
         self.names = [[str(i) for i in range(len(x))] for x in (a, b)]
         self.units: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}  # the generation before: what is asked for again moves over, so frequent units stay
@@ -121,7 +132,7 @@ class Aligner:
         return [u[1:] for u in _CUT.split(" " + text)]
 
     def _unit(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        """Counts of tokens and groups, the groups as text, and the links' pair numbers; None where bytes differ."""
+        """Counts of both sides' tokens in one number, the groups as text, and the links' pair numbers; None where bytes differ."""
         of_a = self.bytes[0]
         if b"".join([of_a[x] for x in a]) != f" {part}".encode():
             return None
@@ -135,7 +146,7 @@ class Aligner:
                 told.append(f"{name_a[a[i]]}|{name_b[b[j]]}")
             else:
                 told.append(",".join([name_a[x] for x in a[i:k]]) + "|" + ",".join([name_b[x] for x in b[j:m]]))
-        return len(a), len(b), len(groups), ";".join(told), np.array(links, self.dtype).tobytes()
+        return len(a) << 32 | len(b), ";".join(told), np.array(links, self.dtype).tobytes()
 
     def align(self, texts: list[str | None]) -> list[tuple]:
         """n_a, n_b, n_groups, groups, links of each text; zeros where there are no tokens."""
@@ -143,26 +154,35 @@ class Aligner:
         wanted = {p for ps in parts for p in ps}
         if len(self.units) + len(wanted) > UNITS:
             self.units, self.older = {}, self.units
-        units, older, fresh = self.units, self.older, []
+        units, older, fresh, signed = self.units, self.older, set(), []
         for p in wanted - units.keys():
             if p in older:
                 units[p] = older[p]
+            elif p[-1:] in self.signs and p[-2:-1].isalpha():  # a word and a sign
+                signed.append(p)
+                if p[:-1] not in units:
+                    fresh.add(p[:-1])
             else:
-                fresh.append(p)
-        if fresh:
-            ours = self.first.encode_batch_fast([" " + p for p in fresh], add_special_tokens=False)
-            theirs = self.second.encode(fresh, num_threads=1)
-            for p, a, b in zip(fresh, ours, theirs, strict=True):
+                fresh.add(p)
+        new = list(fresh)
+        if new:
+            ours = self.first.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
+            theirs = self.second.encode(new, num_threads=1)
+            for p, a, b in zip(new, ours, theirs, strict=True):
                 units[p] = self._unit(p, a.ids, b)
+        for p in signed:
+            word, sign = units[p[:-1]], self.signs[p[-1]]
+            units[p] = word and (word[0] + sign[0], word[1] + sign[1], word[2] + sign[2])
         out = []
         for ps in parts:
             got = [units[p] for p in ps]
             if not got or None in got:
                 out.append((0, 0, 0, "", b""))
                 continue
-            a, b, groups, told, links = zip(*got, strict=True)
-            out.append((sum(a), sum(b), sum(groups), ";".join(told), b"".join(links)))
-        for p in fresh:
+            counts, told, links = zip(*got)  # noqa: B905
+            counts, links = sum(counts), b"".join(links)
+            out.append((counts >> 32, counts & 0xFFFFFFFF, len(links) // self.dtype.itemsize, ";".join(told), links))
+        for p in (*new, *signed):
             if len(p) > UNIT_LETTERS:
                 del units[p]
         return out
