@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import conformal, encode, explore, signal
+from varve.operators import conformal, encode, explore, partition, signal
 
 
 @pytest.mark.parametrize("f", [0.01, 0.3, 1.0, 2.5, 40.0])
@@ -18,35 +18,40 @@ def test_f_tail_has_its_closed_forms(f):
     assert explore.f_tail(f, 7, 7) + explore.f_tail(1 / f, 7, 7) == pytest.approx(1)
 
 
-def test_segmentation_finds_the_best_first_cut_and_planted_steps():
-    rng = np.random.default_rng(3)
-    x = rng.normal(0, 1, 60)
-    error = lambda a: ((a - a.mean()) ** 2).sum()
-    brute = min(range(5, 60, 5), key=lambda k: error(x[:k]) + error(x[k:]))
-    assert explore.binary_segmentation(x, 1) == [brute]
-    steps = np.repeat([0.0, 5.0, -3.0, 8.0], 100) + rng.normal(0, 0.1, 400)
-    assert explore.binary_segmentation(steps, 3) == [100, 200, 300]
-    assert explore.binary_segmentation(np.ones(3), 3) == [] and explore.binary_segmentation(np.zeros(0), 3) == []
-
-
 def test_change_points_of_series_with_nulls_and_short_ones(spark):
     rows = [("a", i, 1.0 if i < 50 else 4.0) for i in range(100)] + [("a", 200 + i, None) for i in range(5)] + [("b", i, float(i)) for i in range(20)]
-    got = explore.change_points(spark.createDataFrame(rows, "k string, i long, v double"), "k", "i", "v").collect()
-    assert [tuple(r) for r in got] == [("a", 50, 1.0, 4.0, 3.0)]
+    got = partition.change_points(spark.createDataFrame(rows, "k string, i long, v double"), "k", "i", "v").collect()
+    assert [tuple(r) for r in got] == [("a", 50, pytest.approx(1.0), pytest.approx(4.0), pytest.approx(3.0))]
 
 
-def test_motifs_find_a_planted_copy_and_equal_brute_force():
+@pytest.mark.parametrize("block", [1024, 50])
+def test_nearest_windows_and_motifs_equal_brute_force(spark, block):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, 200)
     x[150:170] = x[30:50]
-    found = explore.top_motifs(x)
-    assert found[0][:2] == (30, 150) and found[0][2] == pytest.approx(0, abs=1e-9)
-    z = (x - x.mean()) / (x.std() + 1e-8)
-    for i, j, d in found:
-        every = [math.dist(z[i : i + 20], z[k : k + 20]) if abs(k - i) > 10 else math.inf for k in range(181)]
-        assert every[j] == pytest.approx(min(every)) == pytest.approx(d)
-    assert all(abs(a[0] - b[0]) >= 20 for a in found for b in found if a is not b)
-    assert explore.top_motifs(x[:39]) == [] and explore.top_motifs(np.zeros(0)) == []
+    rows = [("a", i, float(v)) for i, v in enumerate(x)] + [("a", 900, None)] + [("b", i, float(v)) for i, v in enumerate(x[:39])] + [("c", i, 1.0) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(3)
+    z = (x - x.mean()) / x.std()
+    every = {(i, j): math.dist(z[i : i + 20], z[j : j + 20]) for i in range(181) for j in range(181) if abs(i - j) >= 20}
+    want = {i: min(every[i, j] for j in range(181) if (i, j) in every) for i in range(181)}
+    got = {r.i: (r.j, r.d) for r in explore.nearest_windows(df, "k", "i", "v", 20, block=block).collect() if r.k == "a"}
+    assert {i: d for i, (_, d) in got.items()} == {i: pytest.approx(d, abs=1e-7) for i, d in want.items()}
+    assert all(every[i, j] == pytest.approx(d, abs=1e-7) for i, (j, d) in got.items())
+    found = explore.motifs(df, "k", "i", "v").orderBy("rank").collect()
+    assert [tuple(r)[:4] for r in found[:1]] == [("a", 1, 30, 150)] and found[0].distance == pytest.approx(0, abs=1e-6) and len(found) in (2, 3)
+    taken = [p for r in found for p in (r.at, r.match)]
+    assert all(abs(p - q) >= 20 for i, p in enumerate(taken) for q in taken[i + 1 :])
+    second = min(d for i, (j, d) in got.items() if all(abs(p - q) >= 20 for p in (i, j) for q in (30, 150)))
+    assert found[1].distance == pytest.approx(second)
+
+
+def test_a_motif_is_found_however_long_the_series(spark):
+    rng = np.random.default_rng(12)
+    for n in (499, 500, 2101):
+        x = rng.normal(0, 1, n)
+        x[n - 31 : n - 11] = x[17:37]
+        got = explore.motifs(spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k string, i long, v double"), "k", "i", "v", top=1).first()
+        assert (got.at, got.match) == (17, n - 31)
 
 
 def test_dispersion_entropy_and_coarse_means():
@@ -110,11 +115,14 @@ def test_welch_anova_and_schemes(spark):
     t = (a.mean() - b.mean()) ** 2 / (a.var(ddof=1) / 3 + b.var(ddof=1) / 2)
     assert (got.k, got.df1) == (2, 1) and got.statistic == pytest.approx(t)
     assert explore.welch_anova(d.filter("g = 'a'"), "g", "v").first().statistic is None
-    every = explore.weight_schemes({"snip": 1.0, "params": -0.5}, 2)
-    assert set(every) == {"baseline", "uniform", "subset_grad", "subset_complexity", "subset_pos_only", "subset_no_penalties", "loo_minus_snip", "loo_minus_params", "rand_00", "rand_01"}
-    s = spark.range(30).select("id", (F.col("id") % 7).alias("snip"), (F.col("id") % 5).alias("params"))
-    agree = {r.scheme: r for r in explore.scheme_agreement(s, "id", every, 5).collect()}
-    assert agree["baseline"].spearman == pytest.approx(1) and agree["baseline"].overlap == 1
+    s = spark.range(30).select("id", (F.col("id") % 7).alias("snip"), F.when(F.col("id") != 4, F.col("id") % 5).alias("params"))
+    rows = [("baseline", "snip", 1.0), ("baseline", "params", -0.5), ("signs", "snip", 1.0), ("signs", "params", -1.0), ("only", "params", -0.5)]
+    agree = {r.scheme: r for r in explore.scheme_agreement(s, "id", spark.createDataFrame(rows, "scheme string, metric string, weight double"), 5).collect()}
+    value = lambda r, w: sum((getattr(r, m) or 0) * v for n, m, v in rows if n == w)
+    order = {w: [r.id for r in sorted(s.collect(), key=lambda r: (-value(r, w), r.id))] for w in ("baseline", "signs", "only")}
+    for w, ids in order.items():
+        place = np.array([[ids.index(i), order["baseline"].index(i)] for i in range(30)])
+        assert agree[w].spearman == pytest.approx(np.corrcoef(place.T)[0, 1]) and agree[w].overlap == len({*ids[:5]} & {*order["baseline"][:5]}) / 5
 
 
 def test_butterworth_has_its_frequency_response():

@@ -3,25 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expr import bucket, divide
+from ..functions.expr import bucket, divide, nan_to_null
+from ..functions.tables import Rounds
 from .mining import value_ranks
-
-# The scores that each family of weights keeps.
-FAMILIES = {
-    "subset_grad": ("grasp", "fisher", "snip", "jacobian", "sensitivity"),
-    "subset_act": ("naswot", "activation_diversity", "zennas"),
-    "subset_complexity": ("params", "flops", "conditioning"),
-    "subset_synflow": ("synflow",),
-}
-
+from .partition import prefix_sums
 
 def welch_anova(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: k, statistic, df1, df2 of Welch's test of equal means; the weights' sums are taken without the factor (1 - w / W)^2. Groups below two values or without variance are left out; NULL for one group."""
@@ -63,74 +57,76 @@ def shimazaki(df: DataFrame, c: str, least: int = 4, most: int = 128) -> DataFra
     return s.withColumn("best", F.row_number().over(Window.orderBy("cost", "bins")) == 1)  # at most `most` rows
 
 
-def binary_segmentation(x: np.ndarray, cuts: int, jump: int = 5, least: int = 2) -> list[int]:
-    """Places of at most `cuts` changes of the mean: the piece and place whose split lowers the squared error most, again and again.
-    Places are a multiple of `jump` from their piece's start, both sides hold `least` values; of equal gains the latest place counts."""
-    s, q = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
-
-    def error(a, b):
-        return q[b] - q[a] - (s[b] - s[a]) ** 2 / np.maximum(b - a, 1)
-
-    pieces: list[tuple[int, int]] = [(0, len(x))]
-    while len(pieces) <= cuts:
-        options = []
-        for a, b in pieces:
-            at = np.arange(a, b, jump)
-            at = at[(at - a >= least) & (b - at >= least)]
-            if len(at):
-                gain = error(a, b) - error(a, at) - error(at, b)
-                options.append(max(zip(gain.tolist(), at.tolist(), strict=True)) + (a, b))
-        if not options:
-            break
-        _, at, a, b = max(options)
-        pieces.remove((a, b))
-        pieces += [(a, at), (at, b)]
-    return sorted(a for a, _ in pieces if a)
-
-
-def change_points(df: DataFrame, key: str, order: str, value: str, least: int = 80, most: int = 3) -> DataFrame:
-    """key, at, before, after, magnitude: changes by binary segmentation, one per 100 values and 1 to `most` a series, none within 10 values of its
-    ends; the means are of all values before and after. Nulls are left out, shorter series give no row. A series is held by one task."""
-    schema = f"{key} {dict(df.dtypes)[key]}, at long, before double, after double, magnitude double"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values(order, kind="stable")[value].to_numpy(float)
-        found = binary_segmentation(x, min(most, max(1, len(x) // 100))) if len(x) >= least else []
-        rows = [(frame[key].iloc[0], c, x[:c].mean(), x[c:].mean()) for c in found if 10 <= c < len(x) - 10]
-        return pd.DataFrame([(*r, abs(r[3] - r[2])) for r in rows], columns=[key, "at", "before", "after", "magnitude"])
-
-    return df.filter(F.col(value).isNotNull()).select(key, order, value).groupBy(key).applyInPandas(run, schema)
-
-
-def top_motifs(x: np.ndarray, width: int = 20, top: int = 3) -> list[tuple[int, int, float]]:
-    """(start, start of the nearest window, distance) of the closest pairs of windows of the standardised series, pairs of a start less than
-    half a width apart left out. From 500 values on, about 200 evenly spaced starts look for their nearest among all windows."""
-    if len(x) < 2 * width:
-        return []
-    windows = np.lib.stride_tricks.sliding_window_view((x - x.mean()) / (x.std() + 1e-8), width)
-    step, pairs = 1 if len(x) < 500 else max(1, len(x) // 200), []
-    for i in range(0, len(windows), step):
-        gap = np.linalg.norm(windows - windows[i], axis=1)
-        gap[max(0, i - width // 2) : i + width // 2 + 1] = np.inf
-        j = int(gap.argmin())
-        if math.isfinite(gap[j]):
-            pairs.append((float(gap[j]), i, j))
-    out: list[tuple[int, int, float]] = []
-    for d, i, j in sorted(pairs):
-        if len(out) < top and all(abs(i - at) >= width and abs(j - at) >= width for at, _, _ in out):
-            out.append((i, j, d))
-    return out
+def _blocks(df: DataFrame, key: str, order: str, value: str, width: int, block: int) -> DataFrame:
+    """k, b, x: each series' standardised values in blocks of `block` window starts; a block holds the width - 1 values behind it too. Constant series are left out."""
+    w = Window.partitionBy("k")
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), nan_to_null(value).alias("v")).filter("v is not null")
+    z = rows.select("k", ((F.col("v") - F.avg("v").over(w)) / F.stddev_pop("v").over(w)).alias("z"), (F.row_number().over(w.orderBy("o")) - 1).cast("long").alias("i"), F.stddev_pop("v").over(w).alias("s")).filter("s > 0")
+    own = F.floor(F.col("i") / block).cast("long")
+    places = F.array_distinct(F.array(own, F.greatest(F.lit(0).cast("long"), F.floor((F.col("i") - (width - 1)) / block).cast("long"))))
+    dealt = z.select("k", "i", "z", F.explode(places).alias("b"))
+    held = dealt.groupBy("k", "b").agg(F.sort_array(F.collect_list(F.struct("i", "z"))).alias("x"))  # at most block + width values
+    return held.select("k", "b", F.transform("x", lambda p: p["z"]).alias("x")).filter(F.size("x") >= width)
+
+
+def _meet(width: int, apart: int, block: int):
+    """Of each window of block b the nearest window of block c that starts at least `apart` places away."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k, b, c, x, y in zip(*(batch.column(n).to_pylist() for n in ("k", "b", "c", "x", "y")), strict=True):
+                u, v = (np.lib.stride_tricks.sliding_window_view(np.array(a), width) for a in (x, y))
+                i, j = b * block + np.arange(len(u)), c * block + np.arange(len(v))
+                d = np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * u @ v.T, 0)
+                d[np.abs(i[:, None] - j[None]) < apart] = np.inf
+                at = d.argmin(1)
+                best = np.sqrt(((u - v[at]) ** 2).sum(1))
+                on = np.isfinite(d[np.arange(len(u)), at])
+                rows += [(k, int(p), int(q), float(e)) for p, q, e in zip(i[on], j[at][on], best[on], strict=True)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("k").type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64())], ["k", "i", "j", "d"])
+
+    return run
+
+
+def nearest_windows(df: DataFrame, key: str, order: str, value: str, width: int = 20, apart: int | None = None, block: int = 1024) -> DataFrame:
+    """k (the key), i, j, d: each window of a standardised series, the nearest one that starts at least `apart` places away (default: a width, so that they don't overlap), and
+    their distance; ties to the earliest. Blocks of windows first meet themselves and the next block, which bounds every window's distance; other blocks meet only where
+    the windows' norms allow a smaller one. A task holds two blocks."""
+    held = Rounds(df.sparkSession, "windows")
+    apart = width if apart is None else apart
+    blocks = held.put(_blocks(df, key, order, value, width, block))
+    kind = dict(blocks.dtypes)["k"]
+    norms = F.transform(F.sequence(F.lit(0), F.size("x") - width), lambda s: F.sqrt(F.aggregate(F.slice("x", s + 1, width), F.lit(0.0), lambda a, v: a + v * v)))
+    sized = held.put(blocks.select("k", "b", F.array_min(norms).alias("low"), F.array_max(norms).alias("high")))
+    a, b = blocks.select("k", "b", "x"), blocks.select("k", F.col("b").alias("c"), F.col("x").alias("y"))
+    schema = f"k {kind}, i long, j long, d double"
+    near = a.join(b, "k").filter(F.abs(F.col("c") - F.col("b")) <= 1)
+    first = held.put(near.select("k", "b", "c", "x", "y").mapInArrow(_meet(width, apart, block), schema))
+    windows = F.size("x") - width + 1
+    bound = first.groupBy("k", "i").agg(F.min("d").alias("d")).groupBy("k", F.floor(F.col("i") / block).cast("long").alias("b")).agg(F.max("d").alias("most"), F.count("*").alias("n"))
+    bound = blocks.select("k", "b", windows.alias("w")).join(bound, ["k", "b"], "left").select("k", "b", F.when(F.col("n") == F.col("w"), F.col("most")).otherwise(float("inf")).alias("most"))
+    pair = sized.join(bound, ["k", "b"]).join(sized.select("k", F.col("b").alias("c"), F.col("low").alias("lo"), F.col("high").alias("hi")), "k")
+    gap = F.greatest(F.col("low") - F.col("hi"), F.col("lo") - F.col("high"), F.lit(0.0))
+    wanted = pair.filter((F.abs(F.col("c") - F.col("b")) > 1) & (gap <= F.col("most") + 1e-9)).select("k", "b", "c")
+    second = wanted.join(a, ["k", "b"]).join(b, ["k", "c"]).select("k", "b", "c", "x", "y").mapInArrow(_meet(width, apart, block), schema)
+    return first.unionByName(second).groupBy("k", "i").agg(F.min(F.struct("d", "j")).alias("m")).select("k", "i", "m.j", "m.d")
 
 
 def motifs(df: DataFrame, key: str, order: str, value: str, width: int = 20, top: int = 3) -> DataFrame:
-    """key, rank, at, match, distance: the closest recurring windows of each series; none for series below two widths. Nulls are left out."""
-    schema = f"{key} {dict(df.dtypes)[key]}, rank long, at long, match long, distance double"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = top_motifs(frame.sort_values(order, kind="stable")[value].to_numpy(float), width, top)
-        return pd.DataFrame([(frame[key].iloc[0], k + 1, *f) for k, f in enumerate(found)], columns=[key, "rank", "at", "match", "distance"])
-
-    return df.filter(F.col(value).isNotNull()).select(key, order, value).groupBy(key).applyInPandas(run, schema)
+    """key, rank, at, match, distance: the closest pairs of windows of each series that don't overlap, nearest first; a pair that overlaps a window of one chosen before is
+    passed over. Ties go to the earlier start. Nulls are left out; series below two widths and constant ones give none."""
+    held = Rounds(df.sparkSession, "motifs")
+    left = held.put(nearest_windows(df, key, order, value, width))
+    out = None
+    for rank in range(1, top + 1):
+        best = held.put(left.groupBy("k").agg(F.min(F.struct(F.round("d", 9).alias("r"), "i", "j", "d")).alias("m")).select("k", F.col("m.i").alias("at"), F.col("m.j").alias("match"), F.col("m.d").alias("distance")))
+        row = best.select(F.col("k").alias(key), F.lit(rank).cast("long").alias("rank"), "at", "match", "distance")
+        out = row if out is None else out.unionByName(row)
+        far = lambda x, y: F.abs(F.col(x) - F.col(y)) >= width
+        left = left.join(best, "k").filter(far("i", "at") & far("i", "match") & far("j", "at") & far("j", "match")).select("k", "i", "j", "d")
+    return out
 
 
 def dispersion_entropy(x: np.ndarray, order: int = 3, classes: int = 6) -> float:
@@ -215,25 +211,22 @@ def last_trend(df: DataFrame, key: str, order: str, value: str, last: int = 20)
     return r.groupBy(key).agg(F.signum(-F.regr_slope(value, F.col("_r").cast("double"))).cast("long").alias("direction"), F.count("*").alias("_n")).filter(F.col("_n") == last).drop("_n")
 
 
-def weight_schemes(base: Mapping[str, float], random: int = 20, sigma: float = 0.25, seed: int = 0) -> dict[str, dict[str, float]]:
-    """Named variants of score weights: as given, signs only, families, positive only, without penalties, each left out, and normal draws around them. Empty ones are left out."""
-    out = {"baseline": dict(base), "uniform": {k: 1.0 if v >= 0 else -1.0 for k, v in base.items()}}
-    out |= {name: {k: base[k] for k in keys if k in base} for name, keys in FAMILIES.items()}
-    out["subset_pos_only"] = {k: v for k, v in base.items() if v > 0}
-    out["subset_no_penalties"] = {k: v for k, v in base.items() if k not in FAMILIES["subset_complexity"]}
-    out |= {f"loo_minus_{left}": {k: v for k, v in base.items() if k != left} for left in base}
-    for i in range(random):
-        draw = np.random.default_rng(seed + i).normal
-        out[f"rand_{i:02d}"] = {k: float(draw(v, sigma * max(abs(v), 1e-6))) for k, v in base.items()}
-    return {k: v for k, v in out.items() if v}
+def scheme_scores(df: DataFrame, key: str, schemes: DataFrame) -> DataFrame:
+    """scheme, key, score: each candidate's weighted sum under each scheme. schemes: scheme, metric (a column of df), weight; null scores count as 0."""
+    metrics = sorted(r.metric for r in schemes.select("metric").distinct().collect())  # columns of df
+    cells = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("x")) for m in metrics)))
+    long = df.select(F.col(key), cells.alias("m")).select(key, "m.*").join(schemes.select("scheme", "metric", F.col("weight").cast("double").alias("weight")), "metric")
+    return long.groupBy("scheme", key).agg(F.sum(F.col("x") * F.col("weight")).alias("score"))
 
 
-def scheme_agreement(df: DataFrame, key: str, schemes: Mapping[str, Mapping[str, float]], top: int = 10, base: str = "baseline") -> DataFrame:
-    """scheme, spearman, overlap: how the candidates' order by each weighted sum agrees with the base scheme's, and the share of its best `top` that it shares.
+def scheme_agreement(df: DataFrame, key: str, schemes: DataFrame, top: int = 10, base: str = "baseline") -> DataFrame:
+    """scheme, spearman, overlap: how the candidates' order by each scheme's scores agrees with the base scheme's, and the share of its best `top` that it shares.
 
-    Equal sums rank by key; null scores count as 0. Candidates of a search are few: a scheme's ranks are one sort."""
-    total = lambda w: sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * v for c, v in w.items()), F.lit(0.0))
-    long = df.select(key, F.explode(F.array(*(F.struct(F.lit(s).alias("scheme"), total(w).alias("score")) for s, w in schemes.items()))).alias("e")).select(key, "e.*")
-    ranks = long.select(key, "scheme", F.row_number().over(Window.partitionBy("scheme").orderBy(F.desc("score"), key)).cast("double").alias("r"))
+    Equal scores rank by key. Ranks are places within ordered parts of a scheme's scores plus the parts before, so no task sorts all candidates; those of one
+    score share a part."""
+    scored = Rounds(df.sparkSession, "schemes").put(scheme_scores(df, key, schemes).withColumn("score", -F.col("score")))
+    counts = prefix_sums(scored.groupBy("scheme", "score").agg(F.count("*").alias("n")), "scheme", "score", ["n"]).select("scheme", "score", F.col("n").alias("upto"))
+    same = Window.partitionBy("scheme", "score")
+    ranks = scored.withColumn("_i", F.count("*").over(same) - F.row_number().over(same.orderBy(key))).join(counts, ["scheme", "score"]).select(key, "scheme", (F.col("upto") - F.col("_i")).cast("double").alias("r"))
     both = ranks.join(ranks.filter(F.col("scheme") == base).select(key, F.col("r").alias("q")), key)
     return both.groupBy("scheme").agg(F.coalesce(F.corr("r", "q"), F.lit(0.0)).alias("spearman"), (F.sum(((F.col("r") <= top) & (F.col("q") <= top)).cast("long")) / max(top, 1)).alias("overlap"))

@@ -136,27 +136,10 @@ def quantile_bins(df: DataFrame, c: str, k: int) -> DataFrame:
 
 
 def best_cut(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: the cut of x that gains most class entropy of y (0 or 1), its gain and whether the description length allows it.
-
-    Counts per distinct value of x come first, so the ordered pass sees distinct values, not rows."""
-    per = df.groupBy(F.col(x).alias("x")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("p"))
-    w = Window.orderBy("x")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    per = per.select("x", F.lead("x").over(w).alias("_next"), F.sum("n").over(run).alias("l"), F.sum("p").over(run).alias("lp"), F.sum("n").over(every).alias("t"), F.sum("p").over(every).alias("tp"))
-
-    def entropy(p: Column, n: Column) -> Column:
-        q = p / n
-        return -F.when((q > 0) & (q < 1), q * F.log2(q) + (1 - q) * F.log2(1 - q)).otherwise(F.lit(0.0))
-
-    r, rp = F.col("t") - F.col("l"), F.col("tp") - F.col("lp")
-    h, hl, hr = entropy(F.col("tp"), F.col("t")), entropy(F.col("lp"), F.col("l")), entropy(rp, r)
-    classes = lambda p, n: (p > 0).cast("int") + (p < n).cast("int")
-    gain = h - F.col("l") / F.col("t") * hl - r / F.col("t") * hr
-    k, kl, kr = classes(F.col("tp"), F.col("t")), classes(F.col("lp"), F.col("l")), classes(rp, r)
-    cost = (F.log2(F.col("t") - 1) + F.log2(F.pow(F.lit(3.0), k) - 2) - (k * h - kl * hl - kr * hr)) / F.col("t")
-    cut = per.filter("_next is not null").select(((F.col("x") + F.col("_next")) / 2).alias("cut"), gain.alias("gain"), (gain > cost).alias("accepted"))
-    return cut.orderBy(F.desc(F.round("gain", 9)), "cut").limit(1)
+    """One row: the cut of x that gains most class entropy of y, its gain and whether the description length allows it. See partition for cuts of all intervals."""
+    from .partition import best_cut as cut
+
+    return cut(df, x, y)
 
 
 def correlated(df: DataFrame, columns: list[str], threshold: float) -> DataFrame:

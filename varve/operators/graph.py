@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import divide
+from ..functions.tables import Rounds
 
 
 def threshold_network(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -74,3 +75,137 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Data
         if i % 5 == 4 and edges.sparkSession.conf.get("spark.checkpoint.dir", None):
             rank = rank.checkpoint()
     return rank
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the smallest node that each node reaches; of undirected edges, loops allowed. Nodes must be of one ordered type.
+
+    A round takes the least label among neighbours, then the label's own label, so paths shorten to half; each round is written. A component's label may be
+    that of a third of all nodes: the join by label has one row on its other side, which Spark's skew join splits."""
+    held = Rounds(edges.sparkSession, "components")
+    u = held.put(undirected(edges))
+    both = held.put(u.unionByName(u.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    now = held.put(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
+    while True:
+        near = both.join(now.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("least"))
+        new = now.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("label").alias("before"), F.least("label", "least").alias("label"))
+        new = held.put(new)
+        hop = new.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        after = held.put(new.join(hop, "label").select("node", "before", F.least("label", "further").alias("label")))
+        held.drop(new)
+        if after.filter("label != before").isEmpty():
+            return after.select("node", F.col("label").alias("component"))
+        held.drop(now)
+        now = after.select("node", "label")
+        now._varve_round = after._varve_round
+
+
+def topology(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, density, mean_degree, components, largest (its nodes), triangles, transitivity (closed wedges over all wedges)."""
+    held = Rounds(edges.sparkSession, "topology")
+    u = held.put(undirected(edges))
+    d = degrees(u)
+    wedges = d.agg(F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("wedges"))
+    tri = triangles(u).agg((F.coalesce(F.sum("triangles"), F.lit(0)) / 3).cast("long").alias("triangles"))
+    parts = components(u).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    n, m = F.col("nodes").cast("double"), F.col("edges").cast("double")
+    row = wedges.crossJoin(tri).crossJoin(parts)  # one row each
+    density, mean = F.coalesce(divide(2 * m, n * (n - 1)), F.lit(0.0)), F.coalesce(divide(2 * m, n), F.lit(0.0))
+    return row.select("nodes", F.coalesce("edges", F.lit(0).cast("long")).alias("edges"), density.alias("density"), mean.alias("mean_degree"), "components", "largest", "triangles", F.coalesce(divide(3.0 * F.col("triangles"), F.col("wedges").cast("double")), F.lit(0.0)).alias("transitivity"))
+
+
+def modularity(edges: DataFrame, member: DataFrame) -> float:
+    """Of undirected edges src, dst, weight (a loop's weight counts twice in its node's strength) with member: node, community."""
+    a, b = member.select(F.col("node").alias("src"), F.col("community").alias("ca")), member.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+    e = edges.join(a, "src").join(b, "dst")
+    m = F.col("weight")
+    ends = e.select(F.explode(F.array("ca", "cb")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("s"))
+    total, inside = e.agg(F.sum(m), F.sum(F.when(F.col("ca") == F.col("cb"), m).otherwise(0.0))).first()
+    if not total:
+        return 0.0
+    return inside / total - (ends.agg(F.sum(F.col("s") * F.col("s"))).first()[0] / (4 * total * total))
+
+
+def _moves(edges: DataFrame, member: DataFrame, total: float, up: bool, gamma: float) -> DataFrame:
+    """node, community after one round: each node's best community among its neighbours', by gain of modularity (9 digits; ties: the least). Nodes move only to larger, or only
+    to smaller, numbers in a round, so that two nodes don't swap places."""
+    both = edges.filter("src != dst").select("src", "dst", "weight").unionByName(edges.filter("src != dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    strength = edges.select(F.explode(F.array("src", "dst")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("k"))
+    own = member.join(strength, "node")
+    sums = own.groupBy("community").agg(F.sum("k").alias("tot"))
+    to = both.join(member.select(F.col("node").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("weight").alias("w"))
+    stay = own.select("node", F.col("community").alias("c"), F.lit(0.0).alias("w"))
+    options = to.unionByName(stay).groupBy("node", "c").agg(F.sum("w").alias("w"))
+    scored = options.join(own, "node").join(sums.select(F.col("community").alias("c"), "tot"), "c")
+    rest = F.col("tot") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)
+    gain = F.round(F.col("w") - gamma * F.col("k") * rest / (2 * total), 9)
+    allowed = (F.col("c") == F.col("community")) | ((F.col("c") > F.col("community")) if up else (F.col("c") < F.col("community")))
+    return scored.filter(allowed).groupBy("node").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("community")), -F.col("c"))).alias("community"))
+
+
+def communities(edges: DataFrame, rounds: int = 12, levels: int = 6, gamma: float = 1.0) -> DataFrame:
+    """node, community: modularity by local moves and contraction. edges: src, dst (longs), optional weight; parallel edges add up.
+
+    A level moves nodes while modularity rises, at most `rounds` times; then communities become nodes and their edges' weights add up. It ends when a level
+    gains nothing. A community's number is its smallest node's. Every round is a few joins of edge tables; two numbers a round reach the driver."""
+    held = Rounds(edges.sparkSession, "communities")
+    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    now = held.put(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), weight.alias("weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    total = now.agg(F.sum("weight")).first()[0]
+    final = held.put(now.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")))
+    if not total:
+        return final
+    best = modularity(now, final)
+    for _ in range(levels):
+        start = best
+        member = held.put(now.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")))
+        idle = 0
+        for r in range(rounds):
+            moved = held.put(_moves(now, member, total, r % 2 == 1, gamma))
+            q = modularity(now, moved)
+            if q > best + 1e-9:
+                best, member, idle = q, moved, 0
+            else:
+                idle += 1
+                if idle == 2:  # neither direction helps
+                    break
+        if best <= start + 1e-9:
+            break
+        name = member.groupBy("community").agg(F.min("node").alias("least"))
+        member = held.put(member.join(name, "community").select("node", F.col("least").alias("community")))
+        final = held.put(final.select("node", F.col("community").alias("c")).join(member.select(F.col("node").alias("c"), "community"), "c").select("node", "community"))
+        a, b = member.select(F.col("node").alias("src"), F.col("community").alias("ca")), member.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+        now = held.put(now.join(a, "src").join(b, "dst").groupBy(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("weight").alias("weight")))
+    least = final.groupBy("community").agg(F.min("node").alias("least"))
+    return final.join(least, "community").select("node", F.col("least").alias("community"))
+
+
+def betweenness(edges: DataFrame, sources: int | None = None, most: int = 64) -> DataFrame:
+    """node, betweenness: shortest paths between other nodes through each node, over undirected unweighted edges, halved. sources: from so many nodes (by hash) only, scaled
+    up; None: from all. Levels of all sources go in one job each: distances and path counts forward, dependencies back. most: levels."""
+    held = Rounds(edges.sparkSession, "betweenness")
+    u = undirected(edges)
+    both = held.put(u.unionByName(u.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    nodes = held.put(both.select(F.col("src").alias("node")).distinct())
+    start = nodes if sources is None else nodes.orderBy(F.xxhash64("node"), "node").limit(sources)
+    seen = held.put(start.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
+    levels = [seen]
+    for d in range(1, most + 1):
+        step = levels[-1].join(both, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        fresh = held.put(step.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", F.lit(d).alias("d"), "paths"))
+        if fresh.isEmpty():
+            break
+        levels.append(fresh)
+        seen = seen.unionByName(fresh)
+    due = levels[-1].select("s", "node", "paths", F.lit(0.0).alias("delta"))
+    found = [due.select("s", "node", "delta")]
+    for level in reversed(levels[:-1]):
+        up = due.join(both, F.col("node") == F.col("dst")).select("s", F.col("src").alias("node"), ((1 + F.col("delta")) / F.col("paths")).alias("part")).groupBy("s", "node").agg(F.sum("part").alias("part"))
+        due = held.put(level.join(up, ["s", "node"], "left").select("s", "node", "paths", F.coalesce(F.col("paths") * F.col("part"), F.lit(0.0)).alias("delta")))
+        found.append(due.select("s", "node", "delta"))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    scale = F.lit(1.0) if sources is None else nodes.count() / F.lit(max(1, min(sources, nodes.count())))
+    got = every.filter("s != node").groupBy("node").agg(F.sum("delta").alias("b"))
+    return nodes.join(got, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) / 2 * scale).alias("betweenness"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import conformal, encode, explore, signal
+from ..operators import conformal, encode, explore, partition, signal
 from .forecast_queries import PANEL, panel
 from .registry import EV, query, rounded
 
@@ -35,7 +35,7 @@ def shimazaki(t):
 
 @query("series_change_points")
 def change_points(t):
-    return rounded(explore.change_points(t.ev, "user_id", "i", "value", 40))
+    return rounded(partition.change_points(t.ev, "user_id", "i", "value", 5, 1.0))
 
 
 @query("series_motifs")
@@ -73,8 +73,11 @@ def last_trend(t):
     return explore.last_trend(panel(t), "unique_id", "ds", "y")
 
 
-#: Sums of these weights and whole numbers are exact, so that equal sums stay equal.
-BASE = {"snip": 1.0, "synflow": 0.5, "params": -0.25}
+#: Schemes of a search as the caller's table: (snip, synflow, params) by name. Sums of such weights and whole numbers are exact, so that equal sums stay equal.
+SCHEMES = {
+    "baseline": (1, 0.5, -0.25), "uniform": (1, 1, -1), "subset_grad": (1, 0, 0), "subset_complexity": (0, 0, -0.25), "subset_synflow": (0, 0.5, 0), "subset_pos_only": (1, 0.5, 0),
+    "subset_no_penalties": (1, 0.5, 0), "loo_minus_snip": (0, 0.5, -0.25), "loo_minus_synflow": (1, 0, -0.25), "loo_minus_params": (1, 0.5, 0),
+}
 
 
 @query("search_scheme_agreement", """WITH d AS (SELECT p_partkey, p_size AS params, p_partkey % 17 AS snip, p_partkey % 23 AS synflow FROM part),
@@ -85,7 +88,8 @@ j AS (SELECT x.scheme, x.r, y.r AS q FROM r AS x JOIN r AS y ON x.p_partkey = y.
 SELECT scheme, round(corr(r, q), 6) AS spearman, round(count(*) FILTER (r <= 10 AND q <= 10) / 10.0::DOUBLE, 6) AS overlap FROM j GROUP BY scheme""")
 def scheme_agreement(t):
     d = t.part.select("p_partkey", F.col("p_size").alias("params"), (F.col("p_partkey") % 17).alias("snip"), (F.col("p_partkey") % 23).alias("synflow"))
-    return rounded(explore.scheme_agreement(d, "p_partkey", explore.weight_schemes(BASE, 0)))
+    rows = [(name, metric, float(w)) for name, weights in SCHEMES.items() for metric, w in zip(("snip", "synflow", "params"), weights, strict=True)]
+    return rounded(explore.scheme_agreement(d, "p_partkey", t.spark.createDataFrame(rows, "scheme string, metric string, weight double")))
 
 
 @query("encode_choose", """WITH m AS (SELECT l_extendedprice AS y, unnest(['l_linenumber', 'l_suppkey', 'l_partkey', 'l_orderkey']) AS feature, unnest([l_linenumber::VARCHAR, l_suppkey::VARCHAR, l_partkey::VARCHAR, l_orderkey::VARCHAR]) AS v FROM lineitem),
