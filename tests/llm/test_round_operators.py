@@ -245,3 +245,44 @@ def test_units_start_anew_when_full(monkeypatch):
     monkeypatch.setattr(token_alignment, "UNIT_LETTERS", 4)
     small, texts = token_alignment.Aligner(*PATHS), ["one two three four five", "six seven one two", "unforeseeable one three"] * 3
     assert small.align(texts) == token_alignment.Aligner(*PATHS).align(texts)
+
+
+THEMES = ["post has-sidebar", "no-sidebar", "comments-off", "modal-open", "nav-fixed", "notice-board", "entry respond", "newsletter-issue", "with-footer-widgets", "menu-page", "page sponsored-theme", "ads-free"]
+
+
+@pytest.mark.parametrize("theme", THEMES)
+def test_html_theme_names_on_wrappers_lose_nothing(spark, theme):
+    from varve.llm import html_text
+
+    pages = [r.html for r in queries.table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    for html in pages:
+        want = html_text.main_text(html)
+        wrapped = html.replace("<article>", f'<article class="{theme}">').replace("<body>", f'<body class="{theme}">')
+        assert html_text.main_text(wrapped) == want
+        if len(want) > 400:  # without a main element the part needs most of the page's text
+            assert html_text.main_text(html.replace("<article>", f'<div class="{theme}">').replace("</article>", "</div>")) == want
+
+
+def test_html_smoothed_ratios_select(spark, monkeypatch):
+    from varve.llm import html_text
+
+    pages = [r.html for r in queries.table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    want = [html_text.main_text(x) for x in pages]
+    assert sum(html_text.main_text(x, threshold=0) != w for x, w in zip(pages, want, strict=True)) > len(pages) / 2
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios, sigma: ratios * 0 + 1)
+    assert sum(html_text.main_text(x) != w for x, w in zip(pages, want, strict=True)) > len(pages) / 2
+
+
+SECOND = """<body class="page-template has-sidebar"><div id="masthead"><a href=/>The Daily</a><p>News since 1901</p></div><div class="main-navigation"><a href=a>World</a> <a href=b>Sport</a> <a href=c>Arts</a></div>
+<div id="wrap" class="container no-comments with-notice"><div class="breadcrumbs"><a href=/>Home</a> / <a href=/w>World</a></div>
+<div class="entry"><h1>A headline</h1><div class="byline">By A. Writer</div><p>{a}</p><h2>Part</h2><p>{b}</p><ul><li>one</li><li>two things</li></ul><div class="advert">Buy the best boots in town today, now at half the price!</div><p>{c}</p></div>
+<div class="sidebar"><h3>More</h3><ul><li><a href=x>Other story one</a></li><li><a href=y>Other story two</a></li></ul><p>Sign up for letters from our desk.</p></div>
+<div id="comments"><h3>2 replies</h3><div class="comment"><p>I agree with every single word of this piece, well done indeed.</p></div></div></div>
+<form action=s><label>Search the whole archive of the paper</label><input></form><div class="site-footer"><p>All rights reserved by the paper and its owners, 2024.</p></div></body>"""
+
+
+def test_html_of_a_second_template():
+    from varve.llm import html_text
+
+    a, b, c = ("The council met on Monday and spoke at length about the bridge. " * 3).strip(), ("Nobody knew who had ordered the repair. " * 4).strip(), "A short last word."
+    assert html_text.main_text(SECOND.format(a=a, b=b, c=c)) == f"A headline By A. Writer {a} Part {b} one two things {c}"

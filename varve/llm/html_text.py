@@ -1,9 +1,10 @@
 """Main text of HTML pages: parser events become lines, lines get text-to-tag ratios, smoothed ratios above a threshold are content.
 
-A line's ratio is its characters (those of links count LINK_WEIGHT) over its tags, on a log scale, times the weight of the place it stands in:
-0 in parts that are never article text, less under class names that such parts often have, more within an article or main element,
-and less outside it where the page has one. The ratios are smoothed by a Gaussian over the lines, and those that reach THRESHOLD of the page's
-deviation are the content regions, whose lines are joined in page order.
+A line's ratio is its characters (those of links count LINK_WEIGHT) over its tags, on a log scale, times the weights of the parts it stands in: elements
+such as nav and footer, and class names that such parts often have, lower it, main elements raise it, and where a page has one, lines beside it are lowered.
+No name or element of a visible part sets a ratio to 0, and a part that holds most of the page's text without links isn't lowered at all, so a theme's class names
+on a wrapper lose nothing. The ratios are smoothed by a Gaussian over the lines of a part, not across its border, and those that reach THRESHOLD of the
+page's spread are the content regions, whose lines are joined in page order.
 """
 
 from __future__ import annotations
@@ -20,53 +21,71 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches
 
-#: Elements that never have content, elements that stand inside a line, elements that hold no article text.
+#: Elements that never have content, elements that stand inside a line, elements whose text is no text of the page, elements of parts beside the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-OUTSIDE = frozenset("aside audio button canvas dialog fieldset footer form head iframe math menu nav noscript object option script select style svg template textarea title video".split())
-OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of class and id names of parts outside the article, and words that such parts and parts of articles share.
-OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot adbox breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus consent cookie cookies cookiebar gdpr footer masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup sidebar sponsor sponsored subscribe toolbar".split())
+UNSEEN = frozenset("audio button canvas head iframe math noscript object option script select style svg template textarea title video".split())
+BESIDE = frozenset("aside dialog fieldset footer form menu nav".split())
+BESIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words of class and id names of parts beside the article, words that such parts and parts of articles share, and words by which a name tells a state.
+BESIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot adbox breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus consent cookie cookies cookiebar gdpr footer masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup sidebar sponsor sponsored subscribe toolbar".split())
 DOUBTFUL_WORDS = frozenset("banner header promo promotion recommended related share sharing signup skip social widget widgets".split())
+STATE_WORDS = frozenset("closed disabled enabled fixed has no non off open sticky with without".split())
 MAIN = frozenset(("article", "main"))
 #: Elements that end a line but need no place of their own, unless their attributes say something.
 LEAF = frozenset(("p", "li", "dt", "dd", "td", "th", "tr"))
-#: Standard deviation of the Gaussian in lines, and the share of the ratios' deviation that the smoothed ratio of content reaches.
+#: Standard deviation of the Gaussian in lines, and the share of the ratios' spread (their deviation, or a third of their maximum if that is more) that the smoothed ratio of content reaches.
 SIGMA = 1.0
 THRESHOLD = 0.25
-#: Weights of a line's ratio: in a main element, outside it where there is one, under a doubtful name; of a link's characters; and the least ratio of a line outside main elements or under a doubtful name.
-IN_MAIN, BESIDE_MAIN, DOUBTFUL, LINK_WEIGHT, LEAST = 1.5, 0.1, 0.5, 0.1, 0.4
+#: Weights of a line's ratio: in a main element, beside it where there is one, in a part beside the article, under a doubtful name; of a link's characters.
+IN_MAIN, BESIDE_MAIN, PART, DOUBTFUL, LINK_WEIGHT = 1.5, 0.1, 0.02, 0.5, 0.1
+#: Share of the page's text without links above which a part is no part beside the article.
+MOST = 0.5
 #: Comments, declarations and the like, after raw elements, in which they are text.
 _NOT_MARKUP = re.compile(r"(<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b.*?(?:</\2|\Z))|<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</[^a-zA-Z][^>]*>?", re.DOTALL | re.IGNORECASE)
-_WORDS = re.compile(r"[\s_-]+")
+_WORDS = re.compile(r"[_-]+")
+
+
+def _name_words(names: str) -> set[str]:
+    """Words of class or id names, but for names that tell a state, such as has-sidebar or comments-off."""
+    out: set[str] = set()
+    for name in names.lower().split():
+        words = set(_WORDS.split(name))
+        if words.isdisjoint(STATE_WORDS):
+            out |= words
+    return out
 
 
 class Lines(HTMLParser):
-    """Collects (text, ratio, weight, main) per line; a line ends where a block element begins or ends. Linear in the page's length."""
+    """Collects (text, ratio, part, main) per line; a line ends where a block element begins or ends. parts: weight, parent and text without links of each part
+    that lowers its lines; part 0 is the page. Linear in the page's length."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, float, float, bool]] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, outside, doubtful, main
+        self.lines: list[tuple[str, float, int, bool]] = []
+        self.parts: list[list[float]] = [[1.0, 0, 0.0]]
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, unseen, part, main
         self.at: dict[str, list[int]] = defaultdict(list)  # places in the stack of each open tag
-        self.outside = self.doubtful = self.main = self.tags = self.links = 0
+        self.within = [0]  # open parts
+        self.unseen = self.main = self.tags = self.links = 0
         self.text: list[str] = []
-        self.weighed = 0.0
+        self.weighed = self.plain = 0.0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            weight = 0.0 if self.outside else DOUBTFUL if self.doubtful else 1.0
-            self.lines.append((text, float(np.log2(1 + self.weighed / max(1, self.tags))), weight, self.main > 0))
+            self.lines.append((text, float(np.log2(1 + self.weighed / max(1, self.tags))), self.within[-1], self.main > 0))
             self.tags = 0
         self.text, self.weighed = [], 0.0
 
-    def _push(self, tag: str, outside: bool, doubtful: bool, main: bool) -> None:
+    def _push(self, tag: str, unseen: bool, weight: float, main: bool) -> None:
         self.at[tag].append(len(self.open))
-        self.open.append((tag, outside, doubtful, main))
-        self.outside += outside
-        self.doubtful += doubtful
+        self.open.append((tag, unseen, weight < 1, main))
+        self.unseen += unseen
         self.main += main
+        if weight < 1:
+            self.parts.append([weight, self.within[-1], -self.plain])
+            self.within.append(len(self.parts) - 1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in INLINE:
@@ -74,24 +93,25 @@ class Lines(HTMLParser):
             self.links += tag == "a"
             if not attrs or tag in VOID:
                 return
-        words = {w for k, v in attrs if k in ("class", "id") and v for w in _WORDS.split(v.lower())}
-        outside, doubtful = tag in OUTSIDE or not words.isdisjoint(OUTSIDE_WORDS), tag == "header" or not words.isdisjoint(DOUBTFUL_WORDS)
+        words = {w for k, v in attrs if k in ("class", "id") and v for w in _name_words(v)}
+        unseen, beside = tag in UNSEEN, tag in BESIDE or not words.isdisjoint(BESIDE_WORDS)
+        doubtful = tag == "header" or not words.isdisjoint(DOUBTFUL_WORDS)
         for k, v in attrs:
             v = v or ""
-            outside = outside or k == "hidden" or (k == "role" and v.lower() in OUTSIDE_ROLES) or (k == "aria-hidden" and v == "true") or (k == "style" and "display:none" in v.replace(" ", ""))
+            beside = beside or k == "hidden" or (k == "role" and v.lower() in BESIDE_ROLES) or (k == "aria-hidden" and v == "true") or (k == "style" and "display:none" in v.replace(" ", ""))
         if tag == "header" and not self.main:  # the page's header; an article's own holds its title
-            outside = True
+            beside = True
         if tag in MAIN or tag in ("body", "html"):  # a theme's class names on the whole page say nothing about it
-            outside = doubtful = False
-        if tag in INLINE and not outside:
+            beside = doubtful = False
+        if tag in INLINE and not beside:
             return
         self.end_line()
         self.tags += tag not in INLINE
         if tag in VOID:
             return
         main = tag in MAIN or any((k == "itemprop" and v == "articleBody") or (k == "role" and v in ("main", "article")) for k, v in attrs)
-        if outside or doubtful or main or tag not in LEAF:
-            self._push(tag, outside, doubtful, main)
+        if unseen or beside or doubtful or main or tag not in LEAF:
+            self._push(tag, unseen, PART if beside else DOUBTFUL if doubtful else 1.0, main)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -113,15 +133,39 @@ class Lines(HTMLParser):
         self.end_line()
         self.tags += 1
         while len(self.open) > at:
-            name, outside, doubtful, main = self.open.pop()
-            self.at[name].pop()
-            self.outside -= outside
-            self.doubtful -= doubtful
-            self.main -= main
+            self._pop()
+
+    def _pop(self) -> None:
+        name, unseen, part, main = self.open.pop()
+        self.at[name].pop()
+        self.unseen -= unseen
+        self.main -= main
+        if part:
+            self.parts[self.within.pop()][2] += self.plain
+
+    def close(self) -> None:
+        super().close()
+        self.end_line()
+        while self.open:
+            self._pop()
 
     def handle_data(self, data: str) -> None:
+        if self.unseen:
+            return
         self.text.append(data)
-        self.weighed += len(data.strip()) * (LINK_WEIGHT if self.links else 1)
+        size = len(data.strip())
+        self.weighed += size * (LINK_WEIGHT if self.links else 1)
+        self.plain += 0 if self.links else size
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each part its weight, those of the parts around it included, and the innermost part at or around it that counts: one without most of the page's text."""
+        weight, counts = np.ones(len(self.parts)), np.zeros(len(self.parts), np.int64)
+        for i, (own, around, text) in enumerate(self.parts):
+            if i:
+                counted = text <= MOST * self.plain
+                weight[i] = weight[around] * (own if counted else 1.0)
+                counts[i] = i if counted else counts[around]
+        return weight, counts
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -130,34 +174,34 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def page_lines(html: str) -> list[tuple[str, float, float, bool]]:
+def parsed(html: str) -> Lines:
     parser = Lines()
     html = _NOT_MARKUP.sub(lambda m: m[1] or "", html)
     cut = html.rfind(">") + 1  # what looks like a tag behind the last `>` is none
     parser.feed(html[:cut] + re.sub(r"</?[a-zA-Z].*", "", html[cut:], count=1, flags=re.DOTALL))
     parser.close()
-    parser.end_line()
-    return parser.lines
+    return parser
 
 
 def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     """Lines of the content regions, white space within a line as one space, joined by one space.
 
-    A line is content if its smoothed ratio reaches threshold times the deviation of the page's ratios (at most their maximum, so that a page of equal
-    lines is kept) and its own weight is not 0; outside main elements and under doubtful names its own ratio must reach LEAST, too, where any line's does.
-    """
-    lines = page_lines(html) if html else []
-    if not lines:
-        return ""
-    ratio, weight, main = (np.array([x[i] for x in lines], float) for i in (1, 2, 3))
-    some_main = bool(((weight > 0) & (main > 0)).any())
-    own = ratio * weight * np.where(main > 0, IN_MAIN, BESIDE_MAIN if some_main else 1.0)
-    smooth = smoothed(own, sigma)
-    keep = (weight > 0) & ((main > 0) & (weight == 1) | (own >= min(LEAST, float(own.max()))))
-    if not keep.any():
+    A line is content if its smoothed ratio reaches threshold times the spread of the page's ratios, at most their maximum, so that a page of equal lines is kept."""
+    page = parsed(html) if html else None
+    if page is None or not page.lines:
         return ""
-    keep &= smooth >= min(threshold * float(own.std()), float(smooth[keep].max()))
-    return " ".join(lines[i][0] for i in np.flatnonzero(keep))
+    ratio, part, main = (np.array([x[i] for x in page.lines]) for i in (1, 2, 3))
+    weight, counts = page.places()
+    own_weight = weight[part]
+    some_main = bool((main & (own_weight >= DOUBTFUL)).any())
+    own = ratio * own_weight * np.where(main, IN_MAIN, BESIDE_MAIN if some_main else 1.0)
+    region, smooth = 2 * counts[part] + main, np.zeros(len(own))
+    order = np.argsort(region, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
+        smooth[at] = smoothed(own[at], sigma)
+    spread = max(float(own.std()), float(own.max()) / 3)
+    keep = smooth >= min(threshold * spread, float(smooth.max()))
+    return " ".join(page.lines[i][0] for i in np.flatnonzero(keep))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
