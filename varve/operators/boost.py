@@ -152,14 +152,14 @@ def _best(hist: DataFrame, penalty: float, least: float, least_gain: float) -> D
 
 def fit(
     df: DataFrame, columns: list[str], target: str, loss: str = "squared", rounds: int = 20, depth: int = 3, rate: float = 0.1, bins: int = 32, penalty: float = 1.0,
-    least: float = 1.0, least_gain: float = 1e-6, goss: tuple[float, float] | None = None, bundled: bool = False, seed: int = 1,
+    least: float = 1.0, least_gain: float = 1e-6, goss: tuple[float, float] | None = None, bundled: bool = False, seed: int = 1, edges: dict[str, list[float]] | None = None,
 ) -> Booster:
     """A Booster. penalty: added to hessians; least: hessian that both sides of a split hold; goss: shares of rows with large gradients and of the others drawn
-    at random. Rows without a target are left out; splits of equal gain (7 digits) go to the first column, then the lowest bin; no rows give no trees."""
+    at random; edges: the columns' bins, where they are known. Rows without a target are left out; splits of equal gain (7 digits) go to the first column, then the lowest bin; no rows give no trees."""
     spark = df.sparkSession
     held = Rounds(spark, "boost")
     y = nan_to_null(target)
-    model = Booster(list(columns), bin_edges(df.filter(y.isNotNull()), columns, bins), loss, 0.0)
+    model = Booster(list(columns), [edges[c] for c in columns] if edges else bin_edges(df.filter(y.isNotNull()), columns, bins), loss, 0.0)
     rows = held.put(df.filter(y.isNotNull()).select(F.monotonically_increasing_id().alias("id"), y.alias("y"), F.array(*model.bins()).alias("b")))  # written: the ids must not change
     mean = rows.agg(F.avg("y")).first()[0]
     if mean is None:

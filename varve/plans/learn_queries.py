@@ -1,10 +1,15 @@
-"""Boosting, nearest neighbours, recursive partitions and graph structure."""
+"""Boosting, nearest neighbours, recursive partitions, graph structure and streams with state."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import boost, graph, neighbours, partition
+from ..functions.tables import shared_folder
+from ..operators import boost, graph, neighbours, partition, wrapper
+from ..streaming import conformal, ingest
 from .feature_queries import EDGES_ALL, edges_all
 from .registry import query, rounded
 
@@ -90,3 +95,45 @@ def communities(t):
 def betweenness(t):
     """From eight sources to every node; see the tests for all sources against brute force."""
     return rounded(graph.betweenness(edges_all(t), 8))
+
+
+@query("select_all_relevant")
+def all_relevant(t):
+    """Of four columns of every line item those that bear on the net price, against shuffled shadows."""
+    d = t.lineitem.select("l_quantity", "l_discount", "l_extendedprice", "l_tax", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    return rounded(wrapper.all_relevant(d, ["l_quantity", "l_discount", "l_extendedprice", "l_tax"], "net", 3, 0.5, rounds=2, depth=3, bins=16, rate=0.5).select("feature", "hits", "tries", "decision"))
+
+
+@query("select_eliminated")
+def eliminated(t):
+    d = t.part.select("p_size", (F.col("p_partkey") % 13).cast("double").alias("noise"), F.floor(F.col("p_partkey") / 10).cast("double").alias("tens"), "p_retailprice")
+    return rounded(wrapper.eliminated(d, ["p_size", "noise", "tens"], "p_retailprice", 2, rounds=2, depth=2, bins=16, rate=0.5), 2)
+
+
+def forecasts(t):
+    """Each event with the mean of its user's events before it as prediction."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return t.events.select("user_id", "event_id", "ts", "value", F.avg("value").over(w).alias("prediction"))
+
+
+@query("stream_conformal")
+def stream_conformal(t):
+    """Intervals of every event, each from what its user's events showed before it; see the tests for the stream, its restart and brute force."""
+    return rounded(conformal.intervals_batch(forecasts(t), "user_id", "event_id", "ts", "value", "prediction"))
+
+
+@query("stream_coverage")
+def stream_coverage(t):
+    rows = conformal.intervals_batch(forecasts(t), "user_id", "event_id", "ts", "value", "prediction")
+    return rounded(conformal.coverage_of(rows))
+
+
+@query("stream_ingest_latest", "SELECT user_id::VARCHAR AS run_id, event_type AS key, round(arg_max(value, event_id), 6) AS value, max(event_id) AS step FROM events GROUP BY 1, 2")
+def stream_ingest_latest(t):
+    """Every event as a metric row through the live ingest into a fresh store, and the newest value of each run and key."""
+    folder = f"{shared_folder(t.spark)}/varve-ingest-{uuid.uuid4().hex}"
+    rows = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{t.folder}/events.parquet")
+    store = ingest.Store(t.spark, f"{folder}/store")
+    shaped = rows.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("key"), "value", F.col("ts").alias("timestamp"), F.col("event_id").alias("step"))
+    ingest.run(shaped, store, f"{folder}/checkpoint", "365 days")
+    return rounded(store.latest().select("run_id", "key", "value", "step"))
