@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import boost, graph, neighbours, partition
+from varve.operators import boost, concordance, encode, graph, neighbours, partition
 
 
 def brute_booster(x, y, edges, loss, rounds, depth, rate, penalty, least):
@@ -315,3 +315,28 @@ def test_betweenness_equals_all_shortest_paths(spark):
                 want[w] += delta[w] / 2
     got = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("strip", [1 << 16, 17])
+def test_whole_kendall_equals_all_pairs(spark, strip):
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b)) for a, b in zip(rng.integers(0, 40, 300), rng.integers(0, 12, 300) * 1.5, strict=True)] + [(float(i), float(-i)) for i in range(60)] + [(None, 1.0), (1.0, float("nan"))]
+    held = [r for r in rows if r[0] is not None and not math.isnan(r[1])]
+    sign = lambda v: (v > 0) - (v < 0)
+    s = [(sign(a - c), sign(b - d)) for i, (a, b) in enumerate(held) for c, d in held[:i]]
+    up, down = sum(a * b > 0 for a, b in s), sum(a * b < 0 for a, b in s)
+    got = concordance.whole_kendall(spark.createDataFrame(rows, "x double, y double").repartition(3), "x", "y", strip).first()
+    assert (got.n, got.concordant, got.discordant) == (len(held), up, down)
+    assert got.tau == pytest.approx((up - down) / math.sqrt(sum(a != 0 for a, _ in s) * sum(b != 0 for _, b in s)))
+    none = concordance.whole_kendall(spark.createDataFrame([], "x double, y double"), "x", "y").first()
+    flat = concordance.whole_kendall(spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "x double, y double"), "x", "y").first()
+    assert (none.n, none.tau, flat.tau) == (0, None, None)
+
+
+def test_folds_by_group_and_time_keep_targets_out(spark):
+    df = spark.createDataFrame([("same", g, y) for g, y in (("a", 0.0), ("a", 0.0), ("b", 10.0), ("b", 10.0))], "cat string, g string, y double")
+    got = encode.kfold_target(encode.group_folds(df, "g", 2), "cat", "y", "fold", 0.0, "v").orderBy("g").collect()
+    assert [r.v for r in got] == [10, 10, 0, 0]
+    days = spark.createDataFrame([(i, f"2024-01-0{i + 1}", "same", float(9 * (i > 2))) for i in range(6)], "id long, day string, cat string, y double").withColumn("t", F.to_timestamp("day"))
+    v = [r.v for r in encode.forward_target(encode.time_folds(days, "t", "id", 3), "cat", "y", "fold", 0.0, "v").orderBy("id").collect()]
+    assert v[3] < v[4] < v[5] and v[3] < 1 and v[5] < 9 and v == pytest.approx([4.5, 4.5, 4.5, 0, 2.25, 3.6])

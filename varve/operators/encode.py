@@ -103,3 +103,38 @@ def choose(df: DataFrame, columns: list[str], y: str | None = None, tree: bool =
     else:
         strategy = F.when(F.col("differs") & (F.col("n") >= least_rows) & (k > above) & (k < 10_000), "target_kfold").when(k <= 12, "onehot").when(k <= 1000, "freq").otherwise("hashing")
     return s.select("feature", "categories", strategy.alias("strategy"))
+
+
+def group_folds(df: DataFrame, group: str, folds: int, out: str = "fold") -> DataFrame:
+    """Adds out: a fold by the group, so that a group's rows share one; groups are numbered in order (strings in the order of a hash), in ordered parts, and dealt in turn."""
+    from .mining import _places
+
+    kind = dict(df.dtypes)[group]
+    groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
+    groups = groups.withColumn("_t", F.xxhash64(group) if kind == "string" else F.col(group))
+    fold = F.pmod(F.col("_place") - 1, F.lit(folds)).cast("long")
+    return df.join(_places(groups, "_t", "_t").select(group, fold.alias(out)), group, "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
+
+
+def time_folds(df: DataFrame, time: str, tie: str, folds: int, out: str = "fold") -> DataFrame:
+    """Adds out: 1 to folds for the last folds * (n div (folds + 1)) rows by time, equally many each, and 0 for the rows before; ties by the unique tie."""
+    from .mining import _places
+
+    seconds = df.withColumn("_time", F.col(time).cast("timestamp").cast("double"))
+    placed = _places(seconds.filter("_time is not null"), "_time", tie).drop("_time")
+    n = placed.agg(F.count("*").alias("_n"))  # one row
+    size = F.greatest(F.lit(1), F.floor(F.col("_n") / (folds + 1)))
+    at = F.floor((F.col("_place") - 1 - (F.col("_n") - folds * size)) / size) + 1
+    return placed.join(F.broadcast(n)).withColumn(out, F.greatest(F.lit(0), at).cast("long")).drop("_place", "_n")
+
+
+def forward_target(df: DataFrame, c: str, y: str, fold: str, weight: float, out: str) -> DataFrame:
+    """Adds out: the category's target mean over the folds before the row's own, shrunk by weight to the mean of all rows of those folds. Without rows before, the mean of all rows."""
+    w = lambda *by: Window.partitionBy(*by).orderBy(fold).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  # a row a fold
+    per = df.groupBy(c, fold).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    per = per.select(c, fold, F.sum("_s").over(w(c)).alias("_s"), F.sum("_n").over(w(c)).alias("_n"))
+    folds = df.groupBy(fold).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    whole = df.agg(F.avg(y).alias("_all"))  # one row
+    prior = folds.select(fold, divide(F.sum("_s").over(w(F.lit(0))), F.sum("_n").over(w(F.lit(0))).cast("double")).alias("_prior")).join(F.broadcast(whole)).select(fold, F.coalesce("_prior", "_all").alias("_prior"))
+    enc = F.coalesce(divide(F.coalesce("_s", F.lit(0.0)) + weight * F.col("_prior"), F.coalesce("_n", F.lit(0)) + F.lit(float(weight))), F.col("_prior"))
+    return df.join(per, [c, fold], "left").join(prior, fold).withColumn(out, enc).drop("_s", "_n", "_prior")

@@ -24,7 +24,8 @@ def percentiles(t):
     return rounded(q.select("feature", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99")))
 
 
-@query("mining_sketches", "SELECT 'l_orderkey' AS feature, true AS distinct_close, true AS median_close")
+@query("mining_sketches", """WITH d AS (SELECT count(DISTINCT l_orderkey) AS n, quantile_cont(l_orderkey, 0.45) AS a, quantile_cont(l_orderkey, 0.55) AS b, quantile_disc(l_orderkey, 0.5) AS m, approx_count_distinct(l_orderkey) AS s FROM lineitem)
+SELECT 'l_orderkey' AS feature, abs(s - n) <= 0.5 * n AS distinct_close, m BETWEEN a AND b AS median_close FROM d""")
 def sketches(t):
     return mining.sketches(t.lineitem, ["l_orderkey"], exact=True)
 
@@ -86,7 +87,8 @@ def copula(t):
     return rounded(diagnose.copula_mi(t.lineitem.select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice"))
 
 
-@query("mining_top_variance", "SELECT unnest(['l_extendedprice', 'l_quantity']) AS feature, unnest([round(var_samp(l_extendedprice), 2), round(var_samp(l_quantity), 2)]) AS variance FROM lineitem")
+@query("mining_top_variance", """WITH m AS (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem)
+SELECT feature, round(var_samp(v), 2) AS variance FROM m GROUP BY feature ORDER BY var_samp(v) DESC, feature LIMIT 2""")
 def top_variance(t):
     return diagnose.by_variance(t.lineitem, [*LINE, "l_tax"], 2).withColumn("variance", F.round("variance", 2))
 
@@ -98,7 +100,8 @@ def interaction_pairs(t):
     return rounded(diagnose.interaction_pairs(t.lineitem, LINE, "l_tax", 2))
 
 
-@query("mining_date_like", "SELECT 'day' AS feature, 1.0::DOUBLE AS matched, true AS is_date UNION ALL SELECT 'o_orderpriority', 0.0, false")
+@query("mining_date_like", r"""WITH m AS (SELECT unnest(['day', 'o_orderpriority']) AS feature, unnest([' ' || strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority]) AS v FROM orders)
+SELECT feature, coalesce(avg(regexp_matches(trim(v), '\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4}')::INT::DOUBLE), 0) AS matched, coalesce(avg(regexp_matches(trim(v), '\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4}')::INT::DOUBLE), 0) >= 0.5 AS is_date FROM m GROUP BY feature""")
 def date_like(t):
     return diagnose.date_like(t.orders.select(F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), "o_orderpriority"), ["day", "o_orderpriority"])
 

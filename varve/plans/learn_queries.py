@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tables import shared_folder
-from ..operators import boost, graph, neighbours, partition, wrapper
+from ..operators import boost, concordance, encode, graph, neighbours, partition, wrapper
 from ..streaming import conformal, ingest
 from .feature_queries import EDGES_ALL, edges_all
 from .registry import query, rounded
@@ -137,3 +137,30 @@ def stream_ingest_latest(t):
     shaped = rows.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("key"), "value", F.col("ts").alias("timestamp"), F.col("event_id").alias("step"))
     ingest.run(shaped, store, f"{folder}/checkpoint", "365 days")
     return rounded(store.latest().select("run_id", "key", "value", "step"))
+
+
+@query("mining_kendall_all", """WITH s AS (SELECT sign(l.p_size - r.p_size) AS a, sign(l.p_retailprice - r.p_retailprice) AS b FROM part AS l JOIN part AS r ON l.p_partkey < r.p_partkey)
+SELECT (SELECT count(*) FROM part) AS n, count(*) FILTER (a * b > 0) AS concordant, count(*) FILTER (a * b < 0) AS discordant, round(sum(a * b) / sqrt(sum(abs(a))::DOUBLE * sum(abs(b))::DOUBLE), 6) AS tau FROM s""")
+def kendall_all(t):
+    return rounded(concordance.whole_kendall(t.part, "p_size", "p_retailprice"))
+
+
+@query("encode_time_folds", """WITH o AS (SELECT o_orderkey, o_orderpriority AS c, o_totalprice AS y, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+f AS (SELECT *, greatest(0, floor((i - (n - 4 * floor(n / 5))) / floor(n / 5)) + 1)::BIGINT AS fold FROM o),
+g AS (SELECT c, fold, sum(y) AS s, count(*) AS k FROM f GROUP BY ALL),
+p AS (SELECT c, fold, coalesce(sum(s) OVER w, 0) AS s, coalesce(sum(k) OVER w, 0) AS k FROM g WINDOW w AS (PARTITION BY c ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT fold, sum(sum(s)) OVER w / sum(sum(k)) OVER w AS prior FROM g GROUP BY fold WINDOW w AS (ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT o_orderkey, fold, round((s + 5 * coalesce(prior, (SELECT avg(y) FROM o))) / (k + 5), 4) AS encoded FROM f JOIN p USING (c, fold) JOIN h USING (fold)""")
+def encode_time_folds(t):
+    d = encode.time_folds(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate"), "o_orderdate", "o_orderkey", 4)
+    return rounded(encode.forward_target(d, "o_orderpriority", "o_totalprice", "fold", 5.0, "encoded").select("o_orderkey", "fold", "encoded"), 4)
+
+
+@query("encode_group_folds", """WITH o AS (SELECT o_orderkey, o_orderpriority AS c, o_totalprice AS y, (dense_rank() OVER (ORDER BY o_custkey) - 1) % 5 AS fold FROM orders),
+g AS (SELECT c, fold, sum(y) AS s, count(*) AS k FROM o GROUP BY ALL),
+p AS (SELECT c, fold, sum(s) OVER (PARTITION BY c) - s AS s, sum(k) OVER (PARTITION BY c) - k AS k FROM g),
+h AS (SELECT fold, (sum(sum(s)) OVER () - sum(s)) / (sum(sum(k)) OVER () - sum(k)) AS prior FROM g GROUP BY fold)
+SELECT o_orderkey, fold, round((s + 5 * prior) / (k + 5), 4) AS encoded FROM o JOIN p USING (c, fold) JOIN h USING (fold)""")
+def encode_group_folds(t):
+    d = encode.group_folds(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey"), "o_custkey", 5)
+    return rounded(encode.kfold_target(d, "o_orderpriority", "o_totalprice", "fold", 5.0, "encoded").select("o_orderkey", "fold", "encoded"), 4)
