@@ -53,7 +53,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Classifiers and tokenizers can't be written in SQL; tests/llm/test_pipeline.py holds the rows against brute force.
+#: Classifiers and tokenizers can't be written in SQL. tests/llm/test_pipeline.py holds each stage's rows against what the stage before it kept (subsets, counts, token sums); the operators' own tests hold them against brute force.
 ORACLE_SQL = None
 
 
