@@ -200,3 +200,26 @@ def spelling_variants(docs: DataFrame, least: int = LEAST_LETTERS, least_count:
         on = path.select(F.col("word").alias("root"), F.col("root").alias("further"))
         path = stash.put(path.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")))
     return told.join(path, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def oracle(least: int = LEAST_LETTERS, least_count: int = LEAST_COUNT, ratio: int = RATIO, spoil: int = 31) -> str:
+    """spelling_variants by the words with one letter left out as join keys; the crc32 bit by bit, eight steps a byte."""
+    upper = "".join(map(chr, range(65, 91)))
+    return rf"""
+    WITH RECURSIVE runs AS (
+      SELECT doc_id, translate(run, '{upper}', '{upper.lower()}') AS w, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) WHERE length(run) >= {least} GROUP BY ALL),
+    bits AS (
+      SELECT w, n, flatten(list_transform(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END)), lambda b: [b, 0, 0, 0, 0, 0, 0, 0])) AS b
+      FROM runs),
+    hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, e: xor(xor(c, e) >> 1, 3988292384::BIGINT * (xor(c, e) & 1))), 4294967295::BIGINT) AS h FROM bits),
+    spoiled AS (SELECT CASE WHEN h % {spoil} = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS w, n FROM hashed),
+    words AS (SELECT w, sum(n)::BIGINT AS n FROM spoiled WHERE length(w) >= {least} GROUP BY w HAVING sum(n) >= {least_count}),
+    cut AS (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS k FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+    pairs AS (
+      SELECT x.w AS a, y.w AS b FROM cut AS x JOIN cut AS y ON x.i = y.i AND x.k = y.k AND x.w <> y.w
+      UNION SELECT x.w, v.w FROM cut AS x JOIN words AS v ON v.w = x.k UNION SELECT v.w, x.w FROM cut AS x JOIN words AS v ON v.w = x.k),
+    best AS (SELECT a AS w, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS m FROM pairs JOIN words ON words.w = pairs.b GROUP BY a),
+    forms AS (SELECT words.w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {ratio} * words.n THEN b END AS form, CASE WHEN m >= {ratio} * words.n THEN m END AS form_n FROM words LEFT JOIN best USING (w)),
+    path AS (SELECT w, w AS at, form AS next FROM forms UNION ALL SELECT path.w, path.next, forms.form FROM path JOIN forms ON forms.w = path.next)
+    SELECT forms.w AS word, form, path.at AS root, n, n_near, form_n FROM forms JOIN path ON path.w = forms.w AND path.next IS NULL"""
