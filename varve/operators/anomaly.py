@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import bucket, divide, mad, sigmoid
+from ..functions.quantiles import column_percentiles
 
 
 def z_scores(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -97,7 +98,7 @@ def probability(score: Column, threshold: Column) -> tuple[Column, Column]:
 
 def roc_j(df: DataFrame, score: str, label: str, quantiles: list[float]) -> DataFrame:
     """q, threshold, tpr, fpr, j for thresholds at the score's quantiles, in two passes over the rows."""
-    cuts = df.agg(F.percentile(score, F.array(*map(F.lit, quantiles))).alias("t"))
+    cuts = column_percentiles(df.select(F.col(score).alias("t")), ["t"], quantiles)
     at = cuts.select(F.posexplode("t").alias("k", "threshold"))
     joined = df.select(F.col(score).alias("_s"), F.col(label).cast("int").alias("_y")).join(F.broadcast(cuts)).select("_y", F.transform("t", lambda c: (F.col("_s") > c).cast("int")).alias("_p"))  # cuts: one row
     sums = joined.agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"), *(F.sum(F.col("_p")[i] * F.col("_y")).alias(f"tp{i}") for i in range(len(quantiles))), *(F.sum(F.col("_p")[i] * (1 - F.col("_y"))).alias(f"fp{i}") for i in range(len(quantiles))))

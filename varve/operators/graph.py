@@ -31,8 +31,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """node, triangles: wedges run from the end with fewer edges, so a hub's edges are not squared."""
-    u = undirected(edges)
-    d = degrees(u)
+    u = Rounds(edges.sparkSession, "triangles").put(undirected(edges))
+    return _triangles(u, degrees(u))
+
+
+def _triangles(u: DataFrame, d: DataFrame) -> DataFrame:
     e = u.join(d.select(F.col("node").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("dd")), "dst")
     up = F.struct("ds", "src") < F.struct("dd", "dst")
     e = e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
@@ -42,7 +45,10 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    d, t = degrees(undirected(edges)), triangles(edges)
+    held = Rounds(edges.sparkSession, "clustering")
+    u = held.put(undirected(edges))  # read three times
+    d = held.put(degrees(u))
+    t = _triangles(u, d)
     n = F.col("degree")
     return d.join(t, "node", "left").select("node", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"), F.coalesce(divide(2.0 * F.coalesce("triangles", F.lit(0)), (n * (n - 1)).cast("double")), F.lit(0.0)).alias("clustering"))
 
@@ -104,9 +110,9 @@ def topology(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, mean_degree, components, largest (its nodes), triangles, transitivity (closed wedges over all wedges)."""
     held = Rounds(edges.sparkSession, "topology")
     u = held.put(undirected(edges))
-    d = degrees(u)
+    d = held.put(degrees(u))
     wedges = d.agg(F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("wedges"))
-    tri = triangles(u).agg((F.coalesce(F.sum("triangles"), F.lit(0)) / 3).cast("long").alias("triangles"))
+    tri = _triangles(u, d).agg((F.coalesce(F.sum("triangles"), F.lit(0)) / 3).cast("long").alias("triangles"))
     parts = components(u).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
     n, m = F.col("nodes").cast("double"), F.col("edges").cast("double")
     row = wedges.crossJoin(tri).crossJoin(parts)  # one row each

@@ -87,7 +87,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, same: bool = False, pivo
     q = s if left is right else held.put(left.mapInArrow(_cells(at), schema))
     n = len(at)
     between = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
-    radius, count = np.full(n, -np.inf), np.zeros(n, int)
+    radius, count = np.zeros(n), np.zeros(n, int)
     for r in q.groupBy("cell").agg(F.max("d").alias("u"), F.count("*").alias("c")).collect():  # one row a pivot
         radius[r.cell], count[r.cell] = r.u, r.c
     nearest = s.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).filter(F.col("_r") <= k + same)
@@ -98,7 +98,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, same: bool = False, pivo
         reach = np.sort(radius[i] + between[i, cell_of] + dist)
         if len(reach) >= k + same:
             bound[i] = reach[k + same - 1]
-    least = between - radius[:, None] - bound[:, None]  # a point of cell j matters to cell i only at such a distance from its pivot, or more
+    least = between - (radius + bound)[:, None]  # a point of cell j matters to cell i only at such a distance from its pivot, or more
     slack = 1e-9 * (1 + np.abs(between).max())
     wanted = [(i, j, float(least[i, j] - slack) if np.isfinite(bound[i]) else -1.0) for i in np.flatnonzero(count).tolist() for j in range(n)]
     meets = spark.createDataFrame(wanted, "into int, cell int, least double")  # at most PIVOTS^2 rows

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import divide, nan_to_null
+from ..functions.quantiles import column_percentiles
 from .mining import numeric_columns
 from .series import Series, longest_run
 
@@ -36,8 +37,8 @@ def enforce_schema(df: DataFrame, medians: dict[str, float]) -> DataFrame:
 
 def fit_medians(df: DataFrame, columns: list[str] | None = None) -> dict[str, float]:
     columns = columns or numeric_columns(df)
-    row = df.agg(*(F.median(nan_to_null(c)).alias(f"c{i}") for i, c in enumerate(columns))).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+    row = column_percentiles(df.select(*(nan_to_null(c).alias(c) for c in columns)), columns, [0.5]).first()
+    return {c: row[c][0] if row[c] else None for c in columns}
 
 
 def original_columns(columns: list[str], derived: str = r"_(sin|cos|bin|woe|log1p|sqrt|square|cube)$|__") -> list[str]:

@@ -282,7 +282,7 @@ def calendar_profile(df: DataFrame, keys: list[str], time: str, value: str, unit
     """Per hour, weekday (Monday 0) or month: count, mean and mean as a z-score of all rows of the key."""
     part = {"hour": F.hour(time), "weekday": F.weekday(time), "month": F.month(time)}[unit].cast("long")
     total = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count("*").alias("_n"))
-    out = df.groupBy(*keys, part.alias("bucket")).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(F.broadcast(total) if not keys else total, keys) if keys else None
+    out = df.groupBy(*keys, part.alias("bucket")).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(total, keys)
     return out.filter("_n >= 12").select(*keys, "bucket", "n", "mean", F.coalesce(divide(F.col("mean") - F.col("_m"), F.col("_s")), F.lit(0.0)).alias("z"))
 
 
