@@ -286,3 +286,14 @@ def test_html_of_a_second_template():
 
     a, b, c = ("The council met on Monday and spoke at length about the bridge. " * 3).strip(), ("Nobody knew who had ordered the repair. " * 4).strip(), "A short last word."
     assert html_text.main_text(SECOND.format(a=a, b=b, c=c)) == f"A headline By A. Writer {a} Part {b} one two things {c}"
+
+
+@pytest.mark.parametrize("name", ["op11_substring_dedup", "op12_spelling"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr) and got
