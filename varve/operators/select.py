@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.expr import nan_to_null
+from ..functions.quantiles import column_percentiles
 from .mining import pearson, value_ranks
 
 
@@ -19,15 +23,47 @@ def redundancy_pruned(pairs: DataFrame, order: list[str], threshold: float = 0.9
     return kept
 
 
-def mrmr(df: DataFrame, columns: list[str], target: str, k: int) -> list[str]:
-    """Greedy choice of k columns: |correlation| with the target less the mean with those chosen; one pass gives all pairs."""
+def information_matrix(df: DataFrame, columns: list[str], bins: int = 16) -> DataFrame:
+    """feature_a, feature_b, mi in nats of every pair of columns, cut at their quantiles, over the rows where both are present; one job counts the cells of all pairs.
+
+    A value equal to a cut lies below it; equal cuts are one, so a column of few values has fewer bins. A pair without common rows gives no row."""
+    names = list(combinations(columns, 2))
+    cuts = column_percentiles(df, columns, [i / bins for i in range(1, bins)]).select(*(F.array_distinct(c).alias(f"_q{i}") for i, c in enumerate(columns)))  # one row
+
+    def place(i: int, c: str) -> Column:
+        return F.when(nan_to_null(c).isNotNull(), F.size(F.filter(f"_q{i}", lambda q: q < F.col(c).cast("double")))).alias(f"_b{i}")
+
+    binned = df.select(*columns).join(F.broadcast(cuts)).select(*(place(i, c) for i, c in enumerate(columns)))
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_b{columns.index(a)}").alias("a"), F.col(f"_b{columns.index(b)}").alias("b")) for i, (a, b) in enumerate(names)))
+    cells = binned.select(F.explode(pairs).alias("p")).select("p.*").na.drop().groupBy("i", "a", "b").agg(F.count("*").cast("double").alias("c"))
+    w = lambda *by: F.sum("c").over(Window.partitionBy("i", *by))  # noqa: E731  # bins squared rows a pair
+    mi = cells.withColumn("n", w()).withColumn("na", w("a")).withColumn("nb", w("b")).groupBy("i").agg(F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("na") * F.col("nb")))).alias("mi"))
+    told = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in names))
+    return mi.select(F.get(told, F.col("i")).alias("t"), "mi").select(F.col("t.a").alias("feature_a"), F.col("t.b").alias("feature_b"), F.greatest(F.lit(0.0), "mi").alias("mi"))
+
+
+def mrmr(df: DataFrame, columns: list[str], target: str, k: int, relation: str = "correlation", scheme: str = "difference", bins: int = 16) -> list[str]:
+    """Greedy choice of k columns: relevance to the target less the mean redundancy with those chosen, or (scheme "quotient") over it, plus 1e-12; one pass gives all pairs.
+
+    relation: |correlation|, or "information": mutual information of quantile bins. Ties: the last name."""
+    if relation == "information":
+        pairs = ((r.feature_a, r.feature_b, r.mi) for r in information_matrix(df, [*columns, target], bins).collect())
+    else:
+        pairs = ((r.feature_a, r.feature_b, abs(r.value)) for r in pearson(df, [*columns, target]).collect())
     value = {}
-    for r in pearson(df, [*columns, target]).collect():
-        value[r.feature_a, r.feature_b] = value[r.feature_b, r.feature_a] = abs(r.value)
+    for a, b, v in pairs:
+        value[a, b] = value[b, a] = v
+    of = lambda a, b: value.get((a, b), 0.0)
+
+    def score(c: str) -> float:
+        if not chosen:
+            return of(c, target)
+        mean = sum(of(c, s) for s in chosen) / len(chosen)
+        return of(c, target) / (mean + 1e-12) if scheme == "quotient" else of(c, target) - mean
+
     chosen: list[str] = []
     while len(chosen) < min(k, len(columns)):
-        rest = [c for c in columns if c not in chosen]
-        chosen.append(max(rest, key=lambda c: (value[c, target] - (sum(value[c, s] for s in chosen) / len(chosen) if chosen else 0), c)))
+        chosen.append(max((c for c in columns if c not in chosen), key=lambda c: (score(c), c)))
     return chosen
 
 
