@@ -3,9 +3,10 @@
 import itertools
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from varve.llm import components as comp
@@ -251,7 +252,7 @@ def test_shingle_join_equals_brute_force(spark, docs):
 
 
 def test_shingle_join_in_small_tiles_and_blocks(spark, monkeypatch):
-    """Hot shingles split over (group, group) tiles, ties of many blocks, pairs told in pieces, and a repeated id with two texts."""
+    """Hot shingles split over (group, group) tiles, ties of many blocks, pairs told in pieces."""
     for name, value in (("SPLIT", 8), ("BUCKET", 500), ("BLOCK", 8), ("BLOCK_SHINGLES", 3000), ("FOLD", 50), ("LEADERS", 1), ("BANDS", 2), ("HEAVY", 300), ("TILE", 4)):
         monkeypatch.setattr(shingle_join, name, value)
     chain = [f"c{i}" for i in range(200)]
@@ -261,6 +262,64 @@ def test_shingle_join_in_small_tiles_and_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_links(rows) and len(got) == len(rows)
 
 
+def test_shingle_join_counts_holders_across_chunks(spark):
+    """An element that occurs once in each of 40 partitions is hot; its holders are dealt to tiles of bounded groups in which each pair meets once."""
+    rng = np.random.default_rng(8)
+    common = np.uint64(77)
+    prefixes = [np.sort(np.append(rng.integers(1 << 20, 1 << 62, 5, dtype=np.uint64), common)) for _ in range(40)]
+    df = spark.createDataFrame([(p.tobytes(),) for p in prefixes], "tokens binary").repartition(40)
+    elements, holders = shingle_join.hot_elements(df, 240, 8)
+    assert elements.tolist() == [77] and holders.tolist() == [40]
+    assert [len(x) for x in shingle_join.hot_elements(df, 240, 40)] == [0, 0] and len(shingle_join.hot_elements(df.limit(0), 0)[0]) == 0
+
+    class Sent:
+        value = elements, holders
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([6] * 40, pa.int64()), pa.array(range(40), pa.int64()), pa.array([p.tobytes() for p in prefixes]), pa.array([bytes(32)] * 40)], ["rep", "n", "comp", "tokens", "folded"])
+    runs, cold = defaultdict(list), 0
+    for batch in shingle_join._deal(1, Sent, 8)(iter([rows])):
+        for bucket, tok, rep, place, _, folded in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            cold += len(tok) // 8 if bucket == 0 else 0
+            assert bool(folded) == (bucket > 0)
+            for t, r, at in zip(np.frombuffer(tok, np.uint64).tolist(), np.frombuffer(rep, np.int64).tolist(), np.frombuffer(place, np.int64).tolist(), strict=True):
+                if bucket > 0:
+                    runs[t].append((r, at & 3))
+    assert cold == 200 and max(map(len, runs.values())) < 40 and sum(map(len, runs.values())) == 40 * 5
+    met = Counter(tuple(sorted((a, b))) for run in runs.values() for (a, x), (b, y) in itertools.combinations(run, 2) if x != y or x == 2)
+    assert len(met) == 40 * 39 // 2 and set(met.values()) == {1}
+
+
+def test_shingle_join_with_no_heavy_shingle(spark, monkeypatch):
+    """Passages that many texts share are split by the holders of prefix elements alone, also where no chunk sees them twice."""
+    for name, value in (("SPLIT", 8), ("BUCKET", 400), ("HEAVY", 0), ("LEADERS", 1), ("BANDS", 2)):
+        monkeypatch.setattr(shingle_join, name, value)
+    shared = sentence(9, 45)
+    rows = list(enumerate([*(shared + " " + sentence(500 + i, 14) for i in range(50)), *near_family(21, 40, 120, 10), *(sentence(700 + i, 30) + " " + shared for i in range(30))]))
+    got = shingle_join.near_documents(documents(spark, [(d, t, None, None) for d, t in rows])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_links(rows) and len(got) == len(rows)
+
+
+def test_shingle_join_of_repeated_ids(spark):
+    """A repeated id is one node: it links whatever any of its texts links, equal texts of other ids included."""
+    a, b, c = sentence(1, 40), sentence(2, 40), sentence(3, 40)
+    rows = [(1, a), (2, b), (7, a), (7, b), (5, c), (6, c), (9, c + " x"), (9, sentence(4, 40)), (8, sentence(5, 40)), (8, sentence(6, 40)), (8, None)]
+    alone = brute_links(list(enumerate(t for _, t in rows)))  # links between texts; then texts of one id are joined
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (d, _) in enumerate(rows):
+        x, y = find(d), find(rows[alone[i][1]][0])
+        root[max(x, y)] = min(x, y)
+    want = sorted((d, alone[i][0], find(d)) for i, (d, _) in enumerate(rows) if rows[i][1])
+    got = shingle_join.near_documents(documents(spark, [(d, t, None, None) for d, t in rows])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.n_shingles) == want and len(got) == len(rows)
+    assert {r[2] for r in want if r[0] in (1, 2, 7)} == {1} and {r[2] for r in want if r[0] in (5, 6, 9)} == {5}
+
+
 def test_shingle_join_edge_cases(spark, docs):
     got = {r.doc_id: r for r in shingle_join.near_documents(docs).collect()}
     assert got[None].component_id is None and got[20].n_shingles == got[21].n_shingles == got[22].n_shingles == 0

@@ -6,7 +6,8 @@
    leaders of its own, so a set in a loose group is held against many members.
 4. tiles: two linked sets share a prefix shingle. Per shingle, sets of different ties within each other's size band, whose places in the
    prefixes leave room for the needed overlap, form pairs; pairs that the bitmap bound allows are tied too. So every link lies within one
-   tie. Bitmaps grow with their sets, so they meet the distinct pairs instead of travelling with every shingle.
+   tie. Bitmaps grow with their sets, so they meet the distinct pairs instead of travelling with every shingle; only a prefix shingle with more
+   than SPLIT holders, which is dealt to (group, group) tiles, takes its sets' bitmaps along, folded to 256 bits.
 5. links: each tie's texts meet in tiles of blocks; the bitmap bound and then the intersection of sorted arrays decide; sets already
    connected are skipped. First every block meets itself and the tie's first block, which connects a group of near copies at a cost
    linear in its size; then only sets outside the tie's largest component meet the tie's other blocks.
@@ -34,9 +35,12 @@ BANDS, ROWS, LEADERS = 8, 2, 3
 CHUNK, CHUNK_SHINGLES = 8000, 2_000_000
 #: Prefix shingles per bucket on average, and holders of one shingle beyond which they are split over (group, group) tiles.
 BUCKET, SPLIT = 1 << 18, 1 << 16
+#: 64-bit words of the folded bitmaps of split shingles.
+FOLDED = 4
 #: Documents, and shingles, per block of a tie.
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
-TILE, FOLD = 256, 1_000_000
+#: Rows, and pairs, that a tile looks at in one step; pairs held before they are made distinct.
+TILE, PAIRS, FOLD = 256, 1 << 21, 1_000_000
 CACHE_WORDS = 200_000
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -115,8 +119,9 @@ def _count_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def heavy_shingles(docs: DataFrame, stash: Stash, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles that stand out in some chunk of the documents, sorted, their ranks from rare to frequent, and the counts by rank; `most` at most."""
+def heavy_shingles(docs: DataFrame, stash: Stash, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand out in some chunk of the documents, sorted, and their ranks from rare to frequent; `most` at most. Which ones are found decides
+    the order alone: links don't depend on it, and hot elements of prefixes are counted by themselves."""
     found = stash.put(docs.select("text").filter("text is not null").mapInArrow(_count_heavy, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     step = F.floor(F.log2("n") * 16).cast("int")  # any order of shingles gives the same links, so whole steps of counts are cut
     cut, held = 1 << 30, 0
@@ -129,13 +134,13 @@ def heavy_shingles(docs: DataFrame, stash: Stash, most: int = HEAVY) -> tuple[np
     stash.drop(found)
     tokens = np.asarray(table.column("token").to_numpy(), np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], np.arange(1, len(tokens) + 1, dtype=np.uint64)[order], np.asarray(table.column("n").to_numpy(), np.int64)
+    return tokens[order], np.arange(1, len(tokens) + 1, dtype=np.uint64)[order]
 
 
 def prefix(s: np.ndarray, heavy: tuple[np.ndarray, ...]) -> np.ndarray:
     """The first elements of a set in the global order, of which any linked set has one: heavy ones last, others by hash."""
     key = s >> np.uint64(1)
-    tokens, ranks = heavy[:2]
+    tokens, ranks = heavy
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
         hit = tokens[at] == s
@@ -145,7 +150,7 @@ def prefix(s: np.ndarray, heavy: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def _sketch(heavy):
-    names = ["doc_id", "n", "h1", "h2", "bitmap", "bands", "tokens"]
+    names = ["doc_id", "n", "h1", "h2", "bitmap", "folded", "bands", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
@@ -153,13 +158,14 @@ def _sketch(heavy):
             for text in batch.column(1):
                 s = shingle_set(text.as_py() or "")
                 if not len(s):
-                    rows.append((0, 0, 0, b"", [], b""))
+                    rows.append((0, 0, 0, b"", b"", [], b""))
                     continue
                 low = np.array([(s * m).min() for m in _MULTIPLIERS[: BANDS * ROWS]]).reshape(BANDS, ROWS)
                 bands = _mixed((low * _MULTIPLIERS[32 : 32 + ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                rows.append((len(s), int(digest[0]), int(digest[1]), bitmap(s).tobytes(), bands.tolist(), prefix(s, heavy.value).tobytes()))
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+                bits = bitmap(s)
+                rows.append((len(s), int(digest[0]), int(digest[1]), bits.tobytes(), fold(bits, FOLDED).tobytes(), bands.tolist(), prefix(s, heavy.value).tobytes()))
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
     return run
@@ -179,48 +185,107 @@ def bounded_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "n", "m").mapInArrow(_bound, "u long, v long")
 
 
-def _deal(buckets: int, heavy, split: int = SPLIT):
-    """Prefix elements as one row of packed arrays per bucket of element hashes, so that a shuffle moves few rows. An element with more than
-    `split` holders is dealt as one element per pair of groups of them: group g meets itself, and as one of two sides every other group."""
+def _count_slots(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.int64)
+        for batch in batches:
+            tok = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            counts += np.bincount((_mixed(tok) % np.uint64(slots)).astype(np.int64), minlength=slots)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+    return run
 
-    def packed(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+
+def _count_elements(slots: int, hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tok = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            values, counts = np.unique(tok[np.isin((_mixed(tok) % np.uint64(slots)).astype(np.int64), hot)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["token", "n"])
+
+    return run
+
+
+def hot_elements(prefixes: DataFrame, elements: int, split: int = SPLIT) -> tuple[np.ndarray, np.ndarray]:
+    """Elements with more than `split` holders among the prefixes (one column of packed elements), sorted, and their holders: elements / split of them at most.
+
+    Slots of a hash are counted first, about eight for each element that could be hot; then exactly the elements of the slots that are over the limit."""
+    slots = 1 << max(10, (8 * elements // split).bit_length())
+    found = prefixes.mapInArrow(_count_slots(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > split)
+    hot = np.asarray(found.select("slot").toArrow().column(0).to_numpy(), np.int64)
+    if not len(hot):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    counted = prefixes.mapInArrow(_count_elements(slots, hot), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > split).toArrow()
+    tokens = np.asarray(counted.column("token").to_numpy(), np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.asarray(counted.column("n").to_numpy(), np.int64)[order]
+
+
+def _deal(buckets: int, hot, split: int = SPLIT):
+    """Prefix elements as one row of packed arrays per bucket of element hashes, so that a shuffle moves few rows. A hot element (of more than
+    `split` holders) is dealt as one element per pair of groups of them: group g meets itself, and as one of two sides every other group.
+    Those have buckets of their own, sized alike, and take along the folded bitmaps of their sets."""
+
+    def told(parts: list[tuple[np.ndarray, ...]], first: int, buckets: int) -> pa.RecordBatch:
+        tok, rep, place, comp, *folded = (np.concatenate(c) for c in zip(*parts, strict=True))
+        bucket = (tok % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
+        columns = [c[order] for c in (tok, rep, place, comp, *folded)]
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        packed = [pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns]
+        packed += [pa.array([b""] * len(spans), pa.binary())] * (5 - len(packed))
+        return pa.RecordBatch.from_arrays([pa.array(first + bucket[order][cuts[:-1]]), *packed], ["bucket", "tok", "rep", "place", "comp", "folded"])
+
+    def packed(held: list[tuple[int, int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         tokens = [np.frombuffer(x[3], np.uint64) for x in held]
         size = np.array([len(t) for t in tokens])
         tok = np.concatenate(tokens)
         rep, n, comp = (np.repeat(np.array([x[i] for x in held], np.int64), size) for i in range(3))
         place = n << 32 | (np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)) << 2 | 2  # size, place in the prefix, side
-        rank = np.where(tok >> np.uint64(63), tok & np.uint64((1 << 63) - 1), np.uint64(0)).astype(np.int64)
+        elements, holders = hot.value
+        groups = np.ones(len(tok), np.int64)
+        if len(elements):
+            at = np.minimum(np.searchsorted(elements, tok), len(elements) - 1)
+            groups = np.where(elements[at] == tok, -(-holders[at] // split), 1)
         tok = _mixed(tok)
-        groups = np.where(rank > 0, -(-heavy.value[2][np.maximum(rank, 1) - 1] // split), 1) if len(heavy.value[2]) else np.ones(len(tok), np.int64)
-        parts = [(tok, rep, place, comp)] if (groups == 1).all() else [tuple(c[groups == 1] for c in (tok, rep, place, comp))]
-        hot = np.flatnonzero(groups > 1)
-        for k in np.unique(groups[hot]).tolist():
-            at = hot[groups[hot] == k]
+        one = groups == 1
+        if one.any():
+            yield told([(tok[one], rep[one], place[one], comp[one])], 0, buckets)
+        many = np.flatnonzero(~one)
+        if not len(many):
+            return
+        folded = np.frombuffer(b"".join(x[4] for x in held), np.uint64).reshape(-1, FOLDED)
+        doc = np.repeat(np.arange(len(held)), size)
+        tiles = max(1, int((holders * -(-holders // split)).sum()) // BUCKET)
+        parts, count = [], 0
+        for k in np.unique(groups[many]).tolist():
+            at = many[groups[many] == k]
             g = (_mixed(rep[at].view(np.uint64)) % np.uint64(k)).astype(np.int64)
             for h in range(k):
                 low, high = np.minimum(g, h), np.maximum(g, h)
                 side = np.where(low == high, 2, (g == high).astype(np.int64))
-                parts.append((_mixed(tok[at] + (low * k + high + 1).astype(np.uint64)), rep[at], place[at] & ~3 | side, comp[at]))
-        tok, rep, place, comp = (np.concatenate(c) for c in zip(*parts, strict=True))
-        bucket = (tok % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
-        columns = [c[order] for c in (tok.view(np.int64), rep, place, comp)]
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]]), *(pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns)], ["bucket", "tok", "rep", "place", "comp"])
+                parts.append((_mixed(tok[at] + (low * k + high + 1).astype(np.uint64)), rep[at], place[at] & ~3 | side, comp[at], folded[doc[at]]))
+                count += len(at)
+                if count >= FOLD:
+                    yield told(parts, buckets, tiles)
+                    parts, count = [], 0
+        if parts:
+            yield told(parts, buckets, tiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes, bytes]] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 held.append(row)
                 size += len(row[3]) // 8
                 if size >= CHUNK_SHINGLES // 8:
-                    yield packed(held)
+                    yield from packed(held)
                     held, size = [], 0
         if held:
-            yield packed(held)
+            yield from packed(held)
 
     return run
 
@@ -252,6 +317,8 @@ def _tile(table: pa.Table) -> Iterator[pa.RecordBatch]:
     tok, rep, place, comp = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("tok", "rep", "place", "comp"))
     order = np.lexsort((place, tok))
     tok, rep, place, comp = tok[order], rep[order], place[order], comp[order]
+    folded = np.frombuffer(b"".join(table.column("folded").to_pylist()), np.uint64).reshape(-1, FOLDED)
+    folded = folded[order] if len(folded) else None
     n, at, side = place >> 32, place >> 2 & (1 << 30) - 1, place & 3
     starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     ends = np.r_[starts[1:], len(tok)]
@@ -265,14 +332,20 @@ def _tile(table: pa.Table) -> Iterator[pa.RecordBatch]:
     for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
         reach = np.searchsorted(n[a:b], n[a:b] * DENOMINATOR // NUMERATOR, "right")  # sorted by size: a set's band ends there
         count = reach - np.arange(1, b - a + 1)
-        for t in range(0, b - a, TILE):
-            c = count[t : t + TILE]
+        step = max(1, min(TILE, PAIRS // (b - a)))
+        for t in range(0, b - a, step):
+            c = count[t : t + step]
             left = np.repeat(np.arange(t, t + len(c)), c)
             right = a + left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
             left += a
             room = np.minimum(n[left] - at[left], n[right] - at[right])  # if this is their first common element, no more can be common
             on = (comp[left] != comp[right]) & (room >= needed(n[left], n[right])) & ((side[left] != side[right]) | (side[left] == 2))
-            x, y = local[left[on]], local[right[on]]
+            left, right = left[on], right[on]
+            if folded is not None:
+                apart = np.bitwise_count(folded[left] ^ folded[right]).sum(1).astype(np.int64)
+                on = (n[left] + n[right] - apart) // 2 >= needed(n[left], n[right])
+                left, right = left[on], right[on]
+            x, y = local[left], local[right]
             fresh.append(np.minimum(x, y) * len(reps) + np.maximum(x, y))
             size += len(x)
             if size >= FOLD:
@@ -359,8 +432,8 @@ def near_documents(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     stash = Stash(spark, "shingles")
     docs = docs.select("doc_id", "text")
-    heavy = spark.sparkContext.broadcast(heavy_shingles(docs, stash))
-    sketch = stash.put(docs.mapInArrow(_sketch(heavy), "doc_id long, n int, h1 long, h2 long, bitmap binary, bands array<long>, tokens binary"))
+    heavy = spark.sparkContext.broadcast(heavy_shingles(docs, stash, HEAVY))
+    sketch = stash.put(docs.mapInArrow(_sketch(heavy), "doc_id long, n int, h1 long, h2 long, bitmap binary, folded binary, bands array<long>, tokens binary"))
     usable = "n > 0 and doc_id is not null"
     ids = stash.put(sketch.select("doc_id", "n", "h1", "h2"))
     equal = stash.put(ids.filter(usable).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))  # written, so that the joins below are not dealt by the hot digest of many copies
@@ -375,15 +448,19 @@ def near_documents(docs: DataFrame) -> DataFrame:
     ties = stash.put(components(bounded_pairs(stars, reps), stash))
 
     elements = reps.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
-    placed = reps.select("rep", "n", "tokens").join(ties, F.col("rep") == F.col("node"), "left").select("rep", F.col("n").cast("long").alias("n"), F.coalesce("component", "rep").alias("comp"), "tokens")
-    dealt = placed.mapInArrow(_deal(max(1, int(elements) // BUCKET), heavy, SPLIT), "bucket long, tok binary, rep binary, place binary, comp binary")
+    hot = spark.sparkContext.broadcast(hot_elements(reps.select("tokens"), int(elements), SPLIT))
+    placed = reps.select("rep", "n", "tokens", "folded").join(ties, F.col("rep") == F.col("node"), "left").select("rep", F.col("n").cast("long").alias("n"), F.coalesce("component", "rep").alias("comp"), "tokens", "folded")
+    dealt = placed.mapInArrow(_deal(max(1, int(elements) // BUCKET), hot, SPLIT), "bucket long, tok binary, rep binary, place binary, comp binary, folded binary")
     pairs = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiles, "u long, v long").distinct()
     more = bounded_pairs(pairs, reps)
     ties = stash.put(components(more.unionByName(ties.select(F.col("node").alias("u"), F.col("component").alias("v"))), stash))
 
     members = stash.put(ties.join(reps.select("rep", "n"), F.col("node") == F.col("rep")).select(F.col("node").alias("doc_id"), "n", "component"))
     stash.drop(reps)
-    linked = components(tie_links(docs, members, stash), stash)
+    several = stash.put(ids.filter(usable).groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).filter("low != high").select("doc_id"))
+    own = several.join(ids.filter(usable), "doc_id").join(equal, ["h1", "h2"]).select("doc_id", "rep")  # of ids with several texts
+    same = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("u")), "doc_id").select("u", F.col("rep").alias("v")).filter("u != v")
+    linked = components(tie_links(docs, members, stash).unionByName(same), stash)
 
     told = equal.join(linked, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     some = ids.filter(usable).join(told, ["h1", "h2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
