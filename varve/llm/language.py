@@ -17,6 +17,8 @@ from .shared import bounded_batches, slices
 
 #: Expected number of labelled documents per language that are learned from.
 DOCS_PER_LANGUAGE = 1500
+#: Distinct values of lang at most; more are an error, since a model holds a row of BUCKETS numbers for each.
+MOST_LANGUAGES = 512
 BUCKETS = 1 << 15
 MAX_N = 4
 #: Scale and floor of a word's score against its best language, and the price of changing language between two words.
@@ -151,10 +153,15 @@ class Model:
         return [path[: len(r), i] for i, r in enumerate(rows)]
 
 
-def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """Learns from documents with text and lang whose id's crc32 mod 3 is not 1: a sample by hash of about per_language documents of each language."""
+def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, most: int = MOST_LANGUAGES) -> Model:
+    """Learns from documents with text and lang whose id's crc32 mod 3 is not 1: a sample by hash of about per_language documents of each language.
+
+    More than `most` distinct languages raise a ValueError: the counts and the model's table are bounded by it."""
     usable = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(remainder(F.col("doc_id"), 3) != 1)
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).toArrow()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} distinct values of lang")
+    counts = docs.sparkSession.createDataFrame(counts)
     sample = usable.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("n") < per_language * 1_000_000).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
