@@ -443,6 +443,27 @@ def test_near_vectors_recall_and_visits(spark, monkeypatch):
     assert np.mean([len(list(near_vectors.multi_sequence(a, b, limit))) for a, b in zip(low_a, low_b, strict=True)]) < 0.25 * 18 * 18
 
 
+def test_near_vectors_of_recall_one_finds_every_link(spark, monkeypatch):
+    """Vectors moved along few axes and towards other vectors, not at random: with a recall of 1 links and components equal brute force."""
+    monkeypatch.setattr(near_vectors, "CELL", 4)
+    rng = np.random.default_rng(12)
+    base = near_vectors.unit_rows(rng.standard_normal((250, 16)))
+    along = base.copy()
+    along[np.arange(250), rng.integers(0, 16, 250)] += rng.uniform(0.15, 0.25, 250)
+    towards = base + rng.uniform(0.1, 0.2, (250, 1)) * base[rng.permutation(250)]
+    x = near_vectors.unit_rows(np.vstack([base, along, towards]))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=1.0).collect()}
+    near = x @ x.T >= 0.98
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.where(near, root[None, :], len(x)).min(1)
+        if (new == root).all():
+            break
+        root = new
+    assert near.sum() > len(x) + 200 and got == {i: (int(near[i].sum()) - 1, int(root[i])) for i in range(len(x))}
+
+
 def test_near_vectors_with_repeated_ids(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0)]
     got = sorted(plain(near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))))
@@ -589,6 +610,8 @@ def test_language(spark):
     assert np.mean([got[i].lang_pred == langs[i % 3] for i in held]) > 0.98
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (500, 501, 502)) and got[505].lang_pred in langs and got[505].score == 0
     assert [(s.lang, s.words) for s in got[503].spans] == [("aa", 90), ("bb", 30)] and got[503].lang_pred == "aa"
+    with pytest.raises(ValueError):
+        language.train(d, most=2)
     none = language.train(d.filter("lang is null"))
     assert {r.lang_pred for r in language.detect(d, none).collect()} == {"und"}
     assert language.detect(d.limit(0), model).collect() == []

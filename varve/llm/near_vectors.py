@@ -80,7 +80,10 @@ def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def visit_limit(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], min_cosine: float, recall: float = TARGET_RECALL) -> float:
-    """The bound within which the given share of the sample's vectors, each moved to exactly min_cosine, have the cell of the moved vector."""
+    """The bound within which the given share of the sample's vectors, each moved to exactly min_cosine, have the cell of the moved vector. For a recall of 1 it
+    is the squared distance of unit vectors at min_cosine: a cell whose lower bound lies beyond it holds no link, whatever the direction."""
+    if recall >= 1:
+        return 2 - 2 * min_cosine + 1e-9
     rng = np.random.default_rng(11)
     x = np.repeat(points[:MOVED_OF], MOVED, axis=0)
     step = rng.standard_normal(x.shape)
@@ -140,8 +143,8 @@ def _compare(min_cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row.
+def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, recall: float = TARGET_RECALL) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row. recall: the share of links at min_cosine, in random directions, that is met at least; with 1 every link is found.
 
     Vectors are compared only if their labels are equal and not null and their lengths agree. Null ids and vectors that are null, empty, zero or hold
     null or non-finite components link with nothing. Exact copies (told by two 64-bit hashes) are linked with each other and compared once. Rows that repeat an id
@@ -164,7 +167,7 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
         codes = int(min(MAX_CODES, max(2, np.sqrt(shape.n / shape.labels / CELL))))
         points = unit_rows(np.array([r.vector for r in sample]))
         books[shape.dim] = tuple(fit_codebook(h, codes) for h in _halves(points)) if shape.dim > 1 else (fit_codebook(points, codes), np.zeros((1, 0)))
-        limits[shape.dim] = visit_limit(points, books[shape.dim], min_cosine)
+        limits[shape.dim] = visit_limit(points, books[shape.dim], min_cosine, recall)
     label = f"label {dict(unit.dtypes)['label']}"
     indexed = stash.put(unit.mapInArrow(_index(books, limits), f"{label}, rep long, mult long, vector array<double>, dim int, cell int, visits array<int>"))
     visitors = indexed.select("label", "dim", F.explode("visits").alias("cell"), F.col("cell").alias("from_cell"), "rep", "mult", "vector")
