@@ -85,3 +85,77 @@ def cv_plus(df: DataFrame, keys: list[str], prediction: str, residual: str, alph
     n = F.col("n") + 1
     low, high = F.greatest(F.lit(1), F.floor(alpha * n)), F.least(F.col("n"), F.ceil((1 - alpha) * n))
     return d.groupBy(*keys, "n").agg(F.max(F.when(F.col("_a") == low, F.col("_l"))).alias("low"), F.max(F.when(F.col("_b") == high, F.col("_h"))).alias("high"))
+
+
+def poisson_limits() -> list[float]:
+    """P(N <= k) of a Poisson(1) count for k = 0 to 7."""
+    return [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def bag_counts(members: int, row_id: Column) -> Column:
+    """Array: how often a row is in each member's bootstrap sample. Counts of one row are Poisson(1), drawn from a hash of member and id, so that samples of any table need no
+    shuffle and reruns agree; draws beyond 7 (one in 10^5) count as 8."""
+    u = lambda m: F.conv(F.substring(F.md5(F.concat_ws(":", m.cast("string"), row_id.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    return F.transform(F.sequence(F.lit(0), F.lit(members - 1)), lambda m: F.size(F.filter(F.array(*map(F.lit, poisson_limits())), lambda p: p <= u(m))))
+
+
+def bagged_lines(df: DataFrame, keys: list[str], row_id: str, x: str, y: str, members: int) -> DataFrame:
+    """df with counts and predictions: each member is the least-squares line of y on x over its bootstrap sample of a key's rows; a flat line where x doesn't vary.
+
+    All members of all keys come from one aggregate. A member without rows of a key predicts null. Rows without x or y are no one's and are left out."""
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("counts", bag_counts(members, F.col(row_id)))
+    u, v = F.col(x).cast("double"), F.col(y).cast("double")
+    sums = []
+    for m in range(members):
+        w = F.col("counts")[m].cast("double")
+        sums.append(F.struct(F.sum(w).alias("w"), F.sum(w * u).alias("u"), F.sum(w * v).alias("v"), F.sum(w * u * u).alias("uu"), F.sum(w * u * v).alias("uv")))
+    fits = d.groupBy(*keys).agg(F.array(*sums).alias("_fits"))
+
+    def line(f: Column) -> Column:
+        slope = F.coalesce(F.try_divide(f["w"] * f["uv"] - f["u"] * f["v"], f["w"] * f["uu"] - f["u"] * f["u"]), F.lit(0.0))
+        return F.try_divide(f["v"] - slope * f["u"], f["w"]) + slope * u
+
+    return d.join(fits, keys).withColumn("predictions", F.transform("_fits", line)).drop("_fits")
+
+
+def out_of_bag(predictions: str = "predictions", counts: str = "counts") -> Column:
+    """The mean prediction of the members whose sample lacks the row; of all members where there is none."""
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, p: s + p["p"]), F.size(a))
+    pairs = F.filter(F.zip_with(predictions, counts, lambda p, c: F.struct(p.alias("p"), c.alias("c"))), lambda z: z["p"].isNotNull())
+    return F.coalesce(mean(F.filter(pairs, lambda z: z["c"] == 0)), mean(pairs))
+
+
+def ensemble_radii(df: DataFrame, keys: list[str], order: list[str], y: str, alpha: float, window: int = 500) -> DataFrame:
+    """keys, n, radius of ensemble intervals (EnbPI): over the last `window` rows of a key, the conformal quantile of |y - out-of-bag mean|. df holds predictions and counts per member."""
+    r = df.select(*keys, *order, F.abs(F.col(y) - out_of_bag()).alias("_r")).filter(F.col("_r").isNotNull())
+    last = r.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))).filter(F.col("_k") <= window)
+    return conformal_radius(last, keys, "_r", alpha)
+
+
+def state_radii(calibration: DataFrame, tests: DataFrame, keys: list[str], order: list[str], states: str, residual: str, alpha: float, window: int = 500, tau: float = 1.0, hard: bool = False) -> DataFrame:
+    """tests with radius: the weighted quantile of the residuals of each key's last `window` calibration rows, weighted by how alike their states are to the test row's.
+
+    states: an array of state probabilities. Weights are the softmax of the states' inner products over tau; or with `hard` 1 for rows of the same likeliest state (ties: the
+    first), for all rows where none has it. The quantile, at ceil((n + 1) (1 - alpha)) / n, is the least residual whose weight up to its middle reaches it, else the largest.
+    A key's window is one array of at most `window` rows. Tests of a key without calibration rows, or without states, have a null radius."""
+    top = lambda a: F.array_position(a, F.array_max(a))
+    c = calibration.filter(F.col(residual).isNotNull() & F.col(states).isNotNull())
+    c = c.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(o) for o in order)))).filter(F.col("_k") <= window)
+    held = c.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(residual).cast("double").alias("r"), F.col("_k").alias("k"), F.col(states).alias("s")))).alias("_w"))
+    d = tests.join(held, keys, "left")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda t, v: t + v)
+    if hard:
+        d = d.withColumn("_v", F.transform("_w", lambda p: F.struct(p["r"].alias("r"), (top(p["s"]) == top(F.col(states))).cast("double").alias("w"))))
+        d = d.withColumn("_v", F.when(F.exists("_v", lambda p: p["w"] > 0), F.col("_v")).otherwise(F.transform("_w", lambda p: F.struct(p["r"].alias("r"), F.lit(1.0).alias("w")))))
+    else:
+        d = d.withColumn("_v", F.transform("_w", lambda p: F.struct(p["r"].alias("r"), (dot(p["s"], F.col(states)) / tau).alias("w"))))
+        most = F.array_max(F.transform("_v", lambda p: p["w"]))
+        d = d.withColumn("_m", most).withColumn("_v", F.transform("_v", lambda p: F.struct(p["r"].alias("r"), F.exp(p["w"] - F.col("_m")).alias("w")))).drop("_m")
+    n = F.size("_v")
+    total = F.aggregate("_v", F.lit(0.0), lambda t, p: t + p["w"])
+    level = F.least(F.lit(1.0), F.ceil((n + 1) * F.lit(1 - alpha)) / n)
+    d = d.withColumn("_q", F.when(n > 0, level * total))
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("r"))
+    found = F.aggregate("_v", start, lambda t, p: F.struct((t["c"] + p["w"]).alias("c"), F.coalesce(t["r"], F.when((p["w"] > 0) & (t["c"] + p["w"] / 2 >= F.col("_q")), p["r"])).alias("r")))
+    largest = F.array_max(F.transform(F.filter("_v", lambda p: p["w"] > 0), lambda p: p["r"]))
+    return d.withColumn("radius", F.when(F.col(states).isNotNull(), F.coalesce(found["r"], largest))).drop("_w", "_v", "_q")

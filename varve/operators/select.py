@@ -42,6 +42,62 @@ def information_matrix(df: DataFrame, columns: list[str], bins: int = 16) -> Dat
     return mi.select(F.get(told, F.col("i")).alias("t"), "mi").select(F.col("t.a").alias("feature_a"), F.col("t.b").alias("feature_b"), F.greatest(F.lit(0.0), "mi").alias("mi"))
 
 
+def dependence(df: DataFrame, columns: list[str], relation: str = "correlation", bins: int = 16) -> DataFrame:
+    """feature_a, feature_b, value of every pair: the correlation, or mutual information of quantile bins over the smaller of both entropies, 0 where that is 0."""
+    if relation == "correlation":
+        return pearson(df, columns)
+    twin = {c: f"_{i}" for i, c in enumerate(columns)}  # information of a column and itself is its entropy
+    both = df.select(*columns, *(F.col(c).alias(t) for c, t in twin.items()))
+    mi = information_matrix(both, [*columns, *twin.values()], bins)
+    own = mi.filter(F.create_map(*(F.lit(x) for p in twin.items() for x in p))[F.col("feature_a")] == F.col("feature_b")).select("feature_a", "mi")  # one row a column
+    pairs = mi.filter(F.col("feature_a").isin(columns) & F.col("feature_b").isin(columns))
+    out = pairs.join(own.withColumnRenamed("mi", "_a"), "feature_a").join(own.select(F.col("feature_a").alias("feature_b"), F.col("mi").alias("_b")), "feature_b")
+    return out.select("feature_a", "feature_b", F.coalesce(F.try_divide("mi", F.least("_a", "_b")), F.lit(0.0)).alias("value"))
+
+
+def relevance(df: DataFrame, columns: list[str], target: str, bins: int = 16, folds: int | Column = 0, least: float = 0.01) -> DataFrame:
+    """feature, mi in nats of each column's quantile bins and the target, over the rows where both are present: all columns in one job, whose cells stay few.
+
+    A numeric target is cut at its quantiles too; of another type, its values are the classes. A value equal to a cut lies below it. With folds (a number: rows dealt by
+    their hash; or a column of 0 to 63 that deals them): also mean and low of mi over the samples that leave one fold out, and stable, the share of those with mi >= least.
+    Columns without rows have mi 0."""
+    numeric = dict(df.dtypes)[target] not in ("string", "boolean", "date", "timestamp")
+    cut = [*columns, target] if numeric else list(columns)
+    cuts = column_percentiles(df, cut, [i / bins for i in range(1, bins)]).select(*(F.array_distinct(c).alias(f"_q{i}") for i, c in enumerate(cut)))  # one row
+
+    def place(i: int, c: str) -> Column:
+        return F.when(nan_to_null(c).isNotNull(), F.size(F.filter(f"_q{i}", lambda q: q < F.col(c).cast("double"))))
+
+    y = place(len(columns), target).cast("string") if numeric else F.col(target).cast("string")
+    if isinstance(folds, Column):
+        fold = folds.cast("int")
+    else:
+        fold = F.pmod(F.xxhash64(*columns, target), F.lit(folds)).cast("int") if folds else F.lit(0)
+    told = F.array(*(F.struct(F.lit(i).alias("i"), place(i, c).alias("a")) for i, c in enumerate(columns)))
+    rows = df.join(F.broadcast(cuts)).select(F.explode(told).alias("p"), y.alias("b"), fold.alias("k")).select("p.*", "b", "k").na.drop()
+    cells = rows.groupBy("i", "a", "b", "k").agg(F.count("*").alias("c"))
+    if not isinstance(folds, int) or folds:
+        # a sample leaves fold k out; -1 leaves none
+        ks = cells.select("k").distinct()
+        whole = cells.groupBy("i", "a", "b").agg(F.sum("c").alias("t"), F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"))  # one entry a fold
+        every = ks.agg(F.array_sort(F.collect_list("k")).alias("ks"))  # one row
+        sample = F.array_union(F.array(F.lit(-1)), F.col("ks"))
+        cells = whole.join(F.broadcast(every)).select("i", "a", "b", "t", "m", F.explode(sample).alias("k")).select("i", "a", "b", "k", (F.col("t") - F.coalesce(F.try_element_at("m", F.col("k")), F.lit(0))).alias("c")).filter("c > 0")
+    else:
+        cells = cells.withColumn("k", F.lit(-1))
+
+    def part(by: list[str], sign: int) -> DataFrame:
+        g = cells.groupBy("i", "k", *by).agg(F.sum("c").cast("double").alias("c"))
+        return g.select("i", "k", (sign * F.col("c") * F.ln("c")).alias("t"), (F.col("c") if not by else F.lit(0.0)).alias("n"))
+
+    sums = part(["a", "b"], 1).unionByName(part(["a"], -1)).unionByName(part(["b"], -1)).unionByName(part([], 1))
+    mi = sums.groupBy("i", "k").agg(F.greatest(F.lit(0.0), F.sum("t") / F.sum("n")).alias("mi"))
+    left = F.col("k") >= 0
+    out = mi.groupBy("i").agg(F.max(F.when(~left, F.col("mi"))).alias("mi"), F.avg(F.when(left, F.col("mi"))).alias("mean"), F.min(F.when(left, F.col("mi"))).alias("low"), F.avg(F.when(left, (F.col("mi") >= least).cast("double"))).alias("stable"))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "i int, feature string")
+    return names.join(out, "i", "left").select("feature", F.coalesce("mi", F.lit(0.0)).alias("mi"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("stable", F.lit(0.0)).alias("stable"))
+
+
 def mrmr(df: DataFrame, columns: list[str], target: str, k: int, relation: str = "correlation", scheme: str = "difference", bins: int = 16) -> list[str]:
     """Greedy choice of k columns: relevance to the target less the mean redundancy with those chosen, or (scheme "quotient") over it, plus 1e-12; one pass gives all pairs.
 
@@ -111,6 +167,39 @@ def clusters(df: DataFrame, columns: list[str], k: int, seed: int = 1) -> DataFr
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v).drop("features")
 
 
+def cluster_counts(df: DataFrame, columns: list[str], ks: list[int], seed: int = 1) -> DataFrame:
+    """k, cost, silhouette, best for each number of clusters over standardised columns: the mean silhouette of all rows by squared distances, from sums per cluster and not from pairs.
+
+    cost: the mean squared distance to a row's own centre. best marks the highest silhouette (ties: the smallest k). Rows with a null are left out; a k that finds fewer than two clusters has silhouette 0."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import vector_to_array
+
+    v = _assembled(df, columns).select(vector_to_array("features").alias("x"), "features")
+    told = []
+    for k in ks:
+        placed = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v).select("x", "cluster")
+        d = range(len(columns))
+        square = sum((F.col("x")[j] * F.col("x")[j] for j in d), F.lit(0.0))
+        sums = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(square).alias("q"), *(F.sum(F.col("x")[j]).alias(f"s{j}") for j in d)).orderBy("cluster").collect()  # k rows
+        if len(sums) < 2:
+            told.append((k, float("nan") if not sums else (sums[0].q - sum(sums[0][f"s{j}"] ** 2 for j in d) / sums[0].n) / sums[0].n, 0.0))
+            continue
+
+        def total(c, square=square, d=d) -> Column:
+            """The sum of squared distances to all rows of a cluster."""
+            return F.greatest(F.lit(0.0), square * c.n - 2 * sum((F.col("x")[j] * c[f"s{j}"] for j in d), F.lit(0.0)) + c.q)
+
+        own = lambda f: F.coalesce(*(F.when(F.col("cluster") == c.cluster, f(c)) for c in sums))  # noqa: B023, E731
+        a = own(lambda c: total(c) / (c.n - 1) if c.n > 1 else F.lit(0.0))
+        b = F.least(*(F.when(F.col("cluster") != c.cluster, total(c) / c.n) for c in sums))
+        one = own(lambda c: F.lit(c.n == 1))
+        s = F.when(one, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+        n = sum(c.n for c in sums)
+        told.append((k, sum(c.q - sum(c[f"s{j}"] ** 2 for j in d) / c.n for c in sums) / n, placed.agg(F.avg(s)).first()[0]))
+    best = max(told, key=lambda r: (round(r[2], 9), -r[0]), default=(None,))[0]
+    return df.sparkSession.createDataFrame([(k, float(c), float(s), k == best) for k, c, s in told], "k long, cost double, silhouette double, best boolean")
+
+
 def principal_components(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
