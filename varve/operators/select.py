@@ -28,10 +28,11 @@ def information_matrix(df: DataFrame, columns: list[str], bins: int = 16) -> Dat
 
     A value equal to a cut lies below it; equal cuts are one, so a column of few values has fewer bins. A pair without common rows gives no row."""
     names = list(combinations(columns, 2))
+    df = df.select(*(nan_to_null(c).alias(c) for c in columns))
     cuts = column_percentiles(df, columns, [i / bins for i in range(1, bins)]).select(*(F.array_distinct(c).alias(f"_q{i}") for i, c in enumerate(columns)))  # one row
 
     def place(i: int, c: str) -> Column:
-        return F.when(nan_to_null(c).isNotNull(), F.size(F.filter(f"_q{i}", lambda q: q < F.col(c).cast("double")))).alias(f"_b{i}")
+        return F.when(F.col(c).isNotNull(), F.size(F.filter(f"_q{i}", lambda q: q < F.col(c)))).alias(f"_b{i}")
 
     binned = df.select(*columns).join(F.broadcast(cuts)).select(*(place(i, c) for i, c in enumerate(columns)))
     pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_b{columns.index(a)}").alias("a"), F.col(f"_b{columns.index(b)}").alias("b")) for i, (a, b) in enumerate(names)))
@@ -63,10 +64,11 @@ def relevance(df: DataFrame, columns: list[str], target: str, bins: int = 16, fo
     Columns without rows have mi 0."""
     numeric = dict(df.dtypes)[target] not in ("string", "boolean", "date", "timestamp")
     cut = [*columns, target] if numeric else list(columns)
+    df = df.withColumns({c: nan_to_null(c) for c in cut})
     cuts = column_percentiles(df, cut, [i / bins for i in range(1, bins)]).select(*(F.array_distinct(c).alias(f"_q{i}") for i, c in enumerate(cut)))  # one row
 
     def place(i: int, c: str) -> Column:
-        return F.when(nan_to_null(c).isNotNull(), F.size(F.filter(f"_q{i}", lambda q: q < F.col(c).cast("double"))))
+        return F.when(F.col(c).isNotNull(), F.size(F.filter(f"_q{i}", lambda q: q < F.col(c))))
 
     y = place(len(columns), target).cast("string") if numeric else F.col(target).cast("string")
     if isinstance(folds, Column):
