@@ -1,8 +1,9 @@
 """Exact top-k by inner product over a vector-approximation file.
 
 The file holds, per block of BLOCK vectors, cells of CELL_BITS bits per component and, beside them, the exact vectors. Pass 1 scans cells only
-and finds each query's k-th highest lower bound. Pass 2 takes the vectors whose upper bound reaches it and reads their exact
-components in the order of the bounds, until no bound left can change the k best. Queries meet the file block by block.
+and finds each query's k-th highest lower bound. Pass 2 scans cells again and names the (block, row) places whose upper bound reaches it for
+some query of a query block; exact vectors are joined to those places alone, and each query reads its own in the order of the bounds, until
+no bound left can change its k best. Cells meet queries block by block; survivors are dealt into chunks of about BLOCK a query block.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ def _pack(size: int, with_cells: bool):
             cells = np.clip(np.floor((exact - low) / step), 0, (1 << CELL_BITS) - 1).astype(np.uint8)
             number = part << 32 | made
             made += 1
-            row = [[dim], [number], [[r[0] for r in rows]], [exact.tobytes()], [cells.tobytes() if with_cells else b""], [low.tobytes()], [step.tobytes()]]
-            types = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            row = [[dim], [number], [[r[0] for r in rows]], [[r.tobytes() for r in exact]], [cells.tobytes() if with_cells else b""], [low.tobytes()], [step.tobytes()]]
+            types = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["dim", "number", "ids", "exact", "cells", "low", "step"])
 
         for batch in batches:
@@ -61,7 +62,7 @@ def _pack(size: int, with_cells: bool):
     return run
 
 
-BLOCKS = "dim int, number long, ids array<long>, exact binary, cells binary, low binary, step binary"
+BLOCKS = "dim int, number long, ids array<long>, exact array<binary>, cells binary, low binary, step binary"
 
 
 def _bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +85,7 @@ def _scan(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 d, ids, mine = row["dim"], np.array(row["ids"], np.int64), np.array(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q_exact"]).reshape(len(mine), d)
+                q = np.frombuffer(b"".join(row["q_exact"])).reshape(len(mine), d)
                 lower, _ = _bounds(q, np.frombuffer(row["cells"], np.uint8).reshape(len(ids), d), np.frombuffer(row["low"]), np.frombuffer(row["step"]))
                 lower[ids[None, :] == mine[:, None]] = -np.inf
                 top = -np.sort(-lower, axis=1)[:, :k] if lower.shape[1] <= k else -np.sort(-(-np.partition(-lower, k - 1, axis=1)[:, :k]), axis=1)
@@ -95,17 +96,42 @@ def _scan(k: int):
     return run
 
 
+def _least(row: dict, queries: int) -> np.ndarray:
+    """Each query's k-th highest lower bound; without k candidates every vector may be one of its best."""
+    least = np.full(queries, -np.inf)
+    for t in row["taus"] or []:
+        least[t["q_row"]] = t["tau"]
+    return least
+
+
+def _survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of a file block that some query of a query block may have among its best, with what their bounds need."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            d, ids, mine = row["dim"], np.array(row["ids"], np.int64), np.array(row["q_ids"], np.int64)
+            cells = np.frombuffer(row["cells"], np.uint8).reshape(len(ids), d)
+            _, upper = _bounds(np.frombuffer(b"".join(row["q_exact"])).reshape(len(mine), d), cells, np.frombuffer(row["low"]), np.frombuffer(row["step"]))
+            places = np.flatnonzero(((upper >= _least(row, len(mine))[:, None]) & (ids[None, :] != mine[:, None])).any(0))
+            n = len(places)
+            same = lambda v, t, n=n: pa.array([v] * n, t)
+            yield pa.RecordBatch.from_arrays(
+                [same(row["q_number"], pa.int64()), same(row["number"], pa.int64()), pa.array(places.astype(np.int32)), pa.array([cells[i].tobytes() for i in places], pa.binary()), same(row["low"], pa.binary()), same(row["step"], pa.binary())],
+                ["q_number", "number", "row", "cells", "low", "step"],
+            )
+
+
 def _refine(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                d, ids, mine = row["dim"], np.array(row["ids"], np.int64), np.array(row["q_ids"], np.int64)
-                q, exact = np.frombuffer(row["q_exact"]).reshape(len(mine), d), np.frombuffer(row["exact"]).reshape(len(ids), d)
-                _, upper = _bounds(q, np.frombuffer(row["cells"], np.uint8).reshape(len(ids), d), np.frombuffer(row["low"]), np.frombuffer(row["step"]))
-                least = np.full(len(mine), -np.inf)
-                for t in row["taus"] or []:
-                    least[t["q_row"]] = t["tau"]
-                may = (upper >= least[:, None]) & (ids[None, :] != mine[:, None])
+                d, mine, held = row["dim"], np.array(row["q_ids"], np.int64), row["held"]
+                q, exact = np.frombuffer(b"".join(row["q_exact"])).reshape(len(mine), d), np.frombuffer(b"".join(h["exact"] for h in held)).reshape(len(held), d)
+                ids = np.array([h["vec_id"] for h in held], np.int64)
+                low, step = (np.frombuffer(b"".join(h[c] for h in held)).reshape(len(held), d) for c in ("low", "step"))
+                corner = low + step * np.frombuffer(b"".join(h["cells"] for h in held), np.uint8).reshape(len(held), d)
+                slack = 1e-9 * (np.abs(q) @ (np.abs(low) + (1 << CELL_BITS) * step).T) + 1e-6
+                upper = q @ corner.T + np.maximum(q, 0) @ step.T + slack
+                may = (upper >= _least(row, len(mine))[:, None] - slack) & (ids[None, :] != mine[:, None])
                 out: list[tuple[int, int, int, int]] = []
                 for i in range(len(mine)):
                     order = np.flatnonzero(may[i])
@@ -150,6 +176,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     ranked = lower.withColumn("r", F.row_number().over(Window.partitionBy("q_number", "q_row").orderBy(F.desc("lower")))).filter(F.col("r") <= k)
     taus = ranked.filter(F.col("r") == k).groupBy("q_number").agg(F.collect_list(F.struct("q_row", F.col("lower").alias("tau"))).alias("taus"))  # at most QUERY_BLOCK of them
     questions = stash.put(asked.join(taus, "q_number", "left"))
-    found = meet(spread, questions).select("dim", "ids", "exact", "cells", "low", "step", "q_number", "q_ids", "q_exact", "taus").mapInArrow(_refine(k), "q_number long, q_row long, query_id long, vec_id long, score long")
+    near = meet(spread.select("dim", "salt", "number", "ids", "cells", "low", "step"), questions).select("dim", "number", "ids", "cells", "low", "step", "q_number", "q_ids", "q_exact", "taus")
+    near = stash.put(near.mapInArrow(_survive, "q_number long, number long, row int, cells binary, low binary, step binary"))
+    chunks = near.groupBy("q_number").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))  # a row a query block
+    near = near.join(chunks, "q_number").withColumn("chunk", F.pmod(F.xxhash64("number", "row"), F.col("chunks"))).drop("chunks")
+    exact = file.select("number", F.posexplode(F.arrays_zip("ids", "exact")).alias("row", "e")).select("number", "row", F.col("e.ids").alias("vec_id"), F.col("e.exact").alias("exact"))
+    held = near.join(exact, ["number", "row"]).groupBy("q_number", "chunk").agg(F.collect_list(F.struct("vec_id", "exact", "cells", "low", "step")).alias("held"))  # about BLOCK of them
+    wanted = chunks.select("q_number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    found = held.join(questions.join(wanted, "q_number"), ["q_number", "chunk"]).select("dim", "held", "q_number", "q_ids", "q_exact", "taus").mapInArrow(_refine(k), "q_number long, q_row long, query_id long, vec_id long, score long")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_number", "q_row").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
