@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import chain, conformal, detector, select
+from varve.operators import chain, configure, conformal, detector, features, select
+from varve.operators.series import Series
 
 
 def series(spark, n=60, seed=3):
@@ -275,3 +276,48 @@ def test_state_radii_equal_brute_force(spark, hard):
         q = min(1.0, math.ceil((len(held) + 1) * 0.8) / len(held))
         reach = np.flatnonzero((np.cumsum(w) - w / 2 >= q) & (w > 0))
         assert got[t] == pytest.approx(r[reach[0]] if len(reach) else r[w > 0][-1])
+
+
+def test_configured_chain_suits_its_columns(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    frame = pd.DataFrame({"k": np.repeat(["a", "b"], n // 2), "t": np.tile(range(n // 2), 2), "noise": rng.standard_normal(n), "skewed": np.exp(rng.standard_normal(n)), "flat": np.repeat(rng.standard_normal(n // 20), 20)})
+    frame["walk"] = frame.groupby("k")["noise"].cumsum() * 5
+    frame.loc[::10, "noise"] = np.nan
+    df, s = spark.createDataFrame(frame), Series(("k",), ("t",))
+    told = {r.feature: r for r in configure.decided(configure.measures(df, s, ["noise", "skewed", "flat", "walk"])).collect()}
+    assert told["noise"].steps == "Impute Smooth Scale" and told["noise"].missing == pytest.approx(0.1)
+    assert told["skewed"].steps.startswith("Clip Log") and told["flat"].archetype == "flat" and told["walk"].steps == "Difference Scale"
+    p = frame.groupby("k")["walk"].shift(1)
+    assert told["walk"].lag1 == pytest.approx(frame["walk"].corr(p))
+    steps = configure.configured(df, s, ["noise", "skewed", "flat", "walk"], exclude=["k", "t"]).fit(df)
+    assert [type(x).__name__ for x in steps.steps] == ["Impute", "Clip", "Log", "Smooth", "Difference", "Scale", "Scale"]
+    out = chain.Chain.from_json(steps.to_json()).transform(df).toPandas()
+    assert out["noise"].notna().all() and out["walk"].isna().sum() == 2 and abs(out["walk"].mean()) < 1e-9
+    back = steps.inverse(steps.transform(df)).toPandas().sort_values(["k", "t"])
+    assert np.allclose(back["walk"], frame["walk"]) and np.allclose(back["flat"], frame["flat"])
+    empty = configure.configured(df.limit(0), s, ["noise", "walk"])
+    assert empty.fit(df.limit(0)).transform(df).count() == n
+
+
+def test_transforms_that_serve(spark):
+    rng = np.random.default_rng(7)
+    x = np.exp(rng.standard_normal(500))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": rng.standard_normal(500), "one": 1.0, "y": np.log(x)}))
+    steps = chain.Chain(chain.Transforms(["x", "z", "one"], target="y")).fit(df)
+    state = steps.steps[0].state
+    assert len(state["x"]["chosen"]) == 1 and state["z"]["chosen"] == [] and state["one"] == {"chosen": [], "gain": {}}
+    made = features.math_transforms("x")
+    values = df.select(*(v.alias(n) for n, v in made.items())).toPandas()
+
+    def shape(v):
+        c = v - v.mean()
+        return 1 / (1 + abs((c**3).mean() / (c**2).mean() ** 1.5) + abs((c**4).mean() / (c**2).mean() ** 2 - 3) / 2)
+
+    y = np.log(x)
+    score = lambda v: shape(v) + abs(np.corrcoef(v, y)[0, 1])
+    gain = {n: score(values[n].to_numpy(float)) - score(x) for n in made}
+    assert state["x"]["gain"] == pytest.approx(gain) and state["x"]["chosen"] == [max(gain, key=gain.get)]
+    out = chain.Chain.from_json(steps.to_json()).transform(df)
+    assert len(out.columns) == 5 and steps.inverse(out).columns == ["x", "z", "one", "y"]
+    assert chain.Transforms(["x"]).fit(df.limit(0)).state == {"x": {"chosen": [], "gain": {}}}

@@ -12,13 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import nan_to_null, safe_corr
 from ..functions.quantiles import column_percentiles
 from . import features, select, wrapper
 from .series import Series
 
 
 class Step:
-    """A step over columns. Subclasses give `learn` (state per column from the training rows), `forward` and, if they can be undone, `backward`."""
+    """A step over columns; NaN and infinities are missing values. Subclasses give `learn` (state per column from the training rows), `forward` and, if they can be undone, `backward`."""
 
     def __init__(self, columns: Sequence[str]):
         self.columns, self.state = list(columns), None
@@ -43,7 +44,7 @@ class Step:
 
     def transform(self, df: DataFrame) -> DataFrame:
         state = self._need()
-        return df.withColumns({c: self.forward(F.col(c).cast("double"), state[c]) for c in self.columns})
+        return df.withColumns({c: self.forward(nan_to_null(c), state[c]) for c in self.columns})
 
     def inverse(self, df: DataFrame) -> DataFrame:
         state = self._need()
@@ -51,10 +52,14 @@ class Step:
 
 
 def _row(df: DataFrame, columns: Sequence[str], **aggregates) -> dict[str, dict]:
-    row = df.agg(*(F.struct(*(f(F.col(c).cast("double")).cast("double").alias(k) for k, f in aggregates.items())).alias(c) for c in columns)).first()
+    row = df.agg(*(F.struct(*(f(nan_to_null(c)).cast("double").alias(k) for k, f in aggregates.items())).alias(c) for c in columns)).first()
     return {c: row[c].asDict() for c in columns}
 
 
+def _clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*(nan_to_null(c).alias(c) for c in columns))
+
+
 class Impute(Step):
     """Missing values by the training mean or median. Undoing leaves the filled values."""
 
@@ -65,7 +70,7 @@ class Impute(Step):
     def learn(self, df):
         if self.by == "mean":
             return _row(df, self.columns, fill=F.avg)
-        row = column_percentiles(df, self.columns, [0.5]).first()
+        row = column_percentiles(_clean(df, self.columns), self.columns, [0.5]).first()
         return {c: {"fill": row[c][0] if row[c] else None} for c in self.columns}
 
     def forward(self, x, s):
@@ -83,7 +88,7 @@ class Clip(Step):
         self.k = k
 
     def learn(self, df):
-        row = column_percentiles(df, self.columns, [0.25, 0.75]).first()
+        row = column_percentiles(_clean(df, self.columns), self.columns, [0.25, 0.75]).first()
         out = {}
         for c in self.columns:
             a, b = row[c] or (None, None)
@@ -121,7 +126,7 @@ class Scale(Step):
     def learn(self, df):
         if self.how == "standard":
             return {c: {"at": s["m"] or 0.0, "by": s["s"] or 0.0} for c, s in _row(df, self.columns, m=F.avg, s=F.stddev_pop).items()}
-        row = column_percentiles(df, self.columns, [0.05, 0.5, 0.95]).first()
+        row = column_percentiles(_clean(df, self.columns), self.columns, [0.05, 0.5, 0.95]).first()
         return {c: {"at": row[c][1] if row[c] else 0.0, "by": row[c][2] - row[c][0] if row[c] else 0.0} for c in self.columns}
 
     def forward(self, x, s):
@@ -170,7 +175,7 @@ class Smooth(Ordered):
     def transform(self, df):
         self._need()
         w = self.series.rows(-(self.width // 2), self.width // 2)
-        return df.withColumns({c: F.avg(F.col(c).cast("double")).over(w) for c in self.columns})
+        return df.withColumns({c: F.avg(nan_to_null(c)).over(w) for c in self.columns})
 
     def backward(self, x, s):
         return x
@@ -192,7 +197,7 @@ class Difference(Ordered):
         s = self.series
         d = df.withColumn("_place", s.position())
         first = F.col("_place") < self.lag
-        new = {f"{c}_start": F.when(first, F.col(c).cast("double")) for c in self.columns} | {c: F.col(c).cast("double") - F.lag(F.col(c).cast("double"), self.lag).over(s.by) for c in self.columns}
+        new = {f"{c}_start": F.when(first, nan_to_null(c)) for c in self.columns} | {c: nan_to_null(c) - F.lag(nan_to_null(c), self.lag).over(s.by) for c in self.columns}
         return d.withColumns(new).drop("_place")
 
     def inverse(self, df):
@@ -259,6 +264,39 @@ class Generate(Step):
         return df.drop(*self._made())
 
 
+class Transforms(Step):
+    """Columns name_transform for the mathematical transforms that serve: of each column at most k, best first, whose gain exceeds `threshold`.
+
+    gain: how much nearer to a normal shape than the column, 1 / (1 + |skewness| + |excess kurtosis| / 2), plus, with a numeric target, how much more |correlation| with it, each
+    from -1 to 1. All candidates come from one aggregate. A transform that is undefined for over half of a column's values, or constant, is none. Undoing drops the columns."""
+
+    def __init__(self, columns: Sequence[str], k: int = 1, threshold: float = 0.1, target: str | None = None):
+        super().__init__(columns)
+        self.k, self.threshold, self.target = k, threshold, target
+
+    def learn(self, df):
+        made = {(c, n): nan_to_null(v) for c in self.columns for n, v in {"": F.col(c).cast("double"), **{n: v for n, v in features.math_transforms(c).items()}}.items()}
+        y = nan_to_null(self.target) if self.target else None
+        told = [F.struct(F.count(v).alias("n"), nan_to_null(F.skewness(v)).alias("s"), nan_to_null(F.kurtosis(v)).alias("e"), (safe_corr(v, y) if self.target else F.lit(0.0)).alias("r"), F.stddev_pop(v).alias("d")) for v in made.values()]
+        row = dict(zip(made, df.agg(F.array(*told)).first()[0], strict=True))
+        state = {}
+        for c in self.columns:
+            score = {}
+            for (b, name), m in row.items():
+                if b == c and m.d and m.s is not None and m.e is not None and 2 * m.n >= row[c, ""].n:
+                    score[name] = 1 / (1 + abs(m.s) + abs(m.e) / 2) + abs(m.r)
+            gain = {n: v - score[""] for n, v in score.items() if n} if "" in score else {}
+            state[c] = {"chosen": sorted((n for n, g in gain.items() if g > self.threshold), key=lambda n: (-gain[n], n))[: self.k], "gain": gain}
+        return state
+
+    def transform(self, df):
+        state = self._need()
+        return df.withColumns({f"{c}_{n}": features.math_transforms(c)[n] for c in self.columns for n in state[c]["chosen"]})
+
+    def inverse(self, df):
+        return df.drop(*(f"{c}_{n}" for c in self.columns for n in self._need()[c]["chosen"]))
+
+
 class Selector(Step):
     """A step that keeps some of its columns. Columns of None are all numeric ones of the training table, but for `leave` and the target; what isn't one of its columns stays.
 
@@ -363,7 +401,7 @@ class Choose(Selector):
 
 
 #: Steps by name, for saved chains; register_step adds to it.
-STEPS: dict[str, type[Step]] = {s.__name__: s for s in (Impute, Clip, Log, Scale, OneHot, Smooth, Difference, Lags, TimeParts, Generate, Prune, Choose)}
+STEPS: dict[str, type[Step]] = {s.__name__: s for s in (Impute, Clip, Log, Scale, OneHot, Smooth, Difference, Lags, TimeParts, Generate, Transforms, Prune, Choose)}
 
 
 def register_step(step: type[Step]) -> type[Step]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chain, conformal, detector, select
+from ..operators import chain, configure, conformal, detector, select
+from ..operators.series import Series
 from .registry import EV, query, rounded
 
 _BASE = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -121,3 +122,17 @@ def state_radii(t):
     d = t.ev.select("user_id", "i", "event_id", F.abs(F.col("value") - before).alias("r"), p.alias("p"), F.count("*").over(every).alias("t")).withColumn("state", F.when(F.col("p").isNotNull(), F.array("p", 1 - F.col("p"))))
     early = F.col("i") < F.floor(F.col("t") / 2)
     return rounded(conformal.state_radii(d.filter(early), d.filter(~early).select("user_id", "event_id", "state"), ["user_id"], ["i"], "state", "r", 0.2, 40, 0.2).select("event_id", "radius"))
+
+
+@query("prepare_configured", EV + """, d AS (SELECT user_id, i, unnest(['value', 'vm', 'square', 'run']) AS feature, unnest([value, vm, value * value, sum(value) OVER (PARTITION BY user_id ORDER BY i)]) AS x FROM ev),
+l AS (SELECT *, lag(x) OVER w AS p, lag(x, 2) OVER w AS q, avg(x) OVER (PARTITION BY feature) AS m FROM d WINDOW w AS (PARTITION BY feature, user_id ORDER BY i)),
+a AS (SELECT feature, count(*) AS n, avg((x IS NULL)::INT) AS missing, avg((x - m) ** 3) / avg((x - m) ** 2) ** 1.5::DOUBLE AS skew, avg((x - m) ** 4) / avg((x - m) ** 2) ** 2 - 3 AS excess, avg((x = p)::INT) AS repeated, corr(x, p) AS lag1, corr(x - p, p - q) AS turn FROM l GROUP BY feature),
+k AS (SELECT *, repeated >= 0.5 AS f, repeated < 0.5 AND lag1 >= 0.95 AS dr, repeated < 0.5 AND lag1 < 0.95 AND turn <= -0.4 AS no FROM a)
+SELECT feature, n, round(missing, 6) AS missing, round(skew, 6) AS skew, round(excess, 6) AS excess, round(repeated, 6) AS repeated, round(lag1, 6) AS lag1, round(turn, 6) AS turn,
+  CASE WHEN f THEN 'flat' WHEN dr THEN 'drifting' WHEN excess > 3 THEN 'heavy' WHEN abs(skew) > 1 THEN 'skewed' WHEN no THEN 'noisy' ELSE 'steady' END AS archetype,
+  concat_ws(' ', CASE WHEN missing > 0 THEN 'Impute' END, CASE WHEN excess > 3 THEN 'Clip' END, CASE WHEN abs(skew) > 1 THEN 'Log' END, CASE WHEN no THEN 'Smooth' END, CASE WHEN dr THEN 'Difference' END, 'Scale') AS steps FROM k""")
+def prepare_configured(t):
+    """What the events' values, with gaps, squared and summed up along each user's series, are told to need."""
+    s = Series(("user_id",), ("i",))
+    d = t.ev.select("user_id", "i", "value", "vm", (F.col("value") * F.col("value")).alias("square"), F.sum("value").over(s.past).alias("run"))
+    return rounded(configure.decided(configure.measures(d, s, ["value", "vm", "square", "run"])).drop("low"))
