@@ -189,6 +189,23 @@ def test_signal_measures():
     assert far.argmax() == 200
 
 
+def test_isolation_trees_of_one_column_equal_the_general_walk_in_a_fraction_of_its_time():
+    import time
+
+    def seconds(x):
+        start = time.process_time()
+        for _ in range(5):
+            got = signal.isolation_scores(x)
+        return got, time.process_time() - start
+
+    for seed, n in enumerate((1, 2, 67, 300)):
+        x = np.random.default_rng(seed).normal(size=(n, 1)).round(1)
+        one, fast = seconds(x)
+        both, slow = seconds(np.hstack([x, np.zeros((n, 1))]))  # a constant column takes the general walk and is never cut
+        assert np.array_equal(one, both)
+        assert n < 67 or fast < slow / 3
+
+
 def test_generators(spark):
     p = generate.panel(spark, 3, 10)
     assert p.count() == 30 and p.select(F.countDistinct("series", "t")).first()[0] == 30

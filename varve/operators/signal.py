@@ -6,6 +6,7 @@ A series must fit in one task; longer ones belong in the window operators of var
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -550,6 +551,35 @@ def auto_arima(x: np.ndarray, horizon: int = 5, s: int = 1, most: int = 3) -> tu
     return arima_css(x, p, d, horizon, q, (P, 0, Q, max(s, 1))), (p, d, q, P, Q)
 
 
+def _isolation_depths(x: np.ndarray, trees: int, size: int, depth: int, expected: Callable[[int], float], rng: np.random.Generator) -> np.ndarray:
+    """Summed path lengths of one column: a node is a range of the sorted values, so a tree is bisections instead of a mask a node."""
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    every = x[order].tolist()
+    total = np.zeros(n)
+    leaf = [expected(m) for m in range(size + 1)]
+    for _ in range(trees):
+        part = np.sort(x[rng.choice(n, size, replace=False)]).tolist()
+        ends: list[int] = []
+        paths: list[float] = []
+        todo = [(0, n, 0, size, 0)]  # rows, the sample's rows and the depth of a node; left before right
+        while todo:
+            a, b, i, j, at = todo.pop()
+            if at >= depth or j - i < 2 or part[i] == part[j - 1]:
+                ends.append(b - a)
+                paths.append(at + leaf[j - i])
+                continue
+            low, high = part[i], part[j - 1]
+            cut = low + (high - low) * rng.random()
+            row, mid = bisect_left(every, cut, a, b), bisect_left(part, cut, i, j)
+            todo.append((row, b, mid, j, at + 1))
+            todo.append((a, row, i, mid, at + 1))
+        total += np.repeat(paths, ends)
+    out = np.empty(n)
+    out[order] = total
+    return out
+
+
 def isolation_scores(x: np.ndarray, trees: int = 50, sample: int = 128, seed: int = 0) -> np.ndarray:
     """Isolation-forest scores of the rows of x (n, d)."""
     rng = np.random.default_rng(seed)
@@ -557,6 +587,8 @@ def isolation_scores(x: np.ndarray, trees: int = 50, sample: int = 128, seed: in
     size = min(sample, n)
     depth = max(1, math.ceil(math.log2(max(2, size))))
     expected = lambda m: 0.0 if m < 2 else 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
+    if x.shape[1] == 1 and np.isfinite(x).all():
+        return 2 ** (-_isolation_depths(x[:, 0], trees, size, depth, expected, rng) / trees / max(expected(size), 1e-9))
     total = np.zeros(n)
 
     def walk(rows: np.ndarray, part: np.ndarray, at: int) -> None:
