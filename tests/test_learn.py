@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from varve.functions.tables import Rounds
 from varve.operators import boost, concordance, encode, graph, neighbours, partition
 
 
@@ -290,6 +291,24 @@ def test_communities_of_joined_cliques(spark):
     assert graph.communities(df.limit(0)).count() == 0
 
 
+def test_communities_keep_no_earlier_round_and_tables_by_column_are_not_shuffled_again(spark, monkeypatch):
+    import os
+
+    made = []
+    start = Rounds.__init__
+    monkeypatch.setattr(Rounds, "__init__", lambda self, *a: (start(self, *a), made.append(self))[0])
+    edges = spark.createDataFrame(random_graph(7, 60, 150), "src long, dst long")
+    got = graph.communities(edges, rounds=3, levels=2)
+    assert got.count() == edges.select(F.explode(F.array("src", "dst"))).distinct().count()
+    left = [n for n in os.listdir(made[0].folder.removeprefix("file://")) if not n.startswith(".")]
+    assert made[0].made > 8 and len(left) <= 5
+    by = made[0].put_by(edges, "dst")
+    plan = by.hint("merge").join(edges.groupBy("dst").count(), "dst")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    made[0].drop(by)
+    assert not spark.catalog.tableExists(by._varve_table)
+
+
 def test_betweenness_equals_all_shortest_paths(spark):
     edges = [(a, b) for a, b in random_graph(5, 14, 24) if b < 50]
     near = {}
