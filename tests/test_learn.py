@@ -118,6 +118,28 @@ def test_nearest_neighbours_of_few_points(spark):
     assert [(r.id, r.near) for r in neighbours.knn_join(left, right, 1).collect()] == [(1, 2)]
 
 
+def test_copies_of_points_meet_as_one(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    tile = neighbours._tile
+
+    def counted(*a):
+        run = tile(*a)
+
+        def inner(key, table):
+            seen.add(table.num_rows)
+            return run(key, table)
+
+        return inner
+
+    monkeypatch.setattr(neighbours, "_tile", counted)
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    got = {}
+    for r in neighbours.nearest_rows(df, "id", ["a", "b"], 2).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.near, r.distance, r.rank))
+    assert got == {i: [(n, 0.0, k + 1) for k, n in enumerate([j for j in range(i % 21, 3000, 21) if j != i][:2])] for i in range(3000)}
+    assert seen.value < 3000  # 21 places with three candidates each, in cells that meet
+
+
 def test_local_outlier_factors_equal_brute_force(spark):
     rows, k = points(120), 10
     near = brute_nearest(rows, k)

@@ -2,7 +2,8 @@
 
 Every point goes to the cell of its nearest pivot. Of each cell two facts are known: its radius and the k smallest distances to its pivot. They bound
 each cell's k-th neighbour distance, and so, by the triangle inequality, which points of which cells can matter to it; only those meet. Cells are dealt as
-tiles of bounded blocks, so one dense cell is many tasks, and each tile gives k rows a query point.
+tiles of bounded blocks, so one dense cell is many tasks, and each tile gives k rows a query point. Equal points are one query, and of equal candidates
+only those of the smallest ids can be among the nearest, so copies don't meet.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from ..functions.expr import nan_to_null
 from ..functions.quantiles import column_percentiles
 from ..functions.tables import Rounds
 
-#: Pivots, a sample of the points by hash; they and their distances to one another (PIVOTS^2 numbers) are known to every task.
-PIVOTS = 64
+#: Pivots, a sample of the points by hash: the root of the number of points, between these. They and their distances to one another are known to every task.
+PIVOTS, MOST_PIVOTS = 64, 1024
 #: Points of a tile's two sides on average.
 BLOCK = 2048
 POINT = "id long, v array<double>"
@@ -40,14 +41,14 @@ def _cells(pivots: np.ndarray):
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 x = np.asarray(part.column(1).flatten().to_numpy(), float).reshape(-1, pivots.shape[1])
-                d = np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(2))
+                d = np.sqrt(sum((x[:, c][:, None] - pivots[:, c][None]) ** 2 for c in range(x.shape[1])))
                 cell = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["id", "v", "cell", "d"])
 
     return run
 
 
-def _tile(k: int, same: bool):
+def _tile(k: int):
     def run(key, table):
         side = table.column("side").to_numpy()
         ids = table.column("id").to_numpy()
@@ -60,8 +61,6 @@ def _tile(k: int, same: bool):
             d = np.zeros((len(mine), len(s)))
             for c in range(x.shape[1]):  # by differences, column by column: exact for whole numbers
                 d += (x[mine, c][:, None] - x[s, c][None]) ** 2
-            if same:
-                d[ids[mine][:, None] == ids[s][None]] = np.inf
             order = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties by id
             best = np.take_along_axis(d, order, 1)
             on = np.isfinite(best)
@@ -72,47 +71,55 @@ def _tile(k: int, same: bool):
     return run
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, same: bool = False, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, same: bool = False, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """id, near, distance, rank (from 1): each left point's k nearest right points by Euclidean distance, ties to the smaller id; fewer where right has fewer.
 
     left, right: id long (unique), v array<double> of one length without nulls. same: a point isn't its own neighbour. No rows on either side give none."""
     spark = left.sparkSession
     held = Rounds(spark, "knn")
-    sample = [r.v for r in right.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
+    most = k + same  # a place's nearest, of which one may be the query itself
+    there = held.put(right.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("_r") <= most).drop("_r"))
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(PIVOTS, int(there.count() ** 0.5)))
+    sample = [r.v for r in there.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
     if not sample:
         return spark.createDataFrame([], "id long, near long, distance double, rank int")
     at = np.unique(np.array(sample, float), axis=0)
     schema = f"{POINT}, cell int, d double"
-    s = held.put(right.mapInArrow(_cells(at), schema))
-    q = s if left is right else held.put(left.mapInArrow(_cells(at), schema))
+    s = held.put(there.mapInArrow(_cells(at), schema))
+    places = held.put(left.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    q = held.put(places.mapInArrow(_cells(at), schema))
     n = len(at)
-    between = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
-    radius, count = np.zeros(n), np.zeros(n, int)
+    between = np.sqrt(sum((at[:, c][:, None] - at[:, c][None]) ** 2 for c in range(at.shape[1])))
+    radius, count, far = np.zeros(n), np.zeros(n, int), np.full(n, -np.inf)
     for r in q.groupBy("cell").agg(F.max("d").alias("u"), F.count("*").alias("c")).collect():  # one row a pivot
         radius[r.cell], count[r.cell] = r.u, r.c
-    nearest = s.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).filter(F.col("_r") <= k + same)
+    for r in s.groupBy("cell").agg(F.max("d").alias("u")).collect():  # one row a pivot
+        far[r.cell] = r.u
+    nearest = s.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).filter(F.col("_r") <= most)
     close: list[tuple[int, float]] = [(r.cell, r.d) for r in nearest.select("cell", "d").collect()]  # k + 1 distances a pivot at most
     cell_of, dist = np.array([c for c, _ in close], int), np.array([d for _, d in close])
     bound = np.full(n, np.inf)  # of the k-th neighbour of any query in the cell
     for i in np.flatnonzero(count):
-        reach = np.sort(radius[i] + between[i, cell_of] + dist)
-        if len(reach) >= k + same:
-            bound[i] = reach[k + same - 1]
-    least = between - (radius + bound)[:, None]  # a point of cell j matters to cell i only at such a distance from its pivot, or more
+        reach = radius[i] + between[i, cell_of] + dist
+        if len(reach) >= most:
+            bound[i] = np.partition(reach, most - 1)[most - 1]
     slack = 1e-9 * (1 + np.abs(between).max())
-    wanted = [(i, j, float(least[i, j] - slack) if np.isfinite(bound[i]) else -1.0) for i in np.flatnonzero(count).tolist() for j in range(n)]
-    meets = spark.createDataFrame(wanted, "into int, cell int, least double")  # at most PIVOTS^2 rows
-    far = s.groupBy("cell").agg(F.max("d").alias("far"))
-    meets = meets.join(far, "cell").filter("least <= far").select("into", "cell", "least")
+    least = np.where(np.isfinite(bound)[:, None], between - (radius + bound)[:, None] - slack, -1.0)  # a point of cell j matters to cell i only at such a distance from its pivot, or more
+    wanted = [(i, j, float(least[i, j])) for i, j in np.argwhere((count > 0)[:, None] & (least <= far[None])).tolist()]
+    meets = spark.createDataFrame(wanted, "into int, cell int, least double")  # the cells that meet, PIVOTS^2 at most
     sent = held.put(s.join(F.broadcast(meets), "cell").filter(F.col("d") >= F.col("least")).select(F.col("into").alias("cell"), "id", "v"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
     sizes = q.groupBy("cell").agg(blocks(F.count("*")).alias("qs")).join(sent.groupBy("cell").agg(blocks(F.count("*")).alias("ss")), "cell")
     sizes = F.broadcast(sizes)  # one row a pivot
     mine = q.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), "qs").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ss") - 1)).alias("j"), F.lit(0).alias("side"), "id", "v")
     theirs = sent.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "ss").cast("int").alias("j"), F.lit(1).alias("side"), "id", "v")
-    found = mine.unionByName(theirs).groupBy("cell", "i", "j").applyInArrow(_tile(k, same), "id long, near long, d2 double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "near"))).filter(F.col("rank") <= k)
-    return ranked.select("id", "near", F.sqrt("d2").alias("distance"), "rank")
+    found = mine.unionByName(theirs).groupBy("cell", "i", "j").applyInArrow(_tile(most), "id long, near long, d2 double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "near"))).filter(F.col("rank") <= most)
+    lists = held.put(ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d2", "near"))).alias("near")))  # k + 1 a place at most
+    mine = left.join(places.select("v", F.col("id").alias("place")), "v").select("id", "place").join(lists.withColumnRenamed("id", "place"), "place")
+    others = F.slice(F.filter("near", lambda x: x["near"] != F.col("id")) if same else F.col("near"), 1, k)
+    return mine.select("id", F.posexplode(others).alias("at", "x")).select("id", "x.near", F.sqrt("x.d2").alias("distance"), (F.col("at") + 1).alias("rank"))
 
 
 def nearest_rows(df: DataFrame, ident: str, columns: Sequence[str], k: int) -> DataFrame:
