@@ -267,3 +267,21 @@ def test_state_warms_up():
         zs.append(z)
         assert 0 <= c <= 1
     assert not any(zs[: online.WARM_UP]) and zs[-1] == max(zs) > 10
+
+
+def test_average_ranks_take_one_sort_and_no_task_of_a_whole_key(spark):
+    from varve.functions.expr import average_rank
+    from varve.functions.quantiles import average_ranks
+
+    df = spark.range(400).select(F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 != 0, F.col("id") * 7 % 50).cast("double").alias("x"), (F.col("id") * 13 % 101).alias("y"), "id")
+    want = df.select("id", average_rank(["g"], "x").alias("x"), average_rank(["g"], "y").alias("y"))
+    plan = df.select(average_rank(["g"], "x"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+    rows = df.toPandas()
+    brute = rows.assign(x=rows.x.fillna(1e9)).groupby(rows.g.fillna(-1))[["x", "y"]].rank()
+    got = {r.id: (r.x, r.y) for r in want.collect()}
+    assert got == {i: tuple(v) for i, v in zip(rows.id, brute.itertuples(index=False), strict=True)}
+    other = average_ranks(df, ["g"], ["x", "y"])
+    assert {r.id: (r._r0, r._r1) for r in other.collect()} == got
+    mi = mining.binned_mi(df, "x", "y", 4, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in mi and "_part" in mi
