@@ -285,3 +285,10 @@ def test_average_ranks_take_one_sort_and_no_task_of_a_whole_key(spark):
     assert {r.id: (r._r0, r._r1) for r in other.collect()} == got
     mi = mining.binned_mi(df, "x", "y", 4, "g")._jdf.queryExecution().optimizedPlan().toString()
     assert "rank(" not in mi and "_part" in mi
+
+
+def test_ecod_rows_are_dealt_in_as_many_tasks_as_shuffles_have(spark):
+    df = spark.range(60).select("id", (F.col("id") % 2).alias("g"), (F.col("id") * 7 % 50).cast("double").alias("a"))
+    scored = anomaly.ecod(df, ["g"], ["a"], "id")
+    assert scored.columns == ["g", "id", "a", "score"] and scored.count() == 60
+    assert "REPARTITION_BY_NUM" in scored._jdf.queryExecution().executedPlan().toString()

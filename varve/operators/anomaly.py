@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expr import bucket, divide, mad, sigmoid
 from ..functions.quantiles import column_percentiles
+from ..functions.tables import dealt
 
 
 def z_scores(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -57,7 +58,7 @@ def ecod(df: DataFrame, keys: list[str], values: list[str], tie: str) -> DataFra
     w = Window.partitionBy(*keys)
     left, right, auto = F.lit(0.0), F.lit(0.0), F.lit(0.0)
     stats = df.groupBy(*keys).agg(*(F.skewness(v).alias(f"_s{i}") for i, v in enumerate(values)))
-    out = df.join(stats, keys)
+    out = dealt(df, *keys).join(stats, keys)
     for i, v in enumerate(values):
         n = F.count("*").over(w) + 1
         up = -F.ln(F.row_number().over(w.orderBy(v, tie)) / n)
