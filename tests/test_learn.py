@@ -381,3 +381,24 @@ def test_folds_by_group_and_time_keep_targets_out(spark):
     days = spark.createDataFrame([(i, f"2024-01-0{i + 1}", "same", float(9 * (i > 2))) for i in range(6)], "id long, day string, cat string, y double").withColumn("t", F.to_timestamp("day"))
     v = [r.v for r in encode.forward_target(encode.time_folds(days, "t", "id", 3), "cat", "y", "fold", 0.0, "v").orderBy("id").collect()]
     assert v[3] < v[4] < v[5] and v[3] < 1 and v[5] < 9 and v == pytest.approx([4.5, 4.5, 4.5, 0, 2.25, 3.6])
+
+
+def test_components_write_the_edges_once(spark, monkeypatch):
+    edges = list(random_graph(11, 400, 900)) + [(3, 3), (10_000, 10_000), (10_002, 10_001), (10_001, 10_002)]
+    df = spark.createDataFrame(edges + edges[:50], "src long, dst long")
+    rows = []
+    put = graph.Rounds.put
+
+    def counted(self, table):
+        out = put(self, table)
+        rows.append(out.count() if out.columns == ["src", "dst"] else 0)
+        return out
+
+    monkeypatch.setattr(graph.Rounds, "put", counted)
+    got = {r.node: r.component for r in graph.components(df).collect()}
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+    assert sum(rows) < 2 * len(edges)
