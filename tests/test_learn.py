@@ -402,3 +402,23 @@ def test_components_write_the_edges_once(spark, monkeypatch):
             least[a] = least[b] = min(least[a], least[b])
     assert got == least
     assert sum(rows) < 2 * len(edges)
+
+
+def test_pairs_of_ends_that_close_no_triangle_stay_in_their_task(spark):
+    rng = np.random.default_rng(12)
+    pairs = {(int(a), 1000 + int(b)) for a, b in zip(rng.integers(0, 60, 1500), rng.integers(0, 400, 1500), strict=True)} | {(0, 1), (1, 2), (0, 2), (2, 3)}
+    u = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    told = []
+    wedges = graph._wedges
+    graph._wedges = lambda e: told.append((wedges(e).count(), e.alias("x").join(e.alias("y"), "a").filter("x.b < y.b").count())) or wedges(e)
+    try:
+        got = {r.node: r.triangles for r in graph.clustering(u).collect() if r.triangles}
+    finally:
+        graph._wedges = wedges
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {n: sum(x < y and y in near[x] for x in near[n] for y in near[n]) for n in near}
+    assert got == {n: k for n, k in want.items() if k}
+    assert told[0][0] < told[0][1] / 4
