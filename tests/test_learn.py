@@ -422,3 +422,22 @@ def test_pairs_of_ends_that_close_no_triangle_stay_in_their_task(spark):
     want = {n: sum(x < y and y in near[x] for x in near[n] for y in near[n]) for n in near}
     assert got == {n: k for n, k in want.items() if k}
     assert told[0][0] < told[0][1] / 4
+
+
+def test_page_rank_reads_the_edges_once(spark):
+    edges = [(a, b) for a, b in random_graph(13) if a != b]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    df = spark.createDataFrame(edges, "src long, dst long").mapInPandas(counted, "src long, dst long")
+    got = {r.node: r.rank for r in graph.page_rank(df, 3).collect()}
+    out = {a: sum(x == a for x, _ in edges) for a, _ in edges}
+    rank = {n: 1.0 for e in edges for n in e}
+    for _ in range(3):
+        rank = {n: 0.15 + 0.85 * sum(rank[a] / out[a] for a, b in edges if b == n) for n in rank}
+    assert got == pytest.approx(rank)
+    assert read.value == len(edges)
