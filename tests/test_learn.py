@@ -441,3 +441,9 @@ def test_page_rank_reads_the_edges_once(spark):
         rank = {n: 0.15 + 0.85 * sum(rank[a] / out[a] for a, b in edges if b == n) for n in rank}
     assert got == pytest.approx(rank)
     assert read.value == len(edges)
+
+
+def test_distinct_edges_are_dealt_to_all_shuffle_partitions(spark):
+    u = graph.undirected(spark.range(5000).selectExpr("id % 70 AS src", "id % 90 AS dst"))
+    assert u.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert u.count() == len({(min(i % 70, i % 90), max(i % 70, i % 90)) for i in range(5000) if i % 70 != i % 90})
