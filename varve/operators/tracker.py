@@ -10,6 +10,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import dealt
+
 #: Parts of a metric's name for which less is better.
 LESS_IS_BETTER = ("loss", "error", "rmse", "mae", "mse", "mape", "nll", "perplexity", "wer", "cer")
 #: Metric names preferred, in order, when a run store has several.
@@ -108,8 +110,8 @@ def insert_new(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def delete_runs(table: DataFrame, gone: DataFrame) -> DataFrame:
-    """Cascade: call for runs and for every table with a run_id."""
-    return table.join(gone.select("run_id"), "run_id", "left_anti")
+    """Cascade: call for runs and for every table with a run_id. Large tables meet in as many tasks as shuffle partitions."""
+    return table.join(dealt(gone.select("run_id"), "run_id"), "run_id", "left_anti")
 
 
 def config_key(columns: list[str]) -> Column:
