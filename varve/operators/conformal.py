@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,8 +98,15 @@ def poisson_limits() -> list[float]:
 def bag_counts(members: int, row_id: Column) -> Column:
     """Array: how often a row is in each member's bootstrap sample. Counts of one row are Poisson(1), drawn from a hash of member and id, so that samples of any table need no
     shuffle and reruns agree; draws beyond 7 (one in 10^5) count as 8."""
-    u = lambda m: F.conv(F.substring(F.md5(F.concat_ws(":", m.cast("string"), row_id.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
-    return F.transform(F.sequence(F.lit(0), F.lit(members - 1)), lambda m: F.size(F.filter(F.array(*map(F.lit, poisson_limits())), lambda p: p <= u(m))))
+    limits = np.array(poisson_limits())
+
+    @F.pandas_udf("array<int>")
+    def draw(ids: pd.Series) -> pd.Series:
+        first = lambda m, i: int.from_bytes(hashlib.md5((f"{m}:{i}" if i is not None else str(m)).encode()).digest()[:4], "big")
+        u = np.array([[first(m, i) for m in range(members)] for i in ids], float).reshape(len(ids), members) / 2.0**32
+        return pd.Series(list(np.searchsorted(limits, u, side="right").astype(np.int32)), dtype=object)
+
+    return draw(row_id.cast("string"))
 
 
 def bagged_lines(df: DataFrame, keys: list[str], row_id: str, x: str, y: str, members: int) -> DataFrame:
@@ -115,21 +125,25 @@ def bagged_lines(df: DataFrame, keys: list[str], row_id: str, x: str, y: str, me
         slope = F.coalesce(F.try_divide(f["w"] * f["uv"] - f["u"] * f["v"], f["w"] * f["uu"] - f["u"] * f["u"]), F.lit(0.0))
         return F.try_divide(f["v"] - slope * f["u"], f["w"]) + slope * u
 
-    return d.join(fits, keys).withColumn("predictions", F.transform("_fits", line)).drop("_fits")
+    return d.join(fits, keys).withColumn("predictions", F.array(*(line(F.col("_fits")[m]) for m in range(members)))).drop("_fits")
 
 
 def out_of_bag(predictions: str = "predictions", counts: str = "counts") -> Column:
     """The mean prediction of the members whose sample lacks the row; of all members where there is none."""
-    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, p: s + p["p"]), F.size(a))
-    pairs = F.filter(F.zip_with(predictions, counts, lambda p, c: F.struct(p.alias("p"), c.alias("c"))), lambda z: z["p"].isNotNull())
-    return F.coalesce(mean(F.filter(pairs, lambda z: z["c"] == 0)), mean(pairs))
+    start = F.struct(F.lit(0.0).alias("o"), F.lit(0).alias("k"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))  # sum and number of those without the row, and of all
+
+    def add(t: Column, z: Column) -> Column:
+        here, out = z["p"].isNotNull(), z["p"].isNotNull() & (z["c"] == 0)
+        return F.struct((t["o"] + F.when(out, z["p"]).otherwise(0.0)).alias("o"), (t["k"] + out.cast("int")).alias("k"), (t["s"] + F.when(here, z["p"]).otherwise(0.0)).alias("s"), (t["n"] + here.cast("int")).alias("n"))
+
+    return F.aggregate(F.zip_with(predictions, counts, lambda p, c: F.struct(p.cast("double").alias("p"), c.alias("c"))), start, add, lambda t: F.coalesce(F.try_divide(t["o"], t["k"]), F.try_divide(t["s"], t["n"])))
 
 
 def ensemble_radii(df: DataFrame, keys: list[str], order: list[str], y: str, alpha: float, window: int = 500) -> DataFrame:
     """keys, n, radius of ensemble intervals (EnbPI): over the last `window` rows of a key, the conformal quantile of |y - out-of-bag mean|. df holds predictions and counts per member."""
-    r = df.select(*keys, *order, F.abs(F.col(y) - out_of_bag()).alias("_r")).filter(F.col("_r").isNotNull())
+    r = df.filter(F.col(y).isNotNull() & F.exists("predictions", lambda p: p.isNotNull())).select(*keys, *order, y, "predictions", "counts")
     last = r.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))).filter(F.col("_k") <= window)
-    return conformal_radius(last, keys, "_r", alpha)
+    return conformal_radius(last.select(*keys, F.abs(F.col(y) - out_of_bag()).alias("_r")), keys, "_r", alpha)
 
 
 def state_radii(calibration: DataFrame, tests: DataFrame, keys: list[str], order: list[str], states: str, residual: str, alpha: float, window: int = 500, tau: float = 1.0, hard: bool = False) -> DataFrame:
