@@ -35,5 +35,17 @@ def test_bag_counts_hash_a_row_once_a_member(spark):
     for r in got.collect():
         u = [int(hashlib.md5(f"{m}:{r.id}".encode()).hexdigest()[:8], 16) / 2.0**32 for m in range(3)]
         assert r.c == [sum(p <= x for p in conformal.poisson_limits()) for x in u]
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("md5") == 3 and "filter(" not in plan  # one hash a member, not one a limit
+    plan = d.withColumn("c", conformal.bag_counts(3, F.col("id"))).agg(*(F.sum(F.col("c")[m] * k) for m in range(3) for k in range(1, 5)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("draw(") == 1  # drawn once a row, however many sums read it
+
+
+def test_metric_catalog_counts_runs_without_a_partial_table_of_all(spark):
+    from varve.plans.tracker_queries import metric_catalog
+    from varve.plans.registry import Tables
+
+    _unjoined(spark)
+    try:
+        plan = metric_catalog(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(key" in plan and ", run_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning(key" in x)  # pairs of key and run meet where the rows were dealt
+    finally:
+        _joined(spark)

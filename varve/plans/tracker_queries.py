@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tables import dealt
 from ..operators import tracker as T
 from .registry import ORACLES, query, rounded
 
@@ -24,9 +25,11 @@ def runs(t):
     return t.orders.select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("run_id"), (F.col("o_custkey") % 25).alias("experiment_id"), F.concat(F.lit("Run "), "o_orderpriority").alias("name"), status.alias("status"), F.col("o_orderdate").alias("start_time"), end.alias("end_time"))
 
 
-def metrics(t):
+def metrics(t, spread=False):
+    """spread: in as many tasks as shuffle partitions, a run's rows in one, before a line item becomes three rows."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in (("loss", "l_discount"), ("accuracy", "l_tax"), ("batch", "l_quantity"))))).alias("m")
-    return t.lineitem.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"), F.col("l_shipdate").alias("timestamp"), F.col("l_linenumber").cast("long").alias("step"), each).select("run_id", "m.key", "m.value", "timestamp", "step")
+    lines = t.lineitem.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"), F.col("l_shipdate").alias("timestamp"), F.col("l_linenumber").cast("long").alias("step"), "l_discount", "l_tax", "l_quantity")
+    return (dealt(lines, "run_id") if spread else lines).select("run_id", "timestamp", "step", each).select("run_id", "m.key", "m.value", "timestamp", "step")
 
 
 def params(t):
@@ -67,7 +70,7 @@ def experiment_counts(t):
 
 @query("tracker_metric_catalog", VIEWS + " SELECT key, count(*) AS n, count(DISTINCT run_id) AS runs, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, max(step) AS last_step FROM metrics GROUP BY key")
 def metric_catalog(t):
-    return rounded(T.metric_catalog(metrics(t)))
+    return rounded(T.metric_catalog(metrics(t, spread=True)))
 
 
 @query("tracker_param_catalog", VIEWS + " SELECT key, count(DISTINCT run_id) AS runs, count(try_cast(value AS DOUBLE)) AS numeric, count(DISTINCT value) AS different, min(try_cast(value AS DOUBLE)) AS low, max(try_cast(value AS DOUBLE)) AS high, round(avg(try_cast(value AS DOUBLE)), 6) AS mean FROM params GROUP BY key")
