@@ -152,6 +152,23 @@ def test_silhouettes_equal_all_pairs(spark):
     assert select.cluster_counts(same, ["p", "q"], [2]).first().silhouette == 0
 
 
+def test_clusters_do_not_depend_on_how_rows_are_dealt(spark):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame(np.round(rng.random((400, 2)), 2), columns=["p", "q"])
+    frame = pd.concat([frame, frame.iloc[:150], frame.iloc[:60]])
+    one = select.cluster_counts(spark.createDataFrame(frame).repartition(2), ["p", "q"], [2, 4]).collect()
+    other = select.cluster_counts(spark.createDataFrame(frame.iloc[::-1]).repartition(9, "q"), ["p", "q"], [2, 4]).collect()
+    for a, b in zip(one, other, strict=True):
+        assert (a.k, a.best) == (b.k, b.best) and a.cost == pytest.approx(b.cost, rel=1e-9) and a.silhouette == pytest.approx(b.silhouette, rel=1e-9)
+    x = frame.to_numpy()
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    start = min((x[rng.choice(len(x), 4, replace=False)] for _ in range(40)), key=lambda c: ((x[:, None] - c) ** 2).sum(2).min(1).sum())
+    for _ in range(20):
+        near = ((x[:, None] - start) ** 2).sum(2).argmin(1)
+        start = np.array([x[near == k].mean(0) for k in range(4)])
+    assert one[1].cost <= ((x[:, None] - start) ** 2).sum(2).min(1).mean() * 1.25
+
+
 def brute_detector(frame, width, contamination, z):
     low, mid, high = np.percentile(frame["v"].dropna(), [5, 50, 95])
     windows = {}

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import nan_to_null
 from ..functions.quantiles import column_percentiles
+from ..functions.tables import Rounds
 from .mining import pearson, value_ranks
 
 
@@ -169,35 +173,152 @@ def clusters(df: DataFrame, columns: list[str], k: int, seed: int = 1) -> DataFr
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v).drop("features")
 
 
-def cluster_counts(df: DataFrame, columns: list[str], ks: list[int], seed: int = 1) -> DataFrame:
+def _passes(points: DataFrame, columns: list[str], scale: list[tuple[float, float]], fold: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The sums over all points of the arrays that fold(x, n) gives, x standardised and n the rows at each point: one sum a partition and cell, summed again by cell."""
+    shift, wide = (np.array(v) for v in zip(*scale, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            *x, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for at in range(0, len(n), 8192):
+                part = [np.asarray(v, float) for v in fold((np.column_stack([v[at : at + 8192] for v in x]) - shift) * wide, n[at : at + 8192].astype(float))]
+                total = part if total is None else [t + v for t, v in zip(total, part, strict=True)]
+        if total is not None:
+            flat = np.concatenate([v.ravel() for v in total])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["i", "v"])
+
+    sums = points.select(*columns, "n").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one row a cell
+    flat = np.zeros(len(sums))
+    for r in sums:
+        flat[r.i] = r.v
+    out, at = [], 0
+    for v in fold(np.zeros((0, len(columns))), np.zeros(0)):
+        out.append(flat[at : at + v.size].reshape(v.shape) if len(flat) else np.zeros(v.shape))
+        at += v.size
+    return out
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.maximum(0.0, (x * x).sum(1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(1))
+
+
+def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of each row's nearest centre, the first of equals."""
+    d = (-2 * centres) @ x.T + (centres * centres).sum(1)[:, None]
+    best, at = d[0], np.zeros(len(x), int)
+    for k in range(1, len(d)):
+        less = d[k] < best
+        at[less] = k
+        best = np.minimum(best, d[k])
+    return at
+
+
+def _starts(points: DataFrame, columns: list[str], scale: list[tuple[float, float]], ks: list[int], seed: int, steps: int = 2) -> dict[int, np.ndarray]:
+    """First centres for each k: candidates for the largest k are drawn by their values' hash with odds that grow with rows and squared distance (k-means||), weighed by the
+    rows next to them, and cut to k by weighted k-means++ and its moves, the best of ten tries. Equal rows give equal centres however they are dealt."""
+    shift, wide = (np.array(v) for v in zip(*scale, strict=True))
+    place = lambda rows: (np.array(sorted({tuple(r[c] for c in columns) for r in rows})).reshape(-1, len(columns)) - shift) * wide
+    draw = lambda step: F.pmod(F.xxhash64(*columns, F.lit(seed), F.lit(step)), F.lit(1 << 52)) / float(1 << 52)
+    most, kept = max(ks), points.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(1).collect()
+    found = place(kept)
+    for step in range(steps):
+        (cost,) = _passes(points, columns, scale, lambda x, n, c=found: (np.array([(_squares(x, c).min(1) * n).sum()]),))
+        if not cost[0] > 0:
+            break
+
+        def drawn(batches: Iterator[pa.RecordBatch], found=found, cost=float(cost[0])) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                *x, n, u = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                odds = 2 * most * n * _squares((np.column_stack(x) - shift) * wide, found).min(1) / cost
+                yield batch.filter(pa.array(u < odds))
+
+        told = points.select(*columns, "n", draw(step).alias("u"))
+        kept += told.mapInArrow(drawn, told.schema).collect()  # about 2 k rows
+        found = place(kept)
+    (weight,) = _passes(points, columns, scale, lambda x, n, c=found: (np.bincount(_near(x, c), n, len(c)),))
+    out = {}
+    for k in ks:
+        tries = []
+        for t in range(10):
+            rng = np.random.default_rng([seed, k, t])
+            at = [int(rng.choice(len(found), p=weight / weight.sum()))]
+            while len(at) < k:
+                odds = _squares(found, found[at]).min(1) * weight
+                odds[at] = 0
+                if not odds.sum() > 0:
+                    break
+                at.append(int(rng.choice(len(found), p=odds / odds.sum())))
+            c = found[at]
+            for _ in range(30):
+                near = _near(found, c)
+                n = np.bincount(near, weight, len(c))
+                moved = np.column_stack([np.bincount(near, weight * v, len(c)) for v in found.T]) / np.where(n > 0, n, 1)[:, None]
+                c = np.where(n[:, None] > 0, moved, c)
+            tries.append(((_squares(found, c).min(1) * weight).sum(), t, c))
+        out[k] = min(tries, key=lambda v: v[:2])[2]
+    return out
+
+
+def cluster_counts(df: DataFrame, columns: list[str], ks: list[int], seed: int = 1, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
     """k, cost, silhouette, best for each number of clusters over standardised columns: the mean silhouette of all rows by squared distances, from sums per cluster and not from pairs.
 
-    cost: the mean squared distance to a row's own centre. best marks the highest silhouette (ties: the smallest k). Rows with a null are left out; a k that finds fewer than two clusters has silhouette 0."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import vector_to_array
-
-    v = _assembled(df, columns).select(vector_to_array("features").alias("x"), "features")
-    told = []
-    for k in ks:
-        placed = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v).select("x", "cluster")
-        d = range(len(columns))
-        square = sum((F.col("x")[j] * F.col("x")[j] for j in d), F.lit(0.0))
-        sums = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(square).alias("q"), *(F.sum(F.col("x")[j]).alias(f"s{j}") for j in d)).orderBy("cluster").collect()  # k rows
-        if len(sums) < 2:
-            told.append((k, float("nan") if not sums else (sums[0].q - sum(sums[0][f"s{j}"] ** 2 for j in d) / sums[0].n) / sums[0].n, 0.0))
-            continue
-
-        def total(c, square=square, d=d) -> Column:
-            """The sum of squared distances to all rows of a cluster."""
-            return F.greatest(F.lit(0.0), square * c.n - 2 * sum((F.col("x")[j] * c[f"s{j}"] for j in d), F.lit(0.0)) + c.q)
-
-        own = lambda f: F.coalesce(*(F.when(F.col("cluster") == c.cluster, f(c)) for c in sums))  # noqa: B023, E731
-        a = own(lambda c: total(c) / (c.n - 1) if c.n > 1 else F.lit(0.0))
-        b = F.least(*(F.when(F.col("cluster") != c.cluster, total(c) / c.n) for c in sums))
-        one = own(lambda c: F.lit(c.n == 1))
-        s = F.when(one, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
-        n = sum(c.n for c in sums)
-        told.append((k, sum(c.q - sum(c[f"s{j}"] ** 2 for j in d) / c.n for c in sums) / n, placed.agg(F.avg(s)).first()[0]))
+    cost: the mean squared distance to a row's own centre. best marks the highest silhouette (ties: the smallest k). Rows with a null are left out; a k that finds fewer than two clusters has silhouette 0.
+    k-means of all numbers of clusters share each pass, over the distinct points with their counts; rounds and tolerance end it, as in pyspark.ml."""
+    held = Rounds(df.sparkSession, "clusters")
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
+    points = held.put(rows.groupBy(*columns).agg(F.count("*").cast("double").alias("n")))
+    told = [(k, float("nan"), 0.0) for k in ks]
+    size = points.agg(F.sum("n"), *(F.sum(F.col(c) * F.col("n")) for c in columns)).first()
+    if size[0] and ks:
+        means = [size[j + 1] / size[0] for j in range(len(columns))]
+        spread = points.agg(*(F.sqrt(F.sum((F.col(c) - F.lit(m)) ** 2 * F.col("n")) / F.lit(max(1.0, size[0] - 1))) for c, m in zip(columns, means, strict=True))).first()
+        scale = [(m, 1 / d if d else 0.0) for m, d in zip(means, spread, strict=True)]
+        centres = _starts(points, columns, scale, ks, seed)
+
+        def sums(centres: dict[int, np.ndarray]) -> list[np.ndarray]:
+            """Per k and cluster: rows, sum of squares, sums of the columns."""
+
+            def fold(x, n):
+                told = n[:, None] * np.column_stack([np.ones(len(x)), (x * x).sum(1), x])
+                near = [_near(x, c) for c in centres.values()]
+                return tuple(np.array([(a == k).astype(float) @ told for k in range(len(c))]) for a, c in zip(near, centres.values(), strict=True))
+
+            return _passes(points, columns, scale, fold)
+
+        live = dict(centres)
+        for _ in range(rounds):
+            for k, s in zip(list(live), sums(live), strict=True):
+                full = s[:, :1] > 0
+                moved = np.where(full, s[:, 2:] / np.where(full, s[:, :1], 1), live[k])
+                still = ((moved - live[k]) ** 2).sum(1).max() <= tolerance**2
+                centres[k] = live[k] = moved
+                if still:
+                    del live[k]
+            if not live:
+                break
+        cells = dict(zip(centres, sums(centres), strict=True))
+
+        def silhouettes(x, n):
+            out = []
+            for k, c in centres.items():
+                s = cells[k]
+                near, full = _near(x, c), s[:, 0] > 0
+                total = np.maximum(0.0, (x * x).sum(1)[:, None] * s[:, 0] - 2 * (x @ s[:, 2:].T) + s[:, 1])
+                at, own = np.arange(len(x)), s[near, 0]
+                a = np.where(own > 1, total[at, near] / np.maximum(own - 1, 1), 0.0)
+                means = np.where(full, total / np.where(full, s[:, 0], 1), np.inf)
+                means[at, near] = np.inf
+                b = means.min(1)
+                top = np.maximum(a, b)
+                ok = (own > 1) & np.isfinite(b) & (top > 0)
+                out.append(np.array([(np.where(ok, (np.where(ok, b, 0.0) - a) / np.where(ok, top, 1.0), 0.0) * n).sum()]))
+            return tuple(out)
+
+        total = dict(zip(centres, _passes(points, columns, scale, silhouettes), strict=True))
+        cost = {k: sum(c[1] - (c[2:] ** 2).sum() / c[0] for c in s if c[0] > 0) / size[0] for k, s in cells.items()}
+        told = [(k, cost[k], total[k][0] / size[0] if (cells[k][:, 0] > 0).sum() > 1 else 0.0) for k in ks]
     best = max(told, key=lambda r: (round(r[2], 9), -r[0]), default=(None,))[0]
     return df.sparkSession.createDataFrame([(k, float(c), float(s), k == best) for k, c, s in told], "k long, cost double, silhouette double, best boolean")
 
