@@ -175,6 +175,18 @@ def test_decompositions_add_up():
     assert signal.vmd(WAVE, 3).shape == (3, 200)
 
 
+def test_batches_of_series_equal_each_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(v)) for k in range(60) for i, v in enumerate(rng.standard_normal((1, 2, 7, 8, 8, 150)[k % 6]))]
+    df = spark.createDataFrame(rows, "k long, i long, v double").repartition(5)
+    one = {tuple(r[:3]): r.part for r in signal.decompose_series(df, "k", "i", "v", lambda x: signal.vmd(x, 3)).collect()}
+    many = signal.decompose_batches(df.coalesce(1), "k", "i", "v", lambda x: signal.vmd_batch(x, 3)).collect()
+    assert len(many) == len(one) and all(r.part == pytest.approx(one[tuple(r[:3])], abs=1e-9) for r in many)
+    frames = np.array([rng.standard_normal(9) for _ in range(20)])
+    calls = signal.vmd_batch(frames, 3)
+    assert calls.shape == (20, 3, 9) and all(np.allclose(c, signal.vmd(x, 3)) for c, x in zip(calls, frames, strict=True))
+
+
 def test_signal_measures():
     ramp = np.arange(50.0)
     assert signal.permutation_entropy(ramp) == 0 and signal.distance_correlation(ramp, 2 * ramp) == pytest.approx(1)

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.tables import dealt
+
 FILTERS: dict[str, Callable[..., np.ndarray]] = {}
 
 
@@ -252,6 +254,28 @@ def vmd(x: np.ndarray, modes: int = 3, alpha: float = 200.0, rounds: int = 100)
     return np.array([np.fft.irfft(m, len(mirror))[n // 2 : n // 2 + n] for m in u[np.argsort(centre)]])
 
 
+def vmd_batch(x: np.ndarray, modes: int = 3, alpha: float = 200.0, rounds: int = 100) -> np.ndarray:
+    """vmd of many series of one length, (series, n): (series, modes, n). The same steps, each for all series at once."""
+    s, n = x.shape
+    mirror = np.concatenate([x[:, : n // 2][:, ::-1], x, x[:, n // 2 :][:, ::-1]], axis=1)
+    f = np.fft.rfft(mirror)
+    size = mirror.shape[1]
+    freq = np.fft.rfftfreq(size)
+    centre = np.tile(0.5 * (np.arange(modes) + 0.5) / modes, (s, 1))
+    u = np.zeros((modes, *f.shape), complex)
+    total = np.zeros(f.shape, complex)
+    for _ in range(rounds):
+        for k in range(modes):
+            rest = f - total + u[k]
+            total -= u[k]
+            u[k] = rest / (1 + 2 * alpha * (freq - centre[:, k : k + 1]) ** 2 * size)
+            total += u[k]
+            power = u[k].real ** 2 + u[k].imag ** 2
+            centre[:, k] = (power @ freq) / np.maximum(power.sum(1), 1e-12)
+    order = np.argsort(centre, axis=1)
+    return np.take_along_axis(np.fft.irfft(u, size)[:, :, n // 2 : n // 2 + n].transpose(1, 0, 2), order[:, :, None], axis=1)
+
+
 def emd(x: np.ndarray, modes: int = 4, rounds: int = 10) -> np.ndarray:
     """Empirical modes by sifting between linear envelopes; the last row is the remainder."""
     out, rest = [], x.astype(float).copy()
@@ -654,3 +678,45 @@ def decompose_series(df: DataFrame, key: str, order: str, value: str, f: Callabl
         return pd.concat([pd.DataFrame({key: frame[key], "mode": k, order: frame[order], "part": p}) for k, p in enumerate(parts)])
 
     return df.select(key, order, value).groupBy(key).applyInPandas(run, schema)
+
+
+#: Values of one batch of series at most, so that a batch's spectra stay in a processor's cache.
+BATCH = 1 << 13
+
+
+def decompose_batches(df: DataFrame, key: str, order: str, value: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """As decompose_series, for an f that takes series of one length together, (series, n), to (series, modes, n): a task's series that have equal lengths are
+    decomposed in batches of about BATCH values, held until their batch is full or the task ends."""
+    types = dict(df.dtypes)
+    schema = f"{key} {types[key]}, mode int, {order} {types[order]}, part double"
+
+    def made(series: list[pd.DataFrame]) -> pd.DataFrame:
+        parts = f(np.array([s[value].to_numpy(float) for s in series]))
+        whole, (_, modes, n) = pd.concat(series, ignore_index=True), parts.shape
+        at = (np.arange(len(series))[:, None, None] * n + np.tile(np.arange(n), (modes, 1))).ravel()
+        return pd.DataFrame({key: whole[key].to_numpy()[at], "mode": np.tile(np.repeat(np.arange(modes), n), len(series)), order: whole[order].to_numpy()[at], "part": parts.ravel()})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[int, list[pd.DataFrame]] = {}
+        last = None
+        for frame in frames:
+            frame = frame if last is None else pd.concat([last, frame], ignore_index=True)
+            code = pd.factorize(frame[key], use_na_sentinel=False)[0]
+            edges = [0, *(np.flatnonzero(np.diff(code)) + 1), len(frame)]
+            last = frame.iloc[edges[-2] :]  # may go on in the next frame
+            for a, b in zip(edges[:-2], edges[1:-1], strict=True):
+                yield from add(waiting, frame.iloc[a:b])
+        if last is not None and len(last):
+            yield from add(waiting, last)
+        for series in waiting.values():
+            if series:
+                yield made(series)
+
+    def add(waiting: dict[int, list[pd.DataFrame]], series: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        held = waiting.setdefault(len(series), [])
+        held.append(series)
+        if len(held) * len(series) >= BATCH:
+            yield made(held)
+            held.clear()
+
+    return dealt(df.select(key, order, value), key).sortWithinPartitions(key, order).mapInPandas(run, schema)

@@ -78,7 +78,7 @@ def stl(t):
 
 @query("signal_vmd")
 def vmd(t):
-    return rounded(G.decompose_series(t.ev.select("user_id", "i", "value"), "user_id", "i", "value", lambda x: G.vmd(x, 3)))
+    return rounded(G.decompose_batches(t.ev.select("user_id", "i", "value"), "user_id", "i", "value", lambda x: G.vmd_batch(x, 3)))
 
 
 @query("signal_emd")
