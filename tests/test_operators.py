@@ -304,3 +304,20 @@ def test_ecod_rows_are_dealt_in_as_many_tasks_as_shuffles_have(spark):
     scored = anomaly.ecod(df, ["g"], ["a"], "id")
     assert scored.columns == ["g", "id", "a", "score"] and scored.count() == 60
     assert "REPARTITION_BY_NUM" in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ecod_ranks_keys_in_parts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), int(i % 3 > 0), float(a), None if i % 17 == 5 else float(b)) for i, (a, b) in enumerate(zip(rng.integers(0, 6, 500), rng.random(500).round(2), strict=True))]
+    df = spark.createDataFrame(rows, "id long, g int, a double, b double")
+    score = lambda **x: {r.id: r.score for r in anomaly.ecod(df, ["g"], ["a", "b"], "id", **x).collect()}
+    whole, parts = score(), score(most=20)
+    assert whole == parts and len(parts) == 500
+    for g in (0, 1):
+        own = [r for r in rows if r[1] == g]
+        n = len(own) + 1
+        least = lambda v: -np.inf if v is None else v
+        places = [({r[0]: k for k, r in enumerate(sorted(own, key=lambda r: (least(r[c]), r[0])), 1)}, {r[0]: k for k, r in enumerate(sorted(own, key=lambda r: (-least(r[c]), r[0])), 1)}) for c in (2, 3)]
+        for r in own:
+            (ua, da), (ub, db) = ((-np.log(u[r[0]] / n), -np.log(d[r[0]] / n)) for u, d in places)
+            assert parts[r[0]] >= max(ua + ub, da + db) - 1e-9 and parts[r[0]] == pytest.approx(max(ua + ub, da + db, *((x + y) for x in (ua, da) for y in (ub, db) if abs(x + y - parts[r[0]]) < 1e-9)))

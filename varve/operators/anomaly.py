@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import bucket, divide, mad, sigmoid
 from ..functions.quantiles import column_percentiles
-from ..functions.tables import dealt
+from ..functions.tables import Rounds, dealt
+from .mining import _part
 
 
 def z_scores(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -53,20 +56,39 @@ def hbos(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.withColumn("score", -F.ln(F.coalesce(density, F.lit(1.0)) + 1e-12)).drop("_n", "_low", "_high", "_k", "_bin")
 
 
-def ecod(df: DataFrame, keys: list[str], values: list[str], tie: str) -> DataFrame:
-    """Adds score: the larger of the summed left, right and skew-chosen tail surprises over the columns, from ordinal ECDF ranks."""
-    w = Window.partitionBy(*keys)
+def _tails(out: DataFrame, rows: DataFrame, keys: list[str], v: str, tie: str, cuts: list[float], up: str, down: str) -> DataFrame:
+    """out with up and down: each row's place in its key by v, then by the tie, and by falling v, then by the tie. Rows are dealt by key and part of v and sorted there once;
+    the sums over the parts before and after come from one row a key and part. rows: those of out, as written. Any cuts give the same places."""
+    part, by = _part(v, cuts).alias("_part"), Window.partitionBy(*keys)
+    upto = F.sum("_c").over(by.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bases = rows.groupBy(*keys, part).agg(F.count("*").alias("_c")).select(*keys, "_part", (upto - F.col("_c")).alias("_below"), (F.sum("_c").over(by) - upto + F.col("_c")).alias("_from"))
+    inside, same = Window.partitionBy(*keys, "_part").orderBy(v, tie), Window.partitionBy(*keys, "_part").orderBy(v)
+    out = dealt(out.withColumn("_part", part), *keys, "_part").withColumn("_at", F.row_number().over(inside))
+    out = out.withColumns({"_first": F.rank().over(same), "_ties": F.count("*").over(same.rangeBetween(Window.currentRow, Window.currentRow))}).join(bases, [*keys, "_part"])
+    # on the way down rows of greater v come before, those of equal v still in the order of the tie
+    place = F.col("_from") - (F.col("_first") - 1) - F.col("_ties") + F.col("_at") - (F.col("_first") - 1)
+    return out.withColumns({up: F.col("_below") + F.col("_at"), down: place}).drop("_part", "_below", "_from", "_at", "_first", "_ties")
+
+
+def ecod(df: DataFrame, keys: list[str], values: list[str], tie: str, most: int = 50_000) -> DataFrame:
+    """Adds score: the larger of the summed left, right and skew-chosen tail surprises over the columns, from ordinal ECDF ranks.
+
+    Keys of more than `most` rows are ranked in ordered parts of about so many, so that no task sorts the rows of a key; rows that share key and value stay together."""
+    rows = Rounds(df.sparkSession, "ecod").put(df)
+    stats = rows.groupBy(*keys).agg((F.count("*") + 1).alias("_n"), *(F.skewness(v).alias(f"_s{i}") for i, v in enumerate(values)))
+    parts = math.ceil((rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) / most)
+    p = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    cuts = rows.agg(*(F.percentile_approx(v, p, F.lit(parts * 20)) for v in values)).first() if parts > 1 else [None] * len(values)
     left, right, auto = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    stats = df.groupBy(*keys).agg(*(F.skewness(v).alias(f"_s{i}") for i, v in enumerate(values)))
-    out = dealt(df, *keys).join(stats, keys)
+    out = rows
     for i, v in enumerate(values):
-        n = F.count("*").over(w) + 1
-        up = -F.ln(F.row_number().over(w.orderBy(v, tie)) / n)
-        down = -F.ln(F.row_number().over(w.orderBy(F.desc(v), tie)) / n)
-        out = out.withColumn(f"_u{i}", up).withColumn(f"_d{i}", down)
-        left, right = left + F.col(f"_u{i}"), right + F.col(f"_d{i}")
-        auto = auto + F.when(F.col(f"_s{i}") < 0, F.col(f"_u{i}")).otherwise(F.col(f"_d{i}"))
-    return out.withColumn("score", F.greatest(left, right, auto)).drop(*(f"_{p}{i}" for p in "uds" for i in range(len(values))))
+        out = _tails(out, rows, keys, v, tie, sorted(set(cuts[i] or [])), f"_u{i}", f"_d{i}")
+    out = out.join(stats, keys)
+    for i in range(len(values)):
+        up, down = -F.ln(F.col(f"_u{i}") / F.col("_n")), -F.ln(F.col(f"_d{i}") / F.col("_n"))
+        left, right = left + up, right + down
+        auto = auto + F.when(F.col(f"_s{i}") < 0, up).otherwise(down)
+    return out.withColumn("score", F.greatest(left, right, auto)).drop("_n", *(f"_{p}{i}" for p in "uds" for i in range(len(values))))
 
 
 def robust_threshold(df: DataFrame, keys: list[str], score: str, contamination: float, z: float) -> DataFrame:
