@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import chain, configure, conformal, detector, features, select
+from varve.operators import chain, configure, conformal, detector, features, mining, select
 from varve.operators.series import Series
 
 
@@ -169,6 +169,19 @@ def test_clusters_do_not_depend_on_how_rows_are_dealt(spark):
     assert one[1].cost <= ((x[:, None] - start) ** 2).sum(2).min(1).mean() * 1.25
 
 
+def test_correlations_take_one_pass_of_products(spark):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame(rng.standard_normal((300, 3)), columns=["a", "b", "c"]) * 1e-3 + 1e4
+    frame["flat"], frame["late"] = 0.1, [None] * 298 + [1.0, 2.0]
+    frame.loc[::7, "b"] = None
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "a double, b double, c double, flat double, late double").repartition(4)
+    one = {(r.feature_a, r.feature_b): r.value for r in select.correlations(df, list(frame)).collect()}
+    other = {(r.feature_a, r.feature_b): r.value for r in mining.pearson(df, list(frame)).collect()}
+    assert one.keys() == other.keys() and all(one[p] == pytest.approx(other[p], abs=1e-6) for p in one)
+    plan = select.dependence(df, list(frame))._jdf.queryExecution().toString()
+    assert "covar" not in plan  # no aggregate a pair
+
+
 def brute_detector(frame, width, contamination, z):
     low, mid, high = np.percentile(frame["v"].dropna(), [5, 50, 95])
     windows = {}

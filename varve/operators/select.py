@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.expr import nan_to_null
 from ..functions.quantiles import column_percentiles
 from ..functions.tables import Rounds
-from .mining import pearson, value_ranks
+from .mining import value_ranks
 
 
 def redundancy_pruned(pairs: DataFrame, order: list[str], threshold: float = 0.98) -> list[str]:
@@ -47,10 +49,37 @@ def information_matrix(df: DataFrame, columns: list[str], bins: int = 16) -> Dat
     return mi.select(F.get(told, F.col("i")).alias("t"), "mi").select(F.col("t.a").alias("feature_a"), F.col("t.b").alias("feature_b"), F.greatest(F.lit(0.0), "mi").alias("mi"))
 
 
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """As mining.pearson, from one matrix of sums of products a partition instead of several aggregates a pair: feature_a, feature_b, value of every pair, over the rows where both are present."""
+    rows, d = df.select(*(nan_to_null(c).alias(f"c{i}") for i, c in enumerate(columns))), len(columns)
+    told = rows.agg(*(F.avg(f"c{i}") for i in range(d)), *(F.stddev_pop(f"c{i}") for i in range(d))).first()
+    shift, wide = np.array([v or 0.0 for v in told[:d]]), np.array([v or 1.0 for v in told[d:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            x = (np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift) / wide
+            there = np.isfinite(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            total += np.array([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "v"])
+
+    flat = np.zeros(4 * d * d)
+    for r in rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # 4 rows a pair of columns
+        flat[r.i] = r.v
+    n, s, q, xy = flat.reshape(4, d, d)  # s and q: of the row's column where the other is present
+    n = np.maximum(n, 1)
+    var = q / n - (s / n) ** 2
+    var = np.where(var > 1e-13 * np.maximum(1e-12, q / n), var, 0.0)  # what rounding leaves of a constant is none
+    base = np.sqrt(var) * np.sqrt(var.T)
+    value = np.where(base > 0, (xy / n - s * s.T / n**2) / np.where(base > 0, base, 1.0), 0.0)
+    return df.sparkSession.createDataFrame([(a, b, float(value[i, j])) for (i, a), (j, b) in combinations(enumerate(columns), 2)], "feature_a string, feature_b string, value double")
+
+
 def dependence(df: DataFrame, columns: list[str], relation: str = "correlation", bins: int = 16) -> DataFrame:
     """feature_a, feature_b, value of every pair: the correlation, or mutual information of quantile bins over the smaller of both entropies, 0 where that is 0."""
     if relation == "correlation":
-        return pearson(df, columns)
+        return correlations(df, columns)
     twin = {c: f"_{i}" for i, c in enumerate(columns)}  # information of a column and itself is its entropy
     both = df.select(*columns, *(F.col(c).alias(t) for c, t in twin.items()))
     mi = information_matrix(both, [*columns, *twin.values()], bins)
@@ -69,19 +98,39 @@ def relevance(df: DataFrame, columns: list[str], target: str, bins: int = 16, fo
     numeric = dict(df.dtypes)[target] not in ("string", "boolean", "date", "timestamp")
     cut = [*columns, target] if numeric else list(columns)
     df = df.withColumns({c: nan_to_null(c) for c in cut})
-    cuts = column_percentiles(df, cut, [i / bins for i in range(1, bins)]).select(*(F.array_distinct(c).alias(f"_q{i}") for i, c in enumerate(cut)))  # one row
-
-    def place(i: int, c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.size(F.filter(f"_q{i}", lambda q: q < F.col(c))))
-
-    y = place(len(columns), target).cast("string") if numeric else F.col(target).cast("string")
+    row = column_percentiles(df, cut, [i / bins for i in range(1, bins)]).first()
+    edges = [np.array(sorted(set(row[c] or []))) for c in cut]
     if isinstance(folds, Column):
         fold = folds.cast("int")
     else:
         fold = F.pmod(F.xxhash64(*columns, target), F.lit(folds)).cast("int") if folds else F.lit(0)
-    told = F.array(*(F.struct(F.lit(i).alias("i"), place(i, c).alias("a")) for i, c in enumerate(columns)))
-    rows = df.join(F.broadcast(cuts)).select(F.explode(told).alias("p"), y.alias("b"), fold.alias("k")).select("p.*", "b", "k").na.drop()
-    cells = rows.groupBy("i", "a", "b", "k").agg(F.count("*").alias("c"))
+    d = len(columns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by column, bin, class and fold of a partition."""
+        total: Counter = Counter()
+        for batch in batches:
+            *x, b, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if numeric:
+                names, code = [str(v) for v in range(len(edges[d]) + 1)], np.where(np.isnan(b.astype(float)), -1, np.searchsorted(edges[d], b))
+            else:
+                code, names = pd.factorize(b)
+            folds_of, code = np.unique(k.astype(float), return_inverse=True), code.astype(int)
+            for i, v in enumerate(x):
+                v = v.astype(float)
+                ok = ~np.isnan(v) & (code >= 0) & ~np.isnan(folds_of[0])[folds_of[1]]
+                width, many = len(edges[i]) + 1, max(1, len(names))
+                cell = (np.searchsorted(edges[i], v[ok]) * many + code[ok]) * len(folds_of[0]) + folds_of[1][ok]
+                c = np.bincount(cell, minlength=width * many * len(folds_of[0]))
+                for at in np.flatnonzero(c):
+                    f = at % len(folds_of[0])
+                    total[i, int(at // len(folds_of[0]) // many), names[at // len(folds_of[0]) % many], int(folds_of[0][f])] += int(c[at])
+        if total:
+            i, a, b, k = zip(*total, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.string()), pa.array(k, pa.int32()), pa.array(total.values(), pa.int64())], names=["i", "a", "b", "k", "c"])
+
+    rows = df.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)), (F.col(target) if numeric else F.col(target).cast("string")).alias("_y"), fold.alias("_k"))
+    cells = rows.mapInArrow(count, "i int, a int, b string, k int, c long").groupBy("i", "a", "b", "k").agg(F.sum("c").alias("c"))
     if not isinstance(folds, int) or folds:
         # a sample leaves fold k out; -1 leaves none
         ks = cells.select("k").distinct()
@@ -111,7 +160,7 @@ def mrmr(df: DataFrame, columns: list[str], target: str, k: int, relation: str =
     if relation == "information":
         pairs = ((r.feature_a, r.feature_b, r.mi) for r in information_matrix(df, [*columns, target], bins).collect())
     else:
-        pairs = ((r.feature_a, r.feature_b, abs(r.value)) for r in pearson(df, [*columns, target]).collect())
+        pairs = ((r.feature_a, r.feature_b, abs(r.value)) for r in correlations(df, [*columns, target]).collect())
     value = {}
     for a, b, v in pairs:
         value[a, b] = value[b, a] = v
