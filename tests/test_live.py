@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varve.functions.tables import Rounds
-from varve.operators import wrapper
+from varve.operators import boost, kernel, wrapper
 from varve.sources import io
 from varve.streaming import conformal, ingest
 
@@ -131,3 +131,26 @@ def test_elimination_keeps_what_predicts(spark):
     df = spark.createDataFrame([(float(a), float(b), float(2 * (a > 0.2))) for a, b in rng.normal(0, 1, (200, 2))], "a double, noise double, y double")
     got = wrapper.eliminated(df, ["noise", "a"], "y", folds=2, rounds=2, depth=1, bins=8, rate=0.9).orderBy("size").collect()
     assert [(r.size, r.dropped, r.best) for r in got] == [(1, "a", True), (2, "noise", False)]
+
+
+def test_binned_columns_give_the_same_trees(spark):
+    rows = [(float(i % 7), None if i % 5 == 0 else float(i * 37 % 101), float(i % 7 * 3 + (i * 37 % 101 > 50))) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    edges = dict(zip("ab", boost.bin_edges(df, ["a", "b"], 8), strict=True))
+    plain = boost.fit(df, ["a", "b"], "y", rounds=3, depth=3, edges=edges)
+    binned = boost.fit(boost.as_bins(df, edges, ["y"]), ["a", "b"], "y", rounds=3, depth=3, edges=edges, binned=True)
+    assert [{n: s[:2] for n, s in t.items()} for t in plain.splits] == [{n: s[:2] for n, s in t.items()} for t in binned.splits]
+    assert plain.importance() == pytest.approx(binned.importance())
+
+
+def test_exchanges_share_a_pass(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.standard_normal((90, 3)))], "_i long, x double, y double, z double")
+    moved = df
+    for k in range(2):
+        moved = wrapper.shuffled(moved, ["y"], 90, k, f"shadow{k}_", df)
+    scale = {"x": 1.0, "y": 1.3, "z": 0.7}
+    got = kernel.exchanged_products(moved, [["x"], ["y"], ["z"]], 2, scale, 8, 1)
+    for k in range(2):
+        s = kernel.products(moved, [["x"], [f"shadow{k}_y"], ["z"]], scale | {f"shadow{k}_y": 1.3}, 8, 1)[1]
+        assert np.allclose(got[k][:8], s[:8, 8:16]) and np.allclose(got[k][8:], s[16:, 8:16])

@@ -84,6 +84,30 @@ def hsic_pairs(df: DataFrame, columns: Sequence[str], features: int = 64, seed:
     return df.sparkSession.createDataFrame(told, "feature_a string, feature_b string, hsic double, alignment double")
 
 
+def exchanged_products(df: DataFrame, blocks: Sequence[Sequence[str]], tries: int, scale: dict[str, float], features: int, seed: int) -> list[np.ndarray]:
+    """Per exchange k the centred sums of products of x's and z's features with those of y's columns under the names shadowk_; blocks in the order x, y, z. One pass for all exchanges."""
+    maps = [(list(b), np.array([scale[c] for c in b]), *weights(len(b), features, seed, k)) for k, b in enumerate(blocks)]
+    shape = (2 * features + 1, tries * features + 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(shape)
+        for frame in frames:
+            for start in range(0, len(frame), 4096):
+                part = frame.iloc[start : start + 4096]
+                phi = lambda k, name: feature_map(part[[name + c for c in maps[k][0]]].to_numpy(float) / maps[k][1], *maps[k][2:])  # noqa: B023, E731
+                one = np.ones(len(part))
+                total += np.column_stack([one, phi(0, ""), phi(2, "")]).T @ np.column_stack([one, *(phi(1, f"shadow{t}_") for t in range(tries))])
+        if total[0, 0]:
+            yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+    sums = df.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()  # one row a pair of features
+    total = np.zeros(shape[0] * shape[1])
+    total[sums["i"]] = sums["v"]
+    total = total.reshape(shape)
+    centred = total[1:, 1:] - np.outer(total[1:, 0], total[0, 1:]) / max(1.0, total[0, 0])
+    return [centred[:, t * features : (t + 1) * features] for t in range(tries)]
+
+
 def residual_norm(s: np.ndarray, features: int, n: int) -> float:
     """The squared norm of x's and y's products with what z explains taken off both, over n (n - 1); blocks in the order x, y, z.
 
@@ -99,7 +123,7 @@ def residual_norm(s: np.ndarray, features: int, n: int) -> float:
 def conditional_hsic(df: DataFrame, x: Sequence[str], y: Sequence[str], z: Sequence[str], features: int = 64, tries: int = 0, seed: int = 1) -> DataFrame:
     """One row: n, hsic of x and y (over n (n - 1)), conditional (the same given z), p of the conditional one among `tries` exchanges of y's rows (null without tries).
 
-    Of rows where all columns are present; below five rows the numbers are null. Exchanges keep x and z and move y by a pseudorandom bijection, one join each."""
+    Of rows where all columns are present; below five rows the numbers are null. Exchanges keep x and z and move y by a pseudorandom bijection, one join each; one pass over the joined rows serves them all."""
     columns = list(dict.fromkeys([*x, *y, *z]))
     rows = _present(df, columns)
     scale = widths(rows, columns)
@@ -112,8 +136,11 @@ def conditional_hsic(df: DataFrame, x: Sequence[str], y: Sequence[str], z: Seque
     if tries:
         held = Rounds(df.sparkSession, "exchanges")
         placed, _ = numbered(rows, held)
-        moved_scale = scale | {f"shadow_{c}": scale[c] for c in y}
+        moved = placed
         for k in range(tries):
-            moved = shuffled(placed, list(y), n, seed * 1000 + k)
-            above += residual_norm(products(moved, [x, [f"shadow_{c}" for c in y], z], moved_scale, features, seed)[1], features, n) >= found
+            moved = shuffled(moved, list(y), n, seed * 1000 + k, f"shadow{k}_", placed)
+        at = lambda i: slice(i * features, (i + 1) * features)
+        for part in exchanged_products(moved, [x, y, z], tries, scale, features, seed):
+            s[at(0), at(1)], s[at(2), at(1)] = part[:features], part[features:]  # an exchange changes no other product
+            above += residual_norm(s, features, n) >= found
     return df.sparkSession.createDataFrame([(n, plain, found, (1 + above) / (1 + tries) if tries else None)], schema)
