@@ -358,6 +358,16 @@ def test_betweenness_equals_all_shortest_paths(spark):
     assert got == pytest.approx(want)
 
 
+def test_betweenness_writes_a_row_a_node_and_level_for_all_sources(spark, monkeypatch):
+    made = []
+    put = Rounds.put
+    monkeypatch.setattr(Rounds, "put", lambda self, df: (made.append(put(self, df)), made[-1])[1])
+    leaves = 60
+    got = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame([(0, i) for i in range(1, leaves + 1)], "src long, dst long"), 8).collect()}
+    assert got[0] == pytest.approx(leaves * (leaves - 1) / 2, rel=0.2) and not any(v for n, v in got.items() if n)
+    assert max(t.count() for t in made) <= leaves + 1
+
+
 @pytest.mark.parametrize("strip", [1 << 16, 17])
 def test_whole_kendall_equals_all_pairs(spark, strip):
     rng = np.random.default_rng(9)
