@@ -342,6 +342,23 @@ def test_communities_do_not_depend_on_the_number_of_blocks(spark, monkeypatch):
     assert {r.node: r.community for r in graph.communities(df).collect()} == once and spark.conf.get(moves.PARTS) == before
 
 
+def test_registered_communities_leave_no_two_whose_union_gains(spark):
+    from varve.plans import QUERIES
+    from varve.plans.feature_queries import edges_all
+    from varve.plans.registry import Tables
+
+    folder = "/root/testdata/sf0.001"
+    of = {r.node: r.community for r in QUERIES["graph_communities"](spark, folder).collect()}
+    edges = [(of[r.src], of[r.dst]) for r in edges_all(Tables(spark, folder)).collect()]
+    between, strength = {}, {}
+    for a, b in edges:
+        for c in (a, b):
+            strength[c] = strength.get(c, 0) + 1
+        if a != b:
+            between[min(a, b), max(a, b)] = between.get((min(a, b), max(a, b)), 0) + 1
+    assert not [p for p, w in between.items() if w - strength[p[0]] * strength[p[1]] / (2 * len(edges)) > 1e-8 * len(edges)]
+
+
 def test_betweenness_equals_all_shortest_paths(spark):
     edges = [(a, b) for a, b in random_graph(5, 14, 24) if b < 50]
     near = {}
