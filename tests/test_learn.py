@@ -337,6 +337,7 @@ def test_communities_do_not_depend_on_the_number_of_blocks(spark, monkeypatch):
     edges = [*random_graph(3, 80, 200), (900, 901), (902, 902)]
     df = spark.createDataFrame([(a, b, float(1 + (a * b) % 3)) for a, b in edges], "src long, dst long, weight double")
     once = {r.node: r.community for r in graph.communities(df).collect()}
+    monkeypatch.setattr(moves, "ONCE", 150)
     monkeypatch.setattr(moves, "BLOCK", 150)
     before = spark.conf.get(moves.PARTS)
     assert {r.node: r.community for r in graph.communities(df).collect()} == once and spark.conf.get(moves.PARTS) == before
